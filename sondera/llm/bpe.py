@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 MEMO_PIECES = 500_000
 #: Longer pieces are encoded, but not remembered.
 MEMO_CHARS = 64
+#: Stands between pieces in a line where white space is dropped; a pre-token of its own with one id.
+MARK = "\x00"
 #: Pieces that are joined to one line.
 LINE_PIECES = 256
 #: Texts that go through the library together.
@@ -38,6 +40,10 @@ _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A single space between non-space characters; Python's \S excludes a few more controls, which only makes fewer cuts.
 _KEEPING = re.compile(r"(?<=\S) (?=\S)")
 _DROPPING = re.compile(f"[^{_WHITE}]+")
+#: Controls that str.split() takes for white space, and Unicode doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
+#: A mark right after a letter begins a pre-token; where white space is dropped, a space may go between them.
+_BEFORE_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,!?;:]")
 
 
 class PieceEncoder:
@@ -50,30 +56,59 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.memo: dict[str, bytes] = {}
+        if drops_space:
+            upper, lower = self.tokenizer.encode_batch(["AZ ÀÞ", "az àþ"], add_special_tokens=False)
+            self.lowers = upper.ids == lower.ids
+            suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+            self.closes = None
+            if suffix:  # a piece of letters is one pre-token, and its last id closes it
+                vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+                self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+                self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        else:
+            self.lengths = ByteDecoder(path).lengths
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_space:
-            return _DROPPING.findall(text)
+            text = _BEFORE_MARK.sub(r" \g<0>", text)
+            if self.lowers:
+                try:
+                    text.encode("latin-1")  # lower case is plain there, so it may come first
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
+            return _DROPPING.findall(text) if _ODD.search(text) else text.split()
         if not text:
             return []
         first, *rest = _KEEPING.split(text)
         return [first, *[" " + x for x in rest]]
 
     def _new(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of pieces. Most are joined to lines, as the library takes long texts at less cost; offsets part the ids again."""
-        gap = " " if self.drops_space else ""
-        joins = new if self.drops_space else [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        alone = [] if len(joins) == len(new) else list(set(new) - set(joins))
-        for i in range(0, len(joins), LINE_PIECES * 64):
-            parts = [joins[j : j + LINE_PIECES] for j in range(i, min(len(joins), i + LINE_PIECES * 64), LINE_PIECES)]
-            for ps, e in zip(parts, self.tokenizer.encode_batch([gap.join(x) for x in parts], add_special_tokens=False), strict=True):
-                ends = np.cumsum(np.fromiter(map(len, ps), dtype=np.int64, count=len(ps)) + len(gap))
-                starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-                raw, at = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(starts, ends, side="left")).tolist()
-                last = 0
-                for p, to in zip(ps, at, strict=True):
-                    yield p, raw[last:to]
-                    last = to
+        """Ids of pieces. Most are joined to lines, as the library takes long texts at less cost; the ids that close a word, a mark between the pieces or their bytes part the ids again."""
+        if self.drops_space:
+            alone = [p for p in new if MARK in p]
+            words = [p for p in new if p.isalpha()] if self.closes is not None else []
+            rest = [p for p in new if MARK not in p and not (self.closes is not None and p.isalpha())]
+            kinds = [(words, " "), (rest, f" {MARK} ")]
+        else:
+            fits = lambda p: p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()
+            alone, kinds = [p for p in new if not fits(p)], [([p for p in new if fits(p)], "")]
+        for joins, gap in kinds:
+            for i in range(0, len(joins), LINE_PIECES * 64):
+                parts = [joins[j : j + LINE_PIECES] for j in range(i, min(len(joins), i + LINE_PIECES * 64), LINE_PIECES)]
+                for ps, e in zip(parts, self.tokenizer.encode_batch_fast([gap.join(x) for x in parts], add_special_tokens=False), strict=True):
+                    ids = np.array(e.ids, dtype="<u4")
+                    if gap == " ":
+                        ends = np.flatnonzero(self.closes[ids]) + 1
+                    elif gap:
+                        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                    else:
+                        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in ps])) + 1
+                    raw, last, skip = ids.tobytes(), 0, 4 * (len(gap) > 1)
+                    for p, to in zip(ps, (4 * ends).tolist(), strict=True):
+                        yield p, raw[last:to]
+                        last = to + skip
         for i in range(0, len(alone), 4096):
             part = alone[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -81,17 +116,34 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit little-endian integers."""
-        cut = [self.pieces(t) for t in texts]
         memo = self.memo
-        new = [p for p in set().union(*cut) if p not in memo]
-        known, look = len(memo), memo.__getitem__
-        got = dict(self._new(new))
-        room = [p for p in new if len(p) <= MEMO_CHARS][: max(0, MEMO_PIECES - known)]
-        if len(room) < len(got):
-            look = lambda p: memo[p] if p in memo else got[p]
-        for p in room:
-            memo[p] = got[p]
-        return [np.frombuffer(b"".join(map(look, ps)), dtype="<u4") for ps in cut]
+        known, cut, got, holes = memo.get, [], [], []
+        new: set[str] = set()
+        for t in texts:
+            ps = self.pieces(t)
+            ids = list(map(known, ps))
+            at, miss = -1, []
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    miss.append(at)
+            except ValueError:
+                pass
+            new.update([ps[i] for i in miss])
+            cut.append(ps)
+            got.append(ids)
+            holes.append(miss)
+        if new:
+            fresh = dict(self._new(list(new)))
+            for ps, ids, miss in zip(cut, got, holes, strict=True):
+                for i in miss:
+                    ids[i] = fresh[ps[i]]
+            for p, ids in fresh.items():
+                if len(memo) >= MEMO_PIECES:
+                    break
+                if len(p) <= MEMO_CHARS:
+                    memo[p] = ids
+        return [np.frombuffer(b"".join(ids), dtype="<u4") for ids in got]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
@@ -161,7 +213,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 part = b.slice(i, GROUP)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = enc.encode(texts)
-                cols = {id_col: part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
+                cols = {id_col: part.column(0), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))}
                 if dec:
                     spans = [dec.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
                     cols |= {"starts": pa.array([s for s, _ in spans], pa.list_(pa.int32())), "ends": pa.array([e for _, e in spans], pa.list_(pa.int32()))}
@@ -203,6 +255,24 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids array<int>, same): the ids of each row, and whether decoding them gives its text."""
+    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, dec = encoder(path), ByteDecoder(path)
+        for b in batches:
+            for i in range(0, b.num_rows, GROUP):
+                part = b.slice(i, GROUP)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = enc.encode(texts)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), "same": pa.array([dec.bytes(x) == t.encode() for t, x in zip(texts, ids, strict=True)], pa.bool_())})
+
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids array<int>, same boolean")
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """The ranks of a tiktoken file."""
     with open(path, "rb") as f:

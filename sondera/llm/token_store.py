@@ -34,7 +34,7 @@ WORD = np.uint64(32)
 MAGIC = b"RANS"
 HEAD = struct.Struct("<4sBBHIQQQI")  # magic, version, bits, lanes, steps between checkpoints, tokens, words, checkpoints, crc of the rest
 #: Tokens after which a block is closed; lanes of a full block; steps between checkpoints.
-BLOCK_TOKENS, LANES, STEPS = 1 << 18, 512, 256
+BLOCK_TOKENS, LANES, STEPS = 1 << 18, 1024, 128
 #: Tokens of a partition of the store, about.
 PART_TOKENS = 8_000_000
 
@@ -145,20 +145,30 @@ class Coder:
 
 
 def token_table(docs: DataFrame, path: str, end_id: int | None = None, drops_space: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, crc) of each row: ids as little-endian integers of 16 bits, where the vocabulary allows, or 32."""
+    """(id, ids binary, crc, counts binary) of each row: ids as little-endian integers of 16 bits, where the vocabulary allows, or 32.
+
+    A task adds one row without ids, whose counts say how often each id (32 bits) came (64 bits): pairs, zlib-packed.
+    """
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    wide = encoder(path, drops_space).tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+    size = encoder(path, drops_space).tokenizer.get_vocab_size(with_added_tokens=True)
+    kind = "<u4" if size > 1 << 16 else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, drops_space)
-        tail = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], dtype="<u4")
+        total, id_kind = np.zeros(size, dtype=np.int64), None
         for b in batches:
+            id_kind = b.schema.field(0).type
             for i in range(0, b.num_rows, GROUP):
                 part = b.slice(i, GROUP)
-                raw = [x.tobytes() + tail for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "ids": pa.array(raw if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw], pa.binary()), "crc": pa.array(map(zlib.crc32, raw), pa.int64())})
+                ids = [np.concatenate([x, tail]) for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
+                total += np.bincount(np.concatenate(ids), minlength=size)
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "ids": pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), "crc": pa.array(map(zlib.crc32, ids), pa.int64()), "counts": pa.nulls(len(ids), pa.binary())})
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.RecordBatch.from_pydict({id_col: pa.nulls(1, id_kind), "ids": pa.nulls(1, pa.binary()), "crc": pa.nulls(1, pa.int64()), "counts": pa.array([zlib.compress(seen.astype("<u4").tobytes() + total[seen].astype("<i8").tobytes(), 1)], pa.binary())})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, crc bigint")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, crc bigint, counts binary")
 
 
 def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "doc_id") -> None:
@@ -169,15 +179,14 @@ def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "do
         total = np.zeros(vocab_size, dtype=np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=vocab_size) if len(x) > vocab_size else 0
-                if len(x) <= vocab_size:
-                    ids, n = np.unique(np.frombuffer(x, kind), return_counts=True)
-                    total[ids] += n
+                raw = zlib.decompress(x)
+                ids = np.frombuffer(raw, "<u4", len(raw) // 12)
+                total[ids] += np.frombuffer(raw, "<i8", len(ids), 4 * len(ids))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int32()), "n": pa.array(total[ids], pa.int64())})
 
     counts = np.zeros(vocab_size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most vocab_size rows
+    for r in tokens.where("counts is not null").select("counts").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most vocab_size rows
         counts[r.id] = r.n
     freq = frequencies(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
@@ -208,7 +217,7 @@ def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "do
         if raw:
             yield close()
 
-    (tokens.select(id_col, "ids", "crc").repartitionByRange(parts, id_col, "crc").sortWithinPartitions(id_col, "crc").select(id_col, "ids")
+    (tokens.where("ids is not null").select(id_col, "ids", "crc").repartitionByRange(parts, id_col, "crc").sortWithinPartitions(id_col, "crc").select(id_col, "ids")
         .mapInArrow(blocks, f"part int, block int, before bigint, tokens bigint, ids array<{id_type}>, lens array<bigint>, payload binary")
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 

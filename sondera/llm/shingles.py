@@ -54,7 +54,11 @@ def hashed(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(words: list[list[str]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of every shingle of each text, in order. A text of fewer words is one shingle; one without words has none."""
-    h, n = hashed(words)
+    return of_hashes(*hashed(words), width)
+
+
+def of_hashes(h: np.ndarray, n: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of words that are hashed already."""
     c = seeds(width)
     with np.errstate(over="ignore"):
         s = np.zeros(len(h), dtype=np.uint64)

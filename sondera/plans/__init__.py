@@ -1,0 +1,3 @@
+"""Registered queries by theme; importing this package fills the catalog."""
+
+from . import frame_queries  # noqa: F401

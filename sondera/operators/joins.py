@@ -69,10 +69,10 @@ def unordered_pairs(df: DataFrame, key: str, on: list[str] | None = None, cols:
 
 def replicated(events: DataFrame, node: str, key: list[str], at: str, size: str, within: int, unit: float) -> DataFrame:
     """events with `replica`: the best event of another node, of the same key and sign, within `within` of its time, of size unit or more."""
-    b = events.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(node).alias("__node"), F.col(at).alias("__at"), F.col(size).alias("__size"), F.explode(F.array(*[F.floor(F.col(at) / within) + d for d in (-1, 0, 1)])).alias("__bucket"))
-    e = events.withColumn("__id", F.struct(node, *key, at, size)).withColumn("__own", F.floor(F.col(at) / within))
-    near = e.join(b.where(F.abs("__size") >= unit), [F.col(k) == F.col(f"__{k}") for k in key] + [F.col("__own") == F.col("__bucket"), F.col(node) != F.col("__node"), F.signum(size) == F.signum("__size"), F.abs(F.col(at) - F.col("__at")) <= within], "left")
-    best = near.groupBy(node, *key, at, size).agg(F.min(F.when(F.col("__at").isNotNull(), F.struct(F.abs(F.col(at) - F.col("__at")).alias("dt"), (-F.abs("__size")).alias("rank"), F.col("__node").alias("node"), F.col("__at").alias("at")))).alias("__best"))
+    b = events.select(*[F.col(k).alias(f"__key_{k}") for k in key], F.col(node).alias("__by"), F.col(at).alias("__at"), F.col(size).alias("__size"), F.explode(F.array(*[F.floor(F.col(at) / within) + d for d in (-1, 0, 1)])).alias("__bucket"))
+    e = events.withColumn("__own", F.floor(F.col(at) / within))
+    near = e.join(b.where(F.abs("__size") >= unit), [F.col(k) == F.col(f"__key_{k}") for k in key] + [F.col("__own") == F.col("__bucket"), F.col(node) != F.col("__by"), F.signum(size) == F.signum("__size"), F.abs(F.col(at) - F.col("__at")) <= within], "left")
+    best = near.groupBy(node, *key, at, size).agg(F.min(F.when(F.col("__at").isNotNull(), F.struct(F.abs(F.col(at) - F.col("__at")).alias("dt"), (-F.abs("__size")).alias("rank"), F.col("__by").alias("node"), F.col("__at").alias("at")))).alias("__best"))
     return best.select(node, *key, at, size, F.col("__best").isNotNull().alias("replicated"), F.col("__best.node").alias("replica_node"), F.col("__best.at").alias("replica_at"))
 
 

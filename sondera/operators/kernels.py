@@ -1,0 +1,178 @@
+"""Numeric kernels over batches of vectors: complex spectra, line fits, delay estimates, spectra of series.
+
+Each takes and gives NumPy arrays with a row for each frame or series, so that an Arrow batch costs a few array operations.
+Nothing here keeps state between batches; what needs order is a window (see windows) or a step function (see recursive).
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+#: Used places of a 64-point spectrum, in frequency order, and their frequencies (fixed values).
+FREQUENCIES = np.concatenate([np.arange(-26, 0), np.arange(1, 27)])
+PLACES = FREQUENCIES % 64
+
+
+def spectrum(iq: np.ndarray) -> np.ndarray:
+    """(n, 128) interleaved [imaginary, real] → (n, 52) complex values in frequency order."""
+    iq = np.asarray(iq, dtype=np.float64)
+    return (iq[:, 1:128:2] + 1j * iq[:, 0:128:2])[:, PLACES]
+
+
+def line_fit(y: np.ndarray, x: np.ndarray = FREQUENCIES) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares slope and intercept of each row."""
+    d = x - x.mean()
+    slope = (y * d).sum(1) / (d * d).sum()
+    return slope, y.mean(1) - slope * x.mean()
+
+
+def consensus_line(y: np.ndarray, seeds: np.ndarray, x: np.ndarray = FREQUENCIES, tries: int = 64, near: float = 0.30) -> dict[str, np.ndarray]:
+    """A line through most points of each row, in spite of outliers.
+
+    Each row draws `tries` pairs of points from its own seed, so a result depends on the row alone and not on the batch.
+    The pair whose line has most points within `near` wins, and least squares over those points gives the result; with fewer than
+    max(4, n / 4) of them it is NaN.
+    """
+    n, k = y.shape
+    z = np.asarray(seeds, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * tries, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(29)
+    a = (z[:, :tries] >> np.uint64(20)) % np.uint64(k)
+    b = (a + np.uint64(1) + (z[:, tries:] >> np.uint64(20)) % np.uint64(k - 1)) % np.uint64(k)
+    rows = np.arange(n)[:, None]
+    slope = (y[rows, b] - y[rows, a]) / (x[b.astype(int)] - x[a.astype(int)])
+    base = y[rows, a] - slope * x[a.astype(int)]
+    best, kept = np.full(n, -1), np.zeros((n, k), dtype=bool)
+    for t in range(tries):
+        fits = np.abs(y - slope[:, t : t + 1] * x - base[:, t : t + 1]) <= near
+        count = fits.sum(1)
+        better = count > best
+        best[better], kept[better] = count[better], fits[better]
+    w = kept.astype(float)
+    m = np.maximum(w.sum(1), 1)
+    mx, my = (w * x).sum(1) / m, (w * y).sum(1) / m
+    dx = x - mx[:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = (w * dx * (y - my[:, None])).sum(1) / (w * dx * dx).sum(1)
+        i = my - s * mx
+        resid = np.sqrt((w * (y - s[:, None] * x - i[:, None]) ** 2).sum(1) / m)
+    bad = (best < max(4, k // 4)) | ~np.isfinite(s)
+    return {name: np.where(bad, np.nan, v) for name, v in (("slope", s), ("intercept", i), ("inliers", best / k), ("resid", resid))}
+
+
+def coherent_slope(h: np.ndarray, k: np.ndarray = FREQUENCIES, grid: int = 1024, step: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Phase slope that lines up all values best, without unwrapping; and how well it does, from 0 to 1.
+
+    A long transform gives the slope to one part in `grid` of a turn, a fine grid around its peak the rest.
+    """
+    wide = np.zeros((len(h), grid), dtype=complex)
+    wide[:, k % grid] = h
+    peak = np.abs(np.fft.fft(wide, axis=1)).argmax(1)
+    unit = 2 * math.pi / grid
+    near = np.arange(-unit, unit + step / 2, step)
+    cand = (peak * unit)[:, None] + near
+    power = np.abs(np.einsum("nk,nkc->nc", h, np.exp(-1j * k[None, :, None] * cand[:, None, :])))
+    at = power.argmax(1)
+    slope = cand[np.arange(len(h)), at]
+    total = np.abs(h).sum(1)
+    return np.angle(np.exp(1j * slope)), np.where(total > 0, power[np.arange(len(h)), at] / np.where(total > 0, total, 1), 0.0)
+
+
+def impulse_response(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the strongest tap, and the spread of delay around the circle, of each spectrum's 64-point response."""
+    wide = np.zeros((len(h), 64), dtype=complex)
+    wide[:, PLACES] = h
+    p = np.abs(np.fft.ifft(wide, axis=1)) ** 2
+    total = np.maximum(p.sum(1), 1e-300)
+    centre = np.angle((p * np.exp(2j * math.pi * np.arange(64) / 64)).sum(1) / total) * 64 / (2 * math.pi)
+    off = (np.arange(64) - centre[:, None] + 32) % 64 - 32
+    return p.max(1) / total, np.sqrt((p * off**2).sum(1) / total)
+
+
+def ripple(mag: np.ndarray) -> dict[str, np.ndarray]:
+    """Delay of an echo from the ripple that it leaves on amplitudes; spectral flatness; ripple in dB."""
+    a = mag / np.maximum(mag.mean(1, keepdims=True), 1e-300)
+    d = a - a.mean(1, keepdims=True)
+    p = np.abs(np.fft.rfft(d * np.hanning(a.shape[1]), 512, axis=1)) ** 2
+    top = p[:, 8:].argmax(1) + 8  # slower than that is the shape of the band
+    q = np.maximum(p[:, 8:], 1e-300)
+    return {"tau": top / 512.0, "flatness": np.exp(np.log(q).mean(1)) / q.mean(1), "ripple_db": 20 * np.log10(np.maximum(a.max(1), 1e-12) / np.maximum(a.min(1), 1e-12))}
+
+
+def image_ratio(h: np.ndarray) -> np.ndarray:
+    """Mirror products of each spectrum, after its own slope is taken out: the average of H(k) H(-k) over |H|^2."""
+    slope, _ = coherent_slope(h)
+    g = h * np.exp(-1j * slope[:, None] * FREQUENCIES)
+    g = g * np.exp(-1j * np.angle(g.sum(1)))[:, None]
+    return (g * g[:, ::-1]).sum(1) / np.maximum((np.abs(g) ** 2).sum(1), 1e-300)
+
+
+# --- series
+
+
+def welch(x: np.ndarray, rate: float, seconds: float = 60.0, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Power spectrum as the mean over Hann-windowed segments, each without its line. A short series is one segment."""
+    n = min(len(x), int(seconds * rate))
+    hop = max(1, int(n * (1 - overlap)))
+    w = np.hanning(n)
+    t = np.arange(n) - (n - 1) / 2
+    total, count = np.zeros(n // 2 + 1), 0
+    for a in range(0, len(x) - n + 1, hop):
+        s = x[a : a + n] - x[a : a + n].mean()
+        s = s - t * (t @ s) / max(t @ t, 1e-300)
+        total += np.abs(np.fft.rfft(s * w)) ** 2
+        count += 1
+    return np.fft.rfftfreq(n, 1 / rate), total / max(1, count) / (rate * (w**2).sum())
+
+
+def band_peak(row: np.ndarray, rate: float, band: tuple[float, float] = (0.10, 0.55), floor: tuple[float, float] = (0.7, 2.5)) -> tuple[float, float] | None:
+    """(dB over the median power of the floor band, frequency) of the strongest line in a band; none if it is at the band's edge."""
+    f, p = welch(row, rate)
+    inside = np.flatnonzero((f >= band[0]) & (f <= band[1]))
+    quiet = p[(f >= floor[0]) & (f <= floor[1])]
+    if len(inside) < 3 or not len(quiet):
+        return None
+    at = inside[p[inside].argmax()]
+    if at in (inside[0], inside[-1]):
+        return None
+    return 10 * math.log10(max(p[at], 1e-300) / max(float(np.median(quiet)), 1e-300)), float(f[at])
+
+
+def band_peaks(series: np.ndarray, rate: float, top: int = 10, agree_hz: float = 0.05, **bands) -> dict[str, float | int | None]:
+    """A common line in a band of many series (rows): the median frequency of the clearest peaks, and how many agree with it."""
+    best = sorted((x for row in series if (x := band_peak(row, rate, **bands)) is not None), reverse=True)[:top]
+    if not best:
+        return {"hz": None, "snr_db": None, "agree": 0, "present": 0}
+    hz = float(np.median([f for _, f in best]))
+    snr = float(np.median([s for s, _ in best]))
+    agree = sum(abs(f - hz) <= agree_hz for _, f in best)
+    return {"hz": hz, "snr_db": snr, "agree": agree, "present": int(snr >= 6 and agree >= 5)}
+
+
+def periodogram(y: np.ndarray) -> tuple[float, float, float]:
+    """Strongest period of an even series without its line (in samples), its share of the power, and the p-value of that share among as many equal ones."""
+    n = len(y)
+    if n < 8:
+        return float("nan"), float("nan"), 1.0
+    t = np.arange(n) - (n - 1) / 2
+    z = y - y.mean()
+    z = z - t * (t @ z) / (t @ t)
+    p = np.abs(np.fft.rfft(z * np.hanning(n)))[1:] ** 2
+    if not p.sum():
+        return float("nan"), float("nan"), 1.0
+    g, m, k = float(p.max() / p.sum()), len(p), int(p.argmax()) + 1
+    return n / k, g, float(min(1.0, m * (1 - g) ** (m - 1)))
+
+
+def suppress(scores: np.ndarray, at: np.ndarray, radius: float, top: int = 5) -> np.ndarray:
+    """Indices of the largest scores that keep a distance of more than `radius` from each larger one that is taken."""
+    taken: list[int] = []
+    for i in np.lexsort((at, -scores)):
+        if len(taken) == top:
+            break
+        if np.isfinite(scores[i]) and all(abs(at[i] - at[j]) > radius for j in taken):
+            taken.append(int(i))
+    return np.array(taken, dtype=int)

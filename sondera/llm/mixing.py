@@ -95,7 +95,7 @@ def _order(seed: int, epoch: Column, source: Column, block: Column, mark: Column
 def _marked(docs: DataFrame) -> DataFrame:
     """docs with __source, __tokens and __mark, which tells documents apart."""
     text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
-    return docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__tokens", token_count(F.col("text"))).withColumn("__mark", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text).cast("string")))
+    return docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__tokens", token_count(F.col("text"))).withColumn("__mark", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
 
 
 def _plan(rows: DataFrame, seed: int, **target) -> tuple[DataFrame, DataFrame]:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, gam, license_scan, mixing, near_dedup, quality_rules, sharding, token_store
+from . import bpe, chat, embedding_dedup, gam, license_scan, mixing, near_dedup, oracles, quality_rules, sharding, token_store
 from .base import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.ORACLE
 
 #: Where the public tokenizers lie; a caller can set another function from a file's name to its path.
 TOKENIZER_PATH: Callable[[str], str] | None = None

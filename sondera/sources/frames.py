@@ -123,6 +123,11 @@ def encode_probe(seq: int, clock: int, firmware: int = 1) -> bytes:
     return encode(PROBE, _PROBE.pack(1, firmware, seq, clock) + ((seq + 7 * np.arange(PROBE_PAYLOAD)) & 0xFF).astype(np.uint8).tobytes())
 
 
+def _table(rows: list[dict]) -> pd.DataFrame:
+    """Rows under SCHEMA; what a kind of record doesn't have is null."""
+    return pd.DataFrame([[r.get(c) for c in SCHEMA.names] for r in rows], columns=SCHEMA.names, dtype=object)
+
+
 def decode_chunks(chunks: DataFrame, stream: str, order: str, data: str) -> DataFrame:
     """(stream, SCHEMA) from chunks of byte streams. A stream is read in order by one task, as a record may span chunks; streams spread over tasks."""
     kind = chunks.schema[stream].dataType.simpleString()
@@ -134,7 +139,7 @@ def decode_chunks(chunks: DataFrame, stream: str, order: str, data: str) -> Data
             base += len(rest) + len(x) - len(got.rest)
             rest = got.rest
             rows += got.rows
-        out = pd.DataFrame(rows, columns=SCHEMA.names, dtype=object)
+        out = _table(rows)
         out.insert(0, stream, key[0])
         return out
 
@@ -149,7 +154,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                out = pd.DataFrame(decode(bytes(content)).rows, columns=SCHEMA.names, dtype=object)
+                out = _table(decode(bytes(content)).rows)
                 out.insert(0, "file", file)
                 yield out
 

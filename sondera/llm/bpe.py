@@ -42,6 +42,8 @@ _KEEPING = re.compile(r"(?<=\S) (?=\S)")
 _DROPPING = re.compile(f"[^{_WHITE}]+")
 #: Controls that str.split() takes for white space, and Unicode doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters that are one pre-token together, and stay letters in lower case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A mark right after a letter begins a pre-token; where white space is dropped, a space may go between them.
 _BEFORE_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,!?;:]")
 
@@ -88,8 +90,9 @@ class PieceEncoder:
         """Ids of pieces. Most are joined to lines, as the library takes long texts at less cost; the ids that close a word, a mark between the pieces or their bytes part the ids again."""
         if self.drops_space:
             alone = [p for p in new if MARK in p]
-            words = [p for p in new if p.isalpha()] if self.closes is not None else []
-            rest = [p for p in new if MARK not in p and not (self.closes is not None and p.isalpha())]
+            plain = _LETTERS.fullmatch if self.closes is not None else lambda p: None
+            words = [p for p in new if plain(p)]
+            rest = [p for p in new if MARK not in p and not plain(p)]
             kinds = [(words, " "), (rest, f" {MARK} ")]
         else:
             fits = lambda p: p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()

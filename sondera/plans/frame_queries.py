@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import r6
 from ..operators import windows as win
+from ..operators.quantiles import exact_quantiles
 from ..session import frames, table
 from .catalog import register
 
@@ -150,9 +151,9 @@ def agg2_median(spark, sf_dir):
 
 @register(_sql("SELECT node, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) + 0.0 AS iqr, round(quantile_cont(value, 0.05), 6) + 0.0 AS p5, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM fr GROUP BY node"))
 def agg3_iqr(spark, sf_dir):
-    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.25), F.lit(0.75), F.lit(0.95)))
-    g = frames(spark, sf_dir).groupBy("node").agg(p.alias("p"))
-    return g.select("node", r6(F.col("p")[2] - F.col("p")[1]).alias("iqr"), r6(F.col("p")[0]).alias("p5"), r6(F.col("p")[3]).alias("p95"))
+    """Spread of each node: groups that grow with the table, so ranks are found bucket by bucket."""
+    g = exact_quantiles(frames(spark, sf_dir), ["node"], "value", [0.05, 0.25, 0.75, 0.95])
+    return g.select("node", r6(F.col("q")[2] - F.col("q")[1]).alias("iqr"), r6(F.col("q")[0]).alias("p5"), r6(F.col("q")[3]).alias("p95"))
 
 
 @register(_sql("SELECT source, CASE WHEN n < 10 THEN NULL WHEN mad > 0 THEN round(1.4826 * mad, 6) + 0.0 WHEN sd > 0 THEN round(sd, 6) + 0.0 ELSE 1e-9 END AS spread FROM (SELECT source, count(*) AS n, median(abs(value - m)) AS mad, stddev_pop(value) AS sd FROM fr JOIN (SELECT source, median(value) AS m FROM fr GROUP BY source) USING (source) GROUP BY source)"))

@@ -96,6 +96,22 @@ def to_do(inputs: DataFrame, done: DataFrame) -> DataFrame:
     return inputs.join(done, ["path", "size", "modified"], "left_anti")
 
 
+def cached(spark: SparkSession, path: str, root: str, build) -> DataFrame:
+    """What build(spark, path) gives, kept under a key of the files' names, sizes and times; changed files make another entry."""
+    key = manifest(spark, path).agg(F.sum(F.xxhash64("path", "size", "modified").cast("decimal(38,0)")).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    at = f"{root.rstrip('/')}/{key.n}-{int(key.k or 0) & ((1 << 64) - 1):016x}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        build(spark, path).write.mode("overwrite").option("compression", "zstd").parquet(at)
+    return spark.read.parquet(at)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None, whole: bool = False) -> DataFrame:
+    """JSON lines, gzipped or not; whole: one document for each file, as libraries of templates are kept."""
+    r = spark.read.option("multiLine", whole)
+    return (r.schema(schema) if schema else r).json(path)
+
+
 def write_results(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
     """Parquet in zstd, CSV with a header, or gzipped JSON; empty results keep their schema. The commit protocol makes it all or nothing."""
     w = df.write.mode("overwrite").options(**({"compression": "zstd"} if form == "parquet" else {"header": "true"} if form == "csv" else {"compression": "gzip"}), **options)

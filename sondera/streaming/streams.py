@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.recursive import CountWindow, Ema, Kalman, SelfVerdict, noise_of
+from ..operators.recursive import CountWindow, Ema, Kalman, Reference, SelfVerdict, noise_of
 
 
 def landing(spark: SparkSession, path: str, schema, per_trigger: int | None = None, form: str = "parquet") -> DataFrame:
@@ -95,6 +95,27 @@ def live_windows(frames: DataFrame, size: int = 8) -> DataFrame:
     return frames.select("source", "us", "row_no", "value").groupBy("source").applyInPandasWithState(run, WINDOWS, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def live_reference(windows: DataFrame, reference: str) -> DataFrame:
+    """Windows (node, source, us, med) less their node's tracked reference source, in order of arrival. A node's windows, a few a second, share one state."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ref = pickle.loads(state.get[0]) if state.exists else Reference(reference)  # noqa: S301  our own state
+        rows = pd.concat(list(parts)).sort_values(["us", "source"])
+        out = [{"node": key[0], "source": r.source, "us": r.us, "corrected": ref.step(r.source, r.med)} for r in rows.itertuples(index=False)]
+        state.update((pickle.dumps(ref),))
+        yield pd.DataFrame(out, columns=["node", "source", "us", "corrected"])
+
+    return windows.groupBy("node").applyInPandasWithState(run, "node string, source string, us bigint, corrected double", "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def calibrated(frames: DataFrame, states: DataFrame, late: str = "1 minute", valid: str = "10 minutes") -> DataFrame:
+    """Frames of nodes whose last status within `valid` says that calibration is done: a stream-stream join with bounded state."""
+    f = frames.withWatermark("at", late)
+    s = states.where("calibration = 1").select(F.col("node").alias("__node"), F.col("at").alias("__at")).withWatermark("__at", late)
+    near = (F.col("node") == F.col("__node")) & (F.col("__at") <= F.col("at")) & (F.col("at") <= F.expr(f"__at + INTERVAL {valid}"))
+    return f.join(s, near, "left_semi")
+
+
 def batch_windows(frames: DataFrame, size: int = 8) -> DataFrame:
     """live_windows() over a table: the same steps from a fresh state."""
 

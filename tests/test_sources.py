@@ -1,5 +1,7 @@
 """Frames survive damage and chunk borders; captures, covariates and stores read back what was written."""
 
+import gzip
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sondera.operators import joins
 from sondera.operators import windows as win
+from sondera.operators.quantiles import exact_quantiles
 from sondera.sources import capture, frames
 from sondera.streaming import streams
 
@@ -167,3 +170,46 @@ def test_pairs_need_a_width(spark):
         from sondera.operators.cluster import linkage_of_cells
 
         linkage_of_cells(spark.range(3000).selectExpr("id as i_x", "1L as n", "1.0 as x"), ["x"], 2)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, float(np.round(x, 1)) if k else float(x)) for k in (0, 1, None) for x in rng.normal(0, 5, 700)] + [(2, 1.0)] * 500 + [(3, None), (4, 7.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    ps = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: (r.n, r.q) for r in exact_quantiles(df, ["k"], "v", ps, buckets=8).collect()}
+    for k in (0, 1, None, 2, 4):
+        v = [x for i, x in rows if i == k and x is not None]
+        assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, ps), rtol=0, atol=1e-12)
+    assert 3 not in got and exact_quantiles(df.limit(0), ["k"], "v", ps).count() == 0
+
+
+def test_cache_follows_the_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"a": 1}\n')
+    built = []
+
+    def build(s, path):
+        built.append(1)
+        return capture.read_json(s, path, "a int")
+
+    for want in (1, 1):
+        assert capture.cached(spark, str(tmp_path / "in"), str(tmp_path / "cache"), build).count() == want
+    (tmp_path / "in/b.json.gz").write_bytes(gzip.compress(b'{"a": 2}\n'))
+    assert capture.cached(spark, str(tmp_path / "in"), str(tmp_path / "cache"), build).count() == 2 and len(built) == 2
+    (tmp_path / "lib.json").write_text('{"name": "x",\n "template": [1.0, 2.0]}')
+    assert capture.read_json(spark, str(tmp_path / "lib.json"), whole=True).first().template == [1.0, 2.0]
+
+
+def test_streams_correct_and_gate(spark, tmp_path):
+    w = spark.createDataFrame([("n", s, t, v) for t, s, v in [(1, "x", 5.0), (2, "ref", 1.0), (3, "x", 5.0), (4, "ref", 1.5), (5, "y", 2.0)]], "node string, source string, us long, med double")
+    w.coalesce(1).write.parquet(str(tmp_path / "w"))
+    got = streams.run_to_end(streams.live_reference(streams.landing(spark, str(tmp_path / "w"), w.schema), "ref"), str(tmp_path / "o"), str(tmp_path / "c"))
+    c = {r.us: r.corrected for r in got.collect()}
+    assert c[1] is None and c[2] is None and c[3] == 4.0 and c[4] == 0.5 and c[5] < 1.0
+    f = spark.range(6).selectExpr("'n' AS node", "timestamp_seconds(id * 100) AS at", "id")
+    s = spark.createDataFrame([("n", 150, 1), ("n", 10, 0)], "node string, t int, calibration int").selectExpr("node", "timestamp_seconds(t) AS at", "calibration")
+    for df, name in ((f, "f"), (s, "s")):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    gate = streams.calibrated(streams.landing(spark, str(tmp_path / "f"), f.schema), streams.landing(spark, str(tmp_path / "s"), s.schema), valid="200 seconds")
+    assert sorted(r.id for r in streams.run_to_end(gate, str(tmp_path / "go"), str(tmp_path / "gc")).collect()) == [2, 3]

@@ -146,18 +146,28 @@ def train(features: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     """Fit on labelled rows outside the held-out third; of more than max_train, those with the smallest hash of the id."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("hi")).where(F.col("y") == F.col("hi")).select("doc_id", "y")
     rows = features.join(marked, "doc_id").select("y", "x", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "x").limit(max_train).select("y", "x").collect()
-    return fit(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]))
+    return fit(np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), len(textstats.FEATURES)), np.array([r.y for r in rows]))
 
 
-def scored(x: Column, model: Model) -> Column:
+def _udf(model: Model, prepare):
     raw = zlib.compress(pickle.dumps(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = pickle.loads(zlib.decompress(raw))  # noqa: S301  made above
-        for xs in batches:
-            yield pd.Series(m.score(np.stack(xs.to_list()).astype(np.float64)) if len(xs) else [], dtype=np.float64)
+        for part in batches:
+            yield pd.Series(m.score(np.array(prepare(part), dtype=np.float64)) if len(part) else [], dtype=np.float64)
+
+    return F.pandas_udf(run, "double").asNondeterministic()  # never run twice for a filter and a column
+
+
+def scored(x: Column, model: Model) -> Column:
+    """Score of an array of features."""
+    return _udf(model, lambda part: part.to_list())(x)
+
 
-    return F.pandas_udf(run, "double")(x)
+def scored_text(text: Column, model: Model) -> Column:
+    """Score of a text, in one function, so that a task needs one Python worker."""
+    return _udf(model, lambda part: [textstats.features(t or "") for t in part])(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -170,4 +180,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 def filter_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The documents with a score of at least `least`, with all their columns. Only labelled rows' features are kept; texts aren't shuffled beyond those."""
     model = train(features_of(docs), labels, max_train)
-    return docs.withColumn("__score", scored(measure(F.col("text")), model)).where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn("__score", scored_text(F.col("text"), model)).where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

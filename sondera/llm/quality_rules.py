@@ -32,8 +32,8 @@ from . import textstats
 from .base import keep
 
 GRID = 1000
-LEVELS = (0.0, 0.001, 0.003, 0.006, 0.01)
-ALPHA, DELTA = 0.02, 0.05
+LEVELS = (0.0, 0.0002, 0.0005, 0.001)
+ALPHA, DELTA = 0.01, 0.05
 #: The base rule: fewer words, or a larger share of words in repeated windows in percent, fail.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Rule → value from the named features.
@@ -68,7 +68,9 @@ def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def measure(text: Column) -> Column:
     """struct of the base counts and `steps`, the grid step of each rule's measure."""
-    return F.pandas_udf(_stats, f"struct<{', '.join(x.replace(' ', ': ', 1) for x in _STATS.split(', '))}>")(F.coalesce(text.cast("string"), F.lit("")))
+    # a filter on one field must not run it a second time below a join: Spark keeps nondeterministic functions where they stand
+    f = F.pandas_udf(_stats, f"struct<{', '.join(x.replace(' ', ': ', 1) for x in _STATS.split(', '))}>").asNondeterministic()
+    return f(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def base_failed(n_words: Column, n_repeat: Column) -> Column:

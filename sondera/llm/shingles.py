@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -10,8 +11,6 @@ import xxhash
 from .textstats import WORD
 
 WIDTH = 5
-_MEMO: dict[str, int] = {}
-MEMO_WORDS = 500_000
 #: Odd multipliers of a shingle's words, from the golden ratio's bits by splitmix64.
 GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -42,14 +41,8 @@ def digest(words: list[str]) -> bytes:
 
 def hashed(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, one text after the other, and the number of words of each."""
-    memo = _MEMO
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for w in set().union(*words) - memo.keys() if len(memo) < 4096 else [w for w in set().union(*words) if w not in memo]:
-        if len(memo) >= MEMO_WORDS:
-            memo.clear()
-            return hashed(words) if len(set().union(*words)) < MEMO_WORDS else (np.array([xxhash.xxh3_64_intdigest(w) for ws in words for w in ws], dtype=np.uint64), n)
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([memo[w] for ws in words for w in ws], dtype=np.uint64), n
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum())), n
 
 
 def shingles(words: list[list[str]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

@@ -46,5 +46,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what keep() has written in this session. Call it when no result that reads from there is needed any more; at exit it happens by itself."""
+    if root := _ROOTS.pop(shared_dir(spark), None):
+        _remove(spark, root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

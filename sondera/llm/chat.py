@@ -83,12 +83,22 @@ def format_blocks(turns: DataFrame, template: Template = Template()) -> DataFram
     return blocks.select("conv_id", "block", F.flatten(F.transform("t", segments)).alias("segments"), moves.alias("moves"), F.size("t").cast("bigint").alias("n_turns"))
 
 
-def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
-    """(conv_id, segments, valid): one row for each conversation; valid: the machine accepts its order of turns."""
+def verdicts(blocks: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
+    """(conv_id, valid, n_turns) from format_blocks(): the blocks' maps composed, whether the machine accepts the order of turns. Texts are not gathered."""
     names = list(template.states)
+    b = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "moves"))).alias("b"), F.sum("n_turns").alias("n_turns"))  # a few integers for 256 turns
+    return b.select("conv_id", _accepted(F.col("b"), template, names).alias("valid"), "n_turns")
+
+
+def _accepted(blocks: Column, template: Template, names: list[str]) -> Column:
+    end = F.aggregate(blocks, F.lit(0), lambda s, b: F.when(s < 0, F.lit(-1)).otherwise(F.get(b["moves"], s)))
+    return end.isin(*[names.index(s) for s in template.accepting])
+
+
+def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
+    """(conv_id, segments, valid): a conversation in one row. For very long ones use format_blocks() and verdicts(), which never gather one."""
     whole = format_blocks(turns, template).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "segments", "moves"))).alias("b"))
-    end = F.aggregate("b", F.lit(0), lambda s, b: F.when(s < 0, F.lit(-1)).otherwise(F.get(b["moves"], s)))
-    return whole.select("conv_id", F.flatten(F.col("b.segments")).alias("segments"), end.isin(*[names.index(s) for s in template.accepting]).alias("valid"))
+    return whole.select("conv_id", F.flatten(F.col("b.segments")).alias("segments"), _accepted(F.col("b"), template, list(template.states)).alias("valid"))
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008

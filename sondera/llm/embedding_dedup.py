@@ -38,8 +38,8 @@ from .near_dedup import Forest
 COSINE = 0.95
 MAX_TRAIN = 20_000
 LEAST_LISTS, MOST_LISTS, SUBSPACES, CODES = 16, 2048, 8, 32
-#: Rows of an inverted list in one block, about, and queries that are compared with a block at once.
-BLOCK_ROWS, CHUNK = 2048, 512
+#: Rows of an inverted list in one block and queries that meet it in one task, about; and queries that are compared at once.
+BLOCK_ROWS, QUERY_ROWS, CHUNK = 2048, 32_768, 512
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -169,12 +169,13 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
 
     placed = keep(reps.select("id", "n", "v").mapInPandas(place, "id bigint, n bigint, v array<double>, home int, probes array<int>"), "placed")
     sizes = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # at most MOST_LISTS rows
-    block = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    index = placed.join(F.broadcast(sizes), placed["home"] == sizes["list"]).select("list", block.alias("block"), F.lit(0).alias("part"), "id", "n", "v", F.lit(False).alias("asks"))
-    ask = placed.select("id", "n", "v", F.explode("probes").alias("list")).join(F.broadcast(sizes), "list")
-    parts = F.lit(max(1, math.ceil(total / (BLOCK_ROWS * 16))))  # queries that meet a block are dealt over tasks as well
-    ask = ask.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int").alias("part"), "id", "n", "v", F.lit(True).alias("asks"))
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / (QUERY_ROWS * 1.0)).cast("int").alias("parts"))
+    sizes = F.broadcast(keep(sizes.join(asked, "list"), "lists"))
+    # a block meets a part of its list's queries in one task: index rows go to all parts, queries to all blocks
+    block, part = (F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((3, "blocks"), (5, "parts")))
+    index = placed.withColumnRenamed("home", "list").join(sizes, "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "n", "v", F.lit(False).alias("asks"))
+    ask = placed.select("id", "n", "v", F.explode("probes").alias("list")).join(sizes, "list")
+    ask = ask.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), "id", "n", "v", F.lit(True).alias("asks"))
 
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows, asks = pdf[~pdf["asks"]], pdf[pdf["asks"]]

@@ -168,6 +168,7 @@ def test_embeddings_match_brute_force(spark):
 
 def test_embeddings_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", 32)
     rng = np.random.default_rng(3)
     v = rng.standard_normal(8)
     rows = [(i, [float(x) for x in np.float32(v + 0.1 * rng.standard_normal(8))], 0) for i in range(300)]

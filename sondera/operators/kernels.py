@@ -13,6 +13,8 @@ import numpy as np
 #: Used places of a 64-point spectrum, in frequency order, and their frequencies (fixed values).
 FREQUENCIES = np.concatenate([np.arange(-26, 0), np.arange(1, 27)])
 PLACES = FREQUENCIES % 64
+#: Rows whose long transforms are in memory together.
+ROWS_AT_ONCE = 1024
 
 
 def spectrum(iq: np.ndarray) -> np.ndarray:
@@ -35,6 +37,9 @@ def consensus_line(y: np.ndarray, seeds: np.ndarray, x: np.ndarray = FREQUENCIES
     The pair whose line has most points within `near` wins, and least squares over those points gives the result; with fewer than
     max(4, n / 4) of them it is NaN.
     """
+    if len(y) > ROWS_AT_ONCE:
+        parts = [consensus_line(y[i : i + ROWS_AT_ONCE], np.asarray(seeds)[i : i + ROWS_AT_ONCE], x, tries, near) for i in range(0, len(y), ROWS_AT_ONCE)]
+        return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
     n, k = y.shape
     z = np.asarray(seeds, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * tries, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -68,17 +73,21 @@ def coherent_slope(h: np.ndarray, k: np.ndarray = FREQUENCIES, grid: int = 1024,
 
     A long transform gives the slope to one part in `grid` of a turn, a fine grid around its peak the rest.
     """
-    wide = np.zeros((len(h), grid), dtype=complex)
-    wide[:, k % grid] = h
-    peak = np.abs(np.fft.fft(wide, axis=1)).argmax(1)
     unit = 2 * math.pi / grid
     near = np.arange(-unit, unit + step / 2, step)
-    cand = (peak * unit)[:, None] + near
-    power = np.abs(np.einsum("nk,nkc->nc", h, np.exp(-1j * k[None, :, None] * cand[:, None, :])))
-    at = power.argmax(1)
-    slope = cand[np.arange(len(h)), at]
+    turns = np.exp(-1j * np.outer(k, near))  # the same for all rows, so the fine grid is one product of matrices
+    slope, best = np.zeros(len(h)), np.zeros(len(h))
+    for i in range(0, len(h), ROWS_AT_ONCE):
+        part = h[i : i + ROWS_AT_ONCE]
+        wide = np.zeros((len(part), grid), dtype=complex)
+        wide[:, k % grid] = part
+        coarse = np.abs(np.fft.fft(wide, axis=1)).argmax(1) * unit
+        power = np.abs((part * np.exp(-1j * np.outer(coarse, k))) @ turns)
+        at = power.argmax(1)
+        slope[i : i + len(part)] = coarse + near[at]
+        best[i : i + len(part)] = power[np.arange(len(part)), at]
     total = np.abs(h).sum(1)
-    return np.angle(np.exp(1j * slope)), np.where(total > 0, power[np.arange(len(h)), at] / np.where(total > 0, total, 1), 0.0)
+    return np.angle(np.exp(1j * slope)), np.where(total > 0, best / np.where(total > 0, total, 1), 0.0)
 
 
 def impulse_response(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

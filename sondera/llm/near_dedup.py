@@ -38,7 +38,7 @@ from .components import components
 BANDS, ROWS = 28, 6
 SIMILARITY = 0.8
 #: Texts that are hashed at once; rows of a block of comparisons, and shingles of one, about.
-GROUP, BLOCK_ROWS, BLOCK_SHINGLES = 512, 256, 500_000
+GROUP, BLOCK_ROWS, BLOCK_SHINGLES = 256, 256, 500_000
 #: The first cell of ranks is [0, 2**-FIRST); each further one doubles the range.
 FIRST = 6
 
@@ -116,12 +116,13 @@ def _hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, hub, is_hub, text) → (id, hub, is_hub, els)."""
     for b in batches:
         for i in range(0, b.num_rows, GROUP):
             part = b.slice(i, GROUP)
-            o, x = shingles.numbered(*shingles.shingles([shingles.words_of(t) for t in part.column(1).to_pylist()]))
+            o, x = shingles.numbered(*shingles.shingles([shingles.words_of(t) for t in part.column(3).to_pylist()]))
             ends = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=part.num_rows))])
-            yield pa.RecordBatch.from_pydict({"id": part.column(0), "els": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))})
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))], names=["id", "hub", "is_hub", "els"])
 
 
 class Forest:
@@ -177,19 +178,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     member = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     member = keep(member.join(shared, "band"), "members")
-    cand = member.select("id").distinct()
-    els = keep(src.join(cand, src["doc_id"] == cand["id"], "left_semi").mapInArrow(_elements, f"id {id_type}, els array<bigint>"), "elements")
-
-    edges = None
-    found = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    for hub in (F.min, F.max):
-        now = member.join(found, member["id"] == found["node"], "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-        hubs = now.groupBy("band").agg(hub(F.struct("id", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
-        pairs = now.join(hubs, "band").where("comp <> h.comp").groupBy("id").agg(hub("h.id").alias("hub"))
-        links = pairs.join(els.withColumnRenamed("els", "x"), "id").join(els.select(F.col("id").alias("hub"), F.col("els").alias("y")), "hub").where(_similar(F.col("x"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        edges = links if edges is None else edges.union(links)
-        edges = keep(edges, "links")
-        found = keep(components(edges), "found")
+    # Round one: each candidate against the least id of all its bands. The hub is known before texts move, so they move once, and
+    # sets of elements once. Joins of whole texts or sets are sort-merge joins at every size.
+    first = member.join(member.groupBy("band").agg(F.min("id").alias("hub")), "band").groupBy("id").agg(F.min("hub").alias("hub"))
+    hubs = first.where("hub <> id").select(F.col("hub").alias("__hub")).distinct()
+    cand = keep(first.join(hubs, F.col("id") == F.col("__hub"), "left").select("id", "hub", F.col("__hub").isNotNull().alias("is_hub")), "candidates")
+    texts = src.join(cand.hint("merge"), src["doc_id"] == cand["id"]).groupBy("id").agg(F.first("hub").alias("hub"), F.first("is_hub").alias("is_hub"), F.min("text").alias("text"))
+    els = keep(texts.mapInArrow(_elements, f"id {id_type}, hub {id_type}, is_hub boolean, els array<bigint>"), "elements")
+    of_hub = els.where("is_hub").select(F.col("id").alias("__hub"), F.col("els").alias("y"))
+    edges = keep(els.where("hub <> id").join(of_hub.hint("merge"), F.col("hub") == F.col("__hub")).where(_similar(F.col("els"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
+    found = keep(components(edges), "found")
+    # Round two: members of bands with several components against the largest id of the band that is in another one.
+    now = member.join(found, member["id"] == found["node"], "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    last_ids = now.groupBy("band").agg(F.max(F.struct("id", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
+    pairs = keep(now.join(last_ids, "band").where("comp <> h.comp").groupBy("id").agg(F.max("h.id").alias("hub")), "pairs")
+    sets = els.select("id", "els")
+    links = pairs.join(sets.withColumnRenamed("els", "x"), "id").join(sets.select(F.col("id").alias("hub"), F.col("els").alias("y")), "hub").where(_similar(F.col("x"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    edges = keep(edges.union(links), "links")
+    found = keep(components(edges), "found")
 
     now = member.join(found, member["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
     sums = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("els"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
@@ -206,7 +212,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     to_strays = F.filter(F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(-1, F.least(c, chunk), F.greatest(c, chunk))), lambda b: b["s"] < b["t"])
     from_big = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(chunk, c, c))
     blocks = at.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(to_bigs, to_strays)).otherwise(from_big))).select("band", "at.*", "id", "comp", "stray")
-    last = blocks.join(els, "id").groupBy("band", "big", "s", "t").applyInPandas(_compare, f"a {id_type}, b {id_type}")
+    last = blocks.join(els.select("id", "els").hint("merge"), "id").groupBy("band", "big", "s", "t").applyInPandas(_compare, f"a {id_type}, b {id_type}")
     final = components(edges.union(last))
     of = reps.select("digest", "id").join(final, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = ids.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -80,19 +80,23 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
 
 
-def auc(df: DataFrame, label: str, score: str, group: list[str]) -> DataFrame:
-    """(group, auc) by rank sums, ties counting half."""
+def _both_kinds(df: DataFrame, label: str, score: str, group: list[str]) -> DataFrame:
+    """(group, score, pos, neg, allpos, allneg): rows of each distinct score, in groups that have both labels."""
     c = df.groupBy(*group, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    w = Window.partitionBy(*group)
+    return c.withColumn("allpos", F.sum("pos").over(w)).withColumn("allneg", F.sum("neg").over(w)).where("allpos > 0 AND allneg > 0")
+
+
+def auc(df: DataFrame, label: str, score: str, group: list[str]) -> DataFrame:
+    """(group, auc) by rank sums, ties counting half; a group with one label alone is absent."""
     below = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = c.withColumn("__below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return won.groupBy(*group).agg((F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    won = _both_kinds(df, label, score, group).withColumn("__below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    return won.groupBy(*group).agg((F.sum(F.col("pos") * (F.col("__below") + F.col("neg") / 2.0)) / (F.first("allpos") * F.first("allneg"))).alias("auc"))
 
 
 def eer(df: DataFrame, label: str, score: str, group: list[str]) -> DataFrame:
-    """(group, eer, threshold): where false accepts (score >= threshold) and false rejects are closest."""
-    c = df.groupBy(*group, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.partitionBy(*group)
-    run = w.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = c.withColumn("frr", F.coalesce(F.sum("pos").over(run), F.lit(0)) / F.sum("pos").over(w)).withColumn("far", 1 - F.coalesce(F.sum("neg").over(run), F.lit(0)) / F.sum("neg").over(w))
+    """(group, eer, threshold): where false accepts (score >= threshold) and false rejects are closest; a group with one label alone is absent."""
+    run = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    r = _both_kinds(df, label, score, group).withColumn("frr", F.coalesce(F.sum("pos").over(run), F.lit(0)) / F.col("allpos")).withColumn("far", 1 - F.coalesce(F.sum("neg").over(run), F.lit(0)) / F.col("allneg"))
     best = r.groupBy(*group).agg(F.min(F.struct(F.round(F.abs(F.col("far") - F.col("frr")), 12).alias("gap"), F.col(score).alias("threshold"), "far", "frr")).alias("b"))
     return best.select(*group, ((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"), F.col("b.threshold").alias("threshold"))

@@ -75,11 +75,11 @@ def fn_conditional(spark, sf_dir):
     return frames(spark, sf_dir).select("row_no", F.when(v < 5, "QUIET").when((v < 50) & (F.col("node") == "click"), "NORMAL").when(v < 50, "OTHER").otherwise("LOUD").alias("verdict"))
 
 
-@register(f"WITH {FR} SELECT node, b AS bucket, round(median(value), 2) + 0.0 AS med, count(*) AS n FROM (SELECT node, value, ntile(20) OVER (PARTITION BY node ORDER BY us, row_no) AS b FROM fr) GROUP BY node, b")
+@register(f"WITH {FR} SELECT node, b AS bucket, round(median(value), 6) + 0.0 AS med, count(*) AS n FROM (SELECT node, value, ntile(20) OVER (PARTITION BY node ORDER BY us, row_no) AS b FROM fr) GROUP BY node, b")
 def src15_sql_over_files(spark, sf_dir):
     """A series thinned to twenty buckets, written as SQL over files."""
     return spark.sql(
-        """SELECT node, b AS bucket, round(median(value), 2) + 0.0D AS med, count(*) AS n
+        """SELECT node, b AS bucket, round(median(value), 6) + 0.0D AS med, count(*) AS n
            FROM (SELECT event_type AS node, value, ntile(20) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM {e})
            GROUP BY node, b""",
         e=table(spark, sf_dir, "events"),

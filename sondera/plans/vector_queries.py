@@ -207,7 +207,7 @@ def ml7_auc(spark, sf_dir):
     return a.select("g", r6("auc").alias("auc"))
 
 
-@register(_e(_SCORES, "c AS (SELECT g, s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM t GROUP BY g, s)", "r AS (SELECT g, s, coalesce(sum(pos) OVER w, 0) / sum(pos) OVER (PARTITION BY g) AS frr, 1 - coalesce(sum(neg) OVER w, 0) / sum(neg) OVER (PARTITION BY g) AS far FROM c WINDOW w AS (PARTITION BY g ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", "k AS (SELECT *, round(abs(far - frr), 12) AS gap, min(round(abs(far - frr), 12)) OVER (PARTITION BY g) AS best FROM r)", body="SELECT g, round((far + frr) / 2, 6) + 0.0 AS eer, s AS threshold FROM k WHERE gap = best QUALIFY row_number() OVER (PARTITION BY g ORDER BY s) = 1"))
+@register(_e(_SCORES, "c AS (SELECT g, s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM t WHERE g IN (SELECT g FROM t GROUP BY g HAVING min(y) = 0 AND max(y) = 1) GROUP BY g, s)", "r AS (SELECT g, s, coalesce(sum(pos) OVER w, 0) / sum(pos) OVER (PARTITION BY g) AS frr, 1 - coalesce(sum(neg) OVER w, 0) / sum(neg) OVER (PARTITION BY g) AS far FROM c WINDOW w AS (PARTITION BY g ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", "k AS (SELECT *, round(abs(far - frr), 12) AS gap, min(round(abs(far - frr), 12)) OVER (PARTITION BY g) AS best FROM r)", body="SELECT g, round((far + frr) / 2, 6) + 0.0 AS eer, s AS threshold FROM k WHERE gap = best QUALIFY row_number() OVER (PARTITION BY g ORDER BY s) = 1"))
 def ml7_eer(spark, sf_dir):
     e = models.eer(_scores(spark, sf_dir), "y", "s", ["g"])
     return e.select("g", r6("eer").alias("eer"), "threshold")

@@ -52,5 +52,17 @@ def clear(spark: SparkSession) -> None:
         _remove(spark, root)
 
 
+#: Rows with whole texts that go to Python in one batch, at most.
+TEXT_ROWS = 1024
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to TEXT_ROWS rows: texts are long, and a batch is in memory several times."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

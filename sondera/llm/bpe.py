@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded
+
 #: Pieces that a worker remembers at most: the first ones, among them the frequent ones.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 #: Longer pieces are encoded, but not remembered.
 MEMO_CHARS = 64
 #: Stands between pieces in a line where white space is dropped; a pre-token of its own with one id.
@@ -223,7 +225,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_pydict(cols)
 
     kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else ""))
+    return bounded(src).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else ""))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -236,7 +238,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             raw = [dec.bytes(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({id_col: b.column(0), "raw": pa.array(raw, pa.binary()), "text": pa.array([x.decode("utf-8", errors="replace") for x in raw], pa.string())})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, raw binary, text string")
+    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, raw binary, text string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +257,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     raw_sha.append(hashlib.sha256(dec.bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_pydict({id_col: b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(raw_sha, pa.string())})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +275,7 @@ def encode_checked(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), "same": pa.array([dec.bytes(x) == t.encode() for t, x in zip(texts, ids, strict=True)], pa.bool_())})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids array<int>, same boolean")
+    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids array<int>, same boolean")
 
 
 def ranks_of(path: str) -> dict[bytes, int]:

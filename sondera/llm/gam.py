@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
-from .base import keep
+from .base import bounded, keep
 
 MAX_TRAIN = 40_000
 BINS, COARSE = 64, 8
@@ -139,7 +139,7 @@ def fold(doc_id: Column) -> Column:
 
 def features_of(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of each document, kept in the shared folder: texts are read once."""
-    return keep(docs.select("doc_id", measure(F.col("text")).alias("x")), "features")
+    return keep(bounded(docs).select("doc_id", measure(F.col("text")).alias("x")), "features")
 
 
 def train(features: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -180,4 +180,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 def filter_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
     """The documents with a score of at least `least`, with all their columns. Only labelled rows' features are kept; texts aren't shuffled beyond those."""
     model = train(features_of(docs), labels, max_train)
-    return docs.withColumn("__score", scored_text(F.col("text"), model)).where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return bounded(docs).withColumn("__score", scored_text(F.col("text"), model)).where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

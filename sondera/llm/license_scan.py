@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .base import bounded
 
 BANDS = 28
 CONTAINMENT = 0.8
@@ -143,4 +144,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 part = b.slice(i, GROUP)
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0), "matches": pa.array(index.scan(part.column(1).to_pylist()), kind)})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, matches array<struct<license: string, start: int, end: int, containment: double>>")
+    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, matches array<struct<license: string, start: int, end: int, containment: double>>")

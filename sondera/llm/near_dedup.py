@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .base import keep
+from .base import bounded, keep
 from .components import components
 
 BANDS, ROWS = 28, 6
@@ -170,7 +170,7 @@ def _similar(a: Column, b: Column) -> Column:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, kept): the near-duplicate class of each document, named by its least doc_id, which is the one that stays."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
     rows = keep(src.mapInArrow(_hash_texts, f"doc_id {id_type}, digest binary, n bigint, bands array<bigint>"), "bands")
     ids = rows.where("doc_id is not null")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats
-from .base import keep
+from .base import bounded, keep
 
 GRID = 1000
 LEVELS = (0.0, 0.0002, 0.0005, 0.001)
@@ -162,7 +162,7 @@ def judge(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def stats_of(docs: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """(doc_id, __of, __m) of each document, kept in the shared folder: texts are read once."""
-    return keep(docs.select("doc_id", F.col(stratum_col).cast("string").alias("__of"), measure(F.col("text")).alias("__m")), "stats")
+    return keep(bounded(docs).select("doc_id", F.col(stratum_col).cast("string").alias("__of"), measure(F.col("text")).alias("__m")), "stats")
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,5 +178,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> D
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """The documents that base rule and cutoffs keep, with all their columns. Texts are measured twice and never shuffled."""
     cuts = fit(stats_of(docs, stratum_col), labels)
-    rows = docs.withColumn("__of", F.col(stratum_col).cast("string")).withColumn("__m", measure(F.col("text")))
+    rows = bounded(docs).withColumn("__of", F.col(stratum_col).cast("string")).withColumn("__m", measure(F.col("text")))
     return judge(rows, cuts).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep
+from .base import bounded, keep
 from .bpe import GROUP, encoder
 
 BITS = 20
@@ -168,7 +168,7 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = None, drops_spa
         if len(seen):
             yield pa.RecordBatch.from_pydict({id_col: pa.nulls(1, id_kind), "ids": pa.nulls(1, pa.binary()), "crc": pa.nulls(1, pa.int64()), "counts": pa.array([zlib.compress(seen.astype("<u4").tobytes() + total[seen].astype("<i8").tobytes(), 1)], pa.binary())})
 
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, crc bigint, counts binary")
+    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, crc bigint, counts binary")
 
 
 def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "doc_id") -> None:

@@ -177,10 +177,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = keep(ids.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
     member = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    member = keep(member.join(shared, "band"), "members")
+    # Joins whose sides grow with the corpus are sort-merge joins at every size.
+    member = keep(member.join(shared.hint("merge"), "band"), "members")
     # Round one: each candidate against the least id of all its bands. The hub is known before texts move, so they move once, and
-    # sets of elements once. Joins of whole texts or sets are sort-merge joins at every size.
-    first = member.join(member.groupBy("band").agg(F.min("id").alias("hub")), "band").groupBy("id").agg(F.min("hub").alias("hub"))
+    # sets of elements once.
+    first = member.join(member.groupBy("band").agg(F.min("id").alias("hub")).hint("merge"), "band").groupBy("id").agg(F.min("hub").alias("hub"))
     hubs = first.where("hub <> id").select(F.col("hub").alias("__hub")).distinct()
     cand = keep(first.join(hubs, F.col("id") == F.col("__hub"), "left").select("id", "hub", F.col("__hub").isNotNull().alias("is_hub")), "candidates")
     texts = src.join(cand.hint("merge"), src["doc_id"] == cand["id"]).groupBy("id").agg(F.first("hub").alias("hub"), F.first("is_hub").alias("is_hub"), F.min("text").alias("text"))
@@ -189,7 +190,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = keep(els.where("hub <> id").join(of_hub.hint("merge"), F.col("hub") == F.col("__hub")).where(_similar(F.col("els"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
     found = keep(components(edges), "found")
     # Round two: members of bands with several components against the largest id of the band that is in another one.
-    now = member.join(found, member["id"] == found["node"], "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    now = member.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
     last_ids = now.groupBy("band").agg(F.max(F.struct("id", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
     pairs = keep(now.join(last_ids, "band").where("comp <> h.comp").groupBy("id").agg(F.max("h.id").alias("hub")), "pairs")
     sets = els.select("id", "els")
@@ -197,7 +198,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = keep(edges.union(links), "links")
     found = keep(components(edges), "found")
 
-    now = member.join(found, member["id"] == found["node"], "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
+    now = member.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
     sums = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("els"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
     open_ = sums.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k"), F.sum("els").alias("els"), F.sum("sign").alias("sign")).where("comps > 1")
     # bands with the same members are compared once

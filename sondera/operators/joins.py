@@ -83,6 +83,20 @@ def around(events: DataFrame, points: DataFrame, keys: list[str], at: str, t: st
     return pairs.groupBy(*keys, at).agg(F.median(F.when(F.col(t) < F.col(at), F.col(value))).alias("before"), F.median(F.when(F.col(t) >= F.col(at), F.col(value))).alias("after"), F.count(F.lit(1)).alias("n"))
 
 
+def near_miss(df: DataFrame, key: str, size: str, ratio: float) -> DataFrame:
+    """(a, b) of whole-number keys, a < b, that differ in one place of their digits while either size is at least `ratio` times the other.
+
+    Keys are padded to the longest of them. A pair meets under the one way to leave its place out; ten keys at most share such a way.
+    """
+    s = df.select(F.col(key).alias("k"), F.col(size).alias("size"), F.col(key).cast("string").alias("id"))
+    s = s.crossJoin(F.broadcast(s.agg(F.max(F.length("id")).alias("places"))))  # one row
+    s = s.withColumn("id", F.lpad("id", F.col("places"), F.lit("0")))
+    ways = F.transform(F.sequence(F.lit(1), F.col("places")), lambda i: F.concat(i.cast("string"), F.lit(":"), F.overlay("id", F.lit("_"), i, F.lit(1))))
+    x, y = (s.select("k", "size", F.explode(ways).alias("way")).alias(n) for n in "xy")
+    far = F.greatest("x.size", "y.size") >= ratio * F.least("x.size", "y.size")
+    return x.join(y, (F.col("x.way") == F.col("y.way")) & (F.col("x.k") < F.col("y.k")) & far).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+
+
 def hamming(a: Column, b: Column, sep: str = ":") -> Column:
     """Positions in which two separated strings of equal length differ."""
     return F.size(F.filter(F.zip_with(F.split(a, sep), F.split(b, sep), lambda x, y: x != y), lambda d: d))

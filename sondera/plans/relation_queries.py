@@ -95,6 +95,13 @@ def jn9_near_miss_ids(spark, sf_dir):
     return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey")) & (F.col("x.size") >= 2 * F.col("y.size"))).select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b")).distinct()
 
 
+@register("WITH p AS (SELECT s_suppkey AS k, abs(s_acctbal) AS size, lpad(CAST(s_suppkey AS VARCHAR), (SELECT max(length(CAST(s_suppkey AS VARCHAR))) FROM supplier)::INTEGER, '0') AS id FROM supplier) SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.k < b.k AND greatest(a.size, b.size) >= 2 * least(a.size, b.size) AND hamming(a.id, b.id) <= 1")
+def jn9_near_miss_all(spark, sf_dir):
+    """Near-miss ids of all suppliers, whichever of the two is far larger; jn9_near_miss_ids is the part that its SQL asks for."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("size"))
+    return joins.near_miss(s, "s_suppkey", "size", 2)
+
+
 @register(_sql("SELECT a.rx, a.node, a.bin, round(a.step, 6) + 0.0 AS step, count(b.bin) > 0 AS replicated FROM j a LEFT JOIN j b ON a.node = b.node AND a.rx <> b.rx AND sign(a.step) = sign(b.step) AND abs(a.bin - b.bin) <= 2 AND abs(b.step) >= 10 GROUP BY a.rx, a.node, a.bin, a.step", _BINS + ", j AS (SELECT * FROM (SELECT rx, node, bin, v - lag(v) OVER (PARTITION BY rx, node ORDER BY bin) AS step FROM d) WHERE abs(step) >= 10)"))
 def jn10_replicate(spark, sf_dir):
     """Steps that the other receiver sees as well: same beacon and sign, within two bins, large enough."""

@@ -6,6 +6,9 @@ Time joins become equi joins: an as-of join is a window over the union of both s
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +86,50 @@ def around(events: DataFrame, points: DataFrame, keys: list[str], at: str, t: st
     return pairs.groupBy(*keys, at).agg(F.median(F.when(F.col(t) < F.col(at), F.col(value))).alias("before"), F.median(F.when(F.col(t) >= F.col(at), F.col(value))).alias("after"), F.count(F.lit(1)).alias("n"))
 
 
+def _median(x: list[float]) -> float | None:
+    n = len(x)
+    return None if not n else x[n // 2] if n % 2 else (x[n // 2 - 1] + x[n // 2]) / 2
+
+
+def sliding_around(events: DataFrame, points: DataFrame, keys: list[str], at: str, t: str, value: str, width: int, bucket: int) -> DataFrame:
+    """around() for as many events as points: all columns of events with before, after and n.
+
+    A key's events in a bucket of time meet the points in reach of them in one task. Both windows slide along with the events as sorted lists,
+    so that a point enters and leaves each once, however many events it is near. Rows without a value aren't points.
+    """
+    reach = F.explode(F.sequence(F.floor((F.col(t) - width) / bucket), F.floor((F.col(t) + width) / bucket)))
+    p = points.where(F.col(value).isNotNull()).select(*keys, F.col(t).cast("bigint").alias("__t"), F.col(value).cast("double").alias("__v"), reach.alias("__b"))
+    e = events.withColumns({"__t": F.col(at).cast("bigint"), "__b": F.floor(F.col(at) / bucket), "__event": F.lit(True)})
+
+    kept = events.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__t", kind="stable")
+        is_event = pdf["__event"].notna().to_numpy()
+        ev, pt = pdf[is_event], pdf[~is_event]
+        when, what = pt["__t"].tolist(), pt["__v"].tolist()
+        before, after, out = [], [], []
+        lo = mid = hi = 0  # points gone from before, gone over to it, come into after
+        for now in ev["__t"].tolist():
+            while hi < len(when) and when[hi] < now + width:
+                insort(after, what[hi])
+                hi += 1
+            while mid < hi and when[mid] < now:
+                del after[bisect_left(after, what[mid])]
+                insort(before, what[mid])
+                mid += 1
+            while lo < mid and when[lo] < now - width:
+                del before[bisect_left(before, what[lo])]
+                lo += 1
+            out.append((_median(before), _median(after), hi - lo))
+        got = pd.DataFrame(out, columns=["before", "after", "n"], index=ev.index)
+        return pd.concat([ev[kept], got], axis=1)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    both = e.unionByName(p, allowMissingColumns=True)
+    return both.groupBy(*keys, "__b").applyInPandas(run, f"{fields}, before double, after double, n bigint")
+
+
 def near_miss(df: DataFrame, key: str, size: str, ratio: float) -> DataFrame:
     """(a, b) of whole-number keys, a < b, that differ in one place of their digits while either size is at least `ratio` times the other.
 

@@ -143,6 +143,14 @@ def jn15_event_windows(spark, sf_dir):
     return e.join(g, ["node", "at"]).select("row_no", "n", r6("before").alias("before"), r6("after").alias("after"))
 
 
+@register()
+def jn15_event_windows_all(spark, sf_dir):
+    """jn15_event_windows with every frame of the stream as an event, not the part that its SQL asks for."""
+    f = frames(spark, sf_dir)
+    g = joins.sliding_around(f.select("node", "us", "row_no"), f, ["node"], "us", "us", "value", DAY // 2, DAY)
+    return g.select("row_no", "n", r6("before").alias("before"), r6("after").alias("after"))
+
+
 @register(_sql("SELECT DISTINCT source FROM fr WHERE value > 20 AND source NOT IN (SELECT source FROM fr WHERE node = 'purchase' AND value > 60)"))
 def jn16_anti(spark, sf_dir):
     f = frames(spark, sf_dir)

@@ -1,8 +1,13 @@
 """Queries that do the whole job, against brute force."""
 
+import numpy as np
 from sondera.operators import joins
 
-from .conftest import rows_of
+from sondera.plans import catalog
+
+from .conftest import DATA, rows_of, sql_rows
+
+SF = str(DATA / "sf0.001")
 
 
 
@@ -11,3 +16,20 @@ def test_near_miss_both_ways_and_long_ids(spark):
     want = sorted((str(a), str(b)) for a in size for b in size if a < b and sum(p != q for p, q in zip(f"{a:05}", f"{b:05}", strict=True)) == 1 and max(size[a], size[b]) >= 2 * min(size[a], size[b]))
     got = rows_of(joins.near_miss(spark.createDataFrame(list(size.items()), "id bigint, size double"), "id", "size", 2))
     assert got == want and ("1", "2") in got and ("10001", "20001") in got
+
+
+def test_windows_around_every_event(spark, duck):
+    """jn15_event_windows' SQL without its filter is quick on few rows."""
+    sql = catalog.ORACLE["jn15_event_windows"].replace(" WHERE row_no % 97 = 0", "")
+    got = rows_of(catalog.QUERIES["jn15_event_windows_all"](spark, SF), ["after", "before", "n", "row_no"])
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count() and got == sql_rows(duck, sql, ["after", "before", "n", "row_no"])
+
+
+def test_windows_around_events_at_one_time(spark):
+    points = [("a", t, float(v)) for t, v in [(0, 5), (3, 1), (3, 9), (4, 2), (9, 7), (10, 3), (23, 4)]]
+    events = [("a", t, i) for i, t in enumerate([3, 3, 4, 10, 13, 30])]
+    p, e = spark.createDataFrame(points, "k string, t bigint, v double"), spark.createDataFrame(events, "k string, at bigint, i bigint")
+    med = lambda x: float(np.median(x)) if x else None
+    want = [(i, med([v for _, t, v in points if at - 6 <= t < at]), med([v for _, t, v in points if at <= t < at + 6]), sum(at - 6 <= t < at + 6 for _, t, _ in points)) for _, at, i in events]
+    got = joins.sliding_around(e, p, ["k"], "at", "t", "v", 6, 10).select("i", "before", "after", "n").collect()
+    assert sorted(tuple(None if x != x else x for x in r) for r in got) == want

@@ -51,14 +51,21 @@ def in_range(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi:
     return joined.drop("__b", "__pb", *[f"__{k}" for k in keys])
 
 
-def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: int = 1) -> DataFrame:
-    """(a, b, overlap) of pairs of spans, a < b, that share more than `least` of the axis."""
-    s = spans.select(F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    x, y = s.alias("x"), s.alias("y")
+def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: int = 1, blocks: int = 16) -> DataFrame:
+    """(a, b, overlap) of pairs of spans, a < b, that share more than `least` of the axis.
+
+    A pair meets once, in the bucket in which the later of the two starts. Starts of a bucket are dealt to `blocks` tasks, so that
+    spans that all start together don't meet in one.
+    """
+    s = spans.select(F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    starts = s.withColumns({"b": F.floor(F.col("lo") / bucket), "block": F.pmod(F.xxhash64("k"), F.lit(blocks))})
+    there = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
+    there = there.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    x, y = starts.alias("x"), there.alias("y")
     common = F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo")
-    # a pair is taken in the first bucket that both touch
-    first = F.col("x.b") == F.floor(F.greatest("x.lo", "y.lo") / bucket)
-    return x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.k") < F.col("y.k")) & first & (common > least)).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), common.alias("overlap"))
+    later = (F.col("x.lo") > F.col("y.lo")) | (F.col("x.lo") == F.col("y.lo")) & (F.col("x.k") > F.col("y.k"))
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.block") == F.col("y.block")) & later & (common > least))
+    return met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), common.alias("overlap"))
 
 
 def unordered_pairs(df: DataFrame, key: str, on: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:

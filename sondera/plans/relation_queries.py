@@ -86,6 +86,13 @@ def jn8_overlap(spark, sf_dir):
     return joins.overlaps(s, "source", "lo", "hi", DAY, DAY).select("a", "b", F.col("overlap").cast("bigint").alias("overlap"))
 
 
+@register(_sql("SELECT a.source AS a, b.source AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap FROM s a JOIN s b ON a.source < b.source AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 86400000000", "s AS (SELECT source, min(us) AS lo, max(us) AS hi FROM fr GROUP BY source)"))
+def jn8_overlap_all(spark, sf_dir):
+    """Pairs of sources whose spans, first to last row, share more than a day; jn8_overlap ends each span after two days, as its SQL does."""
+    s = frames(spark, sf_dir).groupBy("source").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    return joins.overlaps(s, "source", "lo", "hi", DAY, DAY).select("a", "b", F.col("overlap").cast("bigint").alias("overlap"))
+
+
 @register("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(a.s_acctbal) >= 2 * abs(b.s_acctbal) AND (CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 1, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 1, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 2, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 2, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 3, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 3, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 4, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 4, 1) THEN 1 ELSE 0 END) <= 1")
 def jn9_near_miss_ids(spark, sf_dir):
     """Ids that differ in at most one place while one is far larger: keyed by each way to leave a place out, so near ids meet in an equi join."""

@@ -33,3 +33,15 @@ def test_windows_around_events_at_one_time(spark):
     want = [(i, med([v for _, t, v in points if at - 6 <= t < at]), med([v for _, t, v in points if at <= t < at + 6]), sum(at - 6 <= t < at + 6 for _, t, _ in points)) for _, at, i in events]
     got = joins.sliding_around(e, p, ["k"], "at", "t", "v", 6, 10).select("i", "before", "after", "n").collect()
     assert sorted(tuple(None if x != x else x for x in r) for r in got) == want
+
+
+def test_overlaps_of_long_spans(spark):
+    """Spans of equal start, inside each other, long and apart: each pair once."""
+    spans = {1: (0, 100), 2: (0, 100), 3: (5, 12), 4: (30, 95), 5: (94, 200), 6: (99, 99), 7: (150, 151)}
+    want = sorted((a, b, o) for a in spans for b in spans if a < b and (o := min(spans[a][1], spans[b][1]) - max(spans[a][0], spans[b][0])) > 3)
+    df = spark.createDataFrame([(k, *v) for k, v in spans.items()], "k bigint, lo bigint, hi bigint")
+    assert sorted(tuple(r) for r in joins.overlaps(df, "k", "lo", "hi", 10, 3).collect()) == want
+
+
+def test_overlaps_are_as_long_as_the_sources_run(spark):
+    assert catalog.QUERIES["jn8_overlap_all"](spark, SF).agg({"overlap": "max"}).first()[0] > 2 * 86_400_000_000

@@ -42,6 +42,24 @@ def nearest_gap(left: DataFrame, right: DataFrame, keys: list[str], at: str, out
     return both.withColumn(out, F.least(F.col(at) - F.col("__b"), F.col("__f") - F.col(at))).drop("__b", "__f")
 
 
+def nearest_value(left: DataFrame, right: DataFrame, twice: str, t: str, value: str, bucket: int, out: str, away: str) -> DataFrame:
+    """left with the value of the right row nearest in time to half of `twice`, and how far away it is, in halves of a unit of time.
+
+    Of rows equally near the earliest counts, and of those the one of least value. A time meets the right rows of its own bucket and
+    the ends of the nearest filled buckets before and after, so that only buckets are ordered as a whole.
+    """
+    r = right.groupBy(F.col(t).alias("__t")).agg(F.min(value).alias("__v")).withColumn("__b", F.floor(F.col("__t") / bucket))
+    ends = r.groupBy("__b").agg(F.min(F.struct("__t", "__v")).alias("first"), F.max(F.struct("__t", "__v")).alias("last"))
+    l = left.withColumn("__b", F.floor(F.col(twice) / 2 / bucket))  # noqa: E741
+    grid = l.select("__b").distinct()
+    back = as_of(grid.select((F.col("__b") - 1).alias("at")), ends.select(F.col("__b").alias("at"), "last"), [], "at", "last", "back").select((F.col("at") + 1).alias("__b"), "back")
+    ahead = as_of(grid.select((F.col("__b") + 1).alias("at")), ends.select(F.col("__b").alias("at"), "first"), [], "at", "first", "ahead", forward=True).select((F.col("at") - 1).alias("__b"), "ahead")
+    far = lambda x: F.when(x["__t"].isNotNull(), F.struct(F.abs(F.col(twice) - 2 * x["__t"]).alias("d"), x["__t"].alias("t"), x["__v"].alias("v")))
+    met = l.join(r.select("__b", F.struct("__t", "__v").alias("own")), "__b", "left").groupBy(*left.columns, "__b").agg(F.min(far(F.col("own"))).alias("own"))
+    best = met.join(back, "__b", "left").join(ahead, "__b", "left").withColumn("__best", F.array_min(F.array_compact(F.array("own", far(F.col("back")), far(F.col("ahead"))))))
+    return best.select(*left.columns, F.col("__best.v").alias(out), F.col("__best.d").alias(away))
+
+
 def in_range(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi: str, at: str, bucket: int, closed: bool = True, how: str = "inner") -> DataFrame:
     """Pairs of a range and a point in it: lo <= at <= hi, or < hi if not closed."""
     a = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))

@@ -72,6 +72,22 @@ def jn6_interval_membership(spark, sf_dir):
     return spans.join(g, "source", "left").select("source", "lo", r6("m").alias("reading"))
 
 
+@register(_sql("SELECT w.source, w.lo, w.n, round(coalesce(w.v, k.v), 6) + 0.0 AS reading, k.away_us FROM w LEFT JOIN k ON w.source = k.source", "w AS (SELECT w.source, w.lo, w.hi, count(f.value) AS n, avg(f.value) AS v FROM (SELECT source, min(us) AS lo, max(us) AS hi FROM fr GROUP BY source) w LEFT JOIN fr f ON f.node = 'signup' AND f.us >= w.lo AND f.us <= w.hi GROUP BY 1, 2, 3), k AS (SELECT w.source, f.value AS v, abs(w.lo + w.hi - 2 * f.us) / 2.0 AS away_us FROM w, fr f WHERE w.n = 0 AND f.node = 'signup' AND f.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY w.source ORDER BY abs(w.lo + w.hi - 2 * f.us), f.us, f.value) = 1)"))
+def jn6_membership_or_nearest(spark, sf_dir):
+    """Mean of the readings inside each source's span; if there are none (n = 0), the reading nearest to its middle and how far away that is."""
+    f = frames(spark, sf_dir)
+    spans = f.groupBy("source").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    return _reading_of(spans, f.where("node = 'signup' AND value IS NOT NULL").select("us", "value"))
+
+
+def _reading_of(spans, readings):
+    g = joins.in_range(spans, readings, [], "lo", "hi", "us", 5 * DAY).groupBy("source").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
+    bare = spans.join(g, "source", "left_anti").select("source", (F.col("lo") + F.col("hi")).alias("twice"))
+    near = joins.nearest_value(bare, readings, "twice", "us", "value", DAY, "near", "away").select("source", "near", (F.col("away") / 2).alias("away_us"))
+    j = spans.join(g, "source", "left").join(near, "source", "left")
+    return j.select("source", "lo", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), r6(F.coalesce("m", "near")).alias("reading"), "away_us")
+
+
 @register(_sql("SELECT a.row_no, min(abs(a.us - b.us)) AS gap FROM fr a JOIN fr b ON a.source = b.source WHERE a.node = 'click' AND b.node = 'view' GROUP BY a.row_no"))
 def jn7_nearest(spark, sf_dir):
     """Time to the nearest frame of another stream of the same source."""

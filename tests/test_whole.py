@@ -3,7 +3,7 @@
 import numpy as np
 from sondera.operators import joins
 
-from sondera.plans import catalog
+from sondera.plans import catalog, relation_queries
 
 from .conftest import DATA, rows_of, sql_rows
 
@@ -45,3 +45,16 @@ def test_overlaps_of_long_spans(spark):
 
 def test_overlaps_are_as_long_as_the_sources_run(spark):
     assert catalog.QUERIES["jn8_overlap_all"](spark, SF).agg({"overlap": "max"}).first()[0] > 2 * 86_400_000_000
+
+
+def test_short_spans_take_the_nearest_reading(spark):
+    day = 86_400_000_000
+    at = [(day, 1.0), (2 * day, 2.0), (2 * day, 1.5), (9 * day, 4.0), (9 * day + 10, 5.0)]
+    spans = [(1, 0, 2 * day), (2, 2 * day + 1, 2 * day + 3), (3, 5 * day, 6 * day), (4, 9 * day + 3, 9 * day + 7), (5, 40 * day, 41 * day), (6, -9 * day, -8 * day), (7, 9 * day + 4, 9 * day + 7)]
+    want = []
+    for k, lo, hi in spans:
+        inside = [v for t, v in at if lo <= t <= hi]
+        t, v = min(sorted(at), key=lambda x: abs(x[0] - (lo + hi) / 2))
+        want.append((k, lo, len(inside), round(float(np.mean(inside)), 6) if inside else v, None if inside else abs(t - (lo + hi) / 2)))
+    got = relation_queries._reading_of(spark.createDataFrame(spans, "source bigint, lo bigint, hi bigint"), spark.createDataFrame(at, "us bigint, value double"))
+    assert sorted(tuple(r) for r in got.collect()) == want

@@ -340,4 +340,6 @@ def str5_live_verdicts(spark, sf_dir):
 
 @register()
 def str15_health(spark, sf_dir):
-    return _end(streams.health(_stream(spark, sf_dir), "1 hour"))
+    """Days of each node that the watermark has passed. Frames have no sequence number of their node, so `lost` is null."""
+    h = _end(streams.health(_stream(spark, sf_dir), "1 hour"))
+    return h.select(*[r6(c).alias(c) if t == "double" and c not in ("rate", "trend") else c for c, t in h.dtypes])

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,76 @@ def heavy_hitters(frames: DataFrame) -> DataFrame:
     return frames.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us"))
 
 
-def health(frames: DataFrame, late: str, width: str = "1 day") -> DataFrame:
-    """Rows, rate, spread of values and share of low ones for each node and span of time."""
-    g = frames.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "node").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("source").alias("sources"), F.avg(F.when(F.col("value") < 1, 1.0).otherwise(0.0)).alias("low_share"))
-    return g.select("node", F.unix_micros("w.start").alias("start_us"), "n", "sources", "low_share")
+class NodeHealth:
+    """What is kept of a node: rows of its open spans of time, its last frame, and sums for the trend of its rate."""
+
+    def __init__(self, width: int, stall: int):
+        self.width, self.stall, self.open, self.next = width, stall, {}, None
+        self.us = self.row_no = self.seq = None
+        self.sums = np.zeros(5)
+
+    def take(self, rows: pd.DataFrame) -> None:
+        for start, g in rows.groupby(rows["us"] // self.width * self.width):
+            self.open.setdefault(int(start), []).append(g)
+
+    def until(self) -> int | None:
+        """The end of the next span to close."""
+        start = self.next if self.next is not None else min(self.open, default=None)
+        return None if start is None else start + self.width
+
+    def close(self, now: int) -> list[dict]:
+        """All spans that end by `now`, silent ones as well, in order."""
+        out = []
+        while (end := self.until()) is not None and end <= now:
+            self.next = end
+            out.append(self._row(end - self.width, end, self.open.pop(end - self.width, None)))
+        return out
+
+    def _row(self, start: int, end: int, parts: list[pd.DataFrame] | None) -> dict:
+        n = sum(map(len, parts or []))
+        row = {"start_us": start, "n": n, "sources": 0, "low_share": None, "rate": n * 1e6 / self.width, "spread": None, "longest_gap_us": None, "stalls": 0, "lost": None, "backward": 0}
+        if n:
+            g = pd.concat(parts).sort_values(["us", "row_no"])
+            gaps = self._steps("us", g)
+            row |= {"sources": g["source"].nunique(), "low_share": float((g["value"] < 1).mean()), "spread": float(g["value"].quantile(0.75) - g["value"].quantile(0.25)), "longest_gap_us": int(gaps.max()) if len(gaps) else None, "stalls": int((gaps > self.stall).sum()), "backward": int((self._steps("row_no", g) < 0).sum())}
+            if "seq" in g:
+                row["lost"] = int(np.maximum(self._steps("seq", g) - 1, 0).sum())
+        x = self.sums[0]
+        self.sums += (1, x, row["rate"], x * x, x * row["rate"])
+        k, sx, sy, sxx, sxy = self.sums
+        return row | {"silent_us": end - self.us, "trend": float((k * sxy - sx * sy) / (k * sxx - sx * sx)) if k > 1 else None}
+
+    def _steps(self, name: str, g: pd.DataFrame) -> np.ndarray:
+        """Steps of a column in order of time, from the last frame before g on."""
+        x, last = g[name].to_numpy(), getattr(self, name)
+        setattr(self, name, int(x[-1]))
+        return np.diff(x if last is None else np.concatenate([[last], x]))
+
+
+HEALTH = "start_us bigint, n bigint, sources bigint, low_share double, rate double, spread double, longest_gap_us bigint, silent_us bigint, stalls bigint, lost bigint, backward bigint, trend double"
+
+
+def health(frames: DataFrame, late: str, width_us: int = 86_400_000_000, stall_us: int = 3_600_000_000, seq: str | None = None) -> DataFrame:
+    """Health of each node by span of time, once the watermark has passed the span; a span in which a node is silent has a row as well.
+
+    Rows, sources, share of low values, frames a second, quartile range of values, longest gap between frames, silence since the last one,
+    gaps over `stall_us`, numbers of the node's sequence `seq` that are missing (null without one), steps back of row_no in order of time,
+    and the trend of the rate: its least-squares change a span, over all spans so far. Gaps and numbers go on across spans.
+    """
+    names = [c.split()[0] for c in HEALTH.split(", ")]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = pickle.loads(state.get[0]) if state.exists else NodeHealth(width_us, stall_us)  # noqa: S301  our own state
+        if not state.hasTimedOut:
+            s.take(pd.concat(list(parts)).drop(columns=["node", "at"]))
+        out = s.close(state.getCurrentWatermarkMs() * 1000)
+        state.update((pickle.dumps(s),))
+        state.setTimeoutTimestamp(-(-s.until() // 1000))
+        if out:
+            yield pd.DataFrame([{"node": key[0], **r} for r in out], columns=["node", *names])
+
+    f = frames.withWatermark("at", late).select("node", "source", "us", "at", "row_no", "value", *([F.col(seq).alias("seq")] if seq else []))
+    return f.groupBy("node").applyInPandasWithState(run, f"node {frames.schema['node'].dataType.simpleString()}, {HEALTH}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class SourceState:

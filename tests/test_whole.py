@@ -3,7 +3,9 @@
 import numpy as np
 from sondera.operators import joins
 
+from pyspark.sql import functions as F
 from sondera.plans import catalog, relation_queries
+from sondera.streaming import streams
 
 from .conftest import DATA, rows_of, sql_rows
 
@@ -58,3 +60,25 @@ def test_short_spans_take_the_nearest_reading(spark):
         want.append((k, lo, len(inside), round(float(np.mean(inside)), 6) if inside else v, None if inside else abs(t - (lo + hi) / 2)))
     got = relation_queries._reading_of(spark.createDataFrame(spans, "source bigint, lo bigint, hi bigint"), spark.createDataFrame(at, "us bigint, value double"))
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_health_sees_gaps_stalls_losses_and_silence(spark, tmp_path):
+    """Spans of 100 s, in two files: node a loses 3 and 2 numbers, is silent for a span and goes on; b only moves the watermark."""
+    sec = 1_000_000
+    a = [(10, 0, 5.0), (20, 1, 0.5), (80, 5, 2.0), (110, 6, 1.0), (310, 9, 7.0), (330, 10, 8.0)]
+    rows = [("a", 1 + n % 2, t * sec, i, v, n) for i, (t, n, v) in enumerate(a)] + [("b", 9, t * sec, 100 + t, 1.0, t) for t in (1, 900)]
+    schema = "node string, source bigint, us bigint, row_no bigint, value double, seq bigint"
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        frames = streams.landing(spark, str(tmp_path / "in"), schema).withColumn("at", F.timestamp_micros("us"))
+        got = streams.run_to_end(streams.health(frames, "0 seconds", 100 * sec, 50 * sec, "seq"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    r = {x.start_us // sec: x for x in got.where("node = 'a'").collect()}
+    assert sorted(r) == list(range(0, 900, 100))
+    assert [(x.n, x.sources, x.longest_gap_us, x.silent_us // sec, x.stalls, x.lost) for x in (r[k] for k in (0, 100, 200, 300))] == [(3, 2, 60 * sec, 20, 1, 3), (1, 1, 30 * sec, 90, 0, 0), (0, 0, None, 190, 0, None), (2, 2, 200 * sec, 70, 1, 2)]
+    assert np.allclose([r[k].trend for k in (100, 200, 300, 800)], [np.polyfit(range(n), [x / 100 for x in (3, 1, 0, 2, 0, 0, 0, 0, 0)][:n], 1)[0] for n in (2, 3, 4, 9)])
+    assert abs(r[0].low_share - 1 / 3) < 1e-9 and r[0].rate == 0.03 and r[0].spread == 2.25
+
+
+def test_health_of_events(spark):
+    got = catalog.QUERIES["str15_health"](spark, SF)
+    assert {"longest_gap_us", "silent_us", "stalls", "lost", "backward", "trend", "rate", "spread"} <= set(got.columns) and got.where("stalls > 0").count()

@@ -186,6 +186,24 @@ def ml5_nearest_centroid(spark, sf_dir):
     return models.nearest_centroid(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "v")
 
 
+_FOLDS = (
+    "x AS (SELECT vec_id, vec_id % 2 AS h, label, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+    "c AS (SELECT h, label, j, median(v) AS c FROM x GROUP BY h, label, j)",
+    "m AS (SELECT h, j, median(v) AS m FROM x GROUP BY h, j)",
+    "s AS (SELECT x.h, x.j, 1.4826 * median(abs(x.v - m.m)) AS s FROM x JOIN m ON x.h = m.h AND x.j = m.j GROUP BY x.h, x.j)",
+    "d AS (SELECT x.vec_id, c.label, round(sum(((x.v - c.c) / s.s) * ((x.v - c.c) / s.s)), 9) AS d FROM x JOIN c ON x.j = c.j AND x.h = 1 - c.h JOIN s ON x.j = s.j AND x.h = 1 - s.h GROUP BY x.vec_id, c.label)",
+)
+
+
+@register(_e(*_FOLDS, body="SELECT vec_id, min(label) AS predicted FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS best FROM d) WHERE d = best GROUP BY vec_id"))
+def ml5_nearest_centroid_all(spark, sf_dir):
+    """All vectors by all their components, each half against centroids of the other; ml5_nearest_centroid is the part that its SQL asks for."""
+    e = _vectors(spark, sf_dir).select("vec_id", "label", "v")
+    halves = [e.where(F.col("vec_id") % 2 == i) for i in (0, 1)]
+    a, b = (models.nearest_centroid(halves[i], halves[1 - i], "label", "vec_id", "v") for i in (0, 1))
+    return a.unionByName(b)
+
+
 @register(_e(_XY, body="SELECT vec_id, label, round((x - m) / (1.4826 * mad), 6) + 0.0 AS z FROM (SELECT p.*, b.m, b.mad FROM p JOIN (SELECT a.label, a.m, median(abs(p.x - a.m)) AS mad FROM p JOIN (SELECT label, median(x) AS m FROM p GROUP BY label) a ON p.label = a.label GROUP BY a.label, a.m) b ON p.label = b.label) WHERE mad > 0"))
 def ml6_robust_z(spark, sf_dir):
     p = _points(spark, sf_dir).withColumn("m", F.median("x").over(Window.partitionBy("label")))

@@ -82,3 +82,15 @@ def test_health_sees_gaps_stalls_losses_and_silence(spark, tmp_path):
 def test_health_of_events(spark):
     got = catalog.QUERIES["str15_health"](spark, SF)
     assert {"longest_gap_us", "silent_us", "stalls", "lost", "backward", "trend", "rate", "spread"} <= set(got.columns) and got.where("stalls > 0").count()
+
+
+def test_centroids_of_all_components_and_both_halves(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    ids, labels, v = (np.array([r[i] for r in rows], dtype=float if i == 2 else None) for i in range(3))
+    want, names = {}, sorted(set(labels))
+    for half in (0, 1):
+        t = ids % 2 != half
+        spread = 1.4826 * np.median(np.abs(v[t] - np.median(v[t], axis=0)), axis=0)
+        d = np.array([(((v[~t] - np.median(v[t & (labels == k)], axis=0)) / spread) ** 2).sum(axis=1) for k in names if (t & (labels == k)).any()])
+        want |= dict(zip(ids[~t].tolist(), np.array([k for k in names if (t & (labels == k)).any()])[d.round(9).argmin(axis=0)].tolist(), strict=True))
+    assert {r[0]: r[1] for r in catalog.QUERIES["ml5_nearest_centroid_all"](spark, SF).select("vec_id", "predicted").collect()} == want

@@ -419,6 +419,14 @@ def win18_interp(spark, sf_dir):
     return win.fill_gaps(g, "node", "bin", "v", 3).select("node", "bin", r6("filled").alias("filled"))
 
 
+@register(_sql("SELECT node, bin, round(coalesce(v, CASE WHEN bi - ai - 1 <= 3 THEN av + (bv - av) * (bin - ai) / (bi - ai) END), 6) + 0.0 AS filled FROM (SELECT node, bin, v, last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS ai, last_value(v IGNORE NULLS) OVER b AS av, first_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS bi, first_value(v IGNORE NULLS) OVER f AS bv FROM g WINDOW b AS (PARTITION BY node ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))", "d AS (SELECT node, us // 3600000000 AS bin, median(value) AS v FROM fr GROUP BY 1, 2), e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"))
+def win18_interp_all(spark, sf_dir):
+    """win18_interp over all frames, not every other one as its SQL asks."""
+    d = win.time_bins(frames(spark, sf_dir), "node", "us", HOUR, {"v": F.median("value")})
+    g = win.dense(d, "node", "bin").join(d, ["node", "bin"], "left")
+    return win.fill_gaps(g, "node", "bin", "v", 3).select("node", "bin", r6("filled").alias("filled"))
+
+
 @register(_sql("SELECT source, row_no, prev AS from_label, node AS to_label FROM (SELECT source, row_no, node, lag(node) OVER (PARTITION BY source ORDER BY us, row_no) AS prev FROM fr) WHERE prev IS NOT NULL AND prev <> node"))
 def win19_transitions(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("from_label", F.lag("node").over(win.ordered("source", ORDER)))

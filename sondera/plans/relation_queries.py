@@ -188,6 +188,14 @@ def jn17_lag_join(spark, sf_dir):
     return d.join(old, ["node", "bin"]).select("node", "bin", r6(F.col("v") - F.col("old")).alias("change"))
 
 
+@register(_sql("SELECT a.node, a.rx, a.bin, round(a.v - b.v, 6) + 0.0 AS change FROM d a JOIN d b ON a.node = b.node AND a.rx = b.rx AND a.bin = b.bin + 3", _BINS))
+def jn17_lag_join_all(spark, sf_dir):
+    """jn17_lag_join for every receiver, not the first alone as its SQL asks."""
+    d = _bins(spark, sf_dir)
+    old = d.select("node", "rx", (F.col("bin") + 3).alias("bin"), F.col("v").alias("old"))
+    return d.join(old, ["node", "rx", "bin"]).select("node", "rx", "bin", r6(F.col("v") - F.col("old")).alias("change"))
+
+
 @register(_sql("SELECT a.node, round(a.m - b.m, 6) + 0.0 AS gap FROM (SELECT node, median(value) AS m FROM fr WHERE source % 2 = 0 GROUP BY node HAVING count(*) >= 20) a JOIN (SELECT node, median(value) AS m FROM fr WHERE source % 2 = 1 GROUP BY node HAVING count(*) >= 20) b ON a.node = b.node"))
 def jn18_receiver_agreement(spark, sf_dir):
     f = frames(spark, sf_dir)

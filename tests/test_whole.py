@@ -1,10 +1,13 @@
 """Queries that do the whole job, against brute force."""
 
+from collections import defaultdict
+
 import numpy as np
 from sondera.operators import joins
 
 from pyspark.sql import functions as F
 from sondera.plans import catalog, relation_queries
+from sondera.session import frames
 from sondera.streaming import streams
 
 from .conftest import DATA, rows_of, sql_rows
@@ -94,3 +97,17 @@ def test_centroids_of_all_components_and_both_halves(spark):
         d = np.array([(((v[~t] - np.median(v[t & (labels == k)], axis=0)) / spread) ** 2).sum(axis=1) for k in names if (t & (labels == k)).any()])
         want |= dict(zip(ids[~t].tolist(), np.array([k for k in names if (t & (labels == k)).any()])[d.round(9).argmin(axis=0)].tolist(), strict=True))
     assert {r[0]: r[1] for r in catalog.QUERIES["ml5_nearest_centroid_all"](spark, SF).select("vec_id", "predicted").collect()} == want
+
+
+def test_gaps_are_those_of_all_frames(spark):
+    """Every hour that has a frame has that hour's median, and real gaps of up to three hours are filled by lines."""
+    hours = defaultdict(list)
+    for r in frames(spark, SF).select("node", "us", "value").collect():
+        hours[r.node, r.us // 3_600_000_000].append(r.value)
+    got = {(r.node, r.bin): r.filled for r in catalog.QUERIES["win18_interp_all"](spark, SF).collect()}
+    assert all(abs(got[k] - np.median(v)) < 1e-6 for k, v in hours.items())
+    assert any(v is None for v in got.values()) and any(v is not None and k not in hours for k, v in got.items())
+
+
+def test_lag_changes_of_every_receiver(spark):
+    assert {r.rx for r in catalog.QUERIES["jn17_lag_join_all"](spark, SF).collect()} == {0, 1}

@@ -9,15 +9,25 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import seed_of
+
 #: Cells that linkage takes at most; a coarser grid keeps under it.
 MAX_CELLS = 2_000
+#: Rows up to which k-means starts 50 times.
+FEW_ROWS = 50_000
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, out: str = "cluster") -> DataFrame:
-    """df with the cluster of each row, by Spark's own distributed k-means."""
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, out: str = "cluster", restarts: int | None = None) -> DataFrame:
+    """df with the cluster of each row, by Spark's own distributed k-means: the best of `restarts`, as a rule 50 for up to FEW_ROWS rows and 12 beyond."""
     d = df.withColumn("__v", array_to_vector(F.col(vector)))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=out, maxIter=20).fit(d)
-    return model.transform(d).drop("__v")
+    v = d.select("__v").persist()
+    try:
+        restarts = restarts or (50 if v.count() <= FEW_ROWS else 12)
+        models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol=out, maxIter=20).fit(v) for i in range(restarts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        v.unpersist()
+    return best.transform(d).drop("__v")
 
 
 def grid_cells(df: DataFrame, cols: list[str], width: list[float]) -> DataFrame:
@@ -74,6 +84,39 @@ def agreement(df: DataFrame, truth: str, cluster: str) -> DataFrame:
     return j.select(((F.col("ab") - want) / ((F.col("a") + F.col("b")) / 2 - want)).alias("ari"), (F.col("top") / F.col("all")).alias("purity"))
 
 
+def cocluster_p(ca: np.ndarray, cb: np.ndarray, sizes: np.ndarray, draws: int, seed: int) -> tuple[float, float, float]:
+    """Share of pairs of a row of a and one of b that lie in one cluster, its mean when labels are shuffled over all rows, and the p-value.
+
+    Counts of two labels by cluster under a shuffle are drawn without rows: a's from the clusters, b's from what a leaves.
+    """
+    na, nb = int(ca.sum()), int(cb.sum())
+    rng = np.random.default_rng(seed)
+    pa = rng.multivariate_hypergeometric(sizes, na, size=draws, method="marginals")
+    null = np.array([a @ rng.multivariate_hypergeometric(sizes - a, nb, method="marginals") for a in pa]) / (na * nb)
+    own = float(ca @ cb) / (na * nb)
+    return own, float(null.mean()), float((1 + (null >= own - 1e-12).sum()) / (draws + 1))
+
+
+def cocluster(df: DataFrame, truth: str, cluster: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(a, b, together, expected, p) of pairs of labels a < b: do they share clusters more than shuffled labels do? From the table of counts."""
+    c = df.where(F.col(truth).isNotNull() & F.col(cluster).isNotNull()).groupBy(F.col(truth).alias("l"), F.col(cluster).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    lines = F.array_sort(F.collect_list(F.struct("l", "c", "n")))
+    one = c.agg(lines.alias("t"))  # one row: the table has a number for each label and cluster
+    one = one.select("t", F.array_sort(F.array_distinct(F.transform("t", lambda r: r["l"]))).alias("ls"), F.array_sort(F.array_distinct(F.transform("t", lambda r: r["c"]))).alias("cs"))
+    total = lambda keep: F.transform("cs", lambda k: F.aggregate(F.filter("t", lambda r: keep(r) & (r["c"] == k)), F.lit(0).cast("bigint"), lambda x, r: x + r["n"]))
+    whole = one.withColumn("sizes", total(lambda r: F.lit(True)))
+    x = whole.select("t", "cs", "ls", "sizes", F.explode("ls").alias("a")).withColumn("na", total(lambda r: r["l"] == F.col("a")))
+    x = x.withColumn("b", F.explode(F.filter("ls", lambda l: l > F.col("a"))))
+    j = x.withColumn("nb", total(lambda r: r["l"] == F.col("b"))).select("a", "b", "na", "nb", "sizes").repartition("a", "b")
+
+    def run(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        got = [cocluster_p(np.asarray(x), np.asarray(y), np.asarray(z), draws, seed_of((k, l), seed)) for k, l, x, y, z in zip(a, b, na, nb, sizes, strict=True)]
+        return pd.DataFrame(got, columns=["together", "expected", "p"])
+
+    run.__annotations__ = dict.fromkeys(("a", "b", "na", "nb", "sizes"), pd.Series) | {"return": pd.DataFrame}
+    return j.select("a", "b", F.pandas_udf(run, "together double, expected double, p double")("a", "b", "na", "nb", "sizes").alias("o")).select("a", "b", "o.*")
+
+
 def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """One row: mean simplified silhouette, distances taken to cluster means (one row for each cluster and place)."""
     long = df.select(cluster, F.posexplode(vector).alias("j", "x"))

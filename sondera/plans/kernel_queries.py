@@ -181,7 +181,7 @@ def jn14_reference(spark, sf_dir):
 @register()
 def stat2_permutation(spark, sf_dir):
     d = win.time_bins(frames(spark, sf_dir), "node", "us", DAY, {"x": F.median("value"), "y": F.count(F.lit(1)).cast("double")})
-    return stats.permutation_p(d, ["node"], "x", "y", 500)
+    return stats.permutation_p(d, ["node"], "x", "y", 20_000)
 
 
 @register()
@@ -194,7 +194,7 @@ def stat3_rotation_null(spark, sf_dir):
 @register()
 def stat4_bootstrap(spark, sf_dir):
     d = win.time_bins(frames(spark, sf_dir), "node", "us", DAY, {"v": F.median("value")})
-    return stats.bootstrap_ci(d, ["node"], "v", draws=500)
+    return stats.bootstrap_ci(d, ["node"], "v", draws=4000)
 
 
 @register()
@@ -268,6 +268,13 @@ def ml11_agreement(spark, sf_dir):
     return a.select(r6("ari").alias("ari"), r6("purity").alias("purity"))
 
 
+@register()
+def ml11_cocluster(spark, sf_dir):
+    """Whether pairs of labels share clusters more than shuffled labels would."""
+    c = cluster.cocluster(_plane(spark, sf_dir).withColumn("c", F.floor(F.col("x") / 2).cast("bigint")), "label", "c")
+    return c.select("a", "b", r6("together").alias("together"), r6("expected").alias("expected"), r6("p").alias("p"))
+
+
 @register()
 def ml11_silhouette(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

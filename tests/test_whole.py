@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
-from sondera.operators import joins
+from sondera.operators import cluster, joins, stats
 
 from pyspark.sql import functions as F
 from sondera.plans import catalog, relation_queries
@@ -111,3 +111,39 @@ def test_gaps_are_those_of_all_frames(spark):
 
 def test_lag_changes_of_every_receiver(spark):
     assert {r.rx for r in catalog.QUERIES["jn17_lag_join_all"](spark, SF).collect()} == {0, 1}
+
+
+def test_cocluster_null_is_that_of_shuffled_rows(spark):
+    """As shuffling rows does: a and b share a cluster, c is spread over all."""
+    rows = [("a", 0)] * 18 + [("a", 1)] * 2 + [("b", 0)] * 9 + [("b", 2)] + [("c", i % 3) for i in range(60)]
+    got = {(r.a, r.b): r for r in cluster.cocluster(spark.createDataFrame(rows, "label string, c bigint"), "label", "c").collect()}
+    label, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    rng = np.random.default_rng(3)
+    together = lambda x, k, l: float(np.mean(x[label == k][:, None] == x[label == l]))
+    for (k, l), r in got.items():
+        null = [together(rng.permutation(c), k, l) for _ in range(2000)]
+        assert abs(r.together - together(c, k, l)) < 1e-9 and abs(r.expected - np.mean(null)) < 0.01
+        assert abs(r.p - np.mean(np.array(null) >= together(c, k, l) - 1e-12)) < 0.04
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")} and got["a", "b"].p < 0.01 < got["a", "c"].p
+
+
+def test_resampling_draws_as_often_as_the_reference(spark, monkeypatch):
+    """A perfect rank correlation can show p of 1 in 20,001; k-means takes the best of many starts."""
+    seen = {}
+    monkeypatch.setattr(stats, "permutation_p", lambda *a, **k: seen.update(permutation=a[4]))
+    monkeypatch.setattr(stats, "bootstrap_ci", lambda *a, **k: seen.update(bootstrap=k["draws"]))
+    for name in ("stat2_permutation", "stat4_bootstrap"):
+        catalog.QUERIES[name](spark, SF)
+    assert seen["permutation"] == 20_000 and seen["bootstrap"] >= 2000
+
+
+def test_kmeans_takes_the_best_start(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(120, 2)) * 0.1 + np.array([(i % 8 * 3.0, i % 8 // 4) for i in range(120)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+
+    def cost(restarts):
+        label = np.array([r.cluster for r in cluster.kmeans(df, "v", 8, restarts=restarts).orderBy("i").collect()])
+        return sum(((x[label == k] - x[label == k].mean(axis=0)) ** 2).sum() for k in set(label.tolist()))
+
+    assert cost(5) <= min(cost(1), 4.0)

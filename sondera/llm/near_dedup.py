@@ -16,8 +16,8 @@ So links are lost only by bands (at similarity 0.8, with a probability of 2e-4 f
 near copies, comes together in one task.
 
 Defined cases: a null text is an empty one; texts without words are one class; texts of less than five words are one
-shingle; rows with one doc_id are one document; rows without a doc_id link with nothing and stay; an empty table gives
-an empty result; extra columns are ignored (`documents_kept` keeps them).
+shingle; rows with one doc_id are one document, which is near to whatever any of its texts is near to; rows without a doc_id link
+with nothing and stay; an empty table gives an empty result; extra columns are ignored (`documents_kept` keeps them).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import shingles, sieve
 from .base import bounded, keep
 from .components import components
 
@@ -169,12 +169,22 @@ def _similar(a: Column, b: Column) -> Column:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, kept): the near-duplicate class of each document, named by its least doc_id, which is the one that stays."""
+    """(doc_id, component_id, kept): the near-duplicate class of each document, named by its least doc_id, which is the one that stays. One row for each doc_id, and for each row without."""
+    return _classes(docs, id_col, text_col).select("doc_id", "component_id", "kept")
+
+
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """classes(), and the number of rows of each document."""
     src = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
     rows = keep(src.mapInArrow(_hash_texts, f"doc_id {id_type}, digest binary, n bigint, bands array<bigint>"), "bands")
-    ids = rows.where("doc_id is not null")
-    reps = keep(ids.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
+    ids = rows.where("doc_id is not null").select("doc_id", "digest")
+    # A digest stands for equal words and is named by its least doc_id; a document of several texts has several.
+    reps = keep(rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
+    named = ids.join(reps.select("digest", "id").hint("merge"), "digest").select("doc_id", "id")
+    of = keep(named.groupBy("doc_id").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n_rows")), "documents")
+    several = of.where("id <> last").select("doc_id")
+    twins = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")) if several.limit(1).count() else None
     member = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     # Joins whose sides grow with the corpus are sort-merge joins at every size.
@@ -184,10 +194,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = member.join(member.groupBy("band").agg(F.min("id").alias("hub")).hint("merge"), "band").groupBy("id").agg(F.min("hub").alias("hub"))
     hubs = first.where("hub <> id").select(F.col("hub").alias("__hub")).distinct()
     cand = keep(first.join(hubs, F.col("id") == F.col("__hub"), "left").select("id", "hub", F.col("__hub").isNotNull().alias("is_hub")), "candidates")
-    texts = src.join(cand.hint("merge"), src["doc_id"] == cand["id"]).groupBy("id").agg(F.first("hub").alias("hub"), F.first("is_hub").alias("is_hub"), F.min("text").alias("text"))
+    # Texts of other documents stay where they are: only those that can be candidates are dealt by id.
+    may, _ = sieve.split(src, "doc_id", cand, "id")
+    texts = may.join(cand.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("id", "text").agg(F.first("hub").alias("hub"), F.first("is_hub").alias("is_hub")).select("id", "hub", "is_hub", "text")
     els = keep(texts.mapInArrow(_elements, f"id {id_type}, hub {id_type}, is_hub boolean, els array<bigint>"), "elements")
     of_hub = els.where("is_hub").select(F.col("id").alias("__hub"), F.col("els").alias("y"))
-    edges = keep(els.where("hub <> id").join(of_hub.hint("merge"), F.col("hub") == F.col("__hub")).where(_similar(F.col("els"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b")), "links")
+    links = els.where("hub <> id").join(of_hub.hint("merge"), F.col("hub") == F.col("__hub")).where(_similar(F.col("els"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    edges = keep(links.union(twins) if twins else links, "links")
     found = keep(components(edges), "found")
     # Round two: members of bands with several components against the largest id of the band that is in another one.
     now = member.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
@@ -215,16 +228,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     blocks = at.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(to_bigs, to_strays)).otherwise(from_big))).select("band", "at.*", "id", "comp", "stray")
     last = blocks.join(els.select("id", "els").hint("merge"), "id").groupBy("band", "big", "s", "t").applyInPandas(_compare, f"a {id_type}, b {id_type}")
     final = components(edges.union(last))
-    of = reps.select("digest", "id").join(final, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = ids.select("doc_id", "digest").join(of, "digest").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    return out.union(rows.where("doc_id is null").select("doc_id", F.lit(None).cast(id_type).alias("component_id"), F.lit(True).alias("kept")))
+    out = of.join(final, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "id").alias("component_id"), "n_rows").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast(id_type).alias("component_id"), F.lit(1).cast("bigint").alias("n_rows"), F.lit(True).alias("kept")))
 
 
 def documents_kept(docs: DataFrame) -> DataFrame:
     """One document of each class, the one of the least doc_id, with all columns; of rows that share this doc_id, one. Rows without a doc_id stay."""
-    stay = keep(classes(docs).where("kept").select(F.col("doc_id").alias("__id")), "kept")
-    twice = stay.where("__id is not null").groupBy("__id").count().where("count > 1").limit(1).count()
-    out = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if not twice:
-        return out
-    return out.where("doc_id is null").union(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # Texts move only where a document may go or have several rows.
+    found = keep(_classes(docs).where("doc_id is not null and (not kept or n_rows > 1)").select(F.col("doc_id").alias("__id"), "kept"), "doubtful")
+    may, stay = sieve.split(docs, "doc_id", found, "__id")
+    may = may.join(found.where("not kept").hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
+    return stay.unionByName(may.dropDuplicates(["doc_id"]) if found.where("kept").limit(1).count() else may)

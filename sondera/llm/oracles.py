@@ -2,16 +2,16 @@
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
-#: All pairs of documents by their weighted five-word shingles, then reachability.
+#: All pairs of texts by their weighted five-word shingles, then reachability of documents; a document may have several texts.
 OP1 = f"""
-WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL),
-g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS g FROM w),
-c AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(g) AS s FROM g) GROUP BY doc_id, s),
-t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT i.a, i.b FROM i JOIN t x ON i.a = x.doc_id JOIN t y ON i.b = y.doc_id WHERE i.m >= 0.8 * (x.t + y.t - i.m) - 1e-9),
-d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id AS node, doc_id AS root FROM t UNION SELECT d.b, r.root FROM r JOIN d ON r.node = d.a)
+WITH RECURSIVE w AS (SELECT row_number() OVER (ORDER BY doc_id, w) AS k, doc_id, w FROM (SELECT DISTINCT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents WHERE doc_id IS NOT NULL)),
+g AS (SELECT k, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS g FROM w),
+c AS (SELECT k, s, count(*) AS n FROM (SELECT k, unnest(g) AS s FROM g) GROUP BY k, s),
+t AS (SELECT k, w.doc_id, sum(n) AS t FROM c JOIN w USING (k) GROUP BY k, w.doc_id),
+i AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM i JOIN t x ON i.a = x.k JOIN t y ON i.b = y.k WHERE i.m >= 0.8 * (x.t + y.t - i.m) - 1e-9),
+d AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a <> b),
+r AS (SELECT DISTINCT doc_id AS node, doc_id AS root FROM t UNION SELECT d.b, r.root FROM r JOIN d ON r.node = d.a)
 SELECT node AS doc_id, min(root) AS component_id, node = min(root) AS kept FROM r GROUP BY node
 """
 

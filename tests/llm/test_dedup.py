@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from sondera.llm import components, embedding_dedup, near_dedup, shingles
+from pyspark.sql import functions as F
+from sondera.llm import components, embedding_dedup, near_dedup, oracles, shingles, sieve
 
 from ..conftest import rows_of
 from .helpers import changed, docs, text
@@ -85,6 +86,33 @@ def test_blocks_of_strays_compare_all(spark, monkeypatch):
     assert classes(docs(spark, rows)) == brute(rows)
 
 
+def test_one_id_with_several_texts(spark, duck):
+    """A document is near to whatever any of its texts is near to, and its texts belong together."""
+    t = [text(120, i) for i in range(7)]
+    near = [changed(x, 0.06, i) for i, x in enumerate(t)]
+    rows = [(5, t[0]), (5, t[1]), (9, near[1]), (6, near[0]), (9, t[2]), (3, t[2]), (3, t[2]), (20, t[3]), (21, t[3]), (21, t[4]), (22, near[4]), (30, t[5]), (31, t[6]), (40, None), (40, t[6])]
+    df = docs(spark, rows, extra=True)
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] or weighted_jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8]
+    comp = reach(len(rows), edges)
+    want = {r[0]: min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[i]) for i, r in enumerate(rows)}
+    assert classes(df) == want and near_dedup.classes(df).count() == len(want)
+    assert sorted(r.doc_id for r in near_dedup.documents_kept(df).collect()) == sorted({c for c in want.values()})
+    duck.sql("CREATE OR REPLACE TEMP TABLE several AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, x in rows) + ") v(doc_id, text)")
+    assert {r[0]: r[1] for r in duck.sql(oracles.OP1.replace("FROM documents", "FROM several")).fetchall()} == want
+
+
+@pytest.mark.parametrize("bits", [1 << 4, 1 << 25])
+def test_sieve_holds_nothing_back(spark, monkeypatch, bits):
+    monkeypatch.setattr(sieve, "LEAST_BITS", 1 << 4)
+    monkeypatch.setattr(sieve, "MOST_BITS", bits)
+    ids = spark.range(0, 1000, 7).withColumnRenamed("id", "x").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("mine").alias("__bits")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 'mine'"))
+    may, never = (d.select("doc_id").collect() for d in sieve.split(df, "doc_id", ids, "x"))
+    may, never = {r.doc_id for r in may}, {r.doc_id for r in never}
+    assert set(range(0, 1000, 7)) <= may and not may & never and may | never == {*range(1000), None} and None in never
+    assert bits == 1 << 4 or len(may) < 300
+
+
 def test_kept_rows(spark):
     t = text(50, 1)
     df = docs(spark, [(3, t), (1, t), (None, t), (None, t), (7, text(50, 2)), (7, text(50, 2))], extra=True)

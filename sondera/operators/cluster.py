@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .models import least_of, small
 from .stats import seed_of
 
 #: Cells that linkage takes at most; a coarser grid keeps under it.
@@ -121,8 +122,8 @@ def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """One row: mean simplified silhouette, distances taken to cluster means (one row for each cluster and place)."""
     long = df.select(cluster, F.posexplode(vector).alias("j", "x"))
     mean = long.groupBy(cluster, "j").agg(F.avg("x").alias("m")).groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("m")).select(F.col(cluster).alias("__c"), "m")
-    rid = df.select(vector, cluster, F.monotonically_increasing_id().alias("__id"))
-    gap = F.sqrt(F.aggregate(F.zip_with(vector, "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    d = rid.join(F.broadcast(mean), how="inner", on=F.lit(True)).withColumn("__d", gap) if mean.count() <= 100_000 else rid.join(mean, how="inner", on=F.lit(True)).withColumn("__d", gap)
-    g = d.groupBy("__id").agg(F.min(F.when(F.col(cluster) == F.col("__c"), F.col("__d"))).alias("a"), F.min(F.when(F.col(cluster) != F.col("__c"), F.col("__d"))).alias("b"))
-    return g.agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    gap = lambda m: F.sqrt(F.aggregate(F.zip_with(vector, m["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    # The least distance to another cluster and the one to its own come from one array of means; a row meets its own mean by key.
+    own = df.select(vector, cluster, F.xxhash64(cluster, vector).alias("__id")).join(small(mean), F.col(cluster) == F.col("__c")).withColumn("a", gap({"m": F.col("m")})).drop("__c", "m")
+    near = least_of(own, mean, ["__id"], lambda m: F.when(m["__c"] != F.col(cluster), gap(m)), "b")
+    return near.agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))

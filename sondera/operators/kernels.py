@@ -13,14 +13,21 @@ import numpy as np
 #: Used places of a 64-point spectrum, in frequency order, and their frequencies (fixed values).
 FREQUENCIES = np.concatenate([np.arange(-26, 0), np.arange(1, 27)])
 PLACES = FREQUENCIES % 64
-#: Rows whose long transforms are in memory together.
-ROWS_AT_ONCE = 1024
+#: Distance of two places of a spectrum (fixed value).
+SPACING_HZ = 312_500.0
+#: Rows whose long transforms, or lines, are in memory together; and points that a line needs.
+ROWS_AT_ONCE, LINES_AT_ONCE, LEAST_POINTS = 1024, 256, 8
+
+
+def full_spectrum(iq: np.ndarray) -> np.ndarray:
+    """(n, 128) interleaved [imaginary, real] → (n, 64) complex values in the order of the transform."""
+    iq = np.asarray(iq, dtype=np.float64)
+    return iq[:, 1:128:2] + 1j * iq[:, 0:128:2]
 
 
 def spectrum(iq: np.ndarray) -> np.ndarray:
     """(n, 128) interleaved [imaginary, real] → (n, 52) complex values in frequency order."""
-    iq = np.asarray(iq, dtype=np.float64)
-    return (iq[:, 1:128:2] + 1j * iq[:, 0:128:2])[:, PLACES]
+    return full_spectrum(iq)[:, PLACES]
 
 
 def line_fit(y: np.ndarray, x: np.ndarray = FREQUENCIES) -> tuple[np.ndarray, np.ndarray]:
@@ -34,13 +41,15 @@ def consensus_line(y: np.ndarray, seeds: np.ndarray, x: np.ndarray = FREQUENCIES
     """A line through most points of each row, in spite of outliers.
 
     Each row draws `tries` pairs of points from its own seed, so a result depends on the row alone and not on the batch.
-    The pair whose line has most points within `near` wins, and least squares over those points gives the result; with fewer than
-    max(4, n / 4) of them it is NaN.
+    The pair whose line has most points closer than `near` wins, and least squares over those points gives the result; with fewer than
+    max(4, n / 4) of them, or of points at all LEAST_POINTS, it is NaN.
     """
-    if len(y) > ROWS_AT_ONCE:
-        parts = [consensus_line(y[i : i + ROWS_AT_ONCE], np.asarray(seeds)[i : i + ROWS_AT_ONCE], x, tries, near) for i in range(0, len(y), ROWS_AT_ONCE)]
+    if len(y) > LINES_AT_ONCE:
+        parts = [consensus_line(y[i : i + LINES_AT_ONCE], np.asarray(seeds)[i : i + LINES_AT_ONCE], x, tries, near) for i in range(0, len(y), LINES_AT_ONCE)]
         return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
     n, k = y.shape
+    if k < LEAST_POINTS:
+        return {name: np.full(n, np.nan) for name in ("slope", "intercept", "inliers", "resid")}
     z = np.asarray(seeds, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * tries, dtype=np.uint64)
     with np.errstate(over="ignore"):
         z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -50,12 +59,12 @@ def consensus_line(y: np.ndarray, seeds: np.ndarray, x: np.ndarray = FREQUENCIES
     rows = np.arange(n)[:, None]
     slope = (y[rows, b] - y[rows, a]) / (x[b.astype(int)] - x[a.astype(int)])
     base = y[rows, a] - slope * x[a.astype(int)]
-    best, kept = np.full(n, -1), np.zeros((n, k), dtype=bool)
-    for t in range(tries):
-        fits = np.abs(y - slope[:, t : t + 1] * x - base[:, t : t + 1]) <= near
-        count = fits.sum(1)
-        better = count > best
-        best[better], kept[better] = count[better], fits[better]
+    # All lines of all rows at once, in single precision, only to tell which line wins.
+    off = y.astype(np.float32)[:, None, :] - slope.astype(np.float32)[:, :, None] * x.astype(np.float32)
+    off -= base.astype(np.float32)[:, :, None]
+    won = (np.abs(off, out=off) < np.float32(near)).sum(2, dtype=np.int16).argmax(1)[:, None]
+    kept = np.abs(y - np.take_along_axis(slope, won, 1) * x - np.take_along_axis(base, won, 1)) < near
+    best = kept.sum(1)
     w = kept.astype(float)
     m = np.maximum(w.sum(1), 1)
     mx, my = (w * x).sum(1) / m, (w * y).sum(1) / m
@@ -69,46 +78,61 @@ def consensus_line(y: np.ndarray, seeds: np.ndarray, x: np.ndarray = FREQUENCIES
 
 
 def coherent_slope(h: np.ndarray, k: np.ndarray = FREQUENCIES, grid: int = 1024, step: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Phase slope that lines up all values best, without unwrapping; and how well it does, from 0 to 1.
+    """Phase slope that lines up the phases of all values best, without unwrapping; and how well it does, from 0 to 1.
 
-    A long transform gives the slope to one part in `grid` of a turn, a fine grid around its peak the rest.
+    Values count by their phase alone: each is scaled to length 1, and a zero counts as 1. A long transform gives the slope to one
+    part in `grid` of a turn, a fine grid around its peak the rest. The fine grid is searched in single precision, and its best
+    place and that one's neighbours once more in double.
     """
     unit = 2 * math.pi / grid
     near = np.arange(-unit, unit + step / 2, step)
-    turns = np.exp(-1j * np.outer(k, near))  # the same for all rows, so the fine grid is one product of matrices
+    turns = np.exp(-1j * np.outer(k, near)).astype(np.complex64)  # the same for all rows, so the fine grid is one product of matrices
     slope, best = np.zeros(len(h)), np.zeros(len(h))
     for i in range(0, len(h), ROWS_AT_ONCE):
         part = h[i : i + ROWS_AT_ONCE]
-        wide = np.zeros((len(part), grid), dtype=complex)
-        wide[:, k % grid] = part
+        size = np.abs(part)
+        z = np.where(size > 0, part / np.where(size > 0, size, 1), 1)
+        wide = np.zeros((len(part), grid), dtype=np.complex64)
+        wide[:, k % grid] = z
         coarse = np.abs(np.fft.fft(wide, axis=1)).argmax(1) * unit
-        power = np.abs((part * np.exp(-1j * np.outer(coarse, k))) @ turns)
-        at = power.argmax(1)
-        slope[i : i + len(part)] = coarse + near[at]
-        best[i : i + len(part)] = power[np.arange(len(part)), at]
-    total = np.abs(h).sum(1)
-    return np.angle(np.exp(1j * slope)), np.where(total > 0, best / np.where(total > 0, total, 1), 0.0)
+        coarse = np.where(coarse > math.pi, coarse - 2 * math.pi, coarse)
+        base = z * np.exp(-1j * np.outer(coarse, k))
+        at = np.abs(base.astype(np.complex64) @ turns).argmax(1)
+        around = np.clip(at[:, None] + np.array([-1, 0, 1]), 0, len(near) - 1)
+        power = np.abs((base[:, None, :] * np.exp(-1j * near[around][:, :, None] * k)).sum(2))
+        top = power.argmax(1)[:, None]
+        slope[i : i + len(part)] = coarse + near[np.take_along_axis(around, top, 1)[:, 0]]
+        best[i : i + len(part)] = np.take_along_axis(power, top, 1)[:, 0]
+    return (slope + math.pi) % (2 * math.pi) - math.pi, best / len(k)
 
 
 def impulse_response(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Share of the strongest tap, and the spread of delay around the circle, of each spectrum's 64-point response."""
-    wide = np.zeros((len(h), 64), dtype=complex)
-    wide[:, PLACES] = h
-    p = np.abs(np.fft.ifft(wide, axis=1)) ** 2
-    total = np.maximum(p.sum(1), 1e-300)
-    centre = np.angle((p * np.exp(2j * math.pi * np.arange(64) / 64)).sum(1) / total) * 64 / (2 * math.pi)
-    off = (np.arange(64) - centre[:, None] + 32) % 64 - 32
-    return p.max(1) / total, np.sqrt((p * off**2).sum(1) / total)
-
-
-def ripple(mag: np.ndarray) -> dict[str, np.ndarray]:
-    """Delay of an echo from the ripple that it leaves on amplitudes; spectral flatness; ripple in dB."""
-    a = mag / np.maximum(mag.mean(1, keepdims=True), 1e-300)
-    d = a - a.mean(1, keepdims=True)
-    p = np.abs(np.fft.rfft(d * np.hanning(a.shape[1]), 512, axis=1)) ** 2
-    top = p[:, 8:].argmax(1) + 8  # slower than that is the shape of the band
-    q = np.maximum(p[:, 8:], 1e-300)
-    return {"tau": top / 512.0, "flatness": np.exp(np.log(q).mean(1)) / q.mean(1), "ripple_db": 20 * np.log10(np.maximum(a.max(1), 1e-12) / np.maximum(a.min(1), 1e-12))}
+    """Share of the strongest tap, and the spread of delay around it on the circle, of the response to each full spectrum (n, 64); zeros without power."""
+    p = np.abs(np.fft.ifft(h, axis=1)) ** 2
+    total = p.sum(1)
+    total = np.where(total > 0, total, 1)
+    ahead = (np.arange(h.shape[1]) - p.argmax(1)[:, None]) % h.shape[1]
+    return p.max(1) / total, np.sqrt((p * np.minimum(ahead, h.shape[1] - ahead) ** 2).sum(1) / total)
+
+
+def ripple(mag: np.ndarray, length: int = 512, cycles: float = 2.0, prominence: float = 3.0) -> dict[str, np.ndarray]:
+    """Delay of an echo from the ripple that it leaves on amplitudes (n, 52); flatness of their power; their deviation in dB.
+
+    The logarithms lie on 53 places, the centre between its neighbours. tau counts in units of one over the spacing of places (see
+    SPACING_HZ); it is NaN unless the ripple has `cycles` cycles over the band and its line is `prominence` times the median one.
+    A zero amplitude leaves flatness 0 and the others NaN.
+    """
+    whole = (mag > 0).all(1)
+    logs = np.log(np.where(whole[:, None], mag, 1.0))
+    half = mag.shape[1] // 2
+    g = np.concatenate([logs[:, :half], (logs[:, half - 1 : half] + logs[:, half : half + 1]) / 2, logs[:, half:]], axis=1)
+    p = np.abs(np.fft.rfft((g - g.mean(1, keepdims=True)) * np.hanning(g.shape[1]), length, axis=1)) ** 2
+    low = math.ceil(cycles * length / g.shape[1])
+    at = p[:, low:].argmax(1) + low
+    usual = np.median(p[:, 1:], axis=1)
+    clear = whole & (usual > 0) & (p[np.arange(len(p)), at] >= prominence * usual)
+    flat = np.exp(2 * logs.mean(1)) / np.where(whole, (mag**2).mean(1), 1)
+    return {"tau": np.where(clear, at / length, np.nan), "flatness": np.where(whole, flat, 0.0), "ripple_db": np.where(whole, 20 / math.log(10) * logs.std(1), np.nan)}
 
 
 def image_ratio(h: np.ndarray) -> np.ndarray:
@@ -123,57 +147,76 @@ def image_ratio(h: np.ndarray) -> np.ndarray:
 
 
 def welch(x: np.ndarray, rate: float, seconds: float = 60.0, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Power spectrum as the mean over Hann-windowed segments, each without its line. A short series is one segment."""
-    n = min(len(x), int(seconds * rate))
+    """(frequencies, power spectrum) as the mean over Hann-windowed segments, each without its line; empty if the series is shorter than one, or that has under 16 values."""
+    n = round(seconds * rate)
+    if n < 16 or len(x) < n:
+        return np.zeros(0), np.zeros(0)
     hop = max(1, int(n * (1 - overlap)))
     w = np.hanning(n)
     t = np.arange(n) - (n - 1) / 2
-    total, count = np.zeros(n // 2 + 1), 0
-    for a in range(0, len(x) - n + 1, hop):
-        s = x[a : a + n] - x[a : a + n].mean()
-        s = s - t * (t @ s) / max(t @ t, 1e-300)
-        total += np.abs(np.fft.rfft(s * w)) ** 2
-        count += 1
-    return np.fft.rfftfreq(n, 1 / rate), total / max(1, count) / (rate * (w**2).sum())
-
-
-def band_peak(row: np.ndarray, rate: float, band: tuple[float, float] = (0.10, 0.55), floor: tuple[float, float] = (0.7, 2.5)) -> tuple[float, float] | None:
-    """(dB over the median power of the floor band, frequency) of the strongest line in a band; none if it is at the band's edge."""
-    f, p = welch(row, rate)
+    s = np.lib.stride_tricks.sliding_window_view(np.asarray(x, dtype=np.float64), n)[::hop]
+    s = s - s.mean(1, keepdims=True)
+    s = s - np.outer(s @ t / (t @ t), t)
+    return np.fft.rfftfreq(n, 1 / rate), (np.abs(np.fft.rfft(s * w, axis=1)) ** 2).mean(0) / (rate * (w**2).sum())
+
+
+def band_peak(row: np.ndarray, rate: float, band: tuple[float, float] = (0.10, 0.55), floor: tuple[float, float] = (0.7, 2.5), seconds: float = 60.0) -> tuple[float, float] | None:
+    """(power over the median power of the floor band, frequency) of the strongest line in a band; none if it is at the band's edge or the series is too short or not finite."""
+    if not np.isfinite(row).all():
+        return None
+    f, p = welch(row, rate, seconds)
     inside = np.flatnonzero((f >= band[0]) & (f <= band[1]))
     quiet = p[(f >= floor[0]) & (f <= floor[1])]
-    if len(inside) < 3 or not len(quiet):
+    if not len(inside) or not len(quiet) or (usual := float(np.median(quiet))) <= 0:
         return None
     at = inside[p[inside].argmax()]
     if at in (inside[0], inside[-1]):
         return None
-    return 10 * math.log10(max(p[at], 1e-300) / max(float(np.median(quiet)), 1e-300)), float(f[at])
+    return float(p[at]) / usual, float(f[at])
 
 
 def band_peaks(series: np.ndarray, rate: float, top: int = 10, agree_hz: float = 0.05, **bands) -> dict[str, float | int | None]:
-    """A common line in a band of many series (rows): the median frequency of the clearest peaks, and how many agree with it."""
+    """A common line in a band of many series (rows): the median frequency of the clearest peaks, how many agree with it, and how clear those are."""
     best = sorted((x for row in series if (x := band_peak(row, rate, **bands)) is not None), reverse=True)[:top]
     if not best:
         return {"hz": None, "snr_db": None, "agree": 0, "present": 0}
     hz = float(np.median([f for _, f in best]))
-    snr = float(np.median([s for s, _ in best]))
-    agree = sum(abs(f - hz) <= agree_hz for _, f in best)
-    return {"hz": hz, "snr_db": snr, "agree": agree, "present": int(snr >= 6 and agree >= 5)}
+    close = [s for s, f in best if abs(f - hz) <= agree_hz]
+    snr = 10 * math.log10(np.median(close)) if close else None
+    return {"hz": hz, "snr_db": snr, "agree": len(close), "present": int(snr is not None and snr >= 6 and len(close) >= 5)}
+
+
+def longest_run(at: np.ndarray) -> slice:
+    """The longest stretch of whole numbers that follow each other without a gap; the first of equals."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
+    i = int(np.diff(cuts).argmax()) if len(at) else 0
+    return slice(int(cuts[i]), int(cuts[i + 1])) if len(at) else slice(0, 0)
 
 
-def periodogram(y: np.ndarray) -> tuple[float, float, float]:
-    """Strongest period of an even series without its line (in samples), its share of the power, and the p-value of that share among as many equal ones."""
+def periodogram(y: np.ndarray, cycles: int = 3, block: int = 6, draws: int = 200, seed: int = 0, least: int = 32) -> tuple[float, float, float]:
+    """Strongest period of an even series without its line (in samples), its share of the power, and the p-value of that share when blocks are shuffled.
+
+    Periods have two samples at least and `cycles` cycles in the series, as a trend makes slower ones; NaN for fewer than `least` samples.
+    """
     n = len(y)
-    if n < 8:
+    if n < least:
         return float("nan"), float("nan"), 1.0
     t = np.arange(n) - (n - 1) / 2
     z = y - y.mean()
     z = z - t * (t @ z) / (t @ t)
-    p = np.abs(np.fft.rfft(z * np.hanning(n)))[1:] ** 2
-    if not p.sum():
-        return float("nan"), float("nan"), 1.0
-    g, m, k = float(p.max() / p.sum()), len(p), int(p.argmax()) + 1
-    return n / k, g, float(min(1.0, m * (1 - g) ** (m - 1)))
+    w = np.hanning(n)
+    k = np.arange(n // 2 + 1)
+    open_ = (k >= cycles) & (2 * k <= n)
+
+    def share(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = (np.abs(np.fft.rfft(x * w, axis=-1)) ** 2)[..., open_]
+        return p.argmax(-1), p.max(-1) / np.maximum(p.sum(-1), 1e-30)
+
+    at, own = share(z)
+    rng = np.random.default_rng(seed)
+    blocks = [z[i : i + block] for i in range(0, n, block)]
+    null = share(np.stack([np.concatenate([blocks[i] for i in rng.permutation(len(blocks))]) for _ in range(draws)]))[1]
+    return n / k[open_][at], float(own), float((1 + (null >= own).sum()) / (draws + 1))
 
 
 def suppress(scores: np.ndarray, at: np.ndarray, radius: float, top: int = 5) -> np.ndarray:

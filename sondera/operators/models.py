@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +32,41 @@ def small(models: DataFrame) -> DataFrame:
     return F.broadcast(models) if models.limit(MAX_MODELS + 1).count() <= MAX_MODELS else models
 
 
-def classify(rows: DataFrame, models: DataFrame, row_id: list[str], model_id: str, x: str, y: str, match: float = MATCH, marginal: float = MARGINAL, least: int = LEAST_ROWS) -> DataFrame:
-    """(row_id, nearest, d2, verdict): MATCH, MARGINAL or STRANGER by the nearest model, UNSCORED without a model of `least` rows."""
+def least_of(rows: DataFrame, models: DataFrame, row_id: list[str], score: Callable[[Column], Column], out: str) -> DataFrame:
+    """rows with `out`, the least score(model) over all models (structs); null without models.
+
+    Up to MAX_MODELS models are one array that is sent to all tasks, and no row moves. More of them are dealt into blocks of that size
+    by hash: rows meet one block after another, each block being a single row, and only a score for each row and block is aggregated.
+    """
+    fields = F.struct(*models.columns).alias("m")
+    if models.limit(MAX_MODELS + 1).count() <= MAX_MODELS:
+        one = models.agg(F.collect_list(fields).alias("__models"))
+        return rows.join(F.broadcast(one), how="inner", on=F.lit(True)).withColumn(out, F.array_min(F.transform("__models", score))).drop("__models")
+    n = -(-models.count() // (MAX_MODELS // 2))
+    blocks = models.groupBy(F.pmod(F.xxhash64(*models.columns), F.lit(n)).alias("__block")).agg(F.collect_list(fields).alias("__models"))
+    dealt = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(blocks.hint("shuffle_hash"), "__block")
+    best = dealt.withColumn("__least", F.array_min(F.transform("__models", score))).groupBy(*row_id).agg(F.min("__least").alias(out))
+    return rows.join(best, row_id, "left")
+
+
+def classify(rows: DataFrame, models: DataFrame, row_id: list[str], model_id: str, x: str, y: str, match: float = MATCH, marginal: float = MARGINAL, least: int = LEAST_ROWS, exclude: str | None = None) -> DataFrame:
+    """(row_id, nearest, d2, verdict): MATCH, MARGINAL or STRANGER by the nearest model, UNSCORED without a model of `least` rows. exclude: a column of rows that names a model which isn't asked."""
     m = models.where(F.col("n") >= least).select(F.col(model_id).alias("__m"), "mx", "my", "vx", "vy", "cxy")
-    d2 = mahalanobis2(F.col(x) - F.col("mx"), F.col(y) - F.col("my"), F.col("vx"), F.col("vy"), F.col("cxy"))
-    scored = rows.join(small(m), how="left", on=F.lit(True)).withColumn("__d2", d2)
-    best = scored.groupBy(*row_id).agg(F.min(F.when(F.col("__d2").isNotNull(), F.struct("__d2", "__m"))).alias("b"))
-    d = F.col("b.__d2")
+
+    def score(c: Column) -> Column:
+        d2 = mahalanobis2(F.col(x) - c["mx"], F.col(y) - c["my"], c["vx"], c["vy"], c["cxy"])
+        return F.when(d2.isNotNull() if exclude is None else d2.isNotNull() & ~c["__m"].eqNullSafe(F.col(exclude)), F.struct(d2.alias("d2"), c["__m"].alias("m")))
+
+    best = least_of(rows, m, row_id, score, "__best")
+    d = F.col("__best.d2")
     verdict = F.when(d.isNull(), "UNSCORED").when(d <= match, "MATCH").when(d <= marginal, "MARGINAL").otherwise("STRANGER")
-    return best.select(*row_id, F.col("b.__m").alias("nearest"), d.alias("d2"), verdict.alias("verdict"))
+    return best.select(*row_id, F.col("__best.m").alias("nearest"), d.alias("d2"), verdict.alias("verdict"))
 
 
-def separations(models: DataFrame, key: str) -> DataFrame:
-    """(a, b, d): distance of each pair of sources under the pooled covariance."""
-    pooled = models.where("n > 1").agg((F.sum((F.col("n") - 1) * F.col("vx")) / F.sum(F.col("n") - 1)).alias("pvx"), (F.sum((F.col("n") - 1) * F.col("vy")) / F.sum(F.col("n") - 1)).alias("pvy"), (F.sum((F.col("n") - 1) * F.col("cxy")) / F.sum(F.col("n") - 1)).alias("pcxy"))
+def separations(models: DataFrame, key: str, least: int = LEAST_ROWS) -> DataFrame:
+    """(a, b, d): distance of each pair of sources of `least` rows under their pooled covariance."""
+    models = models.where(F.col("n") >= least)
+    pooled = models.agg((F.sum((F.col("n") - 1) * F.col("vx")) / F.sum(F.col("n") - 1)).alias("pvx"), (F.sum((F.col("n") - 1) * F.col("vy")) / F.sum(F.col("n") - 1)).alias("pvy"), (F.sum((F.col("n") - 1) * F.col("cxy")) / F.sum(F.col("n") - 1)).alias("pcxy"))
     a = models.select(F.col(key).alias("a"), F.col("mx").alias("ax"), F.col("my").alias("ay"))
     b = models.select(F.col(key).alias("b"), F.col("mx").alias("bx"), F.col("my").alias("by"))
     pairs = a.join(b, F.col("a") < F.col("b")).crossJoin(F.broadcast(pooled))  # one row
@@ -55,7 +78,7 @@ def nearest_centroid(train: DataFrame, test: DataFrame, label: str, row_id: str,
     long = train.select(label, F.posexplode(vector).alias("j", "v"))
     centre = long.groupBy(label, "j").agg(F.median("v").alias("c"))
     mid = long.groupBy("j").agg(F.median("v").alias("m"))
-    spread = long.join(F.broadcast(mid), "j").groupBy("j").agg((1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("s")).select("j", F.when(F.col("s") > 0, F.col("s")).otherwise(1e-9).alias("s"))
+    spread = long.join(small(mid), "j").groupBy("j").agg((1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("s")).select("j", F.when(F.col("s") > 0, F.col("s")).otherwise(1e-9).alias("s"))
     model = centre.join(spread, "j").select(F.col(label).alias("__l"), "j", "c", "s")
     t = test.select(row_id, F.posexplode(vector).alias("j", "v"))
     d = t.join(small(model), "j").groupBy(row_id, "__l").agg(F.sum(F.pow((F.col("v") - F.col("c")) / F.col("s"), 2)).alias("d"))

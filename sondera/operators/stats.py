@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .windows import rank_ties
 
+#: Points of a series of which all pairs are formed.
+MOST_POINTS = 2048
+
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """(group, n, rho): correlation of ranks, ties sharing their mean rank."""
@@ -56,19 +60,27 @@ def sidak(p: Column, m: Column) -> Column:
     return 1 - F.pow(1 - p, m)
 
 
-def theil_sen(df: DataFrame, group: list[str], t: str, y: str) -> DataFrame:
-    """(group, slope): median of the slopes of all pairs of a series' points. Series are bins, a bounded number for each group."""
-    a = df.select(*group, F.col(t).alias("__ta"), F.col(y).alias("__ya"))
-    b = df.select(*[F.col(g).alias(f"__{g}") for g in group], F.col(t).alias("__tb"), F.col(y).alias("__yb"))
+def theil_sen(df: DataFrame, group: list[str], t: str, y: str, most: int = MOST_POINTS) -> DataFrame:
+    """(group, slope): median of the slopes of all pairs of a series' points. A group of more than `most` points is first brought to the medians (of t and y) of `most` equal spans of t, so pairs are bounded."""
+    w = Window.partitionBy(*group)
+    span = F.greatest(F.max(t).over(w) - F.min(t).over(w), F.lit(1e-300))
+    place = F.when(F.count(F.lit(1)).over(w) > most, F.least(F.floor((F.col(t) - F.min(t).over(w)) / span * most), F.lit(most - 1)))
+    d = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).withColumn("__k", place)
+    key = F.coalesce(F.col("__k").cast("double"), F.col(t).cast("double"))
+    few = d.where("__k IS NULL").select(*group, F.col(t).cast("double").alias(t), F.col(y).cast("double").alias(y))
+    many = d.where("__k IS NOT NULL").groupBy(*group, key.alias("__key")).agg(F.median(t).alias(t), F.median(y).alias(y)).select(*group, t, y)
+    d = few.unionByName(many)
+    a = d.select(*group, F.col(t).alias("__ta"), F.col(y).alias("__ya"))
+    b = d.select(*[F.col(g).alias(f"__{g}") for g in group], F.col(t).alias("__tb"), F.col(y).alias("__yb"))
     pairs = a.join(b, [F.col(g) == F.col(f"__{g}") for g in group] + [F.col("__ta") < F.col("__tb")])
     return pairs.groupBy(*group).agg(F.median((F.col("__yb") - F.col("__ya")) / (F.col("__tb") - F.col("__ta"))).alias("slope"))
 
 
 def variogram(df: DataFrame, group: list[str], index: str, y: str, lags: list[int]) -> DataFrame:
-    """(group, lag, pairs, gamma): half the mean squared difference at each lag of the index, which may have gaps."""
+    """(group, lag, pairs, typical, drift_sd): median absolute difference at each lag of the index, which may have gaps, and the standard deviation of a drift with this median."""
     far = df.select(*group, F.col(index).alias("__i"), F.col(y).alias("__y"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")).withColumn(index, F.col("__i") + F.col("lag"))
     d = df.join(far.select(*group, index, "lag", "__y"), [*group, index])
-    return d.groupBy(*group, "lag").agg(F.count(F.lit(1)).alias("pairs"), (F.avg(F.pow(F.col(y) - F.col("__y"), 2)) / 2).alias("gamma"))
+    return d.groupBy(*group, "lag").agg(F.count(F.lit(1)).alias("pairs"), F.median(F.abs(F.col(y) - F.col("__y"))).alias("typical")).withColumn("drift_sd", 1.4826 * F.col("typical") / math.sqrt(2.0))
 
 
 def autocorrelation(df: DataFrame, group: list[str], index: str, y: str, lags: list[int]) -> DataFrame:
@@ -77,18 +89,34 @@ def autocorrelation(df: DataFrame, group: list[str], index: str, y: str, lags: l
     return df.join(far.select(*group, index, "lag", "__y"), [*group, index]).groupBy(*group, "lag").agg(F.count(F.lit(1)).alias("pairs"), F.corr(y, "__y").alias("r"))
 
 
-def allan(df: DataFrame, group: list[str], index: str, y: str, taus: list[int]) -> DataFrame:
-    """(group, tau, n, adev): overlapping Allan deviation from running sums; windows with a gap drop out. df has a row for each index, null where there is no value."""
+def allan(df: DataFrame, group: list[str], index: str, y: str, taus: list[int], least: float = 0.9, pairs: int = 3) -> DataFrame:
+    """(group, tau, n, independent, adev): overlapping Allan deviation. df has a row for each index, null where there is no value.
+
+    A block of tau rows counts if at least the share `least` of them have a value; adev is null under `pairs` pairs of blocks.
+    independent: pairs of blocks without overlap. Running sums are made once, and each tau is a lag of them, so all share one sort.
+    """
     w = Window.partitionBy(*group).orderBy(index)
-    parts = []
-    for m in taus:
-        first, second = w.rowsBetween(0, m - 1), w.rowsBetween(m, 2 * m - 1)
-        whole = (F.count(y).over(first) == m) & (F.count(y).over(second) == m)
-        parts.append(df.select(*group, F.when(whole, F.avg(y).over(second) - F.avg(y).over(first)).alias("d")).where("d IS NOT NULL").groupBy(*group).agg(F.lit(m).alias("tau"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d")) / 2).alias("adev")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = df.select(*group, index, F.coalesce(F.sum(y).over(w), F.lit(0.0)).alias("__s"), F.count(y).over(w).alias("__c"), F.row_number().over(w).alias("__i"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("__n"))
+    back = lambda c, k: F.lag(c, k, 0).over(w)
+
+    def gap(m: int) -> Column:
+        late, early = F.col("__c") - back("__c", m), back("__c", m) - back("__c", 2 * m)
+        need = max(1, math.ceil(least * m))
+        d = F.try_divide(F.col("__s") - back("__s", m), late) - F.try_divide(back("__s", m) - back("__s", 2 * m), early)
+        return F.when((F.col("__i") >= 2 * m) & (late >= need) & (early >= need), d)
+
+    rows = s.select(*group, "__n", F.array(*[gap(m) for m in taus]).alias("__gaps")).select(*group, "__n", F.posexplode("__gaps").alias("__k", "d"))
+    tau = F.element_at(F.array(*[F.lit(m) for m in taus]), F.col("__k") + 1)
+    g = rows.groupBy(*group, tau.alias("tau")).agg(F.count("d").alias("n"), F.avg(F.col("d") * F.col("d")).alias("s"), F.first("__n").alias("__n"))
+    enough = F.col("n") >= pairs
+    return g.select(*group, "tau", "n", F.when(enough, F.floor(F.col("__n") / (2 * F.col("tau"))).cast("bigint")).otherwise(0).alias("independent"), F.when(enough, F.sqrt(F.col("s") / 2)).alias("adev"))
+
+
+def loglog_slope(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """(group, points, slope) of log y over log x, of points where both are positive; null for fewer than `least`."""
+    d = df.where((F.col(x) > 0) & (F.col(y) > 0))
+    g = d.groupBy(*group).agg(F.count(F.lit(1)).alias("points"), F.regr_slope(F.log10(y), F.log10(x)).alias("slope"))
+    return g.select(*group, "points", F.when(F.col("points") >= least, F.col("slope")).alias("slope"))
 
 
 # --- resampling
@@ -98,22 +126,71 @@ def seed_of(key: tuple, seed: int) -> int:
     return zlib.crc32(repr((seed, *map(str, key))).encode())
 
 
-def bootstrap_ci(df: DataFrame, group: list[str], y: str, stat: str = "median", draws: int = 2000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(group, n, estimate, lo, hi) by resampling a group's values."""
-    f = {"median": np.median, "mean": np.mean}[stat]
+_STATS = {"median": np.median, "mean": np.mean}
+#: Numbers of resampled values that are in memory together.
+DRAWN_AT_ONCE = 4_000_000
+
+
+def _draw(rng: np.random.Generator, v: np.ndarray, draws: int, stat: str) -> np.ndarray:
+    """The statistic of `draws` resamples of v (rows of v, if it has two axes, stay together)."""
+    step = max(1, DRAWN_AT_ONCE // max(1, len(v)))
+    return np.concatenate([_STATS[stat](v[rng.integers(0, len(v), (min(step, draws - i), len(v)))], axis=1) for i in range(0, draws, step)])
+
+
+def _interval(own: float, boot: np.ndarray, level: float) -> dict[str, list]:
+    boot = boot[np.isfinite(boot)]
+    lo, hi = (float(np.quantile(boot, q)) for q in ((1 - level) / 2, (1 + level) / 2)) if len(boot) else (None, None)
+    return {"estimate": [float(own)], "lo": [lo], "hi": [hi]}
+
+
+_NO_INTERVAL = {"estimate": [None], "lo": [None], "hi": [None]}
+
+
+def _by_group(df: DataFrame, group: list[str], cols: list[str], counts: list[str], f: Callable[[np.random.Generator, pd.DataFrame], tuple[list[int], dict]], seed: int) -> DataFrame:
+    """(group, counts, estimate, lo, hi) from f(generator, rows without gaps, in a fixed order)."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[y].dropna().to_numpy(dtype=float)
-        v.sort()  # rows come in any order
-        if not len(v):
-            return pd.DataFrame({**dict(zip(group, ([k] for k in key), strict=True)), "n": [0], "estimate": [None], "lo": [None], "hi": [None]})
-        rng = np.random.default_rng(seed_of(key, seed))
-        boot = np.array([f(v[rng.integers(0, len(v), len(v))]) for _ in range(draws)])
-        a = (1 - level) / 2
-        return pd.DataFrame({**dict(zip(group, ([k] for k in key), strict=True)), "n": [len(v)], "estimate": [float(f(v))], "lo": [float(np.quantile(boot, a))], "hi": [float(np.quantile(boot, 1 - a))]})
+        n, out = f(np.random.default_rng(seed_of(key, seed)), pdf[cols].dropna().sort_values(cols))
+        return pd.DataFrame({**dict(zip(group, ([k] for k in key), strict=True)), **dict(zip(counts, ([x] for x in n), strict=True)), **out})
 
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
-    return df.groupBy(*group).applyInPandas(one, f"{kinds}, n bigint, estimate double, lo double, hi double")
+    return df.groupBy(*group).applyInPandas(one, f"{kinds}, {', '.join(f'{c} bigint' for c in counts)}, estimate double, lo double, hi double")
+
+
+def bootstrap_ci(df: DataFrame, group: list[str], y: str, stat: str = "median", draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 3) -> DataFrame:
+    """(group, n, estimate, lo, hi) by resampling a group's values; null for fewer than `least`."""
+
+    def f(rng, pdf):
+        v = pdf[y].to_numpy(dtype=float)
+        return [len(v)], _interval(_STATS[stat](v), _draw(rng, v, draws, stat), level) if len(v) >= least else _NO_INTERVAL
+
+    return _by_group(df, group, [y], ["n"], f, seed)
+
+
+def bootstrap_two(df: DataFrame, group: list[str], side: str, y: str, how: str = "difference", stat: str = "median", draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 3) -> DataFrame:
+    """(group, n0, n1, estimate, lo, hi): difference (or ratio) of the statistic of rows with side 1 to those with side 0, both resampled by themselves."""
+    gap = {"difference": np.subtract, "ratio": np.divide}[how]
+
+    def f(rng, pdf):
+        a, b = (pdf.loc[pdf[side] == i, y].to_numpy(dtype=float) for i in (0, 1))
+        if min(len(a), len(b)) < least:
+            return [len(a), len(b)], _NO_INTERVAL
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = _draw(rng, a, draws, stat)
+            return [len(a), len(b)], _interval(gap(_STATS[stat](b), _STATS[stat](a)), gap(_draw(rng, b, draws, stat), low), level)
+
+    return _by_group(df, group, [side, y], ["n0", "n1"], f, seed)
+
+
+def bootstrap_paired(df: DataFrame, group: list[str], a: str, b: str, stat: str = "median", draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 3) -> DataFrame:
+    """(group, n, estimate, lo, hi) of b - a, resampling pairs."""
+    return bootstrap_ci(df.withColumn("__d", F.col(b) - F.col(a)), group, "__d", stat, draws, level, seed, least)
+
+
+def bootstrap_sessions(df: DataFrame, group: list[str], session: str, y: str, stat: str = "median", draws: int = 2000, level: float = 0.95, seed: int = 0, least: int = 3) -> DataFrame:
+    """(group, sessions, estimate, lo, hi): whole sessions are resampled, each standing for its own statistic, so rows of one session don't count as independent."""
+    own = df.groupBy(*group, session).agg((F.median(y) if stat == "median" else F.avg(y)).alias("__y"))
+    return bootstrap_ci(own, group, "__y", stat, draws, level, seed, least).withColumnRenamed("n", "sessions")
 
 
 def bootstrap_difference(a: np.ndarray, b: np.ndarray, draws: int = 2000, level: float = 0.95, seed: int = 0, f=np.median) -> tuple[float, float, float]:
@@ -123,15 +200,15 @@ def bootstrap_difference(a: np.ndarray, b: np.ndarray, draws: int = 2000, level:
     return float(f(a) - f(b)), float(np.quantile(boot, (1 - level) / 2)), float(np.quantile(boot, (1 + level) / 2))
 
 
-def block_bootstrap_variance(v: np.ndarray, block: int, draws: int = 1000, seed: int = 0) -> float:
-    """Variance of the mean under resampling of overlapping blocks."""
-    rng = np.random.default_rng(seed)
-    starts = len(v) - block + 1
-    if starts < 1:
+def block_bootstrap_variance(v: np.ndarray, block: int, draws: int = 200, seed: int = 0) -> float:
+    """Variance of the median when overlapping blocks of a series are drawn until it is as long again."""
+    n = len(v)
+    if not n:
         return float("nan")
-    sums = np.convolve(v, np.ones(block), "valid")
-    k = max(1, len(v) // block)
-    return float(np.var(sums[rng.integers(0, starts, (draws, k))].sum(1) / (k * block)))
+    rng = np.random.default_rng(seed)
+    starts = rng.integers(0, max(1, n - block + 1), (draws, -(-n // block)))
+    at = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n]
+    return float(np.median(v[np.minimum(at, n - 1)], axis=1).var(ddof=1))
 
 
 def permutation_p(df: DataFrame, group: list[str], x: str, y: str, draws: int = 2000, seed: int = 0) -> DataFrame:
@@ -256,10 +333,76 @@ def ks_uniform(p: np.ndarray) -> tuple[float, float]:
     return d, float(min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * x * x) for j in range(1, 101)))))
 
 
-def range_p(w: float, n: int, draws: int = 20000, seed: int = 0) -> float:
-    """P(range of n standard normals >= w), by simulation."""
-    x = np.random.default_rng(seed).standard_normal((draws, n))
-    return float(((x.max(1) - x.min(1)) >= w).mean())
+def range_p(w: float, n: int) -> float:
+    """P(range of n uniform values <= w)."""
+    w = min(max(w, 0.0), 1.0)
+    return n * w ** (n - 1) - (n - 1) * w**n if n > 1 else float("nan")
+
+
+def range_test(df: DataFrame, group: list[str], x: str) -> DataFrame:
+    """(group, n, span, p): range of values in [0, 1], and how probable one as small is among uniform ones; null for a single value."""
+    n, w = F.col("n"), F.least(F.greatest("span", F.lit(0.0)), F.lit(1.0))
+    g = df.groupBy(*group).agg(F.count(x).alias("n"), (F.max(x) - F.min(x)).alias("span"))
+    return g.select(*group, "n", "span", F.when(n > 1, n * F.pow(w, n - 1) - (n - 1) * F.pow(w, n)).alias("p"))
+
+
+def ks_test(df: DataFrame, group: list[str], x: str) -> DataFrame:
+    """(group, n, d, p): largest distance of values in [0, 1] from the uniform distribution, and its asymptotic p-value."""
+    w = Window.partitionBy(*group)
+    r = df.where(F.col(x).isNotNull()).select(*group, F.col(x).alias("__x"), F.row_number().over(w.orderBy(x)).alias("__i"), F.count(F.lit(1)).over(w).alias("n"))
+    g = r.groupBy(*group, "n").agg(F.max(F.greatest(F.col("__i") / F.col("n") - F.col("__x"), F.col("__x") - (F.col("__i") - 1) / F.col("n"))).alias("d"))
+    z = (F.sqrt("n") + 0.12 + F.lit(0.11) / F.sqrt("n")) * F.col("d")
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * j * j * z * z))
+    return g.select(*group, "n", "d", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * terms)).alias("p"))
+
+
+def effective_number(df: DataFrame, variable: str, index: str, y: str) -> DataFrame:
+    """One row (variables, effective): how many independent tests as many correlated variables amount to.
+
+    It follows from the variance of the eigenvalues of their correlations, which is that of the correlations' squares, so no matrix
+    is formed: pairs of variables meet on the index. Pairs without a correlation count as uncorrelated.
+    """
+    a, b = (df.select(F.col(variable).alias(f"__{s}"), F.col(index).alias("__i"), F.col(y).alias(f"__y{s}")) for s in "ab")
+    pairs = a.join(b, "__i").where("__a < __b").groupBy("__a", "__b").agg(F.corr("__ya", "__yb").alias("r"))
+    squares = pairs.agg(F.coalesce(F.sum(F.when(~F.isnan("r"), F.col("r") * F.col("r"))), F.lit(0.0)).alias("s"))
+    m = F.col("variables")
+    return df.agg(F.countDistinct(variable).alias("variables")).crossJoin(squares).select("variables", F.when(m > 1, 1 + (m - 1) * (1 - 2 * F.col("s") / ((m - 1) * m))).otherwise(1.0).alias("effective"))  # one row each
+
+
+# --- periods
+
+
+def phase_fold(df: DataFrame, group: list[str], t: str, hits: str, frames: str, periods: list[float], bins: int = 24) -> DataFrame:
+    """(group, period, hits, frames, resultant, modulation, chi2, dof, depth): rate of hits for each frame, folded on each period.
+
+    df has sums of hits and frames of short spans at t. Rates by phase take out that frames are uneven in phase; a rate
+    r0 (1 + m cos) has the resultant m / 2. chi2 compares hits with an even rate; depth is the range of rates over their mean.
+    """
+    every = F.explode(F.array(*[F.lit(float(p)) for p in periods]))
+    d = df.select(*group, F.col(t).cast("double").alias("__t"), F.col(hits).cast("double").alias("__h"), F.col(frames).cast("double").alias("__f"), every.alias("period"))
+    b = F.least(F.floor(F.pmod("__t", F.col("period")) / F.col("period") * bins), F.lit(bins - 1))
+    c = d.groupBy(*group, "period", b.alias("__b")).agg(F.sum("__h").alias("h"), F.sum("__f").alias("f")).where("f > 0")
+    w = Window.partitionBy(*group, "period")
+    c = c.withColumn("r", F.col("h") / F.col("f")).withColumn("e", F.sum("h").over(w) * F.col("f") / F.sum("f").over(w))
+    turn = 2 * F.pi() * (F.col("__b") + 0.5) / bins
+    g = c.groupBy(*group, "period").agg(F.sum("h").alias("hits"), F.sum("f").alias("frames"), F.sum(F.col("r") * F.cos(turn)).alias("x"), F.sum(F.col("r") * F.sin(turn)).alias("y"), F.sum("r").alias("s"), F.sum(F.when(F.col("e") > 0, F.pow(F.col("h") - F.col("e"), 2) / F.col("e"))).alias("chi2"), F.count_if(F.col("e") > 0).alias("cells"), ((F.max("r") - F.min("r"))).alias("wide"), F.avg("r").alias("usual"))
+    some = F.col("s") > 0
+    long = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / F.col("s")
+    return g.select(*group, "period", "hits", "frames", F.when(some, long).alias("resultant"), F.when(some, 2 * long).alias("modulation"), F.when(some, F.col("chi2")).alias("chi2"), F.when(some, F.col("cells") - 1).alias("dof"), F.when(some, F.col("wide") / F.col("usual")).alias("depth"))
+
+
+def sinusoid_scan(df: DataFrame, group: list[str], t: str, y: str, periods: list[float], least: int = 20) -> DataFrame:
+    """(group, period, n, r2): share of the variance of a series without its line that a sinusoid of each period explains; groups of fewer than `least` points are absent."""
+    w = Window.partitionBy(*group)
+    d = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(t).cast("double").alias("__t"), F.col(y).cast("double").alias("__y"), F.count(F.lit(1)).over(w).alias("n"))
+    d = d.where(F.col("n") >= least).withColumn("__x", F.col("__t") - F.avg("__t").over(w)).withColumn("__v", F.col("__y") - F.avg("__y").over(w))
+    slope = F.try_divide(F.sum(F.col("__x") * F.col("__v")).over(w), F.sum(F.col("__x") * F.col("__x")).over(w))
+    d = d.withColumn("__v", F.col("__v") - F.coalesce(slope, F.lit(0.0)) * F.col("__x")).withColumn("period", F.explode(F.array(*[F.lit(float(p)) for p in periods])))
+    turn = 2 * F.pi() * F.col("__t") / F.col("period")
+    d = d.withColumn("c", F.cos(turn)).withColumn("s", F.sin(turn))
+    g = d.groupBy(*group, "period").agg(F.first("n").alias("n"), *[F.covar_pop(a, b).alias(a.strip("_") + b.strip("_")) for a, b in (("c", "c"), ("s", "s"), ("c", "s"), ("c", "__v"), ("s", "__v"), ("__v", "__v"))])
+    explained = F.col("cv") * F.col("cv") * F.col("ss") - 2 * F.col("cv") * F.col("sv") * F.col("cs") + F.col("sv") * F.col("sv") * F.col("cc")
+    return g.select(*group, "period", "n", F.try_divide(explained, F.col("vv") * (F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs"))).alias("r2"))
 
 
 def effective_tests(corr: np.ndarray) -> float:

@@ -225,9 +225,10 @@ def agg13_mergeable_sums(spark, sf_dir):
     return e.groupBy("label", (F.col("j") + 1).cast("bigint").alias("j")).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 4) + 0.0).alias("s"), (F.round(F.sum(F.col("v") * F.col("v")), 4) + 0.0).alias("s2"))
 
 
-@register(_sql("SELECT source, max(m) FILTER (WHERE node = 'click') AS click, max(m) FILTER (WHERE node = 'view') AS view, max(m) FILTER (WHERE node = 'purchase') AS purchase FROM (SELECT source, node, round(median(value), 6) + 0.0 AS m FROM fr GROUP BY source, node) GROUP BY source"))
+@register(_sql("SELECT source, max(m) FILTER (WHERE node = 'click') AS click, max(m) FILTER (WHERE node = 'error') AS error, max(m) FILTER (WHERE node = 'purchase') AS purchase, max(m) FILTER (WHERE node = 'signup') AS signup, max(m) FILTER (WHERE node = 'view') AS view FROM (SELECT source, node, round(median(value), 6) + 0.0 AS m FROM fr GROUP BY source, node) GROUP BY source"))
 def agg16_pivot(spark, sf_dir):
-    return frames(spark, sf_dir).groupBy("source").pivot("node", ["click", "view", "purchase"]).agg(r6(F.median("value")))
+    """Medians of each source with a column for each node; the nodes are read from the table, as many as Spark allows for a pivot (spark.sql.pivotMaxValues)."""
+    return frames(spark, sf_dir).groupBy("source").pivot("node").agg(r6(F.median("value")))
 
 
 @register(_sql("SELECT node, round(atan2(avg(sin(a)), avg(cos(a))), 6) + 0.0 AS mean_angle, round(sqrt(avg(sin(a)) * avg(sin(a)) + avg(cos(a)) * avg(cos(a))), 6) + 0.0 AS resultant, round(sqrt(-2 * ln(sqrt(avg(sin(a)) * avg(sin(a)) + avg(cos(a)) * avg(cos(a))))), 6) + 0.0 AS circular_sd FROM (SELECT node, 2 * pi() * (us % 86400000000) / 86400000000.0 AS a FROM fr) GROUP BY node"))
@@ -411,17 +412,9 @@ def win14_split(spark, sf_dir):
     return win.chronological(frames(spark, sf_dir), "source", ORDER).select("row_no", "source", "trains")
 
 
-@register(_sql("SELECT node, bin, round(coalesce(v, CASE WHEN bi - ai - 1 <= 3 THEN av + (bv - av) * (bin - ai) / (bi - ai) END), 6) + 0.0 AS filled FROM (SELECT node, bin, v, last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS ai, last_value(v IGNORE NULLS) OVER b AS av, first_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS bi, first_value(v IGNORE NULLS) OVER f AS bv FROM g WINDOW b AS (PARTITION BY node ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))", "d AS (SELECT node, us // 3600000000 AS bin, median(value) AS v FROM fr WHERE row_no % 2 = 0 GROUP BY 1, 2), e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"))
+@register(_sql("SELECT node, bin, round(coalesce(v, CASE WHEN bi - ai - 1 <= 3 THEN av + (bv - av) * (bin - ai) / (bi - ai) END), 6) + 0.0 AS filled FROM (SELECT node, bin, v, last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS ai, last_value(v IGNORE NULLS) OVER b AS av, first_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS bi, first_value(v IGNORE NULLS) OVER f AS bv FROM g WINDOW b AS (PARTITION BY node ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))", "d AS (SELECT node, us // 3600000000 AS bin, median(value) AS v FROM fr GROUP BY 1, 2), e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"))
 def win18_interp(spark, sf_dir):
     """Hourly bins made dense; gaps of up to three hours are filled by lines."""
-    d = win.time_bins(frames(spark, sf_dir).where("row_no % 2 = 0"), "node", "us", HOUR, {"v": F.median("value")})
-    g = win.dense(d, "node", "bin").join(d, ["node", "bin"], "left")
-    return win.fill_gaps(g, "node", "bin", "v", 3).select("node", "bin", r6("filled").alias("filled"))
-
-
-@register(_sql("SELECT node, bin, round(coalesce(v, CASE WHEN bi - ai - 1 <= 3 THEN av + (bv - av) * (bin - ai) / (bi - ai) END), 6) + 0.0 AS filled FROM (SELECT node, bin, v, last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER b AS ai, last_value(v IGNORE NULLS) OVER b AS av, first_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER f AS bi, first_value(v IGNORE NULLS) OVER f AS bv FROM g WINDOW b AS (PARTITION BY node ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))", "d AS (SELECT node, us // 3600000000 AS bin, median(value) AS v FROM fr GROUP BY 1, 2), e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"))
-def win18_interp_all(spark, sf_dir):
-    """win18_interp over all frames, not every other one as its SQL asks."""
     d = win.time_bins(frames(spark, sf_dir), "node", "us", HOUR, {"v": F.median("value")})
     g = win.dense(d, "node", "bin").join(d, ["node", "bin"], "left")
     return win.fill_gaps(g, "node", "bin", "v", 3).select("node", "bin", r6("filled").alias("filled"))

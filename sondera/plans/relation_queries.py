@@ -63,17 +63,8 @@ def jn5_range_median(spark, sf_dir):
     return g.where("n >= 10").select("node", "window", "n", r6("m").alias("ref"))
 
 
-@register(_sql("SELECT w.source, w.lo, CASE WHEN count(f.value) > 0 THEN round(avg(f.value), 6) + 0.0 END AS reading FROM (SELECT source, min(us) AS lo, max(us) AS hi FROM fr GROUP BY source) w LEFT JOIN fr f ON f.node = 'signup' AND f.us >= w.lo AND f.us <= w.hi GROUP BY 1, 2"))
-def jn6_interval_membership(spark, sf_dir):
-    """Mean of the readings inside each source's span; null if there are none."""
-    f = frames(spark, sf_dir)
-    spans = f.groupBy("source").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    g = joins.in_range(spans, f.where("node = 'signup'").select("us", "value"), [], "lo", "hi", "us", 5 * DAY, how="inner").groupBy("source").agg(F.avg("value").alias("m"))
-    return spans.join(g, "source", "left").select("source", "lo", r6("m").alias("reading"))
-
-
 @register(_sql("SELECT w.source, w.lo, w.n, round(coalesce(w.v, k.v), 6) + 0.0 AS reading, k.away_us FROM w LEFT JOIN k ON w.source = k.source", "w AS (SELECT w.source, w.lo, w.hi, count(f.value) AS n, avg(f.value) AS v FROM (SELECT source, min(us) AS lo, max(us) AS hi FROM fr GROUP BY source) w LEFT JOIN fr f ON f.node = 'signup' AND f.us >= w.lo AND f.us <= w.hi GROUP BY 1, 2, 3), k AS (SELECT w.source, f.value AS v, abs(w.lo + w.hi - 2 * f.us) / 2.0 AS away_us FROM w, fr f WHERE w.n = 0 AND f.node = 'signup' AND f.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY w.source ORDER BY abs(w.lo + w.hi - 2 * f.us), f.us, f.value) = 1)"))
-def jn6_membership_or_nearest(spark, sf_dir):
+def jn6_interval_membership(spark, sf_dir):
     """Mean of the readings inside each source's span; if there are none (n = 0), the reading nearest to its middle and how far away that is."""
     f = frames(spark, sf_dir)
     spans = f.groupBy("source").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
@@ -96,31 +87,16 @@ def jn7_nearest(spark, sf_dir):
     return joins.nearest_gap(left, right, ["source"], "us", "gap").where("gap IS NOT NULL").select("row_no", "gap")
 
 
-@register(_sql("SELECT a.source AS a, b.source AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap FROM s a JOIN s b ON a.source < b.source AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 86400000000", "s AS (SELECT source, min(us) AS lo, min(us) + 172800000000 AS hi FROM fr GROUP BY source)"))
-def jn8_overlap(spark, sf_dir):
-    s = frames(spark, sf_dir).groupBy("source").agg(F.min("us").alias("lo"), (F.min("us") + 2 * DAY).alias("hi"))
-    return joins.overlaps(s, "source", "lo", "hi", DAY, DAY).select("a", "b", F.col("overlap").cast("bigint").alias("overlap"))
-
-
 @register(_sql("SELECT a.source AS a, b.source AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap FROM s a JOIN s b ON a.source < b.source AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 86400000000", "s AS (SELECT source, min(us) AS lo, max(us) AS hi FROM fr GROUP BY source)"))
-def jn8_overlap_all(spark, sf_dir):
-    """Pairs of sources whose spans, first to last row, share more than a day; jn8_overlap ends each span after two days, as its SQL does."""
+def jn8_overlap(spark, sf_dir):
+    """Pairs of sources whose spans, first to last row, share more than a day."""
     s = frames(spark, sf_dir).groupBy("source").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     return joins.overlaps(s, "source", "lo", "hi", DAY, DAY).select("a", "b", F.col("overlap").cast("bigint").alias("overlap"))
 
 
-@register("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND abs(a.s_acctbal) >= 2 * abs(b.s_acctbal) AND (CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 1, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 1, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 2, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 2, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 3, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 3, 1) THEN 1 ELSE 0 END + CASE WHEN substr(lpad(CAST(a.s_suppkey AS VARCHAR), 4, '0'), 4, 1) <> substr(lpad(CAST(b.s_suppkey AS VARCHAR), 4, '0'), 4, 1) THEN 1 ELSE 0 END) <= 1")
-def jn9_near_miss_ids(spark, sf_dir):
-    """Ids that differ in at most one place while one is far larger: keyed by each way to leave a place out, so near ids meet in an equi join."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.abs("s_acctbal").alias("size"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("id"))
-    keyed = s.withColumn("k", F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.overlay("id", F.lit("_"), F.lit(i + 1), F.lit(1))) for i in range(4)])))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.s_suppkey") < F.col("y.s_suppkey")) & (F.col("x.size") >= 2 * F.col("y.size"))).select(F.col("x.s_suppkey").alias("a"), F.col("y.s_suppkey").alias("b")).distinct()
-
-
 @register("WITH p AS (SELECT s_suppkey AS k, abs(s_acctbal) AS size, lpad(CAST(s_suppkey AS VARCHAR), (SELECT max(length(CAST(s_suppkey AS VARCHAR))) FROM supplier)::INTEGER, '0') AS id FROM supplier) SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.k < b.k AND greatest(a.size, b.size) >= 2 * least(a.size, b.size) AND hamming(a.id, b.id) <= 1")
-def jn9_near_miss_all(spark, sf_dir):
-    """Near-miss ids of all suppliers, whichever of the two is far larger; jn9_near_miss_ids is the part that its SQL asks for."""
+def jn9_near_miss_ids(spark, sf_dir):
+    """Near-miss ids of all suppliers, whichever of the two is far larger: keyed by each way to leave a place out, so near ids meet in an equi join."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.abs("s_acctbal").alias("size"))
     return joins.near_miss(s, "s_suppkey", "size", 2)
 
@@ -157,18 +133,9 @@ def jn13_score_argmin(spark, sf_dir):
     return best.select("row_no", F.col("b.model").alias("nearest"))
 
 
-@register(_sql("SELECT e.row_no, count(*) AS n, round(median(f.value) FILTER (WHERE f.us < e.us), 6) + 0.0 AS before, round(median(f.value) FILTER (WHERE f.us >= e.us), 6) + 0.0 AS after FROM (SELECT * FROM fr WHERE row_no % 97 = 0) e JOIN fr f ON f.node = e.node AND f.us >= e.us - 43200000000 AND f.us < e.us + 43200000000 GROUP BY e.row_no"))
+@register(_sql("SELECT e.row_no, count(*) AS n, round(median(f.value) FILTER (WHERE f.us < e.us), 6) + 0.0 AS before, round(median(f.value) FILTER (WHERE f.us >= e.us), 6) + 0.0 AS after FROM fr e JOIN fr f ON f.node = e.node AND f.us >= e.us - 43200000000 AND f.us < e.us + 43200000000 GROUP BY e.row_no"))
 def jn15_event_windows(spark, sf_dir):
-    """Medians of a beacon half a day before and after each event."""
-    f = frames(spark, sf_dir)
-    e = f.where("row_no % 97 = 0").select("node", F.col("us").alias("at"), "row_no")
-    g = joins.around(e, f, ["node"], "at", "us", "value", DAY // 2, DAY)
-    return e.join(g, ["node", "at"]).select("row_no", "n", r6("before").alias("before"), r6("after").alias("after"))
-
-
-@register()
-def jn15_event_windows_all(spark, sf_dir):
-    """jn15_event_windows with every frame of the stream as an event, not the part that its SQL asks for."""
+    """Medians of a beacon half a day before and after every frame of the stream."""
     f = frames(spark, sf_dir)
     g = joins.sliding_around(f.select("node", "us", "row_no"), f, ["node"], "us", "us", "value", DAY // 2, DAY)
     return g.select("row_no", "n", r6("before").alias("before"), r6("after").alias("after"))
@@ -180,17 +147,9 @@ def jn16_anti(spark, sf_dir):
     return f.where("value > 20").select("source").distinct().join(f.where("node = 'purchase' AND value > 60"), "source", "left_anti")
 
 
-@register(_sql("SELECT a.node, a.bin, round(a.v - b.v, 6) + 0.0 AS change FROM d a JOIN d b ON a.node = b.node AND a.rx = b.rx AND a.bin = b.bin + 3 WHERE a.rx = 0", _BINS))
-def jn17_lag_join(spark, sf_dir):
-    """x(t) - x(t - 3) by bin number, so gaps don't shift the lag."""
-    d = _bins(spark, sf_dir).where("rx = 0")
-    old = d.select("node", (F.col("bin") + 3).alias("bin"), F.col("v").alias("old"))
-    return d.join(old, ["node", "bin"]).select("node", "bin", r6(F.col("v") - F.col("old")).alias("change"))
-
-
 @register(_sql("SELECT a.node, a.rx, a.bin, round(a.v - b.v, 6) + 0.0 AS change FROM d a JOIN d b ON a.node = b.node AND a.rx = b.rx AND a.bin = b.bin + 3", _BINS))
-def jn17_lag_join_all(spark, sf_dir):
-    """jn17_lag_join for every receiver, not the first alone as its SQL asks."""
+def jn17_lag_join(spark, sf_dir):
+    """x(t) - x(t - 3) of every receiver by bin number, so gaps don't shift the lag."""
     d = _bins(spark, sf_dir)
     old = d.select("node", "rx", (F.col("bin") + 3).alias("bin"), F.col("v").alias("old"))
     return d.join(old, ["node", "rx", "bin"]).select("node", "rx", "bin", r6(F.col("v") - F.col("old")).alias("change"))

@@ -103,10 +103,10 @@ def dsp15_frame_motion(spark, sf_dir):
     return e.select("vec_id", "label", F.when(F.col("p").isNotNull(), r6(expr.arr_sum(F.zip_with("v", "p", lambda a, b: F.abs(a - b))) / 64)).alias("motion"))
 
 
-@register(_e(_V, body="SELECT i AS x, j AS y, round(sum(w * exp(-sqrt((i - px) * (i - px) + (j - py) * (j - py)) / 3)), 6) + 0.0 AS field FROM (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(8)) AS j) b, (SELECT label % 8 AS px, (label * 3) % 8 AS py, avg(v[1]) AS w FROM e GROUP BY label) l GROUP BY i, j"))
+@register(_e(_V, body="SELECT i AS x, j AS y, round(sum(w * exp(-sqrt((i - px) * (i - px) + (j - py) * (j - py)) / 3)), 6) + 0.0 AS field FROM (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(8)) AS j) b, (SELECT label % 8 AS px, (label * 3) % 8 AS py, avg(list_sum(list_transform(v, lambda x: abs(x))) / len(v)) AS w FROM e GROUP BY label) l GROUP BY i, j"))
 def dsp14_field(spark, sf_dir):
-    """A field on a fixed grid as the sum of decaying contributions of links."""
-    link = _vectors(spark, sf_dir).groupBy("label").agg(F.avg(F.col("v")[0]).alias("w")).select((F.col("label") % 8).alias("px"), (F.col("label") * 3 % 8).alias("py"), "w")
+    """A field on a fixed grid as the sum of decaying contributions of links; a link weighs what its vectors deviate on average."""
+    link = _vectors(spark, sf_dir).groupBy("label").agg(F.avg(expr.arr_mean(F.transform("v", F.abs))).alias("w")).select((F.col("label") % 8).alias("px"), (F.col("label") * 3 % 8).alias("py"), "w")
     grid = F.sequence(F.lit(0), F.lit(7))
     g = link.withColumn("x", F.explode(grid)).withColumn("y", F.explode(grid))  # 64 cells for each link
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2))
@@ -150,15 +150,16 @@ def ml1_mahalanobis(spark, sf_dir):
     return c.select("vec_id", r6("d2").alias("d2"), "verdict", "nearest")
 
 
-@register(_e(_XY, _G, body=f"SELECT p.vec_id, p.label, round({_D2}, 6) + 0.0 AS d2 FROM p JOIN g ON p.label = g.label"))
+@register(_e(_XY, _G, body=f"SELECT p.vec_id, p.label, round({_D2}, 6) + 0.0 AS d2 FROM p JOIN g ON p.label = g.label WHERE g.n >= 5"))
 def ml2_self_consistency(spark, sf_dir):
+    """Distance of each row to its own source's model; sources of under five rows have none yet."""
     p = _points(spark, sf_dir)
-    j = p.join(models.gaussian(p, ["label"], "x", "y"), "label")
+    j = p.join(models.gaussian(p, ["label"], "x", "y").where(F.col("n") >= models.LEAST_ROWS), "label")
     c = F.col
     return j.select("vec_id", "label", r6(models.mahalanobis2(c("x") - c("mx"), c("y") - c("my"), c("vx"), c("vy"), c("cxy"))).alias("d2"))
 
 
-@register(_e(_XY, _G, "q AS (SELECT sum((n - 1) * vx) / sum(n - 1) AS vx, sum((n - 1) * vy) / sum(n - 1) AS vy, sum((n - 1) * cxy) / sum(n - 1) AS cxy FROM g)", body="SELECT a.label AS a, b.label AS b, round(sqrt((q.vy * (a.mx - b.mx) * (a.mx - b.mx) - 2 * q.cxy * (a.mx - b.mx) * (a.my - b.my) + q.vx * (a.my - b.my) * (a.my - b.my)) / (q.vx * q.vy - q.cxy * q.cxy)), 6) + 0.0 AS d FROM g a JOIN g b ON a.label < b.label, q"))
+@register(_e(_XY, _G.replace("GROUP BY label", "GROUP BY label HAVING count(*) >= 5"), "q AS (SELECT sum((n - 1) * vx) / sum(n - 1) AS vx, sum((n - 1) * vy) / sum(n - 1) AS vy, sum((n - 1) * cxy) / sum(n - 1) AS cxy FROM g)", body="SELECT a.label AS a, b.label AS b, round(sqrt((q.vy * (a.mx - b.mx) * (a.mx - b.mx) - 2 * q.cxy * (a.mx - b.mx) * (a.my - b.my) + q.vx * (a.my - b.my) * (a.my - b.my)) / (q.vx * q.vy - q.cxy * q.cxy)), 6) + 0.0 AS d FROM g a JOIN g b ON a.label < b.label, q"))
 def ml3_separation(spark, sf_dir):
     s = models.separations(models.gaussian(_points(spark, sf_dir), ["label"], "x", "y"), "label")
     return s.select("a", "b", r6("d").alias("d"))
@@ -179,13 +180,6 @@ def ml4_holdout(spark, sf_dir):
     return c.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(in_gate & (F.col("nearest") == F.col("truth"))).alias("correct"), F.count_if(in_gate & (F.col("nearest") != F.col("truth"))).alias("wrong"), F.count_if(~in_gate).alias("refused"))
 
 
-@register(_e("e AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)", "x AS (SELECT vec_id, label, unnest(range(8)) AS j, unnest(v) AS v FROM e)", "c AS (SELECT label, j, median(v) AS c FROM x WHERE vec_id % 2 = 0 GROUP BY label, j)", "m AS (SELECT j, median(v) AS m FROM x WHERE vec_id % 2 = 0 GROUP BY j)", "s AS (SELECT x.j, 1.4826 * median(abs(x.v - m.m)) AS s FROM x JOIN m ON x.j = m.j WHERE x.vec_id % 2 = 0 GROUP BY x.j)", "d AS (SELECT x.vec_id, c.label, round(sum(((x.v - c.c) / s.s) * ((x.v - c.c) / s.s)), 9) AS d FROM x JOIN c ON x.j = c.j JOIN s ON x.j = s.j WHERE x.vec_id % 2 = 1 GROUP BY x.vec_id, c.label)", body="SELECT vec_id, min(label) AS predicted FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS best FROM d) WHERE d = best GROUP BY vec_id"))
-def ml5_nearest_centroid(spark, sf_dir):
-    """Even ids train, odd ids are classified (the fold is the operator's, not a sample)."""
-    e = _vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 8).alias("v"))
-    return models.nearest_centroid(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "v")
-
-
 _FOLDS = (
     "x AS (SELECT vec_id, vec_id % 2 AS h, label, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
     "c AS (SELECT h, label, j, median(v) AS c FROM x GROUP BY h, label, j)",
@@ -196,8 +190,8 @@ _FOLDS = (
 
 
 @register(_e(*_FOLDS, body="SELECT vec_id, min(label) AS predicted FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS best FROM d) WHERE d = best GROUP BY vec_id"))
-def ml5_nearest_centroid_all(spark, sf_dir):
-    """All vectors by all their components, each half against centroids of the other; ml5_nearest_centroid is the part that its SQL asks for."""
+def ml5_nearest_centroid(spark, sf_dir):
+    """All vectors by all their components, each half (the operator's fold) against centroids of the other."""
     e = _vectors(spark, sf_dir).select("vec_id", "label", "v")
     halves = [e.where(F.col("vec_id") % 2 == i) for i in (0, 1)]
     a, b = (models.nearest_centroid(halves[i], halves[1 - i], "label", "vec_id", "v") for i in (0, 1))
@@ -345,9 +339,10 @@ def stat11_acf(spark, sf_dir):
     return stats.autocorrelation(_days(spark, sf_dir), ["node"], "bin", "v", [1, 2, 7]).select("node", "lag", "pairs", r6("r").alias("r"))
 
 
-@register(_sql("SELECT a.node, CAST(a.bin - b.bin AS INTEGER) AS lag, count(*) AS pairs, round(avg((a.v - b.v) * (a.v - b.v)) / 2, 6) + 0.0 AS gamma FROM d a JOIN d b ON a.node = b.node AND a.bin - b.bin IN (1, 3, 10) GROUP BY 1, 2", _DAYS))
+@register(_sql("SELECT a.node, CAST(a.bin - b.bin AS INTEGER) AS lag, count(*) AS pairs, round(median(abs(a.v - b.v)), 6) + 0.0 AS typical, round(1.4826 * median(abs(a.v - b.v)) / sqrt(2.0), 6) + 0.0 AS drift_sd FROM d a JOIN d b ON a.node = b.node AND a.bin - b.bin IN (1, 3, 10) GROUP BY 1, 2", _DAYS))
 def stat12_variogram(spark, sf_dir):
-    return stats.variogram(_days(spark, sf_dir), ["node"], "bin", "v", [1, 3, 10]).select("node", "lag", "pairs", r6("gamma").alias("gamma"))
+    """Median absolute difference of days at each lag, and the standard deviation of the drift that it stands for."""
+    return stats.variogram(_days(spark, sf_dir), ["node"], "bin", "v", [1, 3, 10]).select("node", "lag", "pairs", r6("typical").alias("typical"), r6("drift_sd").alias("drift_sd"))
 
 
 @register(_sql("SELECT node, count(*) AS sources, round(corr(a, b), 6) + 0.0 AS r FROM (SELECT node, source, avg(value) FILTER (WHERE row_no % 2 = 0) AS a, avg(value) FILTER (WHERE row_no % 2 = 1) AS b FROM fr GROUP BY node, source) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY node"))
@@ -357,10 +352,12 @@ def stat12_split_half(spark, sf_dir):
     return g.groupBy("node").agg(F.count(F.lit(1)).alias("sources"), r6(F.corr("a", "b")).alias("r"))
 
 
-@register(_sql("SELECT node, round(max(s), 6) + 0.0 AS max_step, round(quantile_cont(s, 0.95), 6) + 0.0 AS p95_step FROM (SELECT node, abs(v - lag(v) OVER (PARTITION BY node ORDER BY bin)) AS s FROM d) WHERE s IS NOT NULL GROUP BY node", _DAYS))
+@register(_sql("SELECT node, round(max(s), 6) + 0.0 AS max_step, round(quantile_cont(s, 0.95), 6) + 0.0 AS p95_step, round(max(v) - min(v), 6) + 0.0 AS span FROM (SELECT node, v, abs(v - lag(v) OVER (PARTITION BY node ORDER BY bin)) AS s FROM d) GROUP BY node HAVING count(s) > 1", _DAYS))
 def stat13_wander(spark, sf_dir):
+    """How far a node's days wander by themselves: the largest step between neighbours, its 95th percentile, and the range."""
     s = F.abs(F.col("v") - F.lag("v").over(win.ordered("node", "bin")))
-    return _days(spark, sf_dir).select("node", s.alias("s")).where("s IS NOT NULL").groupBy("node").agg(r6(F.max("s")).alias("max_step"), r6(F.percentile("s", F.lit(0.95))).alias("p95_step"))
+    g = _days(spark, sf_dir).select("node", "v", s.alias("s")).groupBy("node").agg(F.count("s").alias("n"), r6(F.max("s")).alias("max_step"), r6(F.percentile("s", F.lit(0.95))).alias("p95_step"), r6(F.max("v") - F.min("v")).alias("span"))
+    return g.where("n > 1").drop("n")
 
 
 @register(_sql('SELECT node, round(stddev_samp(m), 6) + 0.0 AS sd, count(*) AS windows FROM (SELECT node, w, avg(value) AS m FROM (SELECT node, value, (row_number() OVER (PARTITION BY node ORDER BY md5(\'3:\' || row_no), row_no) - 1) // 16 AS w FROM fr) GROUP BY node, w HAVING count(*) = 16) GROUP BY node'))
@@ -371,11 +368,55 @@ def stat14_order_shuffle(spark, sf_dir):
     return g.groupBy("node").agg(r6(F.stddev_samp("m")).alias("sd"), F.count(F.lit(1)).alias("windows"))
 
 
-@register(_sql("SELECT node, tau, n, round(sqrt(s / 2), 6) + 0.0 AS adev FROM (SELECT node, tau, count(*) AS n, avg((b - a) * (b - a)) AS s FROM (SELECT node, 1 AS tau, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND CURRENT ROW) AS a, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS b, count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS c FROM g UNION ALL SELECT node, 4, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN 4 FOLLOWING AND 7 FOLLOWING), count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) FROM g) WHERE c = 2 * tau GROUP BY node, tau)", _DAYS + ", e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"))
-def dsp13_allan(spark, sf_dir):
+_GRID = _DAYS + ", e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v, count(*) OVER (PARTITION BY k.node) AS total FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"
+#: For each tau and row: means and counts of the tau rows from it on and of the tau rows after them.
+_BLOCKS = "SELECT node, {0} AS tau, total, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND {1} FOLLOWING) AS a, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN {0} FOLLOWING AND {2} FOLLOWING) AS b, count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND {1} FOLLOWING) AS na, count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN {0} FOLLOWING AND {2} FOLLOWING) AS nb FROM g"
+_ALLAN = _GRID + ", q AS (" + " UNION ALL ".join(_BLOCKS.format(m, m - 1, 2 * m - 1) for m in (1, 2, 4, 8)) + "), y AS (SELECT node, tau, count(CASE WHEN na >= ceil(0.9 * tau) AND nb >= ceil(0.9 * tau) THEN b - a END) AS n, any_value(total) AS total, avg(CASE WHEN na >= ceil(0.9 * tau) AND nb >= ceil(0.9 * tau) THEN (b - a) * (b - a) END) AS s FROM q GROUP BY node, tau)"
+
+
+def _allan(spark, sf_dir):
     d = _days(spark, sf_dir)
-    g = win.dense(d, "node", "bin").join(d, ["node", "bin"], "left")
-    return stats.allan(g, ["node"], "bin", "v", [1, 4]).select("node", "tau", "n", r6("adev").alias("adev"))
+    return stats.allan(win.dense(d, "node", "bin").join(d, ["node", "bin"], "left"), ["node"], "bin", "v", [1, 2, 4, 8])
+
+
+@register(_sql("SELECT node, tau, n, CASE WHEN n >= 3 THEN total // (2 * tau) ELSE 0 END AS independent, CASE WHEN n >= 3 THEN round(sqrt(s / 2), 6) + 0.0 END AS adev FROM y", _ALLAN))
+def dsp13_allan(spark, sf_dir):
+    """Overlapping Allan deviation of each node's days; blocks need nine tenths of their days."""
+    return _allan(spark, sf_dir).select("node", "tau", "n", "independent", r6("adev").alias("adev"))
+
+
+@register(_sql("SELECT node, count(*) AS points, CASE WHEN count(*) >= 3 THEN round(regr_slope(log10(sqrt(s / 2)), log10(tau)), 6) + 0.0 END AS slope FROM y WHERE n >= 3 AND s > 0 GROUP BY node", _ALLAN))
+def dsp13_slope(spark, sf_dir):
+    """How fast averaging helps: slope of the Allan deviation over tau, both as logarithms."""
+    return stats.loglog_slope(_allan(spark, sf_dir), ["node"], "tau", "adev").select("node", "points", r6("slope").alias("slope"))
+
+
+@register(_sql("SELECT count(DISTINCT node) AS variables, round(1 + (count(DISTINCT node) - 1) * (1 - 2 * (SELECT sum(r * r) FROM (SELECT corr(a.v, b.v) AS r FROM d a JOIN d b ON a.bin = b.bin AND a.node < b.node GROUP BY a.node, b.node)) / ((count(DISTINCT node) - 1) * count(DISTINCT node))), 6) + 0.0 AS effective FROM d", _DAYS))
+def stat6_effective_tests(spark, sf_dir):
+    """How many independent tests the nodes' days amount to."""
+    return stats.effective_number(_days(spark, sf_dir), "node", "bin", "v").select("variables", r6("effective").alias("effective"))
+
+
+_ARRIVALS = "u AS (SELECT source, (us - lo) / (hi - lo) AS x FROM (SELECT source, us * 1.0::DOUBLE AS us, (SELECT min(us) FROM fr) AS lo, (SELECT max(us) FROM fr) AS hi FROM fr))"
+
+
+def _arrivals(spark, sf_dir):
+    """When frames of each source come, as a share of the whole time."""
+    f = frames(spark, sf_dir)
+    ends = f.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))  # one row
+    return f.crossJoin(F.broadcast(ends)).select("source", ((F.col("us") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"))
+
+
+@register(_sql("SELECT source, n, round(d, 6) + 0.0 AS d, round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2 * j * j * pow((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 2)))))), 6) + 0.0 AS p FROM (SELECT source, n, max(greatest(i / n - x, x - (i - 1) / n)) AS d FROM (SELECT source, x, row_number() OVER (PARTITION BY source ORDER BY x) * 1.0::DOUBLE AS i, count(*) OVER (PARTITION BY source) AS n FROM u) GROUP BY source, n)", _ARRIVALS))
+def stat9_ks(spark, sf_dir):
+    """Whether frames of each source come evenly over the whole time."""
+    return stats.ks_test(_arrivals(spark, sf_dir), ["source"], "x").select("source", "n", r6("d").alias("d"), r6("p").alias("p"))
+
+
+@register(_sql("SELECT source, n, round(w, 6) + 0.0 AS span, CASE WHEN n > 1 THEN round(n * pow(w, n - 1) - (n - 1) * pow(w, n), 6) + 0.0 END AS p FROM (SELECT source, count(*) AS n, max(x) - min(x) AS w FROM u GROUP BY source)", _ARRIVALS))
+def stat9_range(spark, sf_dir):
+    """Whether frames of each source come closer together than even ones would."""
+    return stats.range_test(_arrivals(spark, sf_dir), ["source"], "x").select("source", "n", r6("span").alias("span"), r6("p").alias("p"))
 
 
 @register(_sql("SELECT band, count(*) AS n, round(corr(value, us / 1e12), 6) + 0.0 AS r FROM (SELECT CAST(floor(value / 25) AS BIGINT) AS band, value, us FROM fr) GROUP BY band HAVING count(*) >= 20"))

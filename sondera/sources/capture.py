@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,16 +13,46 @@ LENGTHS, NOISE, RSSI = (128, 256, 384), (-110, -70), (-100, -10)
 
 
 def read_capture(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
-    """Capture rows with `file` and `row_no` (rising within a file, in its order). Files of ten columns have nulls in the last three; rows that don't parse are dropped or, with keep_bad, marked in `_bad`."""
+    """Capture rows with `file`, `row_no` (rising within a file, in its order) and `tile` (the start of the part of the file that a task reads).
+
+    Files of ten columns have nulls in the last three; rows that don't parse are dropped or, with keep_bad, marked in `_bad`. Folders
+    named column=value give columns.
+    """
     schema = T.StructType([*CAPTURE.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("quote", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_name")).withColumn("row_no", F.monotonically_increasing_id())
+    rows = _csv(spark).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = rows.withColumn("file", F.col("_metadata.file_name")).withColumn("tile", F.col("_metadata.file_block_start")).withColumn("row_no", F.monotonically_increasing_id())
     # a missing tail of old files is no damage
     bad = F.col("pc_time_us").isNull() | F.col("mac").isNull() | F.col("csi_data").isNull()
     rows = rows.withColumn("_bad", F.when(bad, F.coalesce("_bad", F.lit("incomplete"))))
     return rows if keep_bad else rows.where(~bad).drop("_bad")
 
 
+def _csv(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("header", True).option("enforceSchema", True).option("quote", '"')
+
+
+def read_prefix(spark: SparkSession, path: str, fields: int = 9) -> DataFrame:
+    """The first fields of each line that has them; the parser doesn't convert what follows."""
+    wanted = CAPTURE.names[:fields]
+    rows = _csv(spark).schema(CAPTURE).option("mode", "PERMISSIVE").csv(path)
+    return rows.drop(*CAPTURE.names[fields:]).where(F.col(wanted[0]).isNotNull() & F.col("mac").isNotNull())
+
+
+def write_captures(rows: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """Captures in text, one file for each value of `by`, in order. A task writes a file, and Spark sorts it there, with spill."""
+    rows.repartition(by).sortWithinPartitions(by, *order).write.partitionBy(by).option("header", True).csv(path)
+
+
+def by_tile(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(file, tile, keys, sums): results of each part of a file, which add up, so that a job can go on where it ended."""
+    return rows.groupBy("file", "tile", *keys).agg(*[c.alias(n) for n, c in sums.items()])
+
+
+def without_tiles(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows of tiles that aren't done. A tile is named by file and start, so cuts must be as before (spark.sql.files.maxPartitionBytes)."""
+    return rows.join(done.select("file", "tile").distinct(), ["file", "tile"], "left_anti")
+
+
 def vector(csi_data: Column) -> Column:
     """The quoted list as integers."""
     return F.transform(F.split(csi_data, ","), lambda x: F.trim(x).cast("int"))
@@ -70,14 +100,15 @@ def line_ending_pair(mac: Column) -> Column:
     return F.coalesce(F.contains(mac, F.lit("0d:0a")), F.lit(False))
 
 
-def read_hourly(spark: SparkSession, path: str, minute: int = 53) -> DataFrame:
-    """(at timestamp, value): lines of a date and values by hour; `-` is missing, `@mm=v` has its own minute."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' AND NOT startswith(v, '#')")
-    t = lines.select(F.split("v", r"\s+").alias("p")).select(F.col("p")[0].alias("day"), F.posexplode(F.split(F.col("p")[1], ",")).alias("hour", "tok")).where("tok <> '-'")
+def read_hourly(spark: SparkSession, path: str, minute: int = 53, extra: list[str] | None = None) -> DataFrame:
+    """(extra, at timestamp, value): lines of a date and values by hour; `-` is missing, `@mm=v` has its own minute. extra: columns that folders name."""
+    extra = extra or []
+    lines = spark.read.text(path).select(*extra, F.trim("value").alias("v")).where("v <> '' AND NOT startswith(v, '#')")
+    t = lines.select(*extra, F.split("v", r"\s+").alias("p")).select(*extra, F.col("p")[0].alias("day"), F.posexplode(F.split(F.col("p")[1], ",")).alias("hour", "tok")).where("tok <> '-'")
     own = F.regexp_extract("tok", r"^@(\d+)=", 1)
     m = F.when(own != "", own.cast("int")).otherwise(minute)
     at = F.to_timestamp(F.concat_ws(" ", "day", F.format_string("%02d:%02d:00", F.col("hour"), m)))
-    return t.select(at.alias("at"), F.regexp_replace("tok", r"^@\d+=", "").cast("double").alias("value"))
+    return t.select(*extra, at.alias("at"), F.regexp_replace("tok", r"^@\d+=", "").cast("double").alias("value"))
 
 
 def read_prefixed_json(spark: SparkSession, path: str, schema: str, prefix: str = "JSON ") -> DataFrame:
@@ -112,10 +143,10 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, whole:
     return (r.schema(schema) if schema else r).json(path)
 
 
-def write_results(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
-    """Parquet in zstd, CSV with a header, or gzipped JSON; empty results keep their schema. The commit protocol makes it all or nothing."""
+def write_results(df: DataFrame, path: str, form: str = "parquet", partition: str | None = None, **options: str) -> None:
+    """Parquet in zstd, CSV with a header, or gzipped JSON; partition: a folder for each value. Empty results keep their schema. The commit protocol makes it all or nothing."""
     w = df.write.mode("overwrite").options(**({"compression": "zstd"} if form == "parquet" else {"header": "true"} if form == "csv" else {"compression": "gzip"}), **options)
-    w.format(form).save(path)
+    (w.partitionBy(partition) if partition else w).format(form).save(path)
 
 
 def union_rows(parts: list[DataFrame]) -> DataFrame:

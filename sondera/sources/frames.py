@@ -83,8 +83,8 @@ def _row(raw: bytes) -> dict | None:
     return None
 
 
-def decode(buf: bytes, base: int = 0) -> Decoded:
-    """All records of a buffer, and the bytes at its end that may begin another."""
+def decode(buf: bytes, base: int = 0, final: bool = False) -> Decoded:
+    """All records of a buffer, and the bytes at its end that may begin another; final: none will come, so those are searched as well."""
     rows, at, skipped = [], 0, 0
     while True:
         nxt = buf.find(SYNC, at)
@@ -94,7 +94,9 @@ def decode(buf: bytes, base: int = 0) -> Decoded:
         at = nxt
         size = _size(buf, at)
         if size is None or size and at + size > len(buf):
-            return Decoded(rows, buf[at:], skipped)
+            if not final:
+                return Decoded(rows, buf[at:], skipped)
+            size = 0
         raw = buf[at : at + size] if size else b""
         row = _row(raw) if size and not int(np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8, offset=2))) else None
         if row is None:
@@ -129,22 +131,39 @@ def _table(rows: list[dict]) -> pd.DataFrame:
 
 
 def decode_chunks(chunks: DataFrame, stream: str, order: str, data: str) -> DataFrame:
-    """(stream, SCHEMA) from chunks of byte streams. A stream is read in order by one task, as a record may span chunks; streams spread over tasks."""
+    """(stream, SCHEMA) from chunks of byte streams, the stream's column under the name `stream`.
+
+    A stream is read in order by one task, as a record may span chunks; streams spread over tasks. Spark sorts the chunks, with
+    spill, and Python holds a batch of them and the few bytes that no record has taken yet.
+    """
     kind = chunks.schema[stream].dataType.simpleString()
+    src = chunks.select(F.col(stream).alias("stream"), F.col(order).alias("__order"), F.col(data).alias("data")).repartition("stream").sortWithinPartitions("stream", "__order").select("stream", "data")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, base, rows = b"", 0, []
-        for x in pdf.sort_values(order)[data]:
-            got = decode(rest + bytes(x), base)
-            base += len(rest) + len(x) - len(got.rest)
-            rest = got.rest
-            rows += got.rows
-        out = _table(rows)
-        out.insert(0, stream, key[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, rest, base, some = None, b"", 0, False
+        def named(rows: list[dict], names: list) -> pd.DataFrame:
+            out = _table(rows)
+            out.insert(0, "stream", names)
+            return out
+
+        for b in batches:
+            rows, names = [], []
+            for name, x in zip(b["stream"], b["data"], strict=True):
+                if not some or name != last:
+                    end = decode(rest, base, final=True).rows
+                    rows, names = rows + end, names + [last] * len(end)
+                    last, rest, base, some = name, b"", 0, True
+                got = decode(rest + bytes(x), base)
+                base += len(rest) + len(x) - len(got.rest)
+                rest = got.rest
+                rows += got.rows
+                names += [name] * len(got.rows)
+            yield named(rows, names)
+        if end := decode(rest, base, final=True).rows:
+            yield named(end, [last] * len(end))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMA)
-    return chunks.groupBy(stream).applyInPandas(run, f"`{stream}` {kind}, {fields}")
+    return src.mapInPandas(run, f"stream {kind}, {fields}")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +173,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
-                out = _table(decode(bytes(content)).rows)
+                out = _table(decode(bytes(content), final=True).rows)
                 out.insert(0, "file", file)
                 yield out
 

@@ -139,7 +139,7 @@ class SourceState:
         v = pd.Series([x for _, x in full])
         iqr = float(v.quantile(0.75) - v.quantile(0.25))
         med = float(v.median())
-        return {"us": int(full[-1][0]), "med": med, "iqr": iqr, "tracked": self.track.step(med, noise_of(iqr, 1.0)), "verdict": self.model.step(med, max(iqr, 1.0) ** 2)}
+        return {"us": int(full[-1][0]), "med": med, "iqr": iqr, "tracked": self.track.step(med, noise_of(iqr, 1.0)), "verdict": self.model.step(med, iqr)}
 
 
 WINDOWS = "source bigint, us bigint, med double, iqr double, tracked double, verdict string"

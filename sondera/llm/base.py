@@ -1,68 +1,32 @@
-"""Shared helpers of the training-data operators: scratch tables in the folder all executors share."""
+"""Shared helpers of the training-data operators: tables in the folder all executors share, and Arrow batches of texts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import clear, scratch, table
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _ROOTS.get("own") or _ROOTS.setdefault("own", "file://" + tempfile.mkdtemp(prefix="sondera-"))
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit; leftovers are only scratch
-        pass
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; everything below our root there goes when the driver ends."""
-    base = shared_dir(spark)
-    if base not in _ROOTS:
-        _ROOTS[base] = f"{base}/sondera-{uuid.uuid4().hex[:12]}"
-        atexit.register(_remove, spark, _ROOTS[base])
-    return f"{_ROOTS[base]}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what keep() has written in this session. Call it when no result that reads from there is needed any more; at exit it happens by itself."""
-    if root := _ROOTS.pop(shared_dir(spark), None):
-        _remove(spark, root)
+__all__ = ["clear", "keep", "scratch", "table"]
 
 
 #: Rows with whole texts that go to Python in one batch, at most.
 TEXT_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to TEXT_ROWS rows: texts are long, and a batch is in memory several times."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
-    return df
+def keep(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    texts: whole texts go to Python on the way. They may be long, and a batch is in memory several times, so batches have TEXT_ROWS
+    rows at most while this is written; the session's own setting is as before afterwards.
+    """
+    path, conf = scratch(df.sparkSession, label), df.sparkSession.conf
+    own = conf.get(_BATCH, None)
+    if texts and not 0 < int(own or "10000") <= TEXT_ROWS:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if texts:
+            conf.set(_BATCH, own) if own is not None else conf.unset(_BATCH)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

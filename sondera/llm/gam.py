@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textstats
-from .base import bounded, keep
+from . import sieve, textstats
+from .base import keep
 
 MAX_TRAIN = 40_000
 BINS, COARSE = 64, 8
@@ -138,8 +138,8 @@ def fold(doc_id: Column) -> Column:
 
 
 def features_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) of each document, kept in the shared folder: texts are read once."""
-    return keep(bounded(docs).select("doc_id", measure(F.col("text")).alias("x")), "features")
+    """(doc_id, key, x) of each document, kept in the shared folder: texts are read once."""
+    return keep(docs.select("doc_id", sieve.document_key(F.col("doc_id"), F.col("text")).alias("key"), measure(F.col("text")).alias("x")), "features", texts=True)
 
 
 def train(features: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -149,25 +149,16 @@ def train(features: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     return fit(np.array([r.x for r in rows], dtype=np.float64).reshape(len(rows), len(textstats.FEATURES)), np.array([r.y for r in rows]))
 
 
-def _udf(model: Model, prepare):
+def scored(x: Column, model: Model) -> Column:
+    """Score of an array of features."""
     raw = zlib.compress(pickle.dumps(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = pickle.loads(zlib.decompress(raw))  # noqa: S301  made above
         for part in batches:
-            yield pd.Series(m.score(np.array(prepare(part), dtype=np.float64)) if len(part) else [], dtype=np.float64)
-
-    return F.pandas_udf(run, "double").asNondeterministic()  # never run twice for a filter and a column
-
-
-def scored(x: Column, model: Model) -> Column:
-    """Score of an array of features."""
-    return _udf(model, lambda part: part.to_list())(x)
-
+            yield pd.Series(m.score(np.array(part.to_list(), dtype=np.float64)) if len(part) else [], dtype=np.float64)
 
-def scored_text(text: Column, model: Model) -> Column:
-    """Score of a text, in one function, so that a task needs one Python worker."""
-    return _udf(model, lambda part: [textstats.features(t or "") for t in part])(F.coalesce(text.cast("string"), F.lit("")))
+    return F.pandas_udf(run, "double").asNondeterministic()(x)  # never run twice for a filter and a column
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -178,6 +169,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The documents with a score of at least `least`, with all their columns. Only labelled rows' features are kept; texts aren't shuffled beyond those."""
-    model = train(features_of(docs), labels, max_train)
-    return bounded(docs).withColumn("__score", scored_text(F.col("text"), model)).where(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with a score of at least `least`, with all their columns. Texts are measured once, and move only where their document can be one that goes."""
+    features = features_of(docs)
+    score = scored(F.col("x"), train(features, labels, max_train))
+    gone = keep(features.select("key", score.alias("score")).where(F.col("score") < least).select("key").distinct(), "gone")
+    return sieve.without(docs, sieve.document_key(F.col("doc_id"), F.col("text")), gone, "key")

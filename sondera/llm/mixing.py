@@ -15,6 +15,8 @@ a source without tokens is read once; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,8 @@ from .base import keep
 
 #: Tokens of a block, about, and blocks of a source at least.
 BLOCK_TOKENS, LEAST_BLOCKS = 4_000_000, 64
-#: Sources that are weighed together in one row.
-MAX_SOURCES = 1_000_000
-BISECTIONS = 60
+#: Halvings of the exponent's interval; or rounds of TRIES exponents, for a target entropy.
+BISECTIONS, ROUNDS, TRIES = 60, 9, 100
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,41 +33,45 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _bisect(keeps_low: "callable") -> Column:  # type: ignore[valid-type]
-    """Halve [0, 1] BISECTIONS times; keeps_low(mid) tells that the answer lies in the lower half."""
-    def half(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        low = keeps_low(mid)
-        return F.struct(F.when(low, s["lo"]).otherwise(mid).alias("lo"), F.when(low, mid).otherwise(s["hi"]).alias("hi"))
+def _even(per: DataFrame, entropy: float) -> float:
+    """The largest exponent whose weights have at least a share `entropy` of the even mix's entropy.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), half)
+    With Z the sum of p ** a and E that of p ** a ln p, the entropy is ln Z - a E / Z: two sums of an aggregation over sources. A round
+    tries TRIES exponents at once, so the interval shrinks TRIES + 1 times.
+    """
+    lo, hi = 0.0, 1.0
+    if per.limit(2).count() < 2:
+        return hi
+    for _ in range(ROUNDS):
+        at = [lo + (hi - lo) * (i + 1) / (TRIES + 1) for i in range(TRIES)]
+        sums = per.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.pow("p", F.lit(a))) for a in at]).alias("z"), F.array(*[F.sum(F.pow("p", F.lit(a)) * F.ln("p")) for a in at]).alias("e")).first()
+        enough = [math.log(z) - a * e / z >= entropy * math.log(sums.n) for a, z, e in zip(at, sums.z, sums.e, strict=True)]
+        good = [lo, *[a for a, ok in zip(at, enough, strict=True) if ok]][-1]
+        bad = [a for a, ok in zip(at, enough, strict=True) if not ok and a > good]
+        lo, hi = good, bad[0] if bad else hi
+    return lo
 
 
 def budgets(rows: DataFrame, max_repeats: float | None = None, entropy: float | None = None, total_tokens: int | None = None) -> DataFrame:
-    """(source, tokens, exponent, weight, budget, epochs, rest, blocks) of each source of rows (source, n_tokens)."""
+    """(source, tokens, exponent, weight, budget, epochs, rest, blocks) of each source of rows (source, n_tokens). Sources may be as many as rows: they are only aggregated."""
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
-    per = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    if per.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    all_in = per.where("tokens > 0").agg(F.sum("tokens").alias("all"), F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("each"))
-    p = F.transform("each", lambda x: x / F.col("all"))
+    per = keep(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
+    ends = per.where("tokens > 0").agg(F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.min("tokens").alias("low"))
     if max_repeats is not None:
-        least, most = F.array_min("p"), F.array_max("p")
-        s = _bisect(lambda a: F.pow(F.col("most") / F.col("least"), 1 - a) <= max_repeats)
-        top = all_in.withColumn("p", p).withColumn("least", least).withColumn("most", most)
-        exponent = F.when(F.size("each") > 0, F.round(s["hi"], 9))
+        # the repetition limit binds for the smallest source against the largest alone
+        def half(s: Column, _: Column) -> Column:
+            mid = (s["lo"] + s["hi"]) / 2
+            low = F.pow(F.col("top") / F.col("low"), 1 - mid) <= max_repeats
+            return F.struct(F.when(low, s["lo"]).otherwise(mid).alias("lo"), F.when(low, mid).otherwise(s["hi"]).alias("hi"))
+
+        exponent = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), half)["hi"]
     else:
-        def spread(a: Column) -> Column:
-            w = F.transform("p", lambda x: F.pow(x, a))
-            z = F.aggregate(w, F.lit(0.0), lambda u, v: u + v)
-            return F.aggregate(w, F.lit(0.0), lambda u, v: u - (v / z) * F.ln(v / z))
-
-        s = _bisect(lambda a: spread(a) < F.lit(float(entropy)) * F.ln(F.size("p").cast("double")))
-        top = all_in.withColumn("p", p)
-        exponent = F.when(F.size("each") > 0, F.round(s["lo"], 9))
-    top = top.withColumn("exponent", exponent).withColumn("z", F.aggregate("p", F.lit(0.0), lambda u, v: u + F.pow(v, F.col("exponent")))).withColumn("most", F.array_max("p"))
-    one = top.select("all", "exponent", "z", F.col("most").alias("__most"))
+        shares = keep(per.where("tokens > 0").crossJoin(F.broadcast(ends)).select((F.col("tokens") / F.col("all")).alias("p")), "shares")  # one row on the right
+        exponent = F.lit(_even(shares, float(entropy)))
+    ends = ends.withColumn("exponent", F.when(F.col("all").isNotNull(), F.round(exponent, 9)))
+    z = per.where("tokens > 0").crossJoin(F.broadcast(ends)).agg(F.sum(F.pow(F.col("tokens") / F.col("all"), F.col("exponent"))).alias("z"))
+    one = ends.crossJoin(z).select("all", "exponent", "z", (F.col("top") / F.col("all")).alias("__most"))  # one row each
     share = F.col("tokens") / F.col("all")
     weight = F.pow(share, F.col("exponent")) / F.col("z")
     # repeats relative to the least repeated source, the largest one

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles, sieve
-from .base import bounded, keep
+from .base import keep
 from .components import components
 
 BANDS, ROWS = 28, 6
@@ -175,9 +175,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """classes(), and the number of rows of each document."""
-    src = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    rows = keep(src.mapInArrow(_hash_texts, f"doc_id {id_type}, digest binary, n bigint, bands array<bigint>"), "bands")
+    rows = keep(src.mapInArrow(_hash_texts, f"doc_id {id_type}, digest binary, n bigint, bands array<bigint>"), "bands", texts=True)
     ids = rows.where("doc_id is not null").select("doc_id", "digest")
     # A digest stands for equal words and is named by its least doc_id; a document of several texts has several.
     reps = keep(rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
@@ -197,7 +197,7 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Texts of other documents stay where they are: only those that can be candidates are dealt by id.
     may, _ = sieve.split(src, "doc_id", cand, "id")
     texts = may.join(cand.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("id", "text").agg(F.first("hub").alias("hub"), F.first("is_hub").alias("is_hub")).select("id", "hub", "is_hub", "text")
-    els = keep(texts.mapInArrow(_elements, f"id {id_type}, hub {id_type}, is_hub boolean, els array<bigint>"), "elements")
+    els = keep(texts.mapInArrow(_elements, f"id {id_type}, hub {id_type}, is_hub boolean, els array<bigint>"), "elements", texts=True)
     of_hub = els.where("is_hub").select(F.col("id").alias("__hub"), F.col("els").alias("y"))
     links = els.where("hub <> id").join(of_hub.hint("merge"), F.col("hub") == F.col("__hub")).where(_similar(F.col("els"), F.col("y"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     edges = keep(links.union(twins) if twins else links, "links")

@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule is a measure in [0, 1], where high is bad, on a grid of 1/GRID steps; a document goes if a measure lies above
-its stratum's cutoff. Cutoffs are picked in two steps on the labelled good documents of a stratum (its language):
+its stratum's cutoff. Cutoffs are picked in two steps on the labelled good documents of a stratum (its language) that the base
+rule passes, as cutoffs apply to them alone:
 
-1. A tuning part lays a path of ever stricter rule sets: at level q each rule's cutoff is the lowest that rejects at most
-   a share q of that part. Rule sets along the path are nested.
+1. A tuning part lays a path of ever stricter rule sets. The mildest have cutoffs above all of that part, with less and less room;
+   then, at level q, each rule's cutoff is the lowest that rejects at most a share q of it. Rule sets along the path are nested.
 2. The other part, the holdout, certifies levels in this order. A level is taken while the exact binomial tail
    ``P(Bin(n, alpha) <= rejected)`` is at most ``delta / strata``, and the first failure ends the walk. The fixed order
    needs no further correction within a stratum, Bonferroni covers the strata: with probability 1 - delta no stratum
-   loses more than a share alpha of its good documents to the rules.
+   loses more than a share alpha of its good documents to the cutoffs. What the base rule rejects is fixed from outside and
+   isn't covered by this promise.
+
+Documents go to the two parts by a hash of their text, so exact copies are in one part and don't count as independent
+evidence for what was chosen on them.
 
 A stratum with too few good holdout rows to certify anything gets no cutoffs, and its documents pass the rules.
 
@@ -25,14 +30,15 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textstats
-from .base import bounded, keep
+from . import sieve, textstats
+from .base import keep
 
 GRID = 1000
-LEVELS = (0.0, 0.0002, 0.0005, 0.001)
+#: Levels of the path, from the mildest: a negative one stands for room above the highest value of the tuning part, a share of what lies between it and 1.
+LEVELS = (-0.5, -0.25, -0.1, -0.05, -0.02, 0.0, 0.0002, 0.0005, 0.001)
 ALPHA, DELTA = 0.01, 0.05
 #: The base rule: fewer words, or a larger share of words in repeated windows in percent, fail.
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -101,49 +107,35 @@ def certified(rejected: list[int], n: int, alpha: float, delta: float) -> int:
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, levels: tuple[float, ...] = LEVELS, good: int = 1) -> DataFrame:
     """(stratum, cut array<int>, level, n_holdout, n_rejected): each certified stratum's cutoffs, in the order of RULES.
 
-    stats: (doc_id, stratum, steps); labels: (doc_id, quality).
+    stats: (doc_id, stratum, key, base_failed, steps); labels: (doc_id, quality).
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
-    fine = stats.join(marked.where((F.col("lo") == good) & (F.col("hi") == good)).select("doc_id"), "doc_id", "left_semi")
-    fine = keep(fine.select("stratum", "steps", (F.crc32(F.concat(F.lit("tune:"), F.col("doc_id").cast("string"))) % 2 == 0).alias("tunes")), "good")
-    n_rules = len(RULES)
-
-    def lay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The path of a stratum, from counts by rule and step (at most rules x (GRID + 1) rows)."""
-        n = int(pdf.loc[pdf["rule"] == 0, "n"].sum())
-        path = []
-        for q in levels:
-            cut = []
-            for r in range(n_rules):
-                h = pdf[pdf["rule"] == r].sort_values("step", ascending=False)
-                over = 0
-                at = GRID
-                for step, k in zip(h["step"], h["n"], strict=True):
-                    at = int(step)
-                    if over + k > q * n:
-                        break
-                    over += int(k)
-                cut.append(at)
-            path.append(cut)
-        return pd.DataFrame({"stratum": [key[0]], "path": [path]})
-
+    fine = stats.where("not base_failed").join(marked.where((F.col("lo") == good) & (F.col("hi") == good)).select("doc_id"), "doc_id", "left_semi")
+    fine = keep(fine.select("stratum", "steps", (F.pmod(F.xxhash64(F.lit("tune"), "key"), F.lit(2)) == 0).alias("tunes")), "good")
+    # The path: at level q a rule's cutoff is the highest step from which on more than a share q of the tuning part lies, and at
+    # level -r it lies a share r of the way from the highest step to the end of the grid.
     counts = fine.where("tunes").select("stratum", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count(F.lit(1)).alias("n"))
-    paths = keep(counts.groupBy("stratum").applyInPandas(lay, "stratum string, path array<array<int>>"), "paths")
-    over = F.array_position(F.transform("path", lambda cut: F.exists(F.zip_with("steps", cut, lambda s, c: s > c), lambda x: x)), True)
+    one = Window.partitionBy("stratum", "rule")
+    over = counts.withColumn("over", F.sum("n").over(one.orderBy(F.desc("step")))).withColumn("all", F.sum("n").over(one))
+    at_level = lambda q: F.max(F.when(F.col("over") > q * F.col("all"), F.col("step"))) if q >= 0 else F.max("step") + F.ceil((GRID - F.max("step")) * F.lit(-q))
+    cuts = over.groupBy("stratum", "rule").agg(*[at_level(q).cast("int").alias(f"q{i}") for i, q in enumerate(levels)])
+    sets = cuts.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("rule", *[f"q{i}" for i in range(len(levels))]))).alias("rules"))  # an entry for each rule
+    level = lambda i: F.transform("rules", lambda r: r[f"q{i}"])
+    paths = keep(sets.select("stratum", F.array(*[level(i) for i in range(len(levels))]).alias("path")), "paths")
+    rejects = F.array_position(F.transform("path", lambda cut: F.exists(F.zip_with("steps", cut, lambda s, c: s > c), lambda x: x)), True)
     # the first level that rejects a document; 0: none does
-    first = fine.where(~F.col("tunes")).join(_sized(paths).withColumnRenamed("stratum", "__s"), F.col("stratum").eqNullSafe(F.col("__s"))).select("stratum", "path", over.cast("int").alias("first"))
-    held = first.groupBy("stratum", "path", "first").agg(F.count(F.lit(1)).alias("n"))
+    first = fine.where(~F.col("tunes")).join(_sized(paths).withColumnRenamed("stratum", "__s"), F.col("stratum").eqNullSafe(F.col("__s"))).select("stratum", "path", rejects.cast("int").alias("first"))
+    upto = [F.count_if((F.col("first") > 0) & (F.col("first") <= i + 1)) for i in range(len(levels))]
+    held = first.groupBy("stratum").agg(F.first("path").alias("path"), F.count(F.lit(1)).alias("n"), F.array(*upto).alias("rejected"))
     strata = max(1, fine.select("stratum").distinct().count())
 
-    def certify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].sum())
-        rejected = [int(pdf.loc[(pdf["first"] > 0) & (pdf["first"] <= i + 1), "n"].sum()) for i in range(len(levels))]
-        passed = certified(rejected, n, alpha, delta / strata)
-        if not passed:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("stratum", "cut", "level", "n_holdout", "n_rejected")})
-        return pd.DataFrame({"stratum": [key[0]], "cut": [list(pdf["path"].iloc[0][passed - 1])], "level": [levels[passed - 1]], "n_holdout": [n], "n_rejected": [rejected[passed - 1]]})
+    def passed(rejected: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([certified([int(x) for x in r], int(k), alpha, delta / strata) for r, k in zip(rejected, n, strict=True)], dtype="int32")
 
-    return keep(held.groupBy("stratum").applyInPandas(certify, "stratum string, cut array<int>, level double, n_holdout bigint, n_rejected bigint"), "cutoffs")
+    passed.__annotations__ = {"rejected": pd.Series, "n": pd.Series, "return": pd.Series}
+    held = held.withColumn("passed", F.pandas_udf(passed, "int").asNondeterministic()("rejected", "n")).where("passed > 0")  # a row for each stratum
+    at = F.array(*[F.lit(q) for q in levels])
+    return keep(held.select("stratum", F.element_at("path", F.col("passed")).alias("cut"), F.element_at(at, F.col("passed")).alias("level"), F.col("n").alias("n_holdout"), F.element_at("rejected", F.col("passed")).alias("n_rejected")), "cutoffs")
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -161,12 +153,15 @@ def judge(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def stats_of(docs: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, __of, __m) of each document, kept in the shared folder: texts are read once."""
-    return keep(bounded(docs).select("doc_id", F.col(stratum_col).cast("string").alias("__of"), measure(F.col("text")).alias("__m")), "stats")
+    """(doc_id, __key, __of, __m) of each document, kept in the shared folder: texts are read once."""
+    key = sieve.document_key(F.col("doc_id"), F.col("text"))
+    same = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return keep(docs.select("doc_id", key.alias("__key"), same.alias("__text"), F.col(stratum_col).cast("string").alias("__of"), measure(F.col("text")).alias("__m")), "stats", texts=True)
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    return cutoffs(stats.select("doc_id", F.col("__of").alias("stratum"), F.col("__m.steps").alias("steps")), labels.select("doc_id", "quality"))
+    failed = base_failed(F.col("__m.n_words"), F.col("__m.n_repeat_words"))
+    return cutoffs(stats.select("doc_id", F.col("__of").alias("stratum"), F.col("__text").alias("key"), failed.alias("base_failed"), F.col("__m.steps").alias("steps")), labels.select("doc_id", "quality"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -176,7 +171,9 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> D
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """The documents that base rule and cutoffs keep, with all their columns. Texts are measured twice and never shuffled."""
-    cuts = fit(stats_of(docs, stratum_col), labels)
-    rows = bounded(docs).withColumn("__of", F.col(stratum_col).cast("string")).withColumn("__m", measure(F.col("text")))
-    return judge(rows, cuts).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that base rule and cutoffs keep, with all their columns. Texts are measured once, and move only where their document can be one that goes."""
+    stats = stats_of(docs, stratum_col)
+    gone = keep(judge(stats, fit(stats, labels)).where("not __kept").select("__key", "__of").distinct(), "gone")
+    # one id and text may lie in several strata
+    key = lambda of, k: F.concat_ws(":", k, F.coalesce(of, F.lit("null")))
+    return sieve.without(docs, key(F.col(stratum_col).cast("string"), sieve.document_key(F.col("doc_id"), F.col("text"))), keep(gone.select(key(F.col("__of"), F.col("__key")).alias("__gone")), "gone"), "__gone")

@@ -37,15 +37,18 @@ def rendezvous(key: Column, weights: list[float], grown_by: float | None = None)
 def assign(docs: DataFrame, weights: list[float], grown_by: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs.
 
-    Slots count from 0 in each shard without gaps. A shard is cut into runs by a hash; a window numbers the rows of a run, and
-    the sizes of the runs before it are added, so no task sees a whole shard.
+    Slots count from 0 in each shard without gaps. A shard is cut into runs by a hash of id and text; a window numbers the rows of a
+    run, and the sizes of the runs before it are added, so no task sees a whole shard. A run that many equal rows make too
+    long is cut further by their places in the table.
     """
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col), (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(F.col(id_col), weights, grown_by).alias("__to"))
-    rows = keep(rows.select(id_col, "size", "text_crc32", "__to.*"), "shards")
+    rows = docs.select(F.col(id_col), (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), rendezvous(F.col(id_col), weights, grown_by).alias("__to"), F.monotonically_increasing_id().alias("__row"))
+    rows = keep(rows.select(id_col, "size", "text_crc32", "__to.*", "__row"), "shards")
     runs = max(LEAST_RUNS, rows.count() // (max(1, len(weights)) * RUN_ROWS))
     rows = rows.withColumn("__run", F.pmod(F.xxhash64(F.col(id_col), F.col("text_crc32"), F.lit("run")), F.lit(runs)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("shard", "__run").count().select("shard", "__run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("shard", "__run").orderBy(id_col, "text_crc32", "size")) - 1)
-    return placed.join(sizes, ["shard", "__run"]).select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__first") + F.col("__at")).cast("bigint").alias("slot"), "grown_shard")
+    long = rows.groupBy("shard", "__run").count().where(F.col("count") > 2 * RUN_ROWS).select("shard", "__run", F.ceil(F.col("count") / RUN_ROWS).alias("__cuts"))
+    rows = rows.join(long, ["shard", "__run"], "left").withColumn("__cut", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("__cuts")), F.lit(0)))
+    before = Window.partitionBy("shard").orderBy("__run", "__cut").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("shard", "__run", "__cut").count().select("shard", "__run", "__cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("shard", "__run", "__cut").orderBy(id_col, "text_crc32", "size")) - 1)
+    return placed.join(sizes, ["shard", "__run", "__cut"]).select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__first") + F.col("__at")).cast("bigint").alias("slot"), "grown_shard")

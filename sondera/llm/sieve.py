@@ -31,3 +31,16 @@ def split(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> tuple[DataFra
     may = F.col(col).isNotNull() & (bit == 1)
     marked = marked.withColumn("__sieve_may", may)
     return marked.where("__sieve_may").select(*names), marked.where("not __sieve_may").select(*names)
+
+
+def without(df: DataFrame, key: Column, gone: DataFrame, gone_col: str) -> DataFrame:
+    """Rows of df whose key isn't in gone (a written table); rows that can't be there don't move. A null key stays."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    may, stay = split(df.withColumn("__sieve_key", key), "__sieve_key", gone, gone_col)
+    out = may.join(gone.select(F.col(gone_col).alias("__sieve_gone")).distinct().hint("merge"), F.col("__sieve_key") == F.col("__sieve_gone"), "left_anti")
+    return stay.select(*names).unionByName(out.select(*names))
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell documents apart by id and text; a null text is an empty one."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text.cast("string"), F.lit(""))).cast("binary"))

@@ -8,8 +8,8 @@ let the spans between them be decoded side by side. A CRC-32 guards each block.
 A store is a folder: ``blocks`` (Parquet; a row is a block with the ids and lengths of its documents) and
 ``table`` (the frequencies). Spark's commit protocol writes both, so a lost executor leaves no torn block.
 
-Defined cases: a null text is empty and holds the end id alone; null document ids come first; rows with one id follow
-each other in the order of their ids' checksum; an empty table gives an empty store; extra columns are ignored; a text
+Defined cases: a null text is empty and holds the end id alone; strings of special tokens inside a text become these tokens, as in the
+library; null document ids come first; rows with one id follow each other in the order of a hash of their text; an empty table gives an empty store; extra columns are ignored; a text
 of any length lies in one block, which is then longer than the others.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep
+from .base import keep
 from .bpe import GROUP, encoder
 
 BITS = 20
@@ -144,31 +144,49 @@ class Coder:
         return out.reshape(-1, lanes)[:steps].reshape(-1)[:n] if n else np.zeros(0, np.uint32)
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie side by side in data, one up to each of `ends` (in items)."""
+    offsets = np.concatenate([[0], ends]) * data.itemsize
+    kind = pa.binary() if offsets[-1] < 1 << 31 else pa.large_binary()
+    out = pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets.astype("<i4" if kind == pa.binary() else "<i8")), pa.py_buffer(np.ascontiguousarray(data))])
+    return out.cast(pa.binary()) if kind != pa.binary() else out
+
+
+def _items(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(data, ends) of _binary()."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4", len(column) + 1, 4 * column.offset).astype(np.int64)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // size, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, kind), (at[1:] - at[0]) // size
+
+
 def token_table(docs: DataFrame, path: str, end_id: int | None = None, drops_space: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, crc, counts binary) of each row: ids as little-endian integers of 16 bits, where the vocabulary allows, or 32.
+    """(id, ids binary, tie, counts binary) of each row: ids as little-endian integers of 16 bits, where the vocabulary allows, or 32.
 
     A task adds one row without ids, whose counts say how often each id (32 bits) came (64 bits): pairs, zlib-packed.
     """
-    src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    size = encoder(path, drops_space).tokenizer.get_vocab_size(with_added_tokens=True)
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
+    size = encoder(path, drops_space, True).tokenizer.get_vocab_size(with_added_tokens=True)
     kind = "<u4" if size > 1 << 16 else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, drops_space)
-        tail = np.array([] if end_id is None else [end_id], dtype="<u4")
+        enc = encoder(path, drops_space, True)
         total, id_kind = np.zeros(size, dtype=np.int64), None
         for b in batches:
             id_kind = b.schema.field(0).type
             for i in range(0, b.num_rows, GROUP):
                 part = b.slice(i, GROUP)
-                ids = [np.concatenate([x, tail]) for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                total += np.bincount(np.concatenate(ids), minlength=size)
-                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "ids": pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), "crc": pa.array(map(zlib.crc32, ids), pa.int64()), "counts": pa.nulls(len(ids), pa.binary())})
+                ids, ends = enc.flat([t or "" for t in part.column(1).to_pylist()])
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                total += np.bincount(ids, minlength=size)
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "ids": _binary(ids.astype(kind), ends), "tie": part.column(2), "counts": pa.nulls(len(ends), pa.binary())})
         seen = np.flatnonzero(total)
         if len(seen):
-            yield pa.RecordBatch.from_pydict({id_col: pa.nulls(1, id_kind), "ids": pa.nulls(1, pa.binary()), "crc": pa.nulls(1, pa.int64()), "counts": pa.array([zlib.compress(seen.astype("<u4").tobytes() + total[seen].astype("<i8").tobytes(), 1)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({id_col: pa.nulls(1, id_kind), "ids": pa.nulls(1, pa.binary()), "tie": pa.nulls(1, pa.int64()), "counts": pa.array([zlib.compress(seen.astype("<u4").tobytes() + total[seen].astype("<i8").tobytes(), 1)], pa.binary())})
 
-    return bounded(src).mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, crc bigint, counts binary")
+    return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, ids binary, tie bigint, counts binary")
 
 
 def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "doc_id") -> None:
@@ -195,29 +213,36 @@ def write_store(tokens: DataFrame, path: str, vocab_size: int, id_col: str = "do
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = Coder(freq), TaskContext.get().partitionId()
-        ids: list = []
-        raw: list[bytes] = []
+        names: list[pa.Array] = []
+        raw: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
         size = done = number = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, raw, size, done, number
-            tokens = np.frombuffer(b"".join(raw), kind)
-            lens = [len(x) // int(kind[-1]) for x in raw]
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "before": pa.array([done], pa.int64()), "tokens": pa.array([len(tokens)], pa.int64()), "ids": pa.array([ids]), "lens": pa.array([lens], pa.list_(pa.int64())), "payload": pa.array([coder.encode(tokens)], pa.binary())})
-            ids, raw, size, done, number = [], [], 0, done + len(tokens), number + 1
+            nonlocal names, raw, lens, size, done, number
+            tokens = np.concatenate(raw)
+            ids = pa.concat_arrays(names)
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "before": pa.array([done], pa.int64()), "tokens": pa.array([len(tokens)], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lens": pa.array([np.concatenate(lens)], pa.list_(pa.int64())), "payload": pa.array([coder.encode(tokens)], pa.binary())})
+            names, raw, lens, size, done, number = [], [], [], 0, done + len(tokens), number + 1
             return out
 
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                raw.append(x)
-                size += len(x) // int(kind[-1])
+            data, ends = _items(b.column(1), kind)
+            at, row = 0, 0
+            while row < len(ends):
+                # up to the document that fills the block
+                to = min(int(np.searchsorted(ends, at + BLOCK_TOKENS - size)) + 1, len(ends))
+                raw.append(data[at : ends[to - 1]].copy())
+                names.append(b.column(0).slice(row, to - row))
+                lens.append(np.diff(ends[row:to], prepend=at))
+                size += int(ends[to - 1]) - at
+                at, row = int(ends[to - 1]), to
                 if size >= BLOCK_TOKENS:
                     yield close()
-        if raw:
+        if names:
             yield close()
 
-    (tokens.where("ids is not null").select(id_col, "ids", "crc").repartitionByRange(parts, id_col, "crc").sortWithinPartitions(id_col, "crc").select(id_col, "ids")
+    (tokens.where("ids is not null").select(id_col, "ids", "tie").repartitionByRange(parts, id_col, "tie").sortWithinPartitions(id_col, "tie").select(id_col, "ids")
         .mapInArrow(blocks, f"part int, block int, before bigint, tokens bigint, ids array<{id_type}>, lens array<bigint>, payload binary")
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
@@ -245,11 +270,12 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", digests:
         coder = Coder(freq)
         for b in batches:
             for k in range(b.num_rows):
-                part, before, ids, lens, payload = (b.column(i)[k].as_py() for i in range(5))
-                tokens = coder.decode(payload)
-                ends = np.cumsum(np.array(lens, dtype=np.int64))
-                starts = ends - np.array(lens, dtype=np.int64)
-                cols = {id_col: pa.array(ids, b.schema.field(2).type.value_type), "start": pa.array(starts + (firsts[part] + before), pa.int64()), "n_tokens": pa.array(lens, pa.int64())}
+                part, before = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                lens = np.asarray(b.column(3)[k].values, dtype=np.int64)
+                tokens = coder.decode(b.column(4)[k].as_buffer())
+                ends = np.cumsum(lens)
+                starts = ends - lens
+                cols = {id_col: b.column(2)[k].values, "start": pa.array(starts + (firsts[part] + before), pa.int64()), "n_tokens": pa.array(lens, pa.int64())}
                 if digests:
                     raw = memoryview(tokens.astype("<u4").tobytes())
                     cols["ids_crc32"] = pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())
@@ -262,5 +288,5 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", digests:
 
 def store_texts(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, drops_space: bool = True) -> None:
     """Encode all texts and write them as a store; the ids are kept once, so that texts are encoded once."""
-    size = encoder(tokenizer, drops_space).tokenizer.get_vocab_size(with_added_tokens=True)
-    write_store(keep(token_table(docs, tokenizer, end_id, drops_space), "tokens"), path, size)
+    size = encoder(tokenizer, drops_space, True).tokenizer.get_vocab_size(with_added_tokens=True)
+    write_store(keep(token_table(docs, tokenizer, end_id, drops_space), "tokens", texts=True), path, size)

@@ -1,5 +1,6 @@
 """Rules, classifier, licence notices and the pipeline: brute force, bounds, held-out accuracy and edge cases."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers as public
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -94,6 +96,54 @@ def test_rules(spark):
     assert quality_rules.verdicts(df.limit(0), labels).count() == 0
 
 
+def test_cutoffs_against_a_plain_loop(spark):
+    """The path, the holdout counts and the exact bounds again, one document at a time."""
+    df, labels, _ = _corpus(spark)
+    stats = quality_rules.stats_of(df)
+    got = {r.stratum: r for r in quality_rules.fit(stats, labels).collect()}
+    mark = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            mark.setdefault(r.doc_id, set()).add(r.quality)
+    good = {}
+    for d in df.collect():
+        base = textstats.base_counts(d.text or "")
+        if mark.get(d.doc_id) != {1} or base[1] < 10 or 100 * base[5] > 20 * base[1]:
+            continue
+        f = dict(zip(textstats.FEATURES, textstats.features(d.text or "", base), strict=True))
+        steps = [min(1000, int(min(1.0, rule(f)) * 1000)) for rule in quality_rules.RULES.values()]
+        key = hashlib.md5((d.text or "").encode()).hexdigest()
+        tunes = xxhash.xxh64(key.encode(), seed=xxhash.xxh64(b"tune", seed=42).intdigest()).intdigest() % 2 == 0
+        good.setdefault(d.lang, ([], []))[tunes].append(steps)
+    want = {}
+    for lang, (held, tune) in good.items():
+        if not tune:
+            continue
+        passed = None
+        for q in quality_rules.LEVELS:
+            cut = []
+            for r in range(len(quality_rules.RULES)):
+                rows = sorted((s[r] for s in tune), reverse=True)
+                cut.append(next(v for v in rows if sum(x >= v for x in rows) > q * len(rows)) if q >= 0 else rows[0] + math.ceil((1000 - rows[0]) * -q))
+            rejected = sum(any(x > c for x, c in zip(s, cut, strict=True)) for s in held)
+            tail = sum(math.comb(len(held), i) * 0.01**i * 0.99 ** (len(held) - i) for i in range(rejected + 1))
+            if not held or rejected >= 0.01 * len(held) or tail > 0.05 / len(good):
+                break
+            passed = (cut, q, len(held), rejected)
+        if passed:
+            want[lang] = passed
+    assert {k: (list(r.cut), r.level, r.n_holdout, r.n_rejected) for k, r in got.items()} == want and "en" in want
+
+
+def test_equal_texts_lie_in_one_part(spark):
+    """Copies don't count as evidence for what was chosen on them."""
+    t = text(60, 1)
+    df = docs(spark, [(i, t if i % 2 else text(60, 100 + i)) for i in range(40)])
+    split = F.pmod(F.xxhash64(F.lit("tune"), "__text"), F.lit(2)).alias("part")
+    parts = {(r.doc_id % 2, r.part) for r in quality_rules.stats_of(df).select("doc_id", split).collect()}
+    assert len({p for odd, p in parts if odd}) == 1 and len({p for odd, p in parts if not odd}) == 2
+
+
 def test_rules_lose_few_good_documents(spark):
     sf = str(DATA / "sf0.1")
     out = queries.op9_quality_rules(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("NOT base_failed")
@@ -123,6 +173,24 @@ def test_classifier_on_held_out_labels(spark):
     assert len(got) > 1000 and right > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_scores_against_a_plain_loop(spark):
+    """Each document's score again: features from its text, a table entry for each of them and for each pair, one sum."""
+    sf = str(DATA / "sf0.01")
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    m = gam.train(gam.features_of(d), labels)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = queries.op8_quality_gam(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        x = textstats.features(texts[r.doc_id] or "")
+        at = [sum(v >= e for e in m.edges[j]) for j, v in enumerate(x)]
+        logit = m.bias + sum(t[at[j]] for j, t in enumerate(m.tables))
+        for (i, j), g in zip(m.pairs, m.grids, strict=True):
+            logit += g[int(m.coarse(np.array([at[i]]), i)[0]), int(m.coarse(np.array([at[j]]), j)[0])]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), abs_tol=1e-9)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_classifier_cases(spark):
     df, labels, rows = _corpus(spark)
     got = gam.score_documents(df, labels).collect()
@@ -155,6 +223,20 @@ def test_licences_against_brute_force():
     assert not fast[-2] and not fast[-1] and not fast[3]
 
 
+def test_licence_query_against_brute_force(spark):
+    """All documents, each template compared with every window."""
+    sf = str(DATA / "sf0.001")
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rows = table(spark, sf, "documents").collect()
+    want = {r.doc_id: m for r, m in zip(rows, index.scan([r.text for r in rows], bands=False), strict=True)}
+    got = queries.op5_license_scan(spark, sf).collect()
+    assert len(got) == len(rows) and any(r.n_matches for r in got)
+    for r in got:
+        m = want[r.doc_id]
+        assert r.n_matches == len(m) and r.licenses == ",".join(sorted({x["license"] for x in m}))
+        assert r.containment == (round(max(x["containment"] for x in m), 6) if m else None) and r.first_word == (min(x["start"] for x in m) if m else None)
+
+
 def test_licence_operator(spark):
     line = license_scan.TEMPLATES["mit-line"]
     df = docs(spark, [(1, line), (1, line), (2, None), (None, f"x {line} y {line}")], extra=True)

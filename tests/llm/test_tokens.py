@@ -38,6 +38,23 @@ def test_pieces_don_t_change_ids(texts):
         assert [x.tolist() for x in bpe.encoder(path, drops).encode(texts)] == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "a", " b ", ".", "é", "x,", "  ", "\n", "İ"]) | st.text(max_size=5), max_size=8).map("".join), max_size=5))
+def test_special_strings_as_in_the_library(texts):
+    """The library as it comes, without a switch."""
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in bpe.encoder(WORDS, True, True).encode(texts)] == want
+
+
+def test_special_strings_in_a_store(spark, tmp_path):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|>"), (3, None), (4, "plain. text"), (5, "x<|endoftext|>" * 300)]
+    path = f"file://{tmp_path}/store"
+    token_store.store_texts(docs(spark, rows), path, WORDS, end_id=1)
+    lib = Tokenizer.from_file(WORDS)
+    assert {r.doc_id: r.ids for r in token_store.read_store(spark, path).collect()} == {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    assert 49407 in lib.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_as_the_ranks_say(ranks):
     texts = [*ODD, text(300, 1)]
     got = bpe.encoder(BYTES).encode(texts)
@@ -46,12 +63,24 @@ def test_as_the_ranks_say(ranks):
     assert [dec.text(x) for x in got] == texts and bpe.agrees(BYTES, public.path("byte_bpe_50k.tiktoken"))
 
 
-def test_full_memo(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
-    e = bpe.PieceEncoder(WORDS, True)
-    for _ in range(2):
-        assert [x.tolist() for x in e.encode(ODD)] == [x.ids for x in plain(WORDS).encode_batch(ODD, add_special_tokens=False)]
-    assert len(e.memo) == 3
+@pytest.mark.parametrize("room", [1, 3, 1000])
+def test_full_memo(monkeypatch, room):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", room)
+    for path, drops in ((WORDS, True), (BYTES, False)):
+        e = bpe.PieceEncoder(path, drops)
+        for texts in (ODD, ODD[::-1], ODD):
+            assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in plain(path).encode_batch(texts, add_special_tokens=False)]
+        assert e.table.n <= room
+
+
+def test_keys_are_exact():
+    """Pieces that differ in their last zero bytes alone, or in length, are apart; more of them than one slot."""
+    pieces = ["a", "a\x00", "a\x00\x00", "\x00", "b" * 23, "b" * 24, "b" * 22, "é" * 11, "é" * 12]
+    texts = [" ".join(pieces), *pieces, " ".join(f"w{i}" for i in range(5000)), " ".join(f"W{i}" for i in range(5000))]
+    for path, drops in ((WORDS, True), (BYTES, False)):
+        e = bpe.PieceEncoder(path, drops)
+        for _ in range(2):
+            assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in plain(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_split_characters_and_offsets():

@@ -11,6 +11,8 @@ Signatures are cut into bands; texts that share a band are candidates. The exact
 2. Star rounds compare each candidate with one hub of its bands, and components join what is linked.
 3. In bands that still hold several components, all pairs across components are compared, in blocks: the members of the
    largest component are dealt out once, the others (strays) go to all blocks. No pair is written; a block gives a forest of links.
+   Where strays are a crowd (thousands of texts that share a band and are not similar), they meet by their rarest elements
+   instead, of which similar texts share one for sure, so their number doesn't count twice.
 
 So links are lost only by bands (at similarity 0.8, with a probability of 2e-4 for a single pair), and no group, of copies or of
 near copies, comes together in one task.
@@ -37,8 +39,8 @@ from .components import components
 
 BANDS, ROWS = 28, 6
 SIMILARITY = 0.8
-#: Texts that are hashed at once; rows of a block of comparisons, and shingles of one, about.
-GROUP, BLOCK_ROWS, BLOCK_SHINGLES = 256, 256, 500_000
+#: Texts that are hashed at once; rows of a block of comparisons, and shingles of one, about; chunks of strays that are compared with all others.
+GROUP, BLOCK_ROWS, BLOCK_SHINGLES, CROWD = 256, 256, 500_000, 8
 #: The first cell of ranks is [0, 2**-FIRST); each further one doubles the range.
 FIRST = 6
 
@@ -168,6 +170,48 @@ def _similar(a: Column, b: Column) -> Column:
     return both >= F.lit(SIMILARITY) * (F.size(a) + F.size(b) - both) - 1e-9
 
 
+def _rare(rows: DataFrame, els: DataFrame) -> DataFrame:
+    """rows (band, id, n, comp) under other bands: the rarest elements of each text, as many as one of them is in any text that is similar.
+
+    Of a text's elements, at least the share SIMILARITY is in a similar one, so of any 1 - SIMILARITY of them, and one more, one is. Taken by
+    how many of the texts have them, the rarest first, these say most; an element that no other text has needs no row.
+    """
+    who = keep(rows.select("id", "n", "comp").distinct(), "crowd")
+    all_ = who.join(els.select("id", "els").hint("merge"), "id").select("id", "n", "comp", F.xxhash64("els").alias("text"), F.size("els").alias("size"), F.explode("els").alias("e"))
+    often = all_.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per = all_.join(often.hint("merge"), "e").groupBy("id", "n", "comp", "text", "size").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))  # one text's elements
+    wanted = F.col("size") - F.ceil(F.lit(SIMILARITY) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("es"))
+    return keep(per.select("id", "n", "comp", F.explode(F.slice("es", F.lit(1), F.greatest(F.lit(0), wanted).cast("int"))).alias("e")).select(F.col("e.e").alias("band"), "id", "n", "comp"), "rare")
+
+
+def _across(now: DataFrame, els: DataFrame, id_type: str, crowds: bool = True) -> DataFrame:
+    """Links (a, b) across the components of each band of now (band, id, n, comp), at least a forest of them.
+
+    A crowd, a band with strays for more than CROWD chunks, isn't compared as a whole: its texts meet by their rarest elements.
+    """
+    sums = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("els"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
+    open_ = sums.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k"), F.sum("els").alias("els"), F.sum("sign").alias("sign")).where("comps > 1")
+    # bands with the same members are compared once
+    open_ = open_.groupBy("k", "sign").agg(F.min("band").alias("band"), F.first("top").alias("top"), F.first("els").alias("els"))
+    chunks = lambda k: F.ceil(F.greatest(k / BLOCK_ROWS, F.col("els") * k / F.col("k") / BLOCK_SHINGLES)).cast("int")
+    open_ = keep(open_.select("band", F.col("top.comp").alias("top"), F.greatest(F.lit(1), chunks(F.col("top.k"))).alias("bigs"), F.greatest(F.lit(1), chunks(F.col("k") - F.col("top.k"))).alias("strays")), "open")
+    more = None
+    if crowds and open_.where(F.col("strays") > CROWD).limit(1).count():
+        crowd = now.join(open_.where(F.col("strays") > CROWD).select("band"), "band", "left_semi")
+        more = _across(_rare(crowd, els), els, id_type, crowds=False)
+        open_ = open_.where(F.col("strays") <= CROWD)
+    at = now.join(open_, "band").withColumn("stray", F.col("comp") != F.col("top"))
+    chunk = F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("bigs"))).cast("int")
+    # a block holds one chunk of the largest component, or none (-1), and one or two chunks of strays
+    one = lambda x, y, z: F.struct(F.lit(x).cast("int").alias("big") if isinstance(x, int) else x.alias("big"), y.alias("s"), z.alias("t"))
+    to_bigs = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda g: one(g, chunk, chunk))
+    to_strays = F.filter(F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(-1, F.least(c, chunk), F.greatest(c, chunk))), lambda b: b["s"] < b["t"])
+    from_big = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(chunk, c, c))
+    blocks = at.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(to_bigs, to_strays)).otherwise(from_big))).select("band", "at.*", "id", "comp", "stray")
+    links = blocks.join(els.select("id", "els").hint("merge"), "id").groupBy("band", "big", "s", "t").applyInPandas(_compare, f"a {id_type}, b {id_type}")
+    return links if more is None else links.union(more)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, kept): the near-duplicate class of each document, named by its least doc_id, which is the one that stays. One row for each doc_id, and for each row without."""
     return _classes(docs, id_col, text_col).select("doc_id", "component_id", "kept")
@@ -212,22 +256,7 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = keep(components(edges), "found")
 
     now = member.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
-    sums = now.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("els"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sign"))
-    open_ = sums.groupBy("band").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k"), F.sum("els").alias("els"), F.sum("sign").alias("sign")).where("comps > 1")
-    # bands with the same members are compared once
-    open_ = open_.groupBy("k", "sign").agg(F.min("band").alias("band"), F.first("top").alias("top"), F.first("els").alias("els"))
-    chunks = lambda k: F.ceil(F.greatest(k / BLOCK_ROWS, F.col("els") * k / F.col("k") / BLOCK_SHINGLES)).cast("int")
-    open_ = open_.select("band", F.col("top.comp").alias("top"), F.greatest(F.lit(1), chunks(F.col("top.k"))).alias("bigs"), F.greatest(F.lit(1), chunks(F.col("k") - F.col("top.k"))).alias("strays"))
-    at = now.join(open_, "band").withColumn("stray", F.col("comp") != F.col("top"))
-    chunk = F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("bigs"))).cast("int")
-    # a block holds one chunk of the largest component, or none (-1), and one or two chunks of strays
-    one = lambda x, y, z: F.struct(F.lit(x).cast("int").alias("big") if isinstance(x, int) else x.alias("big"), y.alias("s"), z.alias("t"))
-    to_bigs = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda g: one(g, chunk, chunk))
-    to_strays = F.filter(F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(-1, F.least(c, chunk), F.greatest(c, chunk))), lambda b: b["s"] < b["t"])
-    from_big = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda c: one(chunk, c, c))
-    blocks = at.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(to_bigs, to_strays)).otherwise(from_big))).select("band", "at.*", "id", "comp", "stray")
-    last = blocks.join(els.select("id", "els").hint("merge"), "id").groupBy("band", "big", "s", "t").applyInPandas(_compare, f"a {id_type}, b {id_type}")
-    final = components(edges.union(last))
+    final = components(edges.union(_across(now, els, id_type)))
     out = of.join(final, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "id").alias("component_id"), "n_rows").withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return out.unionByName(rows.where("doc_id is null").select("doc_id", F.lit(None).cast(id_type).alias("component_id"), F.lit(1).cast("bigint").alias("n_rows"), F.lit(True).alias("kept")))
 

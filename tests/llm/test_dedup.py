@@ -61,6 +61,15 @@ def test_groups_match_brute_force(spark):
     assert classes(docs(spark, rows, extra=True)) == brute(rows)
 
 
+def test_crowds_of_every_kind(spark, monkeypatch):
+    """Groups, chains, short texts and several texts of one id, none compared but by rarest elements."""
+    monkeypatch.setattr(near_dedup, "CROWD", 0)
+    base = [text(60 + 20 * g, g) for g in range(8)]
+    rows = [(10 * g + c, changed(t, 0.03 * c + 0.02, 100 * g + c) if c else t) for g, t in enumerate(base) for c in range(6)]
+    rows += [(200, "one two"), (201, "ONE two"), (202, "one two three"), (203, None)]
+    assert classes(docs(spark, rows)) == brute(rows)
+
+
 def test_chain_inside_one_band_is_not_lost(spark):
     """b is near a and near c, but a is not near c; and many strays share passages."""
     a = text(200, 1).split()
@@ -78,8 +87,11 @@ def test_large_groups(spark):
     assert all(got[5000 + i] == 5000 + i for i in range(50))
 
 
-def test_blocks_of_strays_compare_all(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [0, 8, 1000])
+def test_blocks_of_strays_compare_all(spark, monkeypatch, crowd):
+    """All against all, in blocks; or, for crowds, by their rarest elements."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     shared = text(80, 1)
     rows = [(i, shared + " " + text(45, 100 + i)) for i in range(40)]
     rows += [(100 + i, changed(rows[i][1], 0.06, i)) for i in range(0, 40, 3)]
@@ -194,6 +206,22 @@ def test_embeddings_match_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.collect())
 
 
+def test_recall_of_every_fiftieth_vector(spark):
+    """Links at all distances up to the limit, in data that has lists on many sides: each fiftieth vector against all rows, by brute force."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 32))
+    x = np.concatenate([base, *[base + rng.standard_normal(base.shape) * s for s in (0.05, 0.2, 0.3, 0.34)]])
+    x = np.float32(x / np.linalg.norm(x, axis=1, keepdims=True))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.links(_vectors(spark, [(i, [float(v) for v in row], 0) for i, row in enumerate(x)])).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cos = y[::50] @ y.T
+    assert not (np.abs(cos - 0.95) < 1e-9).any()
+    want = (cos >= 0.95).sum(1) - 1
+    recall = sum(got[i] for i in range(0, len(x), 50)) / want.sum()
+    print(f"recall {recall:.4f} of {want.sum()} links")
+    assert recall == 1 and [got[i] for i in range(0, len(x), 50)] == want.tolist() and ((cos >= 0.95) & (cos < 0.955)).any()
+
+
 def test_embeddings_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
     monkeypatch.setattr(embedding_dedup, "QUERY_ROWS", 32)

@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Added before rounding, so that a mean such as 1 / 32, which lies halfway between two results, doesn't round by the order of its sum.
+STEADY = 1e-11
+
+
 def r6(c: Column | str) -> Column:
-    """Rounded to 6 places, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    """Rounded to 6 places, halves up by a margin, without a negative zero."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(STEADY), 6) + F.lit(0.0)
 
 
 def no_nan(c: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import r6
+from ..functions.expr import STEADY, r6
 from ..operators import cluster, kernels, recursive, stats
 from ..operators import windows as win
 from ..session import frames, scratch, table
@@ -34,7 +34,7 @@ def _per_vector(df: DataFrame, f, fields: str, read=kernels.spectrum) -> DataFra
 
     def run(iq: pd.Series, ids: pd.Series) -> pd.DataFrame:
         out = f(read(_stack(iq)), ids.to_numpy())
-        return pd.DataFrame({n: np.round(np.asarray(out[n], dtype=float), 6) + 0.0 for n in names})
+        return pd.DataFrame({n: np.round(np.asarray(out[n], dtype=float) + STEADY, 6) + 0.0 for n in names})
 
     run.__annotations__ = {"iq": pd.Series, "ids": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(run, ", ".join(f"{n} double" for n in names))

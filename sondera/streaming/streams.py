@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.recursive import CountWindow, Ema, Kalman, Reference, SelfVerdict, noise_of
@@ -55,7 +56,7 @@ class NodeHealth:
 
     def __init__(self, width: int, stall: int):
         self.width, self.stall, self.open, self.next = width, stall, {}, None
-        self.us = self.row_no = self.seq = None
+        self.us = self.row_no = self.seq = self.dropped = None
         self.sums = np.zeros(5)
 
     def take(self, rows: pd.DataFrame) -> None:
@@ -77,13 +78,15 @@ class NodeHealth:
 
     def _row(self, start: int, end: int, parts: list[pd.DataFrame] | None) -> dict:
         n = sum(map(len, parts or []))
-        row = {"start_us": start, "n": n, "sources": 0, "low_share": None, "rate": n * 1e6 / self.width, "spread": None, "longest_gap_us": None, "stalls": 0, "lost": None, "backward": 0}
+        row = {"start_us": start, "n": n, "sources": 0, "low_share": None, "rate": n * 1e6 / self.width, "spread": None, "longest_gap_us": None, "stalls": 0, "lost": None, "dropped": None, "backward": 0}
         if n:
             g = pd.concat(parts).sort_values(["us", "row_no"])
             gaps = self._steps("us", g)
             row |= {"sources": g["source"].nunique(), "low_share": float((g["value"] < 1).mean()), "spread": float(g["value"].quantile(0.75) - g["value"].quantile(0.25)), "longest_gap_us": int(gaps.max()) if len(gaps) else None, "stalls": int((gaps > self.stall).sum()), "backward": int((self._steps("row_no", g) < 0).sum())}
             if "seq" in g:
                 row["lost"] = int(np.maximum(self._steps("seq", g) - 1, 0).sum())
+            if "dropped" in g:  # a counter of 16 bits
+                row["dropped"] = int((self._steps("dropped", g) % 65536).sum())
         x = self.sums[0]
         self.sums += (1, x, row["rate"], x * x, x * row["rate"])
         k, sx, sy, sxx, sxy = self.sums
@@ -96,14 +99,15 @@ class NodeHealth:
         return np.diff(x if last is None else np.concatenate([[last], x]))
 
 
-HEALTH = "start_us bigint, n bigint, sources bigint, low_share double, rate double, spread double, longest_gap_us bigint, silent_us bigint, stalls bigint, lost bigint, backward bigint, trend double"
+HEALTH = "start_us bigint, n bigint, sources bigint, low_share double, rate double, spread double, longest_gap_us bigint, silent_us bigint, stalls bigint, lost bigint, dropped bigint, backward bigint, trend double"
 
 
-def health(frames: DataFrame, late: str, width_us: int = 86_400_000_000, stall_us: int = 3_600_000_000, seq: str | None = None) -> DataFrame:
+def health(frames: DataFrame, late: str, width_us: int = 86_400_000_000, stall_us: int = 3_600_000_000, seq: str | None = None, dropped: str | None = None) -> DataFrame:
     """Health of each node by span of time, once the watermark has passed the span; a span in which a node is silent has a row as well.
 
     Rows, sources, share of low values, frames a second, quartile range of values, longest gap between frames, silence since the last one,
-    gaps over `stall_us`, numbers of the node's sequence `seq` that are missing (null without one), steps back of row_no in order of time,
+    gaps over `stall_us`, numbers of the node's sequence `seq` that are missing and frames that its own queue dropped by its counter
+    `dropped` (null without these), steps back of row_no in order of time,
     and the trend of the rate: its least-squares change a span, over all spans so far. Gaps and numbers go on across spans.
     """
     names = [c.split()[0] for c in HEALTH.split(", ")]
@@ -118,7 +122,7 @@ def health(frames: DataFrame, late: str, width_us: int = 86_400_000_000, stall_u
         if out:
             yield pd.DataFrame([{"node": key[0], **r} for r in out], columns=["node", *names])
 
-    f = frames.withWatermark("at", late).select("node", "source", "us", "at", "row_no", "value", *([F.col(seq).alias("seq")] if seq else []))
+    f = frames.withWatermark("at", late).select("node", "source", "us", "at", "row_no", "value", *([F.col(seq).alias("seq")] if seq else []), *([F.col(dropped).alias("dropped")] if dropped else []))
     return f.groupBy("node").applyInPandasWithState(run, f"node {frames.schema['node'].dataType.simpleString()}, {HEALTH}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -202,3 +206,8 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
         q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_live(stream: DataFrame, path: str, checkpoint: str, every: str = "2 seconds") -> StreamingQuery:
+    """Run a stream on and on, committing what it has every so often; a view that is drawn faster reads the last commit. The caller stops it."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()

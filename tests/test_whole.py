@@ -66,14 +66,15 @@ def test_health_sees_gaps_stalls_losses_and_silence(spark, tmp_path):
     """Spans of 100 s, in two files: node a loses 3 and 2 numbers, is silent for a span and goes on; b only moves the watermark."""
     sec = 1_000_000
     a = [(10, 0, 5.0), (20, 1, 0.5), (80, 5, 2.0), (110, 6, 1.0), (310, 9, 7.0), (330, 10, 8.0)]
-    rows = [("a", 1 + n % 2, t * sec, i, v, n) for i, (t, n, v) in enumerate(a)] + [("b", 9, t * sec, 100 + t, 1.0, t) for t in (1, 900)]
-    schema = "node string, source bigint, us bigint, row_no bigint, value double, seq bigint"
+    rows = [("a", 1 + n % 2, t * sec, i, v, n, (65530 + 3 * i) % 65536) for i, (t, n, v) in enumerate(a)] + [("b", 9, t * sec, 100 + t, 1.0, t, 0) for t in (1, 900)]
+    schema = "node string, source bigint, us bigint, row_no bigint, value double, seq bigint, drops int"
     for part in (rows[:4], rows[4:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         frames = streams.landing(spark, str(tmp_path / "in"), schema).withColumn("at", F.timestamp_micros("us"))
-        got = streams.run_to_end(streams.health(frames, "0 seconds", 100 * sec, 50 * sec, "seq"), str(tmp_path / "out"), str(tmp_path / "ck"))
+        got = streams.run_to_end(streams.health(frames, "0 seconds", 100 * sec, 50 * sec, "seq", "drops"), str(tmp_path / "out"), str(tmp_path / "ck"))
     r = {x.start_us // sec: x for x in got.where("node = 'a'").collect()}
     assert sorted(r) == list(range(0, 900, 100))
+    assert [r[k].dropped for k in (0, 100, 200, 300)] == [6, 3, None, 6]  # the counter wraps on the way
     assert [(x.n, x.sources, x.longest_gap_us, x.silent_us // sec, x.stalls, x.lost) for x in (r[k] for k in (0, 100, 200, 300))] == [(3, 2, 60 * sec, 20, 1, 3), (1, 1, 30 * sec, 90, 0, 0), (0, 0, None, 190, 0, None), (2, 2, 200 * sec, 70, 1, 2)]
     assert np.allclose([r[k].trend for k in (100, 200, 300, 800)], [np.polyfit(range(n), [x / 100 for x in (3, 1, 0, 2, 0, 0, 0, 0, 0)][:n], 1)[0] for n in (2, 3, 4, 9)])
     assert abs(r[0].low_share - 1 / 3) < 1e-9 and r[0].rate == 0.03 and r[0].spread == 2.25
@@ -144,3 +145,14 @@ def test_kmeans_takes_the_best_start(spark):
         return sum(((x[label == k] - x[label == k].mean(axis=0)) ** 2).sum() for k in set(label.tolist()))
 
     assert cost(5) <= min(cost(1), 4.0)
+
+
+def test_streams_commit_on_time(spark, tmp_path):
+    df = spark.range(50).selectExpr("id AS row_no", "CAST(id AS DOUBLE) AS value")
+    df.write.parquet(str(tmp_path / "in"))
+    q = streams.run_live(streams.landing(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "ck"), "1 second")
+    q.processAllAvailable()
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100

@@ -78,6 +78,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more of id -7; if the table has that id already, its turns and the added two are one conversation, in order of turn."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("t")).select("conv_id", "t.*")

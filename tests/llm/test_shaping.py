@@ -174,3 +174,26 @@ def test_digests_of_the_query(spark):
     t = r"\### Assistant: </turn> ok"
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
     assert got[-7].loss_sha256 == hashlib.sha256(t.encode()).hexdigest() and got[-7].loss_chars == len(t)
+
+
+def test_a_conversation_of_the_added_id(spark, duck, tmp_path):
+    """It takes in the two added turns, in order of turn, as the SQL has it."""
+    rows = [(-7, 0, "system", "own"), (-7, 5, "user", None), (3, 1, "user", "a"), (3, 1, "user", "a"), (4, None, None, "b")]
+    path = f"{tmp_path}/conversations.parquet"
+    _turns(spark, rows).write.parquet(path)
+    df = queries.op6_chat(spark, str(tmp_path))
+    columns = sorted(df.columns)
+    got = rows_of(df, columns)
+    assert {r.conv_id: r.n_turns for r in df.collect()} == {-7: 4, 3: 2, 4: 1}
+    duck.sql(f"CREATE OR REPLACE TEMP VIEW own_turns AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == sql_rows(duck, queries.ORACLE["op6_chat"].replace("FROM conversations", "FROM own_turns"), columns)
+
+
+def test_slots_of_equal_rows(spark, monkeypatch):
+    """A third of all rows are one row: its run is cut, and slots stay without gaps."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", 20)
+    rows = [(7, "same")] * 400 + [(i, text(3, i)) for i in range(800)]
+    got = sharding.assign(docs(spark, rows).repartition(5), [1.0] * 4).collect()
+    assert len(got) == 1200 and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))

@@ -49,6 +49,16 @@ def least_of(rows: DataFrame, models: DataFrame, row_id: list[str], score: Calla
     return rows.join(best, row_id, "left")
 
 
+def least_in(rows: DataFrame, models: DataFrame, row_key: str, model_key: str, row_id: list[str], score: Callable[[Column], Column], out: str) -> DataFrame:
+    """least_of() where a row meets the models of its own key alone (a fold, a receiver); rows of a key without models are absent."""
+    fields = F.struct(*models.columns)
+    if models.limit(MAX_MODELS + 1).count() <= MAX_MODELS:
+        per = models.groupBy(F.col(model_key).alias("__key")).agg(F.collect_list(fields).alias("__models"))
+        return rows.join(F.broadcast(per), F.col(row_key) == F.col("__key")).withColumn(out, F.array_min(F.transform("__models", score))).drop("__key", "__models")
+    met = rows.join(models.select(F.col(model_key).alias("__key"), fields.alias("__model")), F.col(row_key) == F.col("__key")).withColumn(out, score(F.col("__model")))
+    return rows.join(met.groupBy(*row_id).agg(F.min(out).alias(out)), row_id)
+
+
 def classify(rows: DataFrame, models: DataFrame, row_id: list[str], model_id: str, x: str, y: str, match: float = MATCH, marginal: float = MARGINAL, least: int = LEAST_ROWS, exclude: str | None = None) -> DataFrame:
     """(row_id, nearest, d2, verdict): MATCH, MARGINAL or STRANGER by the nearest model, UNSCORED without a model of `least` rows. exclude: a column of rows that names a model which isn't asked."""
     m = models.where(F.col("n") >= least).select(F.col(model_id).alias("__m"), "mx", "my", "vx", "vy", "cxy")

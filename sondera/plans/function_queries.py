@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import r6, wrap
@@ -112,15 +112,18 @@ _FOLDS = "s AS (SELECT *, vec_id % 4 AS night FROM p), f AS (SELECT unnest(range
 _FG = "g AS (SELECT fold, label, count(*) AS n, avg(x) AS mx, avg(y) AS my, greatest(var_samp(x), 1.0) AS vx, greatest(var_samp(y), 1e-8) AS vy, covar_samp(x, y) AS cxy FROM s, f WHERE night <> fold GROUP BY fold, label)"
 
 
+def _d2_of(m: Column) -> Column:
+    """Distance of a row (x, y) to a model, and the model's name."""
+    return F.struct(models.mahalanobis2(F.col("x") - m["mx"], F.col("y") - m["my"], m["vx"], m["vy"], m["cxy"]).alias("d2"), m["model"].alias("model"))
+
+
 @register(_e(_XY, _FOLDS, _FG, f"d AS (SELECT p.vec_id, p.night, p.label AS truth, g.label, {_D2} AS d2 FROM s p JOIN g ON g.fold = p.night AND g.n >= 5)", "c AS (SELECT vec_id, night, truth, arg_min(label, d2) AS said FROM d GROUP BY vec_id, night, truth)", body="SELECT night, count(*) AS n, count(*) FILTER (WHERE said = truth) AS correct FROM c GROUP BY night"))
 def ml4_leave_one_night_out(spark, sf_dir):
     """Each night against models of all others: a row goes to the folds that it trains, so one aggregation makes the models of all folds."""
     s = _points(spark, sf_dir).withColumn("night", F.col("vec_id") % 4)
     train = s.withColumn("fold", F.explode(F.filter(F.array(*[F.lit(i).cast("bigint") for i in range(4)]), lambda f: f != F.col("night"))))
     g = models.gaussian(train, ["fold", "label"], "x", "y").where(F.col("n") >= models.LEAST_ROWS).withColumnRenamed("label", "model")
-    c = F.col
-    d = s.join(models.small(g), s["night"] == g["fold"]).withColumn("d2", models.mahalanobis2(c("x") - c("mx"), c("y") - c("my"), c("vx"), c("vy"), c("cxy")))
-    best = d.groupBy("vec_id", "night", "label").agg(F.min(F.struct("d2", "model")).alias("b"))
+    best = models.least_in(s, g, "night", "fold", ["vec_id", "night", "label"], _d2_of, "b")
     return best.groupBy("night").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b.model") == F.col("label")).alias("correct"))
 
 
@@ -129,9 +132,7 @@ def ml4_cross_receiver(spark, sf_dir):
     """Models of one receiver on the rows of the other."""
     s = _points(spark, sf_dir).withColumn("rx", F.col("vec_id") % 2)
     g = models.gaussian(s, ["rx", "label"], "x", "y").where(F.col("n") >= models.LEAST_ROWS).withColumnsRenamed({"label": "model", "rx": "enrolled"}).withColumn("tested", 1 - F.col("enrolled"))
-    c = F.col
-    d = s.join(models.small(g), s["rx"] == g["tested"]).withColumn("d2", models.mahalanobis2(c("x") - c("mx"), c("y") - c("my"), c("vx"), c("vy"), c("cxy")))
-    best = d.groupBy("vec_id", "enrolled", "tested", "label").agg(F.min(F.struct("d2", "model")).alias("b"))
+    best = models.least_in(s.withColumn("tested", F.col("rx")), g, "rx", "tested", ["vec_id", "rx", "label"], _d2_of, "b").withColumn("enrolled", 1 - F.col("rx"))
     return best.groupBy("enrolled", "tested").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("b.model") == F.col("label")).alias("correct"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import r6
 from ..operators import joins
 from ..operators import windows as win
-from ..operators.models import small
+from ..operators.models import least_of
 from ..session import frames, table
 from .catalog import register
 from .frame_queries import DAY, HOUR, ORDER, _sql
@@ -128,8 +128,8 @@ def jn13_score_argmin(spark, sf_dir):
     """Each row against all models (one for each node, sent to all tasks if few); of equals the least name."""
     f = frames(spark, sf_dir)
     m = f.groupBy("node").agg(F.median("value").alias("m")).select(F.col("node").alias("model"), "m")
-    d = f.select("row_no", "value").join(small(m), how="inner", on=F.lit(True))
-    best = d.groupBy("row_no").agg(F.min(F.struct(F.round(F.abs(F.col("value") - F.col("m")), 6).alias("d"), "model")).alias("b"))
+    gap = lambda c: F.struct(F.round(F.abs(F.col("value") - c["m"]), 6).alias("d"), c["model"].alias("model"))
+    best = least_of(f.select("row_no", "value"), m, ["row_no"], gap, "b")
     return best.select("row_no", F.col("b.model").alias("nearest"))
 
 

@@ -119,8 +119,8 @@ def ml8_cosine(spark, sf_dir):
     e = _vectors(spark, sf_dir)
     t = e.select("label", F.posexplode("v").alias("j", "x")).groupBy("label", "j").agg(F.avg("x").alias("c")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "c"))), lambda s: s["c"]).alias("c"))
     t = t.select(F.col("label").alias("__l"), "c", expr.norm(F.col("c")).alias("cn"))
-    d = e.select("vec_id", "v", expr.norm(F.col("v")).alias("vn")).join(models.small(t.withColumnRenamed("__l", "model")), how="inner", on=F.lit(True))
-    best = d.groupBy("vec_id").agg(F.min(F.struct(r6(1 - expr.dot(F.col("v"), F.col("c")) / (F.col("vn") * F.col("cn"))).alias("d"), "model")).alias("b"))
+    far = lambda m: F.struct(r6(1 - expr.dot(F.col("v"), m["c"]) / (F.col("vn") * m["cn"])).alias("d"), m["model"].alias("model"))
+    best = models.least_of(e.select("vec_id", "v", expr.norm(F.col("v")).alias("vn")), t.withColumnRenamed("__l", "model"), ["vec_id"], far, "b")
     return best.select("vec_id", F.col("b.model").alias("nearest"), F.col("b.d").alias("distance"), F.when(F.col("b.d") <= 0.15, "MATCH").when(F.col("b.d") <= 0.5, "WEAK").otherwise("NONE").alias("verdict"))
 
 

@@ -34,8 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, same): token ids of each text, and whether they decode to it."""
-    return bpe.encode_checked(docs, tokenizer_path("byte_bpe_50k.json"))
+    """(doc_id, n_tokens, ids, same): token ids of each text, and whether they decode to it. Written here, as only then batches of texts are bounded."""
+    return keep(bpe.encode_checked(docs, tokenizer_path("byte_bpe_50k.json")), "ids", texts=True)
 
 
 STAGES = [

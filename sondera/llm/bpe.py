@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 
 #: Pieces that a worker remembers at most: the first ones, among them the frequent ones; and the bytes of longer ones that it remembers.
-MEMO_PIECES, MEMO_BYTES = 1_000_000, 256
+MEMO_PIECES, MEMO_BYTES = 1 << 19, 256
 #: Bytes of a piece that is its own key.
 KEY_BYTES = 23
 #: Stands between pieces in a line where white space is dropped; a pre-token of its own with one id.

@@ -46,4 +46,22 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, regexp_full_match(codes, 's?u(au)*a?') AS valid_order FROM g
 """
 
-ORACLE = {"op1_near_dedup": OP1, "op3_embedding_dedup": OP3, "op4_mixing": OP4, "op6_chat": OP6}
+#: CRC-32 as a fold over bytes with a table of its remainders; near words meet by what is left of them without one letter.
+OP13 = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM d),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda a, c: xor(a >> 8, t[xor(a & 255, c) + 1]))) AS h FROM b, t),
+k AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS k FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM e a JOIN e b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+      UNION SELECT e.word, e.n, v.word, v.n FROM e JOIN v ON e.k = v.word UNION SELECT v.word, v.n, e.word, e.n FROM e JOIN v ON e.k = v.word),
+f AS (SELECT v.word, v.n, count(p.near) AS n_near, min({'m': -p.m, 'w': p.near}) AS best FROM v LEFT JOIN p ON v.word = p.word GROUP BY v.word, v.n),
+g AS (SELECT word, n, n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM f),
+c AS (SELECT word, word AS at, 0 AS step FROM g UNION ALL SELECT c.word, g.form, step + 1 FROM c JOIN g ON c.at = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, arg_max(c.at, c.step) AS root, g.n, g.n_near, g.form_n FROM g JOIN c ON g.word = c.word GROUP BY g.word, g.form, g.n, g.n_near, g.form_n
+"""
+
+ORACLE = {"op1_near_dedup": OP1, "op3_embedding_dedup": OP3, "op4_mixing": OP4, "op6_chat": OP6, "op13_spelling_variants": OP13}

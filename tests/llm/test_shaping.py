@@ -75,7 +75,7 @@ def test_another_template(spark):
         chat.Template(states={"s": {"user": "nowhere"}})
 
 
-@pytest.mark.parametrize("name", ["op4_mixing", "op6_chat", "op3_embedding_dedup", "op1_near_dedup"])
+@pytest.mark.parametrize("name", ["op4_mixing", "op6_chat", "op3_embedding_dedup", "op1_near_dedup", "op13_spelling_variants"])
 def test_sql_says_the_same(name, spark, duck):
     df = queries.QUERIES[name](spark, str(DATA / "sf0.001"))
     columns = sorted(df.columns)

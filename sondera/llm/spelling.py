@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,12 +227,12 @@ def near_pairs(words: DataFrame, max_chars: int = MAX_CHARS, min_chars: int = MI
             if not b.num_rows:
                 continue
             held.append(pa.Table.from_batches([b]))
-            cells += b.num_rows * (pa.compute.max(b.column("size")).as_py() + 1)
+            cells += b.num_rows * (pc.max(b.column("size")).as_py() + 1)
             if cells < CELLS:
                 continue
             t = pa.concat_tables(held)
             keys = t.column("key")
-            whole = pa.compute.index(keys, keys[-1]).as_py()  # the last key may go on in the next batch
+            whole = pc.index(keys, keys[-1]).as_py()  # the last key may go on in the next batch
             if whole:
                 yield found(t.slice(0, whole))
             held, cells = [t.slice(whole)], 0

@@ -43,7 +43,7 @@ _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 _PLAIN = re.compile(r"[^\W\d_]+")
 #: Repetitions that may be no spelling: a letter three times, or three letters twice.
-_AGAIN = re.compile(r"(.)\1\1|(.)\2.*?(.)\3.*?(.)\4")
+_AGAIN = re.compile(r"(.)\1(?:\1|.*?(.)\2.*?(.)\3)")
 #: Marks that can only part words where they begin or end a chunk.
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET) + "¡¿«»“”„’‘…–—•"
 _ODD = re.compile("[" + re.escape("".join(LEET)) + re.escape(MARKS) + "]")
@@ -122,6 +122,17 @@ def train(df: DataFrame, text_col: str = "text") -> Decoder:
     return Decoder(zlib.compress(counts.tobytes(), 1))
 
 
+def chunks_of(text: str) -> set[str]:
+    """The different chunks of a text, in lower case."""
+    low = text.lower()
+    return {*low.split(), *(m.group() for m in _SPACED.finditer(low))}
+
+
+def remember(memo: dict, chunk: str, what: tuple) -> None:
+    if len(memo) < MEMO and len(chunk) <= 256:
+        memo[chunk] = what
+
+
 @dataclass
 class Decoder:
     packed: bytes
@@ -195,22 +206,25 @@ class Decoder:
             out.append(meant)
         return tuple(w for w in "".join(reversed(out)).split("\0") if w)
 
-    def _read(self, chunk: str) -> tuple[str, ...]:
+    def read(self, chunk: str) -> tuple[str, ...]:
+        """The words of a chunk in lower case."""
         core = chunk.strip(_EDGES)
+        if core.isalpha():
+            return self.decode(core) if _AGAIN.search(core) else (core,)
         if not _PLAIN.search(core):
-            words: tuple[str, ...] = ()
-        elif _ODD.search(core) or _AGAIN.search(core):
-            words = self.decode(core)
-        else:
-            words = tuple(_PLAIN.findall(core))
-        if len(self.memo) < MEMO and len(chunk) <= 256:
-            self.memo[chunk] = words
-        return words
+            return ()
+        if _ODD.search(core) or _AGAIN.search(core):
+            return self.decode(core)
+        return tuple(_PLAIN.findall(core))
 
     def words(self, text: str) -> set[str]:
         """The different words of a text, restored."""
-        low, out, known = text.lower(), set(), self.memo.get
-        for chunk in {*low.split(), *(m.group() for m in _SPACED.finditer(low))}:
+        out: set[str] = set()
+        known = self.memo.get
+        for chunk in chunks_of(text):
             words = known(chunk)
-            out.update(self._read(chunk) if words is None else words)
+            if words is None:
+                words = self.read(chunk)
+                remember(self.memo, chunk, words)
+            out.update(words)
         return out

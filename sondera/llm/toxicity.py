@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +39,45 @@ def terms_of(word: str) -> list[str]:
     return ["=" + word, *(word[:k] + "~" for k in PREFIXES if len(word) >= k)]
 
 
+def evidence_of(words: set[str] | tuple[str, ...], terms: dict[str, float]) -> dict[str, float]:
+    """Words that begin with a term or are one, with the highest evidence."""
+    get = terms.get
+    return {w: e for w in words if (e := max(get(t, 0.0) for t in terms_of(w)))}
+
+
+def measures(found: dict[str, float]) -> list[float]:
+    """Of the three strongest words, the logarithm of all evidence, and that of the number of words with any."""
+    e = sorted(found.values(), reverse=True)
+    return [*(e + [0.0] * 3)[:3], math.log1p(math.fsum(e)), math.log1p(len(e))]
+
+
 @dataclass
 class Model:
     decoder: noisy_channel.Decoder
     terms: dict[str, float]
     weights: list[float]
-
-    def evidence(self, words: set[str], terms: dict[str, float]) -> list[float]:
-        """Of the three strongest words, the logarithm of all evidence, and the number of words with any."""
-        if not terms:
-            return [0.0] * 5
-        get = terms.get
-        found = sorted((e for e in (max(get(t, 0.0) for t in terms_of(w)) for w in words) if e), reverse=True)
-        return [*(found + [0.0] * 3)[:3], math.log1p(sum(found)), math.log1p(len(found))]
+    memo: dict[str, tuple] = field(default_factory=dict)
+
+    def __reduce__(self):
+        return Model, (self.decoder, self.terms, self.weights)
+
+    def found(self, text: str) -> dict[str, float]:
+        """evidence_of() the restored words of a text; most chunks have none."""
+        out: dict[str, float] = {}
+        if self.terms:
+            known = self.memo.get
+            for chunk in noisy_channel.chunks_of(text):
+                hits = known(chunk)
+                if hits is None:
+                    hits = tuple(evidence_of(self.decoder.read(chunk), self.terms).items())
+                    noisy_channel.remember(self.memo, chunk, hits)
+                if hits:
+                    out.update(hits)
+        return out
 
     def score(self, text: str) -> float:
-        x = self.evidence(self.decoder.words(text), self.terms) if self.terms else [0.0] * 5
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(w * v for w, v in zip(self.weights, [1.0, *x], strict=True))))))
+        z = sum(w * v for w, v in zip(self.weights, [1.0, *measures(self.found(text))], strict=True))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,13 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     decoder = noisy_channel.train(docs)
     labelled = keep(_labelled(docs, labels), "labelled")
     texts = keep(_restored(docs, labelled, decoder), "restored")
-    model = Model(decoder, {}, [])
-    model.terms, first, second = learn_terms(texts)
+    terms, first, second = learn_terms(texts)
     other = (second, first)  # terms of the half that a text isn't in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [model.evidence(set(w), other[h]) for w, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            x = [measures(evidence_of(w, other[h])) for w, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     sample = texts.select("y", "words", _half(F.col("key")).alias("half"), "key", F.xxhash64("key", F.lit(1)).alias("h"))
@@ -144,8 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     t = sample.select("y", "words", "half").mapInArrow(run, "y int, x array<double>").toArrow()
     x = np.array(t.column("x").to_pylist(), dtype=np.float64).reshape(t.num_rows, 5)
     order = np.lexsort(x.T)  # rows come in any order; sums shouldn't depend on it
-    model.weights = regression(x[order], t.column("y").to_numpy().astype(np.float64)[order])
-    return model
+    return Model(decoder, terms, regression(x[order], t.column("y").to_numpy().astype(np.float64)[order]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:

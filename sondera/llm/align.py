@@ -5,7 +5,7 @@ as byte offsets, cut a text into elementary intervals (union1d); searchsorted gi
 is one overlap: one link. Where both end, a group closes. All texts of a block are laid end to end, so this is a few array operations for
 thousands of texts. A text is cut at single spaces and its pieces are looked up (bpe.PieceEncoder), for both tokenizers alike.
 
-Corpus counts of id pairs are Spark aggregations over what each block has added up. A block, some megabytes of text or one longer text, asks
+Corpus counts of id pairs are Spark aggregations over what each block has added up. A block, a megabyte of text or one longer text, asks
 for the counts of its own pairs by a join, and what comes back for it is at most as large as its links. So nothing is broadcast
 or collected, and no link moves by itself.
 
@@ -32,7 +32,7 @@ from . import bpe
 from .base import keep
 
 #: Texts and bytes of a block; the text that fills it is its last.
-BLOCK_TEXTS, BLOCK_BYTES = 4096, 4 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 4096, 1 << 20
 _SPACE = "▁"
 
 

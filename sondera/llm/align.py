@@ -129,6 +129,12 @@ class Block:
     link_b: np.ndarray
 
 
+def _union1d(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """np.union1d of two sorted arrays, which a stable sort merges; the library hashes them."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 def align(texts: list[str], t: Tokenizers) -> Block:
     spaced = [" " + x if x else "" for x in texts]
     raw = [x.encode() for x in spaced]
@@ -144,7 +150,7 @@ def align(texts: list[str], t: Tokenizers) -> Block:
     n_a, n_b = (np.where(good, n, 0) for n in size)
     text_ends = np.cumsum(np.where(good, [len(r) for r in raw], 0)).astype(np.int64)
     end_a, end_b = np.cumsum(t.lengths[0][a]), np.cumsum(t.lengths[1][b])
-    ends = np.union1d(end_a, end_b)
+    ends = _union1d(end_a, end_b)
     at_a, at_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
     shared = np.zeros(len(ends), dtype=np.int64)
     shared[at_a] += 1

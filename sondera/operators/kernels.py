@@ -135,14 +135,6 @@ def ripple(mag: np.ndarray, length: int = 512, cycles: float = 2.0, prominence:
     return {"tau": np.where(clear, at / length, np.nan), "flatness": np.where(whole, flat, 0.0), "ripple_db": np.where(whole, 20 / math.log(10) * logs.std(1), np.nan)}
 
 
-def image_ratio(h: np.ndarray) -> np.ndarray:
-    """Mirror products of each spectrum, after its own slope is taken out: the average of H(k) H(-k) over |H|^2."""
-    slope, _ = coherent_slope(h)
-    g = h * np.exp(-1j * slope[:, None] * FREQUENCIES)
-    g = g * np.exp(-1j * np.angle(g.sum(1)))[:, None]
-    return (g * g[:, ::-1]).sum(1) / np.maximum((np.abs(g) ** 2).sum(1), 1e-300)
-
-
 # --- series
 
 

@@ -133,3 +133,13 @@ def eer(df: DataFrame, label: str, score: str, group: list[str]) -> DataFrame:
     r = _both_kinds(df, label, score, group).withColumn("frr", F.coalesce(F.sum("pos").over(run), F.lit(0)) / F.col("allpos")).withColumn("far", 1 - F.coalesce(F.sum("neg").over(run), F.lit(0)) / F.col("allneg"))
     best = r.groupBy(*group).agg(F.min(F.struct(F.round(F.abs(F.col("far") - F.col("frr")), 12).alias("gap"), F.col(score).alias("threshold"), "far", "frr")).alias("b"))
     return best.select(*group, ((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"), F.col("b.threshold").alias("threshold"))
+
+
+#: Cosine distance up to which a template is met.
+MET = 0.15
+
+
+def template_verdict(distance: Column, known: Column, met: float = MET) -> Column:
+    """Of the distance to the nearest template of a library, and whether the library knows the id that was seen."""
+    near = F.coalesce(distance <= met, F.lit(False))
+    return F.when(near & known, "KNOWN").when(near, "MATCH OF A NEW ID").when(known, "KNOWN ID IS OFF").otherwise("STRANGER")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -428,3 +428,50 @@ def fit_shapes(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
         "exponential": bic(min(rss(np.exp(-u / tau)) for tau in span * np.geomspace(0.02, 2, 25)), 3),
         "step": bic(min(rss((u > c).astype(float)) for c in np.unique(u)[1:-1]), 3) if len(np.unique(u)) > 2 else float("inf"),
     }
+
+
+#: Lags of a circular shift that one row of work tries.
+LAGS = 256
+
+
+def _change_scores(x: np.ndarray, y: np.ndarray, w: int, lags: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps of x, steps of y, scores by lag and place). A step is the median of w values less that of the w before. Medians of y run around its end, so a lag only moves its steps."""
+    med = np.median(np.lib.stride_tricks.sliding_window_view(x, w), axis=1)
+    sx = med[w:] - med[:-w]
+    around = np.median(np.lib.stride_tricks.sliding_window_view(np.concatenate([y, y[: w - 1]]), w), axis=1)
+    turned = np.roll(around, -w) - around
+    sy = turned[(np.arange(len(sx)) - lags[:, None]) % len(y)]
+    return sx, turned[: len(sx)], np.where(np.sign(sx) == np.sign(sy), np.round(np.minimum(np.abs(sx), np.abs(sy)) / unit, 9), 0.0)
+
+
+def replicated_change(df: DataFrame, group: list[str], t: str, a: str, b: str, widths: tuple[int, ...] = (5, 15, 30), unit: float = 1.0, least: int = 5) -> DataFrame:
+    """(group, width, n, boundary, step_a, step_b, score, p, bh) of the largest step that two paired series have together.
+
+    The longest run of consecutive t with both values is tested, the first of several; runs of fewer than 2 width + least values have no row. A
+    score is the smaller of two steps of one sign, in units. p compares the largest score with that of every circular shift of b, which keeps
+    both series but not their common time; bh adjusts over all rows. A run is one row (of bins); its lags are dealt out in blocks of LAGS.
+    """
+    w = Window.partitionBy(*group)
+    j = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(t).isNotNull()).withColumn("__run", F.col(t) - F.row_number().over(w.orderBy(t)))
+    run = j.groupBy(*group, "__run").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")))).alias("s"))
+    one = run.withColumn("__at", F.row_number().over(w.orderBy(F.col("n").desc(), "__run"))).where("__at = 1").select(*group, "n", "s", F.explode(F.array(*map(F.lit, widths))).alias("width")).where(F.col("n") >= 2 * F.col("width") + least)
+    work = one.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(LAGS).cast("bigint")))).repartition(*group, "width", "__first")
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False, name=None):
+                row = dict(zip(batch.columns, r, strict=True))
+                s, width = row["s"], int(row["width"])
+                x, y = (np.array([v[c] for v in s], dtype=float) for c in ("a", "b"))
+                lags = np.arange(row["__first"], min(row["__first"] + LAGS, len(s)))
+                sx, sy, scores = _change_scores(x, y, width, np.append(0, lags), unit)
+                at = int(scores[0].argmax())
+                top = scores[1:].max(1)
+                out.append([*(row[g] for g in group), width, len(s), int(s[width + at]["t"]), sx[at], sy[at], scores[0, at], int(((lags > 0) & (top >= scores[0, at])).sum())])
+            yield pd.DataFrame(out, columns=[*group, "width", "n", "boundary", "step_a", "step_b", "score", "over"])
+
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    parts = work.mapInPandas(tried, f"{kinds}, width int, n bigint, boundary bigint, step_a double, step_b double, score double, over bigint")
+    whole = parts.groupBy(*group, "width", "n", "boundary", "step_a", "step_b", "score").agg(((F.sum("over") + 1) / F.col("n")).alias("p"))
+    return benjamini_hochberg(whole.withColumn("__all", F.lit(0)), ["__all"], "p", "width").drop("__all")

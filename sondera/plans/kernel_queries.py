@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import STEADY, r6
-from ..operators import cluster, kernels, recursive, stats
+from ..operators import cluster, imbalance, kernels, recursive, stats
 from ..operators import windows as win
 from ..session import frames, scratch, table
 from ..streaming import streams
 from .catalog import register
 from .frame_queries import DAY, FR, ORDER, _sql
+from .relation_queries import _BINS as _DAY_BINS
+from .relation_queries import _bins as _day_bins
 
 
 def _spectra(spark, sf_dir) -> DataFrame:
@@ -105,15 +107,28 @@ def dsp10_ripple(spark, sf_dir):
     return _per_vector(_spectra(spark, sf_dir), f, "tau_ns double, flatness double, ripple_db double")
 
 
-@register()
-def dsp11_image_ratio(spark, sf_dir):
-    """Mirror products of frames, summed by source: sums of frames merge, so sources shuffle one row for each task."""
-    def f(h, i):
-        z = kernels.image_ratio(h)
-        return {"re": z.real, "im": z.imag}
+#: Products of mirror places in SQL, from spectra without ramp and mean; sums of each source by place; derived figures.
+_TRAIN = "".join("1" if x > 0 else "0" for x in imbalance.TRAINING)
+_MIRROR = _H + f""", u AS MATERIALIZED (SELECT vec_id, label, CASE WHEN j < 32 THEN j ELSE j - 64 END AS k, re, im FROM h WHERE j BETWEEN 1 AND 26 OR j BETWEEN 38 AND 63),
+m AS (SELECT a.vec_id, atan2(sum(b.im * a.re - b.re * a.im), sum(b.re * a.re + b.im * a.im)) AS m FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.k = a.k + 1 GROUP BY a.vec_id),
+d AS (SELECT vec_id, label, k, re * cos(m * k) + im * sin(m * k) AS re, im * cos(m * k) - re * sin(m * k) AS im FROM u JOIN m USING (vec_id)),
+g AS MATERIALIZED (SELECT vec_id, label, k, CASE WHEN k < 0 THEN k + 26 ELSE k + 25 END AS i, re - avg(re) OVER w AS re, im - avg(im) OVER w AS im FROM d WINDOW w AS (PARTITION BY vec_id)),
+s AS (SELECT i, CASE WHEN substr('{_TRAIN}', CAST(i + 1 AS BIGINT), 1) = substr('{_TRAIN}', CAST(52 - i AS BIGINT), 1) THEN 1.0 ELSE -1.0 END AS s FROM (SELECT unnest(range(52)) AS i)),
+p AS (SELECT a.vec_id, a.label, x.d, a.i, a.k, s.s, a.re * b.re - a.im * b.im AS re, a.re * b.im + a.im * b.re AS im, a.re * a.re + a.im * a.im AS w FROM g a JOIN s USING (i), (SELECT unnest([0, 2, 5, 9, 13]) AS d) x, g b WHERE b.vec_id = a.vec_id AND b.i = (51 - a.i + x.d) % 52),
+c AS MATERIALIZED (SELECT {{0}}label, d, i, abs(k) AS k, s, sum(re) AS re, sum(im) AS im, sum(CASE vec_id % 2 WHEN 0 THEN re ELSE -re END) AS gap_re, sum(CASE vec_id % 2 WHEN 0 THEN im ELSE -im END) AS gap_im, sum(w) AS w FROM p GROUP BY ALL),
+f AS (SELECT {{0}}label, count(*) AS n, sum(sqrt(re * re + im * im)) AS size FROM (SELECT {{0}}vec_id, label, sum(s * re) AS re, sum(s * im) AS im FROM p WHERE d = 0 GROUP BY ALL) GROUP BY ALL)"""
+
 
-    e = _per_vector(_spectra(spark, sf_dir), f, "re double, im double")
-    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("re")).alias("kappa_re"), r6(F.avg("im")).alias("kappa_im"))
+@register(_sql("""SELECT label, n, round(re / (2 * w), 6) + 0.0 AS kappa_re, round(im / (2 * w), 6) + 0.0 AS kappa_im, round(top / (2 * w), 6) + 0.0 AS null_max, round(gap / w, 6) + 0.0 AS halves_gap, round(sqrt(re * re + im * im) / size, 6) + 0.0 AS coherence, round(align, 6) + 0.0 AS align, round(moved, 6) + 0.0 AS align_moved,
+gap < sqrt(re * re + im * im) / 2 AND sqrt(re * re + im * im) / size >= 5 * 0.886 / sqrt(n) AND sqrt(re * re + im * im) > top AS detected, gap < sqrt(re * re + im * im) / 2 AND sqrt(re * re + im * im) / size >= 5 * 0.886 / sqrt(n) AND align > moved AS detected_pairs
+FROM f JOIN (SELECT label, sum(s * re) AS re, sum(s * im) AS im, sum(w) AS w, sqrt(sum(s * gap_re) ** 2 + sum(s * gap_im) ** 2) AS gap FROM c WHERE d = 0 GROUP BY label) USING (label)
+JOIN (SELECT label, max(t) FILTER (WHERE d = 0) AS align, max(t) FILTER (WHERE d > 0) AS moved FROM (SELECT label, d, sqrt(sum(s * re) ** 2 + sum(s * im) ** 2) / sum(sqrt(re * re + im * im)) AS t FROM c GROUP BY label, d) GROUP BY label) USING (label)
+JOIN (SELECT label, max(t) AS top FROM (SELECT label, e, sqrt(sum(z * re) ** 2 + sum(z * im) ** 2) AS t FROM (SELECT c.*, e, CASE WHEN substr(md5(e || ':' || k), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS z FROM c, (SELECT unnest(range(64)) AS e) WHERE d = 0) GROUP BY label, e) GROUP BY label) USING (label)""", _MIRROR.format("")))
+def dsp11_image_ratio(spark, sf_dir):
+    """Imbalance of mirror places of each source: the estimate, its halves, and its nulls of signs and of wrong partners."""
+    s = imbalance.sums(_spectra(spark, sf_dir), "label", "iq", "vec_id")
+    f = imbalance.features(s, "label")
+    return f.select("label", "n", *[r6(c).alias(c) for c in imbalance.FEATURES if c not in ("nu_re", "nu_im")], "detected", "detected_pairs")
 
 
 def _hourly(spark, sf_dir) -> DataFrame:
@@ -299,6 +314,25 @@ def stat3_rotation_null(spark, sf_dir):
     return d.select("node", _series(f, "p_week double, p_blocks double")("series").alias("o")).select("node", "o.*")
 
 
+_PAIRED = _DAY_BINS + """, j AS (SELECT a.node, a.bin, a.v AS x, b.v AS y, a.bin - row_number() OVER (PARTITION BY a.node ORDER BY a.bin) AS run FROM d a JOIN d b ON a.node = b.node AND a.bin = b.bin AND a.rx = 0 AND b.rx = 1),
+l AS (SELECT node, run, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, run) AS pl FROM (SELECT node, run, count(*) AS n FROM j GROUP BY node, run)) WHERE pl = 1),
+s AS MATERIALIZED (SELECT node, bin, x, y, n, row_number() OVER (PARTITION BY node ORDER BY bin) - 1 AS i FROM j JOIN l USING (node, run)),
+z AS MATERIALIZED (SELECT a.node, a.n, a.i, w.w, median(b.x) FILTER (WHERE b.i >= a.i) AS x, count(*) FILTER (WHERE b.i >= a.i) AS full_x, median(b.y) AS y FROM s a JOIN (SELECT unnest([5, 15, 30]) AS w) w ON a.n >= 2 * w.w + 5 JOIN s b ON a.node = b.node AND (b.i - a.i + a.n) % a.n < w.w GROUP BY a.node, a.n, a.i, w.w),
+k AS MATERIALIZED (SELECT a.node, a.n, a.w, a.i, CASE WHEN a.i + 2 * a.w <= a.n THEN b.x - a.x END AS x, b.y - a.y AS y FROM z a JOIN z b ON a.node = b.node AND a.w = b.w AND b.i = (a.i + a.w) % a.n),
+c AS MATERIALIZED (SELECT a.node, a.n, a.w, a.i, (a.i - b.i + a.n) % a.n AS lag, a.x, b.y, CASE WHEN sign(a.x) = sign(b.y) THEN round(least(abs(a.x), abs(b.y)) / 10, 9) ELSE 0 END AS score FROM k a JOIN k b ON a.node = b.node AND a.w = b.w WHERE a.x IS NOT NULL),
+o AS (SELECT node, w, n, i, x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY node, w ORDER BY score DESC, i) AS pl FROM c WHERE lag = 0) WHERE pl = 1),
+p AS (SELECT node, w, n, i, x, y, score, (1 + over_) / n AS p FROM (SELECT o.node, o.w, o.n, o.i, o.x, o.y, o.score, count(*) FILTER (WHERE m.lag > 0 AND m.top >= o.score) AS over_ FROM o JOIN (SELECT node, w, lag, max(score) AS top FROM c GROUP BY node, w, lag) m ON o.node = m.node AND o.w = m.w GROUP BY ALL))"""
+
+
+@register(_sql("SELECT p.node, p.w AS width, p.n, s.bin AS boundary, round(p.x, 6) + 0.0 AS step_a, round(p.y, 6) + 0.0 AS step_b, round(p.score, 6) + 0.0 AS score, round(p, 6) + 0.0 AS p, round(min(b) OVER (ORDER BY pl ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS bh FROM (SELECT *, row_number() OVER (ORDER BY p, w) AS pl, least(1.0, count(*) OVER () * p / row_number() OVER (ORDER BY p, w)) AS b FROM p) p JOIN s ON p.node = s.node AND s.i = p.w + p.i", _PAIRED))
+def stat3_change_test(spark, sf_dir):
+    """The largest step that a node's two receivers have together, against all circular shifts of one of them."""
+    d = _day_bins(spark, sf_dir)
+    both = d.groupBy("node", "bin").agg(F.max(F.when(F.col("rx") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("rx") == 1, F.col("v"))).alias("b"))
+    t = stats.replicated_change(both, ["node"], "bin", "a", "b", unit=10.0)
+    return t.select("node", "width", "n", "boundary", *[r6(c).alias(c) for c in ("step_a", "step_b", "score", "p", "bh")])
+
+
 def _days(spark, sf_dir) -> DataFrame:
     return win.time_bins(frames(spark, sf_dir), "node", "us", DAY, {"v": F.median("value")})
 
@@ -432,17 +466,31 @@ def ml11_silhouette(spark, sf_dir):
     return cluster.silhouette(e, "v", "label").select(r6("silhouette").alias("silhouette"))
 
 
-@register()
+_TURNS = _MIRROR.format("vec_id % 3 AS session, ") + """, e AS (SELECT session, label, atan2(sum(s * im), sum(s * re)) AS angle FROM c WHERE d = 0 GROUP BY session, label),
+t AS (SELECT b.session, b.label, atan2(sin(b.angle - a.angle), cos(b.angle - a.angle)) AS turn FROM e a JOIN e b ON a.label = b.label AND b.session = a.session + 1),
+r AS (SELECT session, count(*) AS n, atan2(avg(sin(turn)), avg(cos(turn))) AS shared, sqrt(greatest(0, -2 * ln(least(1, greatest(1e-12, sqrt(avg(sin(turn)) ** 2 + avg(cos(turn)) ** 2)))))) AS spread FROM t GROUP BY session)"""
+
+
+def _session_turns(spark, sf_dir) -> DataFrame:
+    """Imbalance of each source and session, and how its direction turned since the session before."""
+    s = _spectra(spark, sf_dir).withColumn("cell", F.col("label").cast("bigint") * 3 + F.col("vec_id") % 3)
+    f = imbalance.features(imbalance.sums(s, "cell", "iq", "vec_id"), "cell").where("n > 0")
+    e = f.select((F.col("cell") % 3).alias("session"), F.floor(F.col("cell") / 3).alias("label"), F.atan2("kappa_im", "kappa_re").alias("angle"))
+    return imbalance.turns(e, "label", "session", "angle")
+
+
+@register(_sql("SELECT session, label, round(turn, 6) + 0.0 AS turn, round(atan2(sin(turn - shared), cos(turn - shared)), 6) + 0.0 AS own FROM t JOIN r USING (session)", _TURNS))
 def ml14_common_rotation(spark, sf_dir):
-    """Complex features less the rotation that all sources of a session share."""
-    def f(h, i):
-        z = kernels.image_ratio(h)
-        return {"re": z.real, "im": z.imag}
+    """Turn of each source's imbalance from one session to the next, and what is left of it without the turn that all sources share."""
+    t = _session_turns(spark, sf_dir)
+    return imbalance.without_shared(t, "session").select("session", "label", r6("turn").alias("turn"), r6("own").alias("own"))
+
 
-    e = _per_vector(_spectra(spark, sf_dir), f, "re double, im double").withColumn("session", F.col("vec_id") % 2)
-    mean = e.groupBy("session").agg(F.atan2(F.avg("im"), F.avg("re")).alias("turn"))
-    d = e.join(mean, "session")
-    return d.select("vec_id", "session", r6(F.col("re") * F.cos("turn") + F.col("im") * F.sin("turn")).alias("re"), r6(F.col("im") * F.cos("turn") - F.col("re") * F.sin("turn")).alias("im"))
+@register(_sql("SELECT session, n, round(shared, 6) + 0.0 AS shared, round(spread, 6) + 0.0 AS spread, round(spread / abs(shared), 6) + 0.0 AS ratio, round(1 - rest / total, 6) + 0.0 AS removed, CASE WHEN n < 3 THEN 'TOO FEW' WHEN spread / abs(shared) <= 0.25 THEN 'COMMON' WHEN spread / abs(shared) > 1 THEN 'NOT COMMON' ELSE 'PARTIAL' END AS verdict FROM r JOIN (SELECT session, sum(turn * turn) AS total, sum(atan2(sin(turn - shared), cos(turn - shared)) ** 2) AS rest FROM t JOIN r USING (session) GROUP BY session) USING (session)", _TURNS))
+def ml14_common_mode(spark, sf_dir):
+    """Whether the sources of a session turned together: circular mean and spread, their ratio, and the share of energy that the mean takes off."""
+    t = imbalance.common_mode(_session_turns(spark, sf_dir), "session")
+    return t.select("session", "n", *[r6(c).alias(c) for c in ("shared", "spread", "ratio", "removed")], "verdict")
 
 
 # --- streams: run over what is there, to the end

@@ -126,10 +126,13 @@ def _summed(d: DataFrame, *more: str) -> DataFrame:
 
 @register(_sql(_FRAMES.format(mac=_MAC, more=", CAST(row_no % 65536 AS INTEGER) AS dropped")))
 def src5_frames(spark, sf_dir):
-    """Typed records out of streams of bytes that are cut anywhere; after each tenth record come bytes that only look like one, which the search passes."""
+    """Typed records out of streams of bytes that are cut anywhere; after each tenth record come bytes that only look like one, of a type that isn't or with a check that fails, which the search passes."""
+    no_type = bytes((binary.SYNC, binary.TYPED, 9)) + b"\x00" * 5 + bytes((binary.SYNC,))
+    no_check = bytes((binary.SYNC, binary.TYPED, 1)) + b"\x00" * 7 + b"\x01\x00" + b"\x00" + b"\x55"
+
     def encode(r):
         good = binary.encode_vector(r.row_no, _ident(r.source), r.us % (1 << 32), _values(r.row_no), node=1, dropped=r.row_no % 65536)
-        return good + (bytes((binary.SYNC, binary.TYPED, 1, 0, 0)) + b"\x00" * 3 + bytes((binary.SYNC,)) if r.row_no % 10 == 0 else b"")
+        return good + (b"" if r.row_no % 10 else no_type if r.row_no % 20 else no_check)
 
     d = _decoded(spark, sf_dir, encode).withColumnRenamed("node", "unit").withColumnRenamed("stream", "node")
     return _summed(d, "dropped")
@@ -231,11 +234,11 @@ def src18_prefixed_json(spark, sf_dir):
     return capture.read_prefixed_json(spark, path, "source bigint, n bigint, last_us bigint")
 
 
-@register(_sql("SELECT node, make_timestamp(bin * 3600000000 + CASE WHEN bin % 24 = 5 THEN 600000000 ELSE 3180000000 END) AS at, round(v, 3) AS value FROM (SELECT node, us // 3600000000 AS bin, avg(value) AS v FROM fr GROUP BY 1, 2)"))
+@register(_sql("SELECT node, make_timestamp(bin * 3600000000 + CASE WHEN bin % 24 = 5 THEN 600000000 ELSE 3180000000 END) AS at, round(v + 1e-9, 3) AS value FROM (SELECT node, us // 3600000000 AS bin, avg(value) AS v FROM fr GROUP BY 1, 2)"))
 def src19_hourly(spark, sf_dir):
     """Hourly means as compact lines, a day each, and back: `-` is an hour without one, and the sixth hour names a minute of its own."""
     path = scratch(spark, "hourly")
-    h = win.time_bins(frames(spark, sf_dir), "node", "us", HOUR, {"v": F.avg("value")}).select("node", F.floor(F.col("bin") / 24).alias("day"), (F.col("bin") % 24).cast("int").alias("hour"), F.round("v", 3).cast("string").alias("v"))
+    h = win.time_bins(frames(spark, sf_dir), "node", "us", HOUR, {"v": F.avg("value")}).select("node", F.floor(F.col("bin") / 24).alias("day"), (F.col("bin") % 24).cast("int").alias("hour"), F.round(F.col("v") + 1e-9, 3).cast("string").alias("v"))  # so that a tie goes up whatever the order of a sum
     slot = lambda i: F.coalesce(F.element_at("m", i), F.lit("-"))
     d = h.groupBy("node", "day").agg(F.map_from_entries(F.collect_list(F.struct("hour", "v"))).alias("m"))  # 24 entries at most
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.when((i == 5) & F.map_contains_key("m", i), F.concat(F.lit("@10="), slot(i))).otherwise(F.when(F.map_contains_key("m", i), slot(i)).otherwise("-"))), ",")

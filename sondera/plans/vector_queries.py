@@ -113,15 +113,16 @@ def dsp14_field(spark, sf_dir):
     return g.groupBy(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).agg(r6(F.sum(F.col("w") * F.exp(-d / 3))).alias("field"))
 
 
-@register(_e(_V, "t AS (SELECT label, j, avg(x) AS c FROM (SELECT label, unnest(range(64)) AS j, unnest(v) AS x FROM e) GROUP BY label, j)", "q AS (SELECT vec_id, unnest(range(64)) AS j, unnest(v) AS x FROM e)", "d AS (SELECT q.vec_id, t.label, round(1 - sum(q.x * t.c) / (sqrt(sum(q.x * q.x)) * sqrt(sum(t.c * t.c))), 6) + 0.0 AS d FROM q JOIN t ON q.j = t.j GROUP BY q.vec_id, t.label)", body="SELECT vec_id, min(label) AS nearest, min(d) AS distance, CASE WHEN min(d) <= 0.15 THEN 'MATCH' WHEN min(d) <= 0.5 THEN 'WEAK' ELSE 'NONE' END AS verdict FROM (SELECT *, min(d) OVER (PARTITION BY vec_id) AS best FROM d) WHERE d = best GROUP BY vec_id"))
+@register(_e(_V, "t AS (SELECT label, j, avg(x) AS c FROM (SELECT label, unnest(range(64)) AS j, unnest(v) AS x FROM e WHERE label < 7) GROUP BY label, j)", "q AS (SELECT vec_id, unnest(range(64)) AS j, unnest(v) AS x FROM e)", "d AS (SELECT q.vec_id, t.label, round(1 - sum(q.x * t.c) / (sqrt(sum(q.x * q.x)) * sqrt(sum(t.c * t.c))), 6) + 0.0 AS d FROM q JOIN t ON q.j = t.j GROUP BY q.vec_id, t.label)", body="SELECT vec_id, min(label) AS nearest, min(d) AS distance, CASE WHEN min(d) <= 0.15 THEN CASE WHEN any_value(own) < 7 THEN 'KNOWN' ELSE 'MATCH OF A NEW ID' END WHEN any_value(own) < 7 THEN 'KNOWN ID IS OFF' ELSE 'STRANGER' END AS verdict FROM (SELECT d.*, e.label AS own, min(d) OVER (PARTITION BY vec_id) AS best FROM d JOIN e USING (vec_id)) WHERE d = best GROUP BY vec_id"))
 def ml8_cosine(spark, sf_dir):
-    """Nearest class template by cosine distance; templates are one for each label and go to all tasks if few."""
+    """Nearest template of a library of ids (labels below 7) by cosine distance, and one of four verdicts: near one or not, of an id that the library knows or not."""
     e = _vectors(spark, sf_dir)
-    t = e.select("label", F.posexplode("v").alias("j", "x")).groupBy("label", "j").agg(F.avg("x").alias("c")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "c"))), lambda s: s["c"]).alias("c"))
+    known = F.col("label") < 7
+    t = e.where(known).select("label", F.posexplode("v").alias("j", "x")).groupBy("label", "j").agg(F.avg("x").alias("c")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "c"))), lambda s: s["c"]).alias("c"))
     t = t.select(F.col("label").alias("__l"), "c", expr.norm(F.col("c")).alias("cn"))
     far = lambda m: F.struct(r6(1 - expr.dot(F.col("v"), m["c"]) / (F.col("vn") * m["cn"])).alias("d"), m["model"].alias("model"))
-    best = models.least_of(e.select("vec_id", "v", expr.norm(F.col("v")).alias("vn")), t.withColumnRenamed("__l", "model"), ["vec_id"], far, "b")
-    return best.select("vec_id", F.col("b.model").alias("nearest"), F.col("b.d").alias("distance"), F.when(F.col("b.d") <= 0.15, "MATCH").when(F.col("b.d") <= 0.5, "WEAK").otherwise("NONE").alias("verdict"))
+    best = models.least_of(e.select("vec_id", "v", expr.norm(F.col("v")).alias("vn"), known.alias("known")), t.withColumnRenamed("__l", "model"), ["vec_id", "known"], far, "b")
+    return best.select("vec_id", F.col("b.model").alias("nearest"), F.col("b.d").alias("distance"), models.template_verdict(F.col("b.d"), F.col("known")).alias("verdict"))
 
 
 # --- Gaussian models

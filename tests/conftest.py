@@ -24,14 +24,23 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def _views(sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/sf0.001/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{sf}/{t}.parquet')")
     return c
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return _views("sf0.001")
+
+
+@pytest.fixture(scope="session")
+def duck_more():
+    return _views("sf0.01")
+
+
 def cell(v):
     """A value as it is compared: equal numbers are equal whatever their type."""
     if v is None:

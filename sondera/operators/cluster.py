@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import least_of, small
+from ..session import scratch
 from .stats import seed_of
 
 #: Cells that linkage takes at most; a coarser grid keeps under it.
 MAX_CELLS = 2_000
-#: Rows up to which k-means starts 50 times.
-FEW_ROWS = 50_000
+#: Starts of k-means.
+STARTS = 12
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, out: str = "cluster", restarts: int | None = None) -> DataFrame:
-    """df with the cluster of each row, by Spark's own distributed k-means: the best of `restarts`, as a rule 50 for up to FEW_ROWS rows and 12 beyond."""
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, out: str = "cluster", restarts: int = STARTS) -> DataFrame:
+    """df with the cluster of each row, by Spark's own distributed k-means: the best of `restarts` starts."""
     d = df.withColumn("__v", array_to_vector(F.col(vector)))
     v = d.select("__v").persist()
     try:
-        restarts = restarts or (50 if v.count() <= FEW_ROWS else 12)
         models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol=out, maxIter=20).fit(v) for i in range(restarts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
@@ -118,12 +121,62 @@ def cocluster(df: DataFrame, truth: str, cluster: str, draws: int = 2000, seed:
     return j.select("a", "b", F.pandas_udf(run, "together double, expected double, p double")("a", "b", "na", "nb", "sizes").alias("o")).select("a", "b", "o.*")
 
 
+#: Rows that a task compares with all others at once, and distances that are in memory together.
+SLAB_ROWS, CELLS = 8192, 1 << 21
+
+
+def cluster_distances(df: DataFrame, vector: str, cluster: str) -> DataFrame:
+    """(id, c, other, total): of each row, in cluster c, the sum of its distances to all rows of cluster `other`. A slab of rows stays in its task, all rows stream past it; no pair is written."""
+    path = scratch(df.sparkSession, "rows")
+    df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    slabs = max(1, math.ceil(rows.count() / SLAB_ROWS))
+    side = lambda slab, n: rows.select(slab.alias("slab"), F.lit(n).alias("side"), "id", "c", "v")
+    met = side(F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int"), 0).unionByName(side(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))), 1)).repartition(slabs, "slab").sortWithinPartitions("slab", "side")
+    kind = rows.schema["c"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, held, totals, b = None, [], [], {}, None
+
+        def out() -> pa.RecordBatch:
+            n, kind = len(own), b.schema.field(3).type
+            ids, cs = ([r[i] for _ in totals for r in own] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cs, kind), pa.array([k for k in totals for _ in range(n)], kind), pa.array(np.concatenate(list(totals.values())) if totals else [], pa.float64())], names=["id", "c", "other", "total"])
+
+        for b in batches:
+            slab, first = b.column(0).to_numpy(), b.column(1).to_numpy() == 0
+            cuts = [0, *(np.flatnonzero((slab[1:] != slab[:-1]) | (first[1:] != first[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                if slab[lo] != at:
+                    if own:
+                        yield out()
+                    at, own, held, totals = slab[lo], [], [], {}
+                y, cs = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1), part.column(3).to_pylist()
+                if first[lo]:
+                    own += zip(part.column(2).to_pylist(), cs, strict=True)
+                    held.append(y)
+                elif own:
+                    held = [np.concatenate(held)]
+                    x, keys = held[0], list(dict.fromkeys(cs))
+                    for k in keys:
+                        z = y[[c == k for c in cs]]
+                        step = max(1, CELLS // max(1, x.size))
+                        totals[k] = totals.get(k, 0.0) + sum(np.sqrt(((x[:, None, :] - z[None, j : j + step]) ** 2).sum(2)).sum(1) for j in range(0, len(z), step))
+        if own:
+            yield out()
+
+    return met.mapInArrow(run, f"id bigint, c {kind}, other {kind}, total double")
+
+
 def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """One row: mean simplified silhouette, distances taken to cluster means (one row for each cluster and place)."""
-    long = df.select(cluster, F.posexplode(vector).alias("j", "x"))
-    mean = long.groupBy(cluster, "j").agg(F.avg("x").alias("m")).groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("m")).select(F.col(cluster).alias("__c"), "m")
-    gap = lambda m: F.sqrt(F.aggregate(F.zip_with(vector, m["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    # The least distance to another cluster and the one to its own come from one array of means; a row meets its own mean by key.
-    own = df.select(vector, cluster, F.xxhash64(cluster, vector).alias("__id")).join(small(mean), F.col(cluster) == F.col("__c")).withColumn("a", gap({"m": F.col("m")})).drop("__c", "m")
-    near = least_of(own, mean, ["__id"], lambda m: F.when(m["__c"] != F.col(cluster), gap(m)), "b")
-    return near.agg(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("silhouette"))
+    """One row (n, silhouette): the mean over rows of (b - a) / max(a, b), a the mean distance to the others of its cluster, b the least mean distance to another cluster. A cluster of one row counts 0; null with fewer than two clusters. Work grows as the square of the rows; a caller with very many gives a sample."""
+    d = cluster_distances(df, vector, cluster)
+    size = d.where(F.col("c") == F.col("other")).groupBy(F.col("other").alias("__o")).agg(F.count(F.lit(1)).alias("m"))
+    mean = d.join(size, d["other"] == size["__o"]).withColumn("own", F.col("c") == F.col("other"))
+    row = mean.groupBy("id").agg(F.max(F.when(F.col("own"), F.col("m"))).alias("m"), F.max(F.when(F.col("own") & (F.col("m") > 1), F.col("total") / (F.col("m") - 1))).alias("a"), F.min(F.when(~F.col("own"), F.col("total") / F.col("m"))).alias("b"))
+    top = F.greatest("a", "b")
+    one = F.when(F.col("b").isNotNull(), F.when((F.col("m") > 1) & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0))
+    return row.agg(F.count(F.lit(1)).alias("n"), F.avg(one).alias("silhouette"))

@@ -143,3 +143,28 @@ def template_verdict(distance: Column, known: Column, met: float = MET) -> Colum
     """Of the distance to the nearest template of a library, and whether the library knows the id that was seen."""
     near = F.coalesce(distance <= met, F.lit(False))
     return F.when(near & known, "KNOWN").when(near, "MATCH OF A NEW ID").when(known, "KNOWN ID IS OFF").otherwise("STRANGER")
+
+
+#: A change counts from so many times the drift; cosine of two moves from which they go together, or against each other.
+BEYOND_DRIFT, TOGETHER = 3.0, 0.3
+
+
+def swap_test(df: DataFrame, group: list[str], session: str, device: str, x: str, y: str) -> DataFrame:
+    """(group, drift, d_dev, d_pos, cosine, sign, verdict) of two devices that changed places.
+
+    df has a mean (x, y) for each session (0, 1 before, 2 after the swap) and device (0, 1). drift: mean distance between sessions 0 and 1, the band that counts as
+    nothing. d_dev: the larger distance of a device to itself after the swap; d_pos: of a place to itself, where the other device stands then. cosine: of both
+    devices' moves; a swap moves them against each other, a change of the room together. Groups without all six means have no verdict.
+    """
+    at = {(s, d): [F.max(F.when((F.col(session) == s) & (F.col(device) == d), F.col(c))) for c in (x, y)] for s in (0, 1, 2) for d in (0, 1)}
+    g = df.groupBy(*group).agg(*[v.alias(f"__{i}{s}{d}") for (s, d), vs in at.items() for i, v in enumerate(vs)])
+    p = lambda s, d: (F.col(f"__0{s}{d}"), F.col(f"__1{s}{d}"))
+    far = lambda a, b: F.sqrt(F.pow(a[0] - b[0], 2) + F.pow(a[1] - b[1], 2))
+    most = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+    m0, m1 = ([b - a for a, b in zip(p(0, d), p(2, d), strict=True)] for d in (0, 1))
+    size = F.sqrt(m0[0] * m0[0] + m0[1] * m0[1]) * F.sqrt(m1[0] * m1[0] + m1[1] * m1[1])
+    g = g.select(*group, ((far(p(0, 0), p(1, 0)) + far(p(0, 1), p(1, 1))) / 2).alias("drift"), most(far(p(0, 0), p(2, 0)), far(p(0, 1), p(2, 1))).alias("d_dev"), most(far(p(0, 0), p(2, 1)), far(p(0, 1), p(2, 0))).alias("d_pos"), F.when(size > 0, (m0[0] * m1[0] + m0[1] * m1[1]) / size).alias("cosine"))
+    dev, pos, r = F.col("d_dev"), F.col("d_pos"), F.col("drift")
+    verdict = F.when((dev <= r) & (pos > BEYOND_DRIFT * r), "DEVICE").when((pos <= r) & (dev > BEYOND_DRIFT * r), "POSITION").when((dev <= r) & (pos <= r), "UNDERPOWERED").when(dev.isNotNull() & pos.isNotNull() & r.isNotNull(), "MIXED")
+    sign = F.when(F.col("cosine") < -TOGETHER, "AGAINST").when(F.col("cosine") > TOGETHER, "TOGETHER").when(F.col("cosine").isNotNull(), "NEITHER")
+    return g.select(*group, "drift", "d_dev", "d_pos", "cosine", sign.alias("sign"), verdict.alias("verdict"))

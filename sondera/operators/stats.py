@@ -475,3 +475,108 @@ def replicated_change(df: DataFrame, group: list[str], t: str, a: str, b: str, w
     parts = work.mapInPandas(tried, f"{kinds}, width int, n bigint, boundary bigint, step_a double, step_b double, score double, over bigint")
     whole = parts.groupBy(*group, "width", "n", "boundary", "step_a", "step_b", "score").agg(((F.sum("over") + 1) / F.col("n")).alias("p"))
     return benjamini_hochberg(whole.withColumn("__all", F.lit(0)), ["__all"], "p", "width").drop("__all")
+
+
+def _ranked(df: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    d = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).select(*group, *cols)
+    return d.withColumns({f"__r{i}": rank_ties(c, group) for i, c in enumerate(cols)})
+
+
+#: Share of a column's variance below which controls leave nothing of it.
+NOTHING = 1e-12
+
+
+def partial_spearman_many(df: DataFrame, group: list[str], x: str, y: str, controls: list[str]) -> DataFrame:
+    """(group, n, zero, rho): correlation of ranks, and that with several controls held fixed.
+
+    One aggregation has the correlations of all pairs; controls are then eliminated one after the other. A control that is constant, or that the
+    ones before explain, takes nothing away. rho is null with fewer than controls + 4 rows, or where controls explain x or y.
+    """
+    cols = [x, y, *controls]
+    m = len(cols)
+    pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
+    g = _ranked(df, group, cols).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(f"__r{i}", f"__r{j}").alias(f"__c{i}_{j}") for i, j in pairs], *[F.var_pop(f"__r{i}").alias(f"__s{i}") for i in range(m)])
+    g = g.withColumns({f"__c{i}_{j}": F.when((F.col(f"__s{i}") > 0) & (F.col(f"__s{j}") > 0), F.col(f"__c{i}_{j}") / F.sqrt(F.col(f"__s{i}") * F.col(f"__s{j}"))).otherwise(0.0) for i, j in pairs} | {f"__v{i}": F.when(F.col(f"__s{i}") > 0, 1.0).otherwise(0.0) for i in range(m)})
+    g = g.withColumn("zero", F.col("__c0_1"))
+    at = lambda i, j: F.col(f"__c{min(i, j)}_{max(i, j)}")
+    for z in range(2, m):
+        rest = [i for i in range(m) if i < 2 or i > z]
+        r = {i: F.when(F.col(f"__v{z}") > NOTHING, at(i, z)).otherwise(0.0) for i in rest}
+        left = {i: 1 - r[i] * r[i] for i in rest}
+        new = {f"__c{i}_{j}": F.when((left[i] > NOTHING) & (left[j] > NOTHING), (at(i, j) - r[i] * r[j]) / F.sqrt(left[i] * left[j])).otherwise(0.0) for i in rest for j in rest if i < j}
+        g = g.withColumns(new | {f"__v{i}": F.col(f"__v{i}") * left[i] for i in rest})
+    told = (F.col("n") >= len(controls) + 4) & (F.col("__v0") > NOTHING) & (F.col("__v1") > NOTHING)
+    return g.select(*group, "n", "zero", F.when(told, F.col("__c0_1")).alias("rho"))
+
+
+#: Permutations that one row of work draws.
+DRAWS_A_ROW = 1000
+
+
+def _residuals(r: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The first two columns of ranks without what the others explain; None where that leaves nothing."""
+    r = r - r.mean(0)
+    own, z = r[:, :2], r[:, 2:]
+    left = own - z @ np.linalg.lstsq(z, own, rcond=None)[0] if z.shape[1] else own
+    if ((left**2).sum(0) <= NOTHING * np.maximum((own**2).sum(0), 1)).any():
+        return None
+    return left[:, 0], left[:, 1]
+
+
+def partial_permutation_p(df: DataFrame, group: list[str], x: str, y: str, controls: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(group, n, rho, p) of series of bins: the partial rank correlation, and the share of permutations of x's residual ranks that correlate as much. A group's ranks are one row; its draws are dealt out in rows of DRAWS_A_ROW."""
+    cols = [x, y, *controls]
+    ranks = F.array(*[F.col(f"__r{i}") for i in range(len(cols))])
+    one = _ranked(df, group, cols).groupBy(*group).agg(F.sort_array(F.collect_list(ranks)).alias("r"))
+    work = one.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_A_ROW)))).repartition(*group, "first")
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                r = np.array([list(v) for v in row["r"]], dtype=float)
+                key, left = tuple(row[g] for g in group), _residuals(r) if len(r) >= len(controls) + 4 else None
+                rho, over = None, 0
+                if left is not None:
+                    a, b = left
+                    size = math.sqrt((a @ a) * (b @ b))
+                    rho = float(a @ b) / size
+                    rng = np.random.default_rng([seed_of(key, seed), row["first"]])
+                    null = np.array([abs(rng.permutation(a) @ b) for _ in range(min(DRAWS_A_ROW, draws - row["first"]))])
+                    over = int((null / size >= abs(rho) - 1e-12).sum())
+                out.append([*key, len(r), rho, over])
+            yield pd.DataFrame(out, columns=[*group, "n", "rho", "over"])
+
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    parts = work.mapInPandas(tried, f"{kinds}, n bigint, rho double, over bigint")
+    return parts.groupBy(*group).agg(F.max("n").alias("n"), F.max("rho").alias("rho"), F.sum("over").alias("over")).select(*group, "n", "rho", F.when(F.col("rho").isNotNull(), (F.col("over") + 1) / (draws + 1)).alias("p"))
+
+
+def split_halves(df: DataFrame, group: list[str], session: str, order: list[str], y: str, least: int = 40, sessions: int = 3) -> DataFrame:
+    """(group, sessions, within, between, ratio, drift_sd): medians of the early and the late half of each session against those of sessions that follow each other.
+
+    within: the median gap of a session's halves; between: that of neighbouring sessions (session + 1). A session has `least` rows, a group `sessions`
+    sessions. drift_sd: what the variance of session medians has beyond a quarter of the mean squared gap of halves, 0 if nothing.
+    """
+    w = Window.partitionBy(*group, session)
+    d = df.where(F.col(y).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(w))
+    early = F.col("__i") <= F.floor(F.col("__n") / 2)
+    s = d.where(F.col("__n") >= least).groupBy(*group, session).agg((F.median(F.when(early, F.col(y))) - F.median(F.when(~early, F.col(y)))).alias("__h"), F.median(y).alias("__m"))
+    s = s.withColumn("__old", F.lag(session).over(Window.partitionBy(*group).orderBy(session))).withColumn("__was", F.lag("__m").over(Window.partitionBy(*group).orderBy(session)))
+    g = s.groupBy(*group).agg(F.count(F.lit(1)).alias("sessions"), F.median(F.abs("__h")).alias("within"), F.median(F.when(F.col(session) == F.col("__old") + 1, F.abs(F.col("__m") - F.col("__was")))).alias("between"), (F.var_samp("__m") - F.avg(F.col("__h") * F.col("__h")) / 4).alias("__v"))
+    return g.where(F.col("sessions") >= sessions).select(*group, "sessions", "within", "between", F.when(F.col("within") > 0, F.col("between") / F.col("within")).alias("ratio"), F.sqrt(F.greatest(F.col("__v"), F.lit(0.0))).alias("drift_sd"))
+
+
+def order_control(df: DataFrame, group: list[str], order: list[str], row: str, y: str, widths: tuple[int, ...], seed: int = 0) -> DataFrame:
+    """(group, width, windows, real, shuffled, expected): spread of medians of windows of rows in their order, and in an order by digest of the row; and the spread of the shortest windows over the root of how much longer these are.
+
+    Averaging the same rows, the two differ by what neighbours have in common. Widths with fewer than two whole windows have no row.
+    """
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string")).cast("binary"))
+    w = Window.partitionBy(*group)
+    d = df.where(F.col(y).isNotNull()).select(*group, F.col(y).alias("__y"), (F.row_number().over(w.orderBy(*order)) - 1).alias("real"), (F.row_number().over(w.orderBy(mixed, row)) - 1).alias("shuffled"))
+    both = d.withColumn("width", F.explode(F.array(*map(F.lit, widths)))).select(*group, "__y", "width", F.explode(F.create_map(F.lit("real"), F.col("real"), F.lit("shuffled"), F.col("shuffled"))).alias("__how", "__i"))
+    one = both.groupBy(*group, "width", "__how", F.floor(F.col("__i") / F.col("width")).alias("__w")).agg(F.median("__y").alias("m"), F.count(F.lit(1)).alias("n")).where("n = width")
+    g = one.groupBy(*group, "width").agg(F.count_if(F.col("__how") == "real").alias("windows"), *[F.stddev_samp(F.when(F.col("__how") == h, F.col("m"))).alias(h) for h in ("real", "shuffled")]).where("windows >= 2")
+    first = Window.partitionBy(*group).orderBy("width").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return g.withColumn("expected", F.first("real").over(first) / F.sqrt(F.col("width") / F.first("width").over(first)))

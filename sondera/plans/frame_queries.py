@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import r6
+from ..operators import steps
 from ..operators import windows as win
 from ..operators.quantiles import exact_quantiles
 from ..session import frames, table
@@ -450,14 +451,27 @@ def win22_count_floor(spark, sf_dir):
     return q.join(x, ["node", "k"]).select("node", "bin", r6((F.col("v") - F.col("m")) / F.col("s")).alias("z"))
 
 
-@register(_sql("SELECT bin, count(z) AS cells, round(sqrt(avg(z * z)), 6) + 0.0 AS rms FROM (SELECT node, bin, (a - b) / s AS z FROM (SELECT node, bin, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS a, avg(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS na, count(v) OVER (PARTITION BY node ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS nb, stddev_pop(v) OVER (PARTITION BY node) AS s FROM d) WHERE na = 4 AND nb = 4) GROUP BY bin", _DAILY))
+_CELLS = _DAILY + ", o AS (SELECT min(bin) AS lo, max(bin) AS hi FROM d), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM (SELECT DISTINCT node FROM d), o), g AS (SELECT k.node, k.bin, d.v, lo, hi, d.v - lag(d.v) OVER (PARTITION BY k.node ORDER BY k.bin) AS step FROM k CROSS JOIN o LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"
+
+
+@register(_sql("SELECT bin, count(z) AS cells, round(sqrt(avg(z * z)), 6) + 0.0 AS rms FROM (SELECT bin, (a - b) / (s / sqrt(2) * sqrt(0.5)) AS z FROM (SELECT bin, lo, hi, avg(v) OVER x AS a, avg(v) OVER y AS b, count(v) OVER x AS na, count(v) OVER y AS nb, stddev_pop(step) OVER (PARTITION BY node) AS s FROM g WINDOW x AS (PARTITION BY node ORDER BY bin ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), y AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) WHERE na >= 3 AND nb >= 3 AND s > 0 AND bin >= lo + 4 AND bin <= hi - 4) GROUP BY bin", _CELLS))
 def win23_coherent_steps(spark, sf_dir):
     """Root mean square, over series, of the standardised step at each bin."""
-    w = win.ordered("node", "bin")
-    ahead, back = w.rowsBetween(0, 3), w.rowsBetween(-4, -1)
-    d = _daily(spark, sf_dir).withColumn("s", F.stddev_pop("v").over(Window.partitionBy("node")))
-    z = d.withColumn("z", F.when((F.count("v").over(ahead) == 4) & (F.count("v").over(back) == 4), (F.avg("v").over(ahead) - F.avg("v").over(back)) / F.col("s"))).where("z IS NOT NULL")
-    return z.groupBy("bin").agg(F.count("z").alias("cells"), r6(F.sqrt(F.avg(F.col("z") * F.col("z")))).alias("rms"))
+    return steps.coherent_steps(_daily(spark, sf_dir), "node", "bin", "v", 4).select("bin", "cells", r6("rms").alias("rms"))
+
+
+@register()
+def win23_peaks(spark, sf_dir):
+    """The bins where series step together, no two nearer than six."""
+    s = steps.coherent_steps(_daily(spark, sf_dir), "node", "bin", "v", 4).select("bin", "cells", r6("rms").alias("rms"))
+    return steps.peaks(s, "bin", "rms", 6)
+
+
+@register(_sql("SELECT bin, round(motion, 6) + 0.0 AS motion, round(mid + 3 * 1.4826 * mad, 6) + 0.0 AS threshold, motion > mid + 3 * 1.4826 * mad AS moved FROM t, (SELECT any_value(mid) AS mid, median(abs(motion - mid)) AS mad FROM t, (SELECT median(motion) AS mid FROM t)) u", _CELLS + ", m AS (SELECT node, median(abs(step)) AS m FROM g GROUP BY node), t AS (SELECT bin, avg(abs(step) / m) AS motion FROM g JOIN m USING (node) WHERE step IS NOT NULL AND m > 0 GROUP BY bin)"))
+def win23_motion_index(spark, sf_dir):
+    """How much all series move from bin to bin, beside what is usual, and where that is beyond three deviations."""
+    m = steps.motion_index(_daily(spark, sf_dir), "node", "bin", "v")
+    return m.select("bin", r6("motion").alias("motion"), r6("threshold").alias("threshold"), "moved")
 
 
 @register(_sql("SELECT node, round(max(m), 6) + 0.0 AS peak FROM (SELECT node, avg(v) OVER w AS m, count(*) OVER w AS n FROM (SELECT k.node, k.bin, coalesce(d.v, 0.0) AS v FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin) WINDOW w AS (PARTITION BY node ORDER BY bin ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6 GROUP BY node", "d AS (SELECT node, us // 3600000000 AS bin, sum(value) AS v FROM fr GROUP BY 1, 2), e AS (SELECT node, min(bin) + 1 AS lo, max(bin) - 1 AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e)"))

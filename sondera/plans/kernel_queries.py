@@ -460,10 +460,11 @@ def ml11_cocluster(spark, sf_dir):
     return c.select("a", "b", r6("together").alias("together"), r6("expected").alias("expected"), r6("p").alias("p"))
 
 
-@register()
+@register("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT label, count(*) AS m FROM e GROUP BY label), t AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total FROM e a, e b GROUP BY ALL), r AS (SELECT vec_id, max(CASE WHEN t.label = other THEN m END) AS m, max(CASE WHEN t.label = other AND m > 1 THEN total / (m - 1) END) AS a, min(CASE WHEN t.label <> other THEN total / m END) AS b FROM t JOIN n ON t.other = n.label GROUP BY vec_id) SELECT count(*) AS n, round(avg(CASE WHEN b IS NOT NULL THEN CASE WHEN m > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END END), 6) + 0.0 AS silhouette FROM r")
 def ml11_silhouette(spark, sf_dir):
+    """Mean silhouette of labels, from each vector's distances to all others."""
     e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return cluster.silhouette(e, "v", "label").select(r6("silhouette").alias("silhouette"))
+    return cluster.silhouette(e, "v", "label").select("n", r6("silhouette").alias("silhouette"))
 
 
 _TURNS = _MIRROR.format("vec_id % 3 AS session, ") + """, e AS (SELECT session, label, atan2(sum(s * im), sum(s * re)) AS angle FROM c WHERE d = 0 GROUP BY session, label),

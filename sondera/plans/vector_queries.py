@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -251,13 +253,15 @@ def ml15_verdicts(spark, sf_dir):
     return g.select("node", "n", F.when(F.col("n") < 100, "NOT RUNNABLE").when((F.col("med") < 40) & (F.col("hi") > 90), "PASS").otherwise("FAIL").alias("verdict"))
 
 
-@register(_sql("SELECT node, round(d_dev, 6) + 0.0 AS d_dev, round(d_pos, 6) + 0.0 AS d_pos, CASE WHEN abs(d_dev) > abs(d_pos) THEN 'device' ELSE 'position' END AS follows FROM (SELECT node, (a - b + c - d) / 2 AS d_dev, (a - b - c + d) / 2 AS d_pos FROM (SELECT node, avg(value) FILTER (WHERE k = 0) AS a, avg(value) FILTER (WHERE k = 1) AS b, avg(value) FILTER (WHERE k = 2) AS c, avg(value) FILTER (WHERE k = 3) AS d FROM (SELECT node, value, source % 4 AS k FROM fr) GROUP BY node))"))
+_SWAP = "m AS (SELECT node, source // 2 % 3 AS s, source % 2 AS d, avg(value) AS x, avg(us % 86400000000) / 864000000.0 AS y FROM fr GROUP BY ALL), p AS (SELECT node, " + ", ".join(f"max({c}) FILTER (WHERE s = {s} AND d = {d}) AS {c}{s}{d}" for s in range(3) for d in range(2) for c in "xy") + " FROM m GROUP BY node), f AS (SELECT node, " + ", ".join(f"sqrt((x{a} - x{b}) ** 2 + (y{a} - y{b}) ** 2) AS {n}" for n, a, b in (("r0", "00", "10"), ("r1", "01", "11"), ("v0", "00", "20"), ("v1", "01", "21"), ("q0", "00", "21"), ("q1", "01", "20"))) + ", x20 - x00 AS a0, y20 - y00 AS b0, x21 - x01 AS a1, y21 - y01 AS b1 FROM p), g AS (SELECT node, (r0 + r1) / 2 AS drift, greatest(v0, v1) AS d_dev, greatest(q0, q1) AS d_pos, (a0 * a1 + b0 * b1) / (v0 * v1) AS cosine FROM f)"
+
+
+@register(_sql("SELECT node, round(drift, 6) + 0.0 AS drift, round(d_dev, 6) + 0.0 AS d_dev, round(d_pos, 6) + 0.0 AS d_pos, round(cosine, 6) + 0.0 AS cosine, CASE WHEN cosine < -0.3 THEN 'AGAINST' WHEN cosine > 0.3 THEN 'TOGETHER' ELSE 'NEITHER' END AS sign, CASE WHEN d_dev <= drift AND d_pos > 3 * drift THEN 'DEVICE' WHEN d_pos <= drift AND d_dev > 3 * drift THEN 'POSITION' WHEN d_dev <= drift AND d_pos <= drift THEN 'UNDERPOWERED' ELSE 'MIXED' END AS verdict FROM g", _SWAP))
 def ml17_swap(spark, sf_dir):
-    """Two devices, two places, swapped: does the difference follow the device or the place?"""
-    p = frames(spark, sf_dir).withColumn("k", F.col("source") % 4).groupBy("node").pivot("k", [0, 1, 2, 3]).agg(F.avg("value"))
-    a, b, c, d = (F.col(str(i)) for i in range(4))
-    p = p.select("node", ((a - b + c - d) / 2).alias("d_dev"), ((a - b - c + d) / 2).alias("d_pos"))
-    return p.select("node", r6("d_dev").alias("d_dev"), r6("d_pos").alias("d_pos"), F.when(F.abs("d_dev") > F.abs("d_pos"), "device").otherwise("position").alias("follows"))
+    """Two devices that changed places between sessions: does the signature follow the device or the place, beyond its drift, and did both move against each other?"""
+    f = frames(spark, sf_dir)
+    m = f.groupBy("node", F.floor(F.col("source") / 2 % 3).alias("s"), (F.col("source") % 2).alias("d")).agg(F.avg("value").alias("x"), (F.avg(F.col("us") % DAY) / 864000000.0).alias("y"))
+    return models.swap_test(m, ["node"], "s", "d", "x", "y").select("node", *[r6(c).alias(c) for c in ("drift", "d_dev", "d_pos", "cosine")], "sign", "verdict")
 
 
 @register(_sql("SELECT source, arg_max(node, share * 1000 - k) AS dominant, round(max(share), 6) + 0.0 AS share, round(sum(abs(share - 0.2)), 6) + 0.0 AS spread FROM (SELECT source, node, s / sum(s) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY s DESC, node) / 1e6 AS k FROM (SELECT source, node, sum(value) AS s FROM fr GROUP BY source, node)) GROUP BY source"))
@@ -285,6 +289,10 @@ def stat1_spearman(spark, sf_dir):
     return stats.spearman(f, ["node"], "x", "y").select("node", "n", r6("rho").alias("rho"))
 
 
+def _pair(a: str, b: str) -> str:
+    return min((a, b), key="xyzuw".index) + max((a, b), key="xyzuw".index)
+
+
 _RK = "rank() OVER (PARTITION BY node ORDER BY {0}) + (count(*) OVER (PARTITION BY node, {0}) - 1) / 2.0 AS {1}"
 
 
@@ -294,6 +302,26 @@ def stat1_partial(spark, sf_dir):
     return stats.partial_spearman(f, ["node"], "x", "y", "z").select("node", "n", r6("rho").alias("rho"))
 
 
+#: Ranks of two columns and three controls; correlations of all pairs, from which one control after the other is eliminated.
+_MANY = ("q AS (SELECT node, value AS x, us // 3600000000 AS y, source AS z, us % 86400000000 // 3600000000 AS u, round(value * source) % 50 AS w FROM fr)", f"k AS (SELECT node, {', '.join(_RK.format(c, 'r_' + c) for c in 'xyzuw')} FROM q)", "c0 AS (SELECT node, count(*) AS n, " + ", ".join(f"corr(r_{a}, r_{b}) AS {a}{b}" for a, b in itertools.combinations("xyzuw", 2)) + " FROM k GROUP BY node)",
+    *[f"c{i + 1} AS (SELECT node, n, " + ("xy AS zero, " if i == 0 else "zero, ") + ", ".join(f"({a}{b} - {_pair(a, z)} * {_pair(b, z)}) / sqrt((1 - {_pair(a, z)} * {_pair(a, z)}) * (1 - {_pair(b, z)} * {_pair(b, z)})) AS {a}{b}" for a, b in itertools.combinations([c for c in "xyzuw" if c not in "zuw"[: i + 1]], 2)) + f" FROM c{i})" for i, z in enumerate("zuw")])
+
+
+@register(_sql("SELECT node, n, round(zero, 6) + 0.0 AS zero, round(xy, 6) + 0.0 AS rho FROM c3", ", ".join(_MANY)))
+def stat1_partial_many(spark, sf_dir):
+    """Rank correlation of value and hour with three controls held fixed."""
+    us = F.col("us")
+    f = frames(spark, sf_dir).select("node", F.col("value").alias("x"), F.floor(us / 3600000000).alias("y"), F.col("source").alias("z"), F.floor(us % 86400000000 / 3600000000).alias("u"), (F.round(F.col("value") * F.col("source")) % 50).alias("w"))
+    return stats.partial_spearman_many(f, ["node"], "x", "y", ["z", "u", "w"]).select("node", "n", r6("zero").alias("zero"), r6("rho").alias("rho"))
+
+
+@register()
+def stat1_partial_p(spark, sf_dir):
+    """Daily medians against daily counts, with the day and the median source held fixed, and its p by permutation."""
+    d = win.time_bins(frames(spark, sf_dir), "node", "us", DAY, {"v": F.median("value"), "n": F.count(F.lit(1)), "m": F.median("source")})
+    return stats.partial_permutation_p(d.withColumnRenamed("n", "size"), ["node"], "v", "size", ["bin", "m"]).select("node", "n", r6("rho").alias("rho"), "p")
+
+
 _P = "t AS (SELECT source % 7 AS fam, source, 1.0 / (1 + count(*)) * avg(value) / 100 AS p FROM fr GROUP BY source)"
 
 
@@ -346,11 +374,14 @@ def stat12_variogram(spark, sf_dir):
     return stats.variogram(_days(spark, sf_dir), ["node"], "bin", "v", [1, 3, 10]).select("node", "lag", "pairs", r6("typical").alias("typical"), r6("drift_sd").alias("drift_sd"))
 
 
-@register(_sql("SELECT node, count(*) AS sources, round(corr(a, b), 6) + 0.0 AS r FROM (SELECT node, source, avg(value) FILTER (WHERE row_no % 2 = 0) AS a, avg(value) FILTER (WHERE row_no % 2 = 1) AS b FROM fr GROUP BY node, source) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY node"))
+_HALVES = "r AS (SELECT node, us // 86400000000 AS day, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY node, us // 86400000000) AS n FROM fr WHERE value IS NOT NULL WINDOW w AS (PARTITION BY node, us // 86400000000 ORDER BY us, row_no)), s AS (SELECT node, day, median(value) FILTER (WHERE i <= n // 2) - median(value) FILTER (WHERE i > n // 2) AS h, median(value) AS m FROM r WHERE n >= 10 GROUP BY node, day), g AS (SELECT *, lag(day) OVER (PARTITION BY node ORDER BY day) AS old, lag(m) OVER (PARTITION BY node ORDER BY day) AS was FROM s), t AS (SELECT node, count(*) AS sessions, median(abs(h)) AS within, median(CASE WHEN day = old + 1 THEN abs(m - was) END) AS between_, var_samp(m) - avg(h * h) / 4 AS v FROM g GROUP BY node HAVING count(*) >= 3)"
+
+
+@register(_sql("SELECT node, sessions, round(within, 6) + 0.0 AS within, round(between_, 6) + 0.0 AS between, round(between_ / within, 6) + 0.0 AS ratio, round(sqrt(greatest(v, 0)), 6) + 0.0 AS drift_sd FROM t", _HALVES))
 def stat12_split_half(spark, sf_dir):
-    half = lambda i: F.avg(F.when(F.col("row_no") % 2 == i, F.col("value")))
-    g = frames(spark, sf_dir).groupBy("node", "source").agg(half(0).alias("a"), half(1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return g.groupBy("node").agg(F.count(F.lit(1)).alias("sources"), r6(F.corr("a", "b")).alias("r"))
+    """Early against late half of each day, beside day against day."""
+    f = frames(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY))
+    return stats.split_halves(f, ["node"], "day", ["us", "row_no"], "value", least=10).select("node", "sessions", *[r6(c).alias(c) for c in ("within", "between", "ratio", "drift_sd")])
 
 
 @register(_sql("SELECT node, round(max(s), 6) + 0.0 AS max_step, round(quantile_cont(s, 0.95), 6) + 0.0 AS p95_step, round(max(v) - min(v), 6) + 0.0 AS span FROM (SELECT node, v, abs(v - lag(v) OVER (PARTITION BY node ORDER BY bin)) AS s FROM d) GROUP BY node HAVING count(s) > 1", _DAYS))
@@ -361,12 +392,14 @@ def stat13_wander(spark, sf_dir):
     return g.where("n > 1").drop("n")
 
 
-@register(_sql('SELECT node, round(stddev_samp(m), 6) + 0.0 AS sd, count(*) AS windows FROM (SELECT node, w, avg(value) AS m FROM (SELECT node, value, (row_number() OVER (PARTITION BY node ORDER BY md5(\'3:\' || row_no), row_no) - 1) // 16 AS w FROM fr) GROUP BY node, w HAVING count(*) = 16) GROUP BY node'))
+_ORDERS = "r AS (SELECT node, value, row_number() OVER (PARTITION BY node ORDER BY us, row_no) - 1 AS real, row_number() OVER (PARTITION BY node ORDER BY md5('3:' || row_no), row_no) - 1 AS shuffled FROM fr), x AS (SELECT node, value, w, real // w AS a, shuffled // w AS b FROM r, (SELECT unnest([8, 32, 128]) AS w)), y AS (SELECT node, w, stddev_samp(m) AS real, count(*) AS windows FROM (SELECT node, w, a, median(value) AS m FROM x GROUP BY node, w, a HAVING count(*) = w) GROUP BY node, w), z AS (SELECT node, w, stddev_samp(m) AS shuffled FROM (SELECT node, w, b, median(value) AS m FROM x GROUP BY node, w, b HAVING count(*) = w) GROUP BY node, w)"
+
+
+@register(_sql("SELECT node, w AS width, windows, round(real, 6) + 0.0 AS real, round(shuffled, 6) + 0.0 AS shuffled, round(first_value(real) OVER o / sqrt(w / first_value(w) OVER o), 6) + 0.0 AS expected FROM y JOIN z USING (node, w) WHERE windows >= 2 WINDOW o AS (PARTITION BY node ORDER BY w)", _ORDERS))
 def stat14_order_shuffle(spark, sf_dir):
-    """Windows over frames in a hashed order: what averaging does without any structure in time."""
-    f = frames(spark, sf_dir).withColumn("h", F.md5(F.concat(F.lit("3:"), F.col("row_no").cast("string")).cast("binary")))
-    g = win.count_windows(f, "node", ["h", "row_no"], 16, {"m": F.avg("value")})
-    return g.groupBy("node").agg(r6(F.stddev_samp("m")).alias("sd"), F.count(F.lit(1)).alias("windows"))
+    """Spread of windows in their own order and in a shuffled one at three lengths, beside what independent frames would have."""
+    t = stats.order_control(frames(spark, sf_dir), ["node"], ["us", "row_no"], "row_no", "value", (8, 32, 128), seed=3)
+    return t.select("node", "width", "windows", *[r6(c).alias(c) for c in ("real", "shuffled", "expected")])
 
 
 _GRID = _DAYS + ", e AS (SELECT node, min(bin) AS lo, max(bin) AS hi FROM d GROUP BY node), k AS (SELECT node, unnest(range(lo, hi + 1)) AS bin FROM e), g AS (SELECT k.node, k.bin, d.v, count(*) OVER (PARTITION BY k.node) AS total FROM k LEFT JOIN d ON k.node = d.node AND k.bin = d.bin)"

@@ -216,3 +216,13 @@ def test_streams_correct_and_gate(spark, tmp_path):
         df.coalesce(1).write.parquet(str(tmp_path / name))
     gate = streams.calibrated(streams.landing(spark, str(tmp_path / "f"), f.schema), streams.landing(spark, str(tmp_path / "s"), s.schema), valid="200 seconds")
     assert sorted(r.id for r in streams.run_to_end(gate, str(tmp_path / "go"), str(tmp_path / "gc")).collect()) == [2, 3]
+
+
+def test_prefix_of_lines(spark, tmp_path):
+    """Headers, quotes with commas before the vector, short and damaged lines, empty fields, folders that give columns."""
+    (tmp_path / "in/session=7").mkdir(parents=True)
+    lines = [",".join(capture.CAPTURE.names), '5,lab,1,aa:bb,-50,-90,6,77,128,"[1,2,3]",1,0,9', '6,"a, b",2,aa:bc,-51,-90,6,78,128,"[4,5]",1,0,9', "7,,3,aa:bd,-52,-90,6,79,128", "8,lab,x,aa:be,,-90", "bad", "", "9,lab,4,,-50"]
+    (tmp_path / "in/session=7/x.csv").write_text("\n".join(lines))
+    got = sorted(capture.read_prefix(spark, str(tmp_path / "in")).collect(), key=lambda r: r.pc_time_us)
+    assert [(r.pc_time_us, r.label, r.seq, r.mac, r.rssi, r.len, r.session) for r in got] == [(5, "lab", 1, "aa:bb", -50, 128, 7), (6, "a, b", 2, "aa:bc", -51, 128, 7), (7, None, 3, "aa:bd", -52, 128, 7), (8, "lab", None, "aa:be", None, None, 7)]
+    assert got[0].asDict().keys() == {*capture.CAPTURE.names[:9], "session"}

@@ -172,3 +172,25 @@ def near_miss(df: DataFrame, key: str, size: str, ratio: float) -> DataFrame:
 def hamming(a: Column, b: Column, sep: str = ":") -> Column:
     """Positions in which two separated strings of equal length differ."""
     return F.size(F.filter(F.zip_with(F.split(a, sep), F.split(b, sep), lambda x, y: x != y), lambda d: d))
+
+
+def range_sums(ranges: DataFrame, points: DataFrame, lo: str, hi: str, at: str, value: str, bucket: int, n: str, total: str) -> DataFrame:
+    """ranges with the count and the sum of points' values in lo <= at <= hi (whole numbers), null values aside; no range meets the points inside it.
+
+    Points run up within a bucket of time, and buckets by their totals; either end of a range takes both as of its time, and the difference
+    is the range's. Sums are decimals of nine places, so that differences are exact. Only buckets are ordered as a whole.
+    """
+    key = [c for c in ranges.columns if c not in (n, total)]
+    p = points.where(F.col(value).isNotNull()).groupBy(F.col(at).alias("__t")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(28,9)")).alias("s")).withColumn("__b", F.floor(F.col("__t") / bucket))
+    up = lambda w: F.struct(F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"))
+    inside = p.select("__b", "__t", up(Window.partitionBy("__b").orderBy("__t")).alias("__in"))
+    whole = p.groupBy("__b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = whole.select(F.col("__b").alias("__at"), up(Window.orderBy("__b")).alias("__up"))  # a row for each bucket
+    ends = ranges.select(F.struct(*key).alias("__key"), F.explode(F.array(F.struct((F.col(lo) - 1).alias("t"), F.lit(-1).alias("sign")), F.struct(F.col(hi).alias("t"), F.lit(1).alias("sign")))).alias("e"))
+    ends = ends.select("__key", F.col("e.t").alias("__t"), F.col("e.sign").alias("__sign"), F.floor(F.col("e.t") / bucket).alias("__b"))
+    grid = ends.select((F.col("__b") - 1).alias("__at")).distinct()
+    before = as_of(grid, whole, [], "__at", "__up", "__before").select((F.col("__at") + 1).alias("__b"), "__before")
+    met = as_of(ends, inside, ["__b"], "__t", "__in", "__within").join(before, "__b")
+    part = lambda c: F.coalesce(F.col(f"__within.{c}"), F.lit(0)) + F.coalesce(F.col(f"__before.{c}"), F.lit(0))
+    out = met.groupBy("__key").agg(F.sum(F.col("__sign") * part("n")).alias(n), F.sum(F.col("__sign") * part("s")).alias(total))
+    return out.select("__key.*", n, F.col(total).cast("double").alias(total))

@@ -72,11 +72,11 @@ def jn6_interval_membership(spark, sf_dir):
 
 
 def _reading_of(spans, readings):
-    g = joins.in_range(spans, readings, [], "lo", "hi", "us", 5 * DAY).groupBy("source").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
-    bare = spans.join(g, "source", "left_anti").select("source", (F.col("lo") + F.col("hi")).alias("twice"))
+    g = joins.range_sums(spans.select("source", "lo", "hi"), readings, "lo", "hi", "us", "value", 5 * DAY, "n", "total")
+    bare = g.where("n = 0").select("source", (F.col("lo") + F.col("hi")).alias("twice"))
     near = joins.nearest_value(bare, readings, "twice", "us", "value", DAY, "near", "away").select("source", "near", (F.col("away") / 2).alias("away_us"))
-    j = spans.join(g, "source", "left").join(near, "source", "left")
-    return j.select("source", "lo", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), r6(F.coalesce("m", "near")).alias("reading"), "away_us")
+    j = g.join(near, "source", "left")
+    return j.select("source", "lo", F.col("n").cast("bigint").alias("n"), r6(F.coalesce(F.when(F.col("n") > 0, F.col("total") / F.col("n")), "near")).alias("reading"), "away_us")
 
 
 @register(_sql("SELECT a.row_no, min(abs(a.us - b.us)) AS gap FROM fr a JOIN fr b ON a.source = b.source WHERE a.node = 'click' AND b.node = 'view' GROUP BY a.row_no"))

@@ -149,3 +149,19 @@ def test_coherent_steps(spark):
     m = {g.bin: g for g in steps.motion_index(spark.createDataFrame(rows, "cell int, bin long, v double"), "cell", "bin", "v").collect()}
     d = np.abs(np.diff(x, axis=1))
     assert m[20].moved and math.isclose(m[20].motion, np.nanmean(d[:, 19] / np.nanmedian(d, axis=1)), rel_tol=1e-9)
+
+
+def test_range_sums(spark):
+    """Counts and sums between running sums: ends on points, between and beyond them, in one bucket and over many; ties, nulls, no points."""
+    from sondera.operators import joins
+
+    r = np.random.default_rng(6)
+    points = [(int(t), float(v)) for t, v in zip(r.integers(-50, 120, 80), r.normal(size=80).round(3), strict=True)] + [(7, None), (7, 1.0), (7, 2.0)]
+    ranges = [(i, int(a), int(a + w)) for i, (a, w) in enumerate(zip(r.integers(-80, 140, 40), r.integers(0, 90, 40), strict=True))] + [(99, 7, 7)]
+    df, p = spark.createDataFrame(ranges, "id int, lo long, hi long"), spark.createDataFrame(points, "at long, v double")
+    got = joins.range_sums(df, p, "lo", "hi", "at", "v", 10, "n", "total").collect()
+    assert len(got) == len(ranges)
+    for x in got:
+        inside = [v for t, v in points if v is not None and x.lo <= t <= x.hi]
+        assert x.n == len(inside) and math.isclose(x.total, sum(inside), abs_tol=1e-9)
+    assert all((x.n, x.total) == (0, 0.0) for x in joins.range_sums(df, p.where("false"), "lo", "hi", "at", "v", 10, "n", "total").collect())

@@ -484,7 +484,7 @@ def _session_turns(spark, sf_dir) -> DataFrame:
 def ml14_common_rotation(spark, sf_dir):
     """Turn of each source's imbalance from one session to the next, and what is left of it without the turn that all sources share."""
     t = _session_turns(spark, sf_dir)
-    return imbalance.without_shared(t, "session").select("session", "label", r6("turn").alias("turn"), r6("own").alias("own"))
+    return imbalance.without_shared(t, "session").select("session", F.col("label").cast("int").alias("label"), r6("turn").alias("turn"), r6("own").alias("own"))
 
 
 @register(_sql("SELECT session, n, round(shared, 6) + 0.0 AS shared, round(spread, 6) + 0.0 AS spread, round(spread / abs(shared), 6) + 0.0 AS ratio, round(1 - rest / total, 6) + 0.0 AS removed, CASE WHEN n < 3 THEN 'TOO FEW' WHEN spread / abs(shared) <= 0.25 THEN 'COMMON' WHEN spread / abs(shared) > 1 THEN 'NOT COMMON' ELSE 'PARTIAL' END AS verdict FROM r JOIN (SELECT session, sum(turn * turn) AS total, sum(atan2(sin(turn - shared), cos(turn - shared)) ** 2) AS rest FROM t JOIN r USING (session) GROUP BY session) USING (session)", _TURNS))

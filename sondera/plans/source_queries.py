@@ -28,18 +28,23 @@ def _mac(source: Column) -> Column:
     return F.format_string("02:00:00:00:%02x:%02x", F.floor(source / 256) % 256, source % 256)
 
 
-def _rows(spark, sf_dir) -> DataFrame:
+def _own_mac(source: Column) -> Column:
+    """An id for each source below 2^40: `_mac` repeats itself after 65,536 sources."""
+    return F.regexp_replace(F.format_string("02%010x", source), "(..)(?!$)", "$1:")
+
+
+def _rows(spark, sf_dir, mac=_mac) -> DataFrame:
     """`events` as rows of captures, one capture (session) for each node. A vector is 128 multiples of the row's number, modulo 100."""
     f = frames(spark, sf_dir)
     k = F.col("row_no") % 97
     csi = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda j: (k * j % 100).cast("string")), ",")
-    fields = {"pc_time_us": "us", "label": F.lit("x"), "seq": "row_no", "mac": _mac(F.col("source")), "rssi": (-30 - F.col("source") % 80).cast("short"), "noise_floor": F.lit(-95).cast("short"), "channel": F.when(F.col("row_no") % 50 == 0, 11).otherwise(6).cast("short"), "esp_timestamp_us": F.col("us") % (1 << 32), "len": F.lit(128), "csi_data": csi, "node_id": (F.length("node") % 7).cast("short"), "env_id": F.lit(0), "dropped": (F.col("row_no") % 65536).cast("int")}
+    fields = {"pc_time_us": "us", "label": F.lit("x"), "seq": "row_no", "mac": mac(F.col("source")), "rssi": (-30 - F.col("source") % 80).cast("short"), "noise_floor": F.lit(-95).cast("short"), "channel": F.when(F.col("row_no") % 50 == 0, 11).otherwise(6).cast("short"), "esp_timestamp_us": F.col("us") % (1 << 32), "len": F.lit(128), "csi_data": csi, "node_id": (F.length("node") % 7).cast("short"), "env_id": F.lit(0), "dropped": (F.col("row_no") % 65536).cast("int")}
     return f.select(F.col("node").alias("session"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
 
 
-def _captures(spark, sf_dir, old: tuple[str, ...] = ()) -> str:
+def _captures(spark, sf_dir, old: tuple[str, ...] = (), mac=_mac) -> str:
     """A folder of captures, one file for each session in order of time, some with the old header, and a file of damaged lines."""
-    path, rows = scratch(spark, "captures"), _rows(spark, sf_dir)
+    path, rows = scratch(spark, "captures"), _rows(spark, sf_dir, mac)
     is_old = F.col("session").isin(*old) if old else F.lit(False)
     capture.write_captures(rows.where(~is_old), f"{path}/age=new", "session", ORDER_BY)
     if old:
@@ -277,7 +282,7 @@ def snk2_union_csv(spark, sf_dir):
 @register(_sql("SELECT node AS session, count(*) AS n, count(DISTINCT source) AS sources FROM fr GROUP BY node UNION ALL SELECT 'empty', 0, 0"))
 def snk3_parquet_results(spark, sf_dir):
     """A result for each capture, written by itself; one has no rows and still has its schema."""
-    path, rows = scratch(spark, "results"), capture.read_capture(spark, _captures(spark, sf_dir)).select("session", "mac")
+    path, rows = scratch(spark, "results"), capture.read_capture(spark, _captures(spark, sf_dir, mac=_own_mac)).select("session", "mac")
     capture.write_results(rows, f"{path}/all", partition="session")
     capture.write_results(rows.limit(0).drop("session"), f"{path}/empty")
     empty = spark.read.parquet(f"{path}/empty").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mac").alias("sources")).select(F.lit("empty").alias("session"), "n", "sources")

@@ -2,9 +2,12 @@
 
 import duckdb
 import numpy as np
+import pytest
 from sondera.operators import kernels
 from sondera.plans import catalog
 
+from pyspark.sql import functions as F
+
 from .conftest import rows_of, sql_rows
 
 
@@ -27,3 +30,15 @@ def test_equally_strong_taps(spark, tmp_path):
     assert len(tied) > 6
     rows = [(i, [float(x) / 100 for x in r], i % 3) for i, r in enumerate(tied)]
     assert _same(spark, tmp_path, "dsp6_impulse_response", {"embeddings": spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")})
+
+
+@pytest.fixture(scope="module")
+def far_sources(spark):
+    """Events of sources whose numbers differ by 65,536, and so in more than the last two octets."""
+    t = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id % 700, 0, id % 60)")
+    return spark.range(400).select(F.col("id").alias("event_id"), t.alias("ts"), (F.col("id") % 23 + 65536 * (F.col("id") % 3)).alias("user_id"), F.element_at(F.array(*map(F.lit, ("click", "view", "error"))), (F.col("id") % 3 + 1).cast("int")).alias("event_type"), (F.col("id") % 41 / 2).alias("value"), F.lit("{}").alias("props"))
+
+
+def test_results_of_many_sources(spark, tmp_path, far_sources):
+    more = far_sources.unionByName(far_sources.withColumns({"event_id": F.col("event_id") + 1000, "user_id": F.col("user_id") + 65536}))
+    assert _same(spark, tmp_path, "snk3_parquet_results", {"events": more})

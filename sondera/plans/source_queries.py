@@ -68,7 +68,7 @@ def src1_capture_scan(spark, sf_dir):
 def src2_allowed_vectors(spark, sf_dir):
     """Vectors of an allow-list of sources: others aren't parsed."""
     macs = [f"02:00:00:00:{s // 256 % 256:02x}:{s % 256:02x}" for s in ALLOWED]
-    v = capture.with_vectors(capture.read_capture(spark, _captures(spark, sf_dir)), macs)
+    v = capture.with_vectors(capture.read_capture(spark, _captures(spark, sf_dir, mac=_own_mac)), macs)
     return v.select("seq", "mac", F.size("csi").alias("size"), arr_sum(F.transform("csi", lambda x: x.cast("bigint"))).cast("bigint").alias("total"))
 
 

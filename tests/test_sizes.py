@@ -42,3 +42,7 @@ def far_sources(spark):
 def test_results_of_many_sources(spark, tmp_path, far_sources):
     more = far_sources.unionByName(far_sources.withColumns({"event_id": F.col("event_id") + 1000, "user_id": F.col("user_id") + 65536}))
     assert _same(spark, tmp_path, "snk3_parquet_results", {"events": more})
+
+
+def test_allowed_among_many_sources(spark, tmp_path, far_sources):
+    assert _same(spark, tmp_path, "src2_allowed_vectors", {"events": far_sources})

@@ -6,12 +6,15 @@ Time joins become equi joins: an as-of join is a window over the union of both s
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def complete(df: DataFrame, keys: list[str], member: str, members: int) -> DataFrame:
     """Rows of keys for which all `members` members are present."""
@@ -69,21 +72,33 @@ def in_range(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi:
     return joined.drop("__b", "__pb", *[f"__{k}" for k in keys])
 
 
-def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: int = 1, blocks: int = 16) -> DataFrame:
+#: Spans that lie in one row while pairs are formed.
+SPANS_A_BLOCK = 4096
+
+
+def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: int = 1, size: int = SPANS_A_BLOCK) -> DataFrame:
     """(a, b, overlap) of pairs of spans, a < b, that share more than `least` of the axis.
 
-    A pair meets once, in the bucket in which the later of the two starts. Starts of a bucket are dealt to `blocks` tasks, so that
-    spans that all start together don't meet in one.
+    Spans in order of the buckets in which they start are packed into blocks of about `size`, each an array in one row. Blocks meet, if their ends let
+    them overlap, and pairs of spans are formed where two blocks lie: a span moves once for each block, not for each pair.
     """
-    s = spans.select(F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    starts = s.withColumns({"b": F.floor(F.col("lo") / bucket), "block": F.pmod(F.xxhash64("k"), F.lit(blocks))})
-    there = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    there = there.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    x, y = starts.alias("x"), there.alias("y")
+    spark = spans.sparkSession
+    path = scratch(spark, "spans")
+    spans.select(F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi")).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    count = max(1, math.ceil(rows.count() / size))
+    placed = rows.repartitionByRange(count, F.floor(F.col("lo") / bucket), "k").withColumn("i", F.spark_partition_id())
+    placed.groupBy("i").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.collect_list(F.struct("k", "lo", "hi")).alias("s")).write.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    x, y = (blocks.select(F.col("i").alias(f"i{n}"), F.col("first").alias(f"first{n}"), F.col("last").alias(f"last{n}")) for n in "xy")
+    may = F.least("lastx", "lasty") - F.greatest("firstx", "firsty") > least
+    pairs = x.join(y, (F.col("ix") <= F.col("iy")) & may).select("ix", "iy")
+    for n in "xy":
+        pairs = pairs.join(blocks.select(F.col("i").alias(f"i{n}"), F.col("s").alias(f"s{n}")), f"i{n}")
+    met = pairs.repartition(min(2000, count * (count + 1) // 2), "ix", "iy").withColumn("x", F.explode("sx")).select("ix", "iy", "x", F.explode("sy").alias("y"))
     common = F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo")
-    later = (F.col("x.lo") > F.col("y.lo")) | (F.col("x.lo") == F.col("y.lo")) & (F.col("x.k") > F.col("y.k"))
-    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.block") == F.col("y.block")) & later & (common > least))
-    return met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), common.alias("overlap"))
+    once = (F.col("ix") < F.col("iy")) | (F.col("x.k") < F.col("y.k"))
+    return met.where(once & (common > least)).select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), common.alias("overlap"))
 
 
 def unordered_pairs(df: DataFrame, key: str, on: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
-from sondera.operators import kernels
+from sondera.operators import cluster, joins, kernels
 from sondera.plans import catalog
+from sondera.sources import capture
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,48 @@ def test_results_of_many_sources(spark, tmp_path, far_sources):
 
 def test_allowed_among_many_sources(spark, tmp_path, far_sources):
     assert _same(spark, tmp_path, "src2_allowed_vectors", {"events": far_sources})
+
+
+def test_overlaps_in_blocks(spark):
+    """Pairs of spans of several blocks, each once; a span moves to few rows."""
+    rng = np.random.default_rng(2)
+    lo = rng.integers(0, 200, 300)
+    spans = [(i, int(t), int(t + n)) for i, (t, n) in enumerate(zip(lo, rng.integers(0, 90, 300), strict=True))]
+    want = sorted((a, b, o) for a, s, e in spans for b, t, f in spans if a < b and (o := min(e, f) - max(s, t)) > 5)
+    got = joins.overlaps(spark.createDataFrame(spans, "k bigint, lo bigint, hi bigint"), "k", "lo", "hi", 10, 5, size=40)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_silhouette_of_close_and_far_vectors(spark):
+    """Copies, near copies far from the origin, and several slabs and parts."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 8)) * 1e-4 + 100 * rng.normal(size=(2500, 8)).round(1)[rng.integers(0, 40, 2500)]
+    x[::7] = x[0]
+    c = rng.integers(0, 3, 2500)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    assert np.allclose(cluster.distances(x, x), d, rtol=1e-9, atol=0)
+    total = np.stack([d[:, c == k].sum(1) for k in range(3)], 1)
+    size = np.bincount(c)
+    a = total[np.arange(2500), c] / (size[c] - 1)
+    b = np.where(np.arange(3) == c[:, None], np.inf, total / size).min(1)
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(c, x, strict=True)], "c int, v array<double>").repartition(3)
+    got = cluster.silhouette(df, "v", "c").first()
+    assert got.n == 2500 and abs(got.silhouette - np.mean((b - a) / np.maximum(a, b))) < 1e-9
+
+
+def test_a_capture_of_several_files(spark, tmp_path):
+    """A large capture is several files, whose order by name is that of time; places and gaps go on across them."""
+    n = 60_000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("session"), (F.col("id") * 7919 % n).alias("us"))
+    fields = [F.col("us").alias("pc_time_us"), F.lit("x").alias("label"), F.col("us").alias("seq"), F.lit("02:00:00:00:00:01").alias("mac"), *[F.lit(1).alias(c) for c in capture.OLD[4:9]], F.lit("1,2").alias("csi_data")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        capture.write_captures(rows, f"{tmp_path}/c", "session", ["us"], fields)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = capture.read_capture(spark, f"{tmp_path}/c")
+    assert back.where("session = 'large'").select("file").distinct().count() > 2
+    got = capture.replay(back.select("session", "file", "row_no", "seq", "pc_time_us"), "session").orderBy("session", "place").toPandas()
+    for _, g in got.groupby("session"):
+        assert g["seq"].is_monotonic_increasing and g["place"].tolist() == list(range(1, len(g) + 1))
+        assert np.isnan(g["gap_us"].iloc[0]) and (g["gap_us"].iloc[1:].to_numpy() == np.diff(g["seq"])).all()

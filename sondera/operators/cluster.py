@@ -121,18 +121,46 @@ def cocluster(df: DataFrame, truth: str, cluster: str, draws: int = 2000, seed:
     return j.select("a", "b", F.pandas_udf(run, "together double, expected double, p double")("a", "b", "na", "nb", "sizes").alias("o")).select("a", "b", "o.*")
 
 
-#: Rows that a task compares with all others at once, and distances that are in memory together.
-SLAB_ROWS, CELLS = 8192, 1 << 21
+#: Rows of a slab at most, parts on each side while slabs are smaller, and distances that are in memory together.
+SLAB_ROWS, SIDE, CELLS = 65_536, 6, 1 << 21
+#: Share of the squared lengths below which a squared distance is taken from the differences, as a product of matrices would lose its digits.
+CLOSE = 1e-4
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to all of y."""
+    xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)
+    d = x @ y.T
+    d *= -2
+    d += xx
+    d += yy
+    i, j = np.nonzero(~(d > CLOSE * (xx + yy)))
+    step = max(1, CELLS // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        p, q = i[at : at + step], j[at : at + step]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
 
 
 def cluster_distances(df: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """(id, c, other, total): of each row, in cluster c, the sum of its distances to all rows of cluster `other`. A slab of rows stays in its task, all rows stream past it; no pair is written."""
+    """(id, c, other, total): of each row, in cluster c, the sum of its distances to all rows of cluster `other`.
+
+    A slab of rows stays in its task, and a part of all rows streams past it; no pair is written. A row moves once for each slab and part, whose numbers
+    don't grow until slabs are full.
+    """
     path = scratch(df.sparkSession, "rows")
     df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
-    slabs = max(1, math.ceil(rows.count() / SLAB_ROWS))
-    side = lambda slab, n: rows.select(slab.alias("slab"), F.lit(n).alias("side"), "id", "c", "v")
-    met = side(F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int"), 0).unionByName(side(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))), 1)).repartition(slabs, "slab").sortWithinPartitions("slab", "side")
+    n = rows.count()
+    side = max(1, min(SIDE, math.ceil(n / 1024)))
+    slabs = max(side, math.ceil(n / SLAB_ROWS))
+    parts = max(1, math.ceil(side * side / slabs))
+    own = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    kept = rows.select("id", "c", "v", own(slabs, 0).alias("s"), each(parts).alias("p"))
+    passing = rows.select("id", "c", "v", own(parts, 1).alias("p"), each(slabs).alias("s"))
+    meet = lambda d, first: d.select((F.col("s") * parts + F.col("p")).alias("cell"), F.lit(first).alias("side"), "id", "c", "v")
+    met = meet(kept, 0).unionByName(meet(passing, 1)).repartitionById(slabs * parts, "cell").sortWithinPartitions("cell", "side", "c")
     kind = rows.schema["c"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,31 +172,32 @@ def cluster_distances(df: DataFrame, vector: str, cluster: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cs, kind), pa.array([k for k in totals for _ in range(n)], kind), pa.array(np.concatenate(list(totals.values())) if totals else [], pa.float64())], names=["id", "c", "other", "total"])
 
         for b in batches:
-            slab, first = b.column(0).to_numpy(), b.column(1).to_numpy() == 0
-            cuts = [0, *(np.flatnonzero((slab[1:] != slab[:-1]) | (first[1:] != first[:-1])) + 1).tolist(), b.num_rows]
+            cell, first, cs = b.column(0).to_numpy(), b.column(1).to_numpy() == 0, b.column(3).to_pylist()
+            # rows are in order of cell, side and cluster
+            cuts = [0, *(i for i in range(1, b.num_rows) if cell[i] != cell[i - 1] or first[i] != first[i - 1] or not first[i] and cs[i] != cs[i - 1]), b.num_rows]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
                     continue
                 part = b.slice(lo, hi - lo)
-                if slab[lo] != at:
+                if cell[lo] != at:
                     if own:
                         yield out()
-                    at, own, held, totals = slab[lo], [], [], {}
-                y, cs = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1), part.column(3).to_pylist()
+                    at, own, held, totals = cell[lo], [], [], {}
+                y = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
                 if first[lo]:
-                    own += zip(part.column(2).to_pylist(), cs, strict=True)
+                    own += zip(part.column(2).to_pylist(), cs[lo:hi], strict=True)
                     held.append(y)
                 elif own:
-                    held = [np.concatenate(held)]
-                    x, keys = held[0], list(dict.fromkeys(cs))
-                    for k in keys:
-                        z = y[[c == k for c in cs]]
-                        step = max(1, CELLS // max(1, x.size))
-                        totals[k] = totals.get(k, 0.0) + sum(np.sqrt(((x[:, None, :] - z[None, j : j + step]) ** 2).sum(2)).sum(1) for j in range(0, len(z), step))
+                    held = [np.concatenate(held)] if len(held) > 1 else held
+                    x = held[0]
+                    step = max(1, CELLS // len(y))
+                    add = np.concatenate([distances(x[j : j + step], y).sum(1) for j in range(0, len(x), step)])
+                    totals[cs[lo]] = totals.get(cs[lo], 0.0) + add
         if own:
             yield out()
 
-    return met.mapInArrow(run, f"id bigint, c {kind}, other {kind}, total double")
+    got = met.mapInArrow(run, f"id bigint, c {kind}, other {kind}, total double")
+    return got.groupBy("id", "c", "other").agg(F.sum("total").alias("total"))
 
 
 def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import arr_sum, r6
@@ -33,31 +33,28 @@ def _own_mac(source: Column) -> Column:
     return F.regexp_replace(F.format_string("02%010x", source), "(..)(?!$)", "$1:")
 
 
-def _rows(spark, sf_dir, mac=_mac) -> DataFrame:
-    """`events` as rows of captures, one capture (session) for each node. A vector is 128 multiples of the row's number, modulo 100."""
-    f = frames(spark, sf_dir)
+def _fields(mac=_mac) -> list[Column]:
+    """A capture's fields from a frame. A vector is 128 multiples of the row's number, modulo 100."""
     k = F.col("row_no") % 97
     csi = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda j: (k * j % 100).cast("string")), ",")
-    fields = {"pc_time_us": "us", "label": F.lit("x"), "seq": "row_no", "mac": mac(F.col("source")), "rssi": (-30 - F.col("source") % 80).cast("short"), "noise_floor": F.lit(-95).cast("short"), "channel": F.when(F.col("row_no") % 50 == 0, 11).otherwise(6).cast("short"), "esp_timestamp_us": F.col("us") % (1 << 32), "len": F.lit(128), "csi_data": csi, "node_id": (F.length("node") % 7).cast("short"), "env_id": F.lit(0), "dropped": (F.col("row_no") % 65536).cast("int")}
-    return f.select(F.col("node").alias("session"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()])
+    fields = {"pc_time_us": "us", "label": F.lit("x"), "seq": "row_no", "mac": mac(F.col("source")), "rssi": (-30 - F.col("source") % 80).cast("short"), "noise_floor": F.lit(-95).cast("short"), "channel": F.when(F.col("row_no") % 50 == 0, 11).otherwise(6).cast("short"), "esp_timestamp_us": F.col("us") % (1 << 32), "len": F.lit(128), "csi_data": csi, "node_id": (F.length("session") % 7).cast("short"), "env_id": F.lit(0), "dropped": (F.col("row_no") % 65536).cast("int")}
+    return [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()]
 
 
 def _captures(spark, sf_dir, old: tuple[str, ...] = (), mac=_mac) -> str:
-    """A folder of captures, one file for each session in order of time, some with the old header, and a file of damaged lines."""
-    path, rows = scratch(spark, "captures"), _rows(spark, sf_dir, mac)
+    """A folder of captures of `events`, one (session) for each node in order of time, some with the old header, and a file of damaged lines."""
+    path, fields = scratch(spark, "captures"), _fields(mac)
+    rows = frames(spark, sf_dir).select(F.col("node").alias("session"), "source", "us", "row_no")
     is_old = F.col("session").isin(*old) if old else F.lit(False)
-    capture.write_captures(rows.where(~is_old), f"{path}/age=new", "session", ORDER_BY)
+    capture.write_captures(rows.where(~is_old), f"{path}/age=new", "session", ORDER, fields)
     if old:
-        capture.write_captures(rows.where(is_old).select("session", *capture.OLD), f"{path}/age=old", "session", ORDER_BY)
+        capture.write_captures(rows.where(is_old), f"{path}/age=old", "session", ORDER, fields[: len(capture.OLD)])
     header = ",".join([*capture.OLD, "node_id", "env_id", "dropped"])
     lines = spark.createDataFrame([("\n".join([header, *DAMAGED]),)], "value string").coalesce(1)
     lines.write.text(f"{path}/age=damaged/session=damaged")
     return path
 
 
-ORDER_BY = ["pc_time_us", "seq"]
-
-
 @register(_sql(f"SELECT node AS session, row_no AS seq, us AS pc_time_us, {_MAC} AS mac, CAST(-30 - source % 80 AS SMALLINT) AS rssi, CAST(row_no % 65536 AS INTEGER) AS dropped FROM fr"))
 def src1_capture_scan(spark, sf_dir):
     """All rows of all captures; lines that don't parse are passed over."""
@@ -160,9 +157,8 @@ def src7_plain_frames(spark, sf_dir):
 @register(_sql("SELECT node AS session, row_no AS seq, row_number() OVER w AS place, us - lag(us) OVER w AS gap_us FROM fr WINDOW w AS (PARTITION BY node ORDER BY us, row_no)"))
 def src9_replay(spark, sf_dir):
     """Rows in their place in each capture, with the gap to the row before; a capture begins without one."""
-    w = Window.partitionBy("session").orderBy("row_no")
-    rows = capture.read_capture(spark, _captures(spark, sf_dir)).select("session", "row_no", "seq", "pc_time_us")
-    return rows.select("session", "seq", F.row_number().over(w).cast("bigint").alias("place"), (F.col("pc_time_us") - F.lag("pc_time_us").over(w)).alias("gap_us"))
+    rows = capture.read_capture(spark, _captures(spark, sf_dir)).select("session", "file", "row_no", "seq", "pc_time_us")
+    return capture.replay(rows, "session").select("session", "seq", "place", "gap_us")
 
 
 @register(_sql("SELECT node AS session, count(*) AS rows, sum(row_no) AS total FROM fr GROUP BY node"))
@@ -191,8 +187,8 @@ def src12_spans(spark, sf_dir):
 @register(_sql("SELECT node AS session, CAST(length(node) % 7 AS SMALLINT) AS node_id, CAST(channel AS SMALLINT) AS channel FROM (SELECT node, CASE WHEN row_no % 50 = 0 THEN 11 ELSE 6 END AS channel, count(*) AS n FROM fr GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, channel) = 1"))
 def src13_modes(spark, sf_dir):
     """Node and channel of each capture, by what its head mostly says."""
-    rows = capture.read_capture(spark, _captures(spark, sf_dir)).withColumn("file", F.col("session"))
-    return capture.modes(rows).withColumnRenamed("file", "session")
+    rows = capture.read_capture(spark, _captures(spark, sf_dir)).withColumn("part", F.col("file")).withColumn("file", F.col("session"))
+    return capture.modes(rows, order=["part", "row_no"]).withColumnRenamed("file", "session")
 
 
 @register(_sql("SELECT source, count(*) AS n, max(us) AS last_us, CASE WHEN max(us) > (SELECT median(us) FROM fr) THEN 2 ELSE 1 END AS version FROM fr WHERE us > (SELECT median(us) FROM fr) OR source NOT IN (SELECT source FROM fr WHERE us > (SELECT median(us) FROM fr)) GROUP BY source"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .windows import rank_ties
 
 #: Points of a series of which all pairs are formed.
@@ -23,9 +24,8 @@ MOST_POINTS = 2048
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """(group, n, rho): correlation of ranks, ties sharing their mean rank."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
-    d = d.withColumn("__rx", rank_ties(x, group)).withColumn("__ry", rank_ties(y, group))
-    return d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"))
+    d = _ranked_apart(df, group, [x, y])
+    return d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("__r0", "__r1").alias("rho"))
 
 
 def partial(rxy: Column, rxz: Column, ryz: Column) -> Column:
@@ -34,9 +34,8 @@ def partial(rxy: Column, rxz: Column, ryz: Column) -> Column:
 
 
 def partial_spearman(df: DataFrame, group: list[str], x: str, y: str, z: str) -> DataFrame:
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*group, x, y, z)
-    d = d.withColumns({"__rx": rank_ties(x, group), "__ry": rank_ties(y, group), "__rz": rank_ties(z, group)})
-    g = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("xy"), F.corr("__rx", "__rz").alias("xz"), F.corr("__ry", "__rz").alias("yz"))
+    d = _ranked_apart(df, group, [x, y, z])
+    g = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("__r0", "__r1").alias("xy"), F.corr("__r0", "__r2").alias("xz"), F.corr("__r1", "__r2").alias("yz"))
     return g.select(*group, "n", partial(F.col("xy"), F.col("xz"), F.col("yz")).alias("rho"))
 
 
@@ -482,6 +481,36 @@ def _ranked(df: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
     return d.withColumns({f"__r{i}": rank_ties(c, group) for i, c in enumerate(cols)})
 
 
+#: Buckets into which the distinct values of a group are cut.
+RANK_BUCKETS = 64
+
+
+def _ranked_apart(df: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """_ranked() for groups of any size: no task orders a whole group.
+
+    Equal values are counted first, a sketch cuts a group's values into buckets, and a rank is the rows of the buckets before, those before in its
+    bucket and half of its equals. Rows find the ranks of their values by equi joins. Buckets are written, so that all who read them see the same ones.
+    """
+    d = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in cols)).select(*group, *cols)
+    path, rows = scratch(df.sparkSession, "ranks"), d
+    names = [f"__g{i}" for i in range(len(group))]
+    keys = [F.col(g).alias(n) for g, n in zip(group, names, strict=True)]
+    cuts = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
+    for i, c in enumerate(cols):
+        counts = d.groupBy(*keys, F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        sketch = counts.groupBy(*[F.col(n).alias(f"s{n}") for n in names]).agg(F.percentile_approx(F.col("__v").cast("double"), cuts, 20 * RANK_BUCKETS).alias("__e"))
+        b = counts.join(sketch, [F.col(n).eqNullSafe(F.col(f"s{n}")) for n in names])
+        b.select(*names, "__v", "__n", F.size(F.filter("__e", lambda e: e < F.col("__v").cast("double"))).alias("__b")).write.parquet(f"{path}/{i}")
+        b = df.sparkSession.read.parquet(f"{path}/{i}")
+        sums = b.groupBy(*[F.col(n).alias(f"s{n}") for n in names], F.col("__b").alias("s__b")).agg(F.sum("__n").alias("__s"))  # at most RANK_BUCKETS rows for each group
+        sums = sums.withColumn("__f", F.coalesce(F.sum("__s").over(Window.partitionBy(*[f"s{n}" for n in names]).orderBy("s__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.coalesce(F.sum("__n").over(Window.partitionBy(*names, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = b.withColumn("__i", inside).join(sums, [F.col(n).eqNullSafe(F.col(f"s{n}")) for n in names] + [F.col("__b") == F.col("s__b")])
+        ranks = ranks.select(*names, "__v", (F.col("__f") + F.col("__i") + (F.col("__n") + 1) / 2.0).alias(f"__r{i}"))
+        rows = rows.join(ranks, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)] + [F.col(c) == F.col("__v")]).drop(*names, "__v")
+    return rows
+
+
 #: Share of a column's variance below which controls leave nothing of it.
 NOTHING = 1e-12
 
@@ -495,7 +524,7 @@ def partial_spearman_many(df: DataFrame, group: list[str], x: str, y: str, contr
     cols = [x, y, *controls]
     m = len(cols)
     pairs = [(i, j) for i in range(m) for j in range(i + 1, m)]
-    g = _ranked(df, group, cols).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(f"__r{i}", f"__r{j}").alias(f"__c{i}_{j}") for i, j in pairs], *[F.var_pop(f"__r{i}").alias(f"__s{i}") for i in range(m)])
+    g = _ranked_apart(df, group, cols).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(f"__r{i}", f"__r{j}").alias(f"__c{i}_{j}") for i, j in pairs], *[F.var_pop(f"__r{i}").alias(f"__s{i}") for i in range(m)])
     g = g.withColumns({f"__c{i}_{j}": F.when((F.col(f"__s{i}") > 0) & (F.col(f"__s{j}") > 0), F.col(f"__c{i}_{j}") / F.sqrt(F.col(f"__s{i}") * F.col(f"__s{j}"))).otherwise(0.0) for i, j in pairs} | {f"__v{i}": F.when(F.col(f"__s{i}") > 0, 1.0).otherwise(0.0) for i in range(m)})
     g = g.withColumn("zero", F.col("__c0_1"))
     at = lambda i, j: F.col(f"__c{min(i, j)}_{max(i, j)}")

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from sondera.operators import cluster, joins, kernels
+from sondera.operators import cluster, joins, kernels, stats
 from sondera.plans import catalog
 from sondera.sources import capture
 
@@ -92,3 +92,13 @@ def test_a_capture_of_several_files(spark, tmp_path):
     for _, g in got.groupby("session"):
         assert g["seq"].is_monotonic_increasing and g["place"].tolist() == list(range(1, len(g) + 1))
         assert np.isnan(g["gap_us"].iloc[0]) and (g["gap_us"].iloc[1:].to_numpy() == np.diff(g["seq"])).all()
+
+
+def test_ranks_across_buckets(spark):
+    """More distinct values than buckets, many ties, a group without a name."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else i % 3, float(rng.integers(0, 500)) ** 3, int(rng.integers(0, 4))) for i in range(3000)] + [(1, None, 2), (7, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g int, x double, y bigint")
+    sort = lambda d: sorted((str(r.g), r.x, r.y, r["__r0"], r["__r1"]) for r in d.collect())
+    apart = stats._ranked_apart(df, ["g"], ["x", "y"])
+    assert sort(apart) == sort(stats._ranked(df, ["g"], ["x", "y"])) and len(sort(apart)) == 3001

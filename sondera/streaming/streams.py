@@ -5,8 +5,10 @@ Sources are anything that `readStream` offers; `landing()` reads a folder in whi
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -126,6 +128,14 @@ def health(frames: DataFrame, late: str, width_us: int = 86_400_000_000, stall_u
     return f.groupBy("node").applyInPandasWithState(run, f"node {frames.schema['node'].dataType.simpleString()}, {HEALTH}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _quantile(v: list[float], p: float) -> float:
+    """Linear quantile of a few sorted values; NaN of none."""
+    if not v:
+        return math.nan
+    i = int(at := p * (len(v) - 1))
+    return v[i] + (v[min(i + 1, len(v) - 1)] - v[i]) * (at - i)
+
+
 class SourceState:
     """What is kept of a source: its open count window, tracked value and own model."""
 
@@ -140,12 +150,16 @@ class SourceState:
         full = self.window.step((row.us, row.value))
         if full is None:
             return None
-        v = pd.Series([x for _, x in full])
-        iqr = float(v.quantile(0.75) - v.quantile(0.25))
-        med = float(v.median())
+        v = sorted(float(x) for _, x in full if x is not None and x == x)
+        iqr, med = _quantile(v, 0.75) - _quantile(v, 0.25), _quantile(v, 0.5)
         return {"us": int(full[-1][0]), "med": med, "iqr": iqr, "tracked": self.track.step(med, noise_of(iqr, 1.0)), "verdict": self.model.step(med, iqr)}
 
 
+class Frame(NamedTuple):
+    us: int
+    value: float
+
+
 WINDOWS = "source bigint, us bigint, med double, iqr double, tracked double, verdict string"
 
 
@@ -157,11 +171,11 @@ def live_windows(frames: DataFrame, size: int = 8) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = pickle.loads(state.get[0]) if state.exists else SourceState(size)  # noqa: S301  our own state
-        rows = pd.concat(list(parts)).sort_values(["us", "row_no"])
-        out = [{"source": key[0], **w} for r in rows.itertuples(index=False) if (w := s.step(r)) is not None]
+        rows = sorted((r for p in parts for r in zip(p["us"].tolist(), p["row_no"].tolist(), p["value"].tolist(), strict=True)), key=lambda r: r[:2])
+        out = [w for us, _, value in rows if (w := s.step(Frame(us, value))) is not None]
         state.update((pickle.dumps(s),))
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({"source": key[0], **{c: [w[c] for w in out] for c in out[0]}})
 
     return frames.select("source", "us", "row_no", "value").groupBy("source").applyInPandasWithState(run, WINDOWS, "state binary", "append", GroupStateTimeout.NoTimeout)
 

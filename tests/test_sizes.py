@@ -2,10 +2,12 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from sondera.operators import cluster, joins, kernels, stats
 from sondera.plans import catalog
 from sondera.sources import capture
+from sondera.streaming import streams
 
 from pyspark.sql import functions as F
 
@@ -102,3 +104,16 @@ def test_ranks_across_buckets(spark):
     sort = lambda d: sorted((str(r.g), r.x, r.y, r["__r0"], r["__r1"]) for r in d.collect())
     apart = stats._ranked_apart(df, ["g"], ["x", "y"])
     assert sort(apart) == sort(stats._ranked(df, ["g"], ["x", "y"])) and len(sort(apart)) == 3001
+
+
+def test_figures_of_a_window_without_pandas(monkeypatch):
+    """Quantiles of a window equal those of pandas, missing values left out, and building them takes no Series for each window."""
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=64).round(2)
+    values[[3, 8, 9]] = np.nan
+    values[16:24] = np.nan
+    want = [(pd.Series(v).median(), pd.Series(v).quantile(0.75) - pd.Series(v).quantile(0.25)) for v in values.reshape(8, 8)]
+    monkeypatch.setattr(pd, "Series", None)
+    s = streams.SourceState(8)
+    got = [(w["med"], w["iqr"]) for i, v in enumerate(values.tolist()) if (w := s.step(streams.Frame(i, v))) is not None]
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-12, equal_nan=True)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,27 +85,35 @@ def src4_two_ages(spark, sf_dir):
 
 
 def _byte_chunks(spark, sf_dir, encode, size: int = 1000) -> DataFrame:
-    """(node, i, data): frames of each node as one stream of bytes in order, cut where `size` bytes are full, whatever lies there."""
-    src = frames(spark, sf_dir).select("node", "us", "row_no", "source").repartition("node").sortWithinPartitions("node", *ORDER)
+    """(node, i, data): frames of each node as one recorded stream of bytes in order, cut where `size` bytes are full, whatever lies there.
+
+    Tasks take ranges of a stream, so the last chunk of a range may be shorter; numbers rise along a stream.
+    """
+    path = scratch(spark, "chunks")
+    f = frames(spark, sf_dir).select("node", F.lit(1).alias("frame"), "us", "row_no", "source")
+    boot = f.select("node").distinct().select("node", F.lit(0).alias("frame"), *[F.lit(0).cast("bigint").alias(c) for c in ("us", "row_no", "source")])
+    by = ["node", "frame", *ORDER]
+    src = f.unionByName(boot).repartitionByRange(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, buf, i = None, b"", 0
+        last, buf, i = None, b"", TaskContext.get().partitionId() << 32
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.node != last:
-                    if last is not None:
+                    if buf:
                         out.append((last, i, buf))
-                    last, buf, i = r.node, b"boot", 0
-                buf += encode(r)
+                    last, buf, i = r.node, b"", i + 1
+                buf += encode(r) if r.frame else b"boot"
                 while len(buf) >= size:
                     out.append((last, i, buf[:size]))
                     buf, i = buf[size:], i + 1
             yield pd.DataFrame(out, columns=["node", "i", "data"])
-        if last is not None:
+        if buf:
             yield pd.DataFrame([(last, i, buf)], columns=["node", "i", "data"])
 
-    return src.mapInPandas(run, "node string, i bigint, data binary")
+    src.mapInPandas(run, "node string, i bigint, data binary").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _ident(source: int) -> bytes:

@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
 SYNC = 0xC5
 #: Wire formats (fixed values): second magic byte → header after the magic, and where the payload's length stands.
 PLAIN, TYPED, PROBE = 0x51, 0x52, 0x54
@@ -26,6 +29,8 @@ _TYPED = struct.Struct("<BBHIH")  # type, node, environment, clock, length
 _VECTOR = struct.Struct("<I6sbbBH")  # sequence, id, rssi, noise, channel, dropped
 _STATUS = struct.Struct("<BBBHHIIIIhh")  # firmware, reset, calibration, crashes, calibration left, uptime, packets, dropped, heap, noise, rssi
 _PROBE = struct.Struct("<BBII")  # type, firmware, sequence, clock
+#: Bytes that a record has at most, and of a block that tasks decode by itself (a chunk more at most).
+LONGEST, BLOCK = max(_PLAIN.size + MAX_VECTOR, _TYPED.size + PREFIX + MAX_VECTOR, _PROBE.size + PROBE_PAYLOAD) + 3, 1 << 18
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
     ("kind", T.StringType()), ("offset", T.LongType()), ("node", T.IntegerType()), ("env", T.IntegerType()), ("seq", T.LongType()), ("id", T.StringType()), ("rssi", T.DoubleType()), ("noise", T.DoubleType()), ("channel", T.IntegerType()), ("clock_us", T.LongType()), ("dropped", T.IntegerType()),
@@ -83,6 +88,18 @@ def _row(raw: bytes) -> dict | None:
     return None
 
 
+def _take(buf: bytes, at: int, final: bool = False) -> tuple[int, dict | None] | None:
+    """Where the search goes on from `at`, and the record that is there; None if more bytes are needed to tell."""
+    size = _size(buf, at)
+    if size is None or size and at + size > len(buf):
+        if not final:
+            return None
+        size = 0
+    raw = buf[at : at + size] if size else b""
+    row = _row(raw) if size and not int(np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8, offset=2))) else None
+    return (at + 1, None) if row is None else (at + size, row)
+
+
 def decode(buf: bytes, base: int = 0, final: bool = False) -> Decoded:
     """All records of a buffer, and the bytes at its end that may begin another; final: none will come, so those are searched as well."""
     rows, at, skipped = [], 0, 0
@@ -91,19 +108,52 @@ def decode(buf: bytes, base: int = 0, final: bool = False) -> Decoded:
         if nxt < 0:
             return Decoded(rows, b"", skipped + len(buf) - at)
         skipped += nxt - at
-        at = nxt
-        size = _size(buf, at)
-        if size is None or size and at + size > len(buf):
-            if not final:
-                return Decoded(rows, buf[at:], skipped)
-            size = 0
-        raw = buf[at : at + size] if size else b""
-        row = _row(raw) if size and not int(np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8, offset=2))) else None
+        got = _take(buf, nxt, final)
+        if got is None:
+            return Decoded(rows, buf[nxt:], skipped)
+        at, row = got
         if row is None:
-            at, skipped = at + 1, skipped + 1
-            continue
-        rows.append(row | {"offset": base + at})
-        at += size
+            skipped += 1
+        else:
+            rows.append(row | {"offset": base + nxt})
+
+
+def stops(buf: bytes) -> list[int]:
+    """Where the search stops for more bytes at the end of a block, for each of the first LONGEST places where it may begin; one number if all stop there.
+
+    A search from anywhere comes by one of any LONGEST places in a row, so the last of a block will do if all of them lead to one stop.
+    """
+    back = 4 * LONGEST
+    while True:
+        first, known = max(len(buf) - back, 0), {}
+        for start in range(first, first + LONGEST):
+            path, at = [], start
+            while at not in known:
+                path.append(at)
+                nxt = buf.find(SYNC, at)
+                got = _take(buf, nxt) if nxt == at else (nxt, None)
+                if nxt < 0 or got is None:
+                    known[at] = len(buf) if nxt < 0 else at
+                    break
+                at = got[0]
+            known |= dict.fromkeys(path, known[at])
+        out = [known[start] for start in range(first, first + LONGEST)]
+        if len(set(out)) == 1:
+            return out[:1]
+        if not first:
+            return out
+        back *= 4
+
+
+def carry(rest: bytes, size: int, head: bytes, tail: bytes, stop: list[int]) -> bytes:
+    """What no record has taken at the end of a block, from what was left before it, the block's LONGEST first and last bytes and its stops."""
+    buf, at = rest + head, 0
+    if size <= LONGEST:  # all of it is in its head
+        return decode(buf).rest
+    while at < len(rest):
+        nxt = buf.find(SYNC, at, len(rest))
+        at = len(rest) if nxt < 0 else _take(buf, nxt)[0]
+    return tail[stop[0 if len(stop) == 1 else at - len(rest)] - size + len(tail) :]
 
 
 def encode(kind: int, body: bytes) -> bytes:
@@ -130,40 +180,65 @@ def _table(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([[r.get(c) for c in SCHEMA.names] for r in rows], columns=SCHEMA.names, dtype=object)
 
 
+def _blocks(chunks: DataFrame, path: str) -> DataFrame:
+    """Streams in blocks of some BLOCK bytes, written below path: (stream, place, size, head, tail, stops, data). Places are in a stream's order."""
+    src = chunks.where(F.length("data") > 0).repartitionByRange("stream", "__order").sortWithinPartitions("stream", "__order").select("stream", "data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, place, last, parts, size = ["stream", "place", "size", "head", "tail", "stops", "data"], TaskContext.get().partitionId() << 32, None, [], 0
+
+        def block() -> tuple:
+            data = b"".join(parts)
+            return last, place, size, data[:LONGEST], data[-LONGEST:], stops(data) if size > LONGEST else [], data
+
+        for b in batches:
+            out = []
+            for name, x in zip(b["stream"], b["data"], strict=True):
+                if parts and (name != last or size >= BLOCK):
+                    out.append(block())
+                    place, parts, size = place + 1, [], 0
+                last, size = name, size + len(x)
+                parts.append(bytes(x))
+            yield pd.DataFrame(out, columns=names)
+        if parts:
+            yield pd.DataFrame([block()], columns=names)
+
+    kind = chunks.schema["stream"].dataType.simpleString()
+    blocks = src.mapInPandas(run, f"stream {kind}, place bigint, size bigint, head binary, tail binary, stops array<int>, data binary")
+    blocks.write.option("parquet.block.size", 1 << 24).parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def decode_chunks(chunks: DataFrame, stream: str, order: str, data: str) -> DataFrame:
     """(stream, SCHEMA) from chunks of byte streams, the stream's column under the name `stream`.
 
-    A stream is read in order by one task, as a record may span chunks; streams spread over tasks. Spark sorts the chunks, with
-    spill, and Python holds a batch of them and the few bytes that no record has taken yet.
+    Tasks take ranges of (stream, order), so a long stream is in several of them. A record may span chunks and blocks, and where the
+    search enters a block depends on all before it: each block says where it stops for each place where it may be entered, and a walk
+    over a stream's blocks, without their data, then gives each the bytes that the one before it left. Rows are those of one search over the whole stream.
     """
-    kind = chunks.schema[stream].dataType.simpleString()
-    src = chunks.select(F.col(stream).alias("stream"), F.col(order).alias("__order"), F.col(data).alias("data")).repartition("stream").sortWithinPartitions("stream", "__order").select("stream", "data")
+    spark, path = chunks.sparkSession, scratch(chunks.sparkSession, "blocks")
+    blocks = _blocks(chunks.select(F.col(stream).alias("stream"), F.col(order).alias("__order"), F.col(data).alias("data")), f"{path}/blocks")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, rest, base, some = None, b"", 0, False
-        def named(rows: list[dict], names: list) -> pd.DataFrame:
-            out = _table(rows)
-            out.insert(0, "stream", names)
-            return out
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, rest, base = [], b"", 0
+        for place, size, head, tail, stop in pdf.sort_values("place")[["place", "size", "head", "tail", "stops"]].itertuples(index=False):
+            out.append((place, base - len(rest), rest, False))
+            rest, base = carry(rest, size, bytes(head), bytes(tail), stop), base + size
+        out[-1] = (*out[-1][:3], True)
+        return pd.DataFrame(out, columns=["place", "base", "rest", "final"])
+
+    blocks.drop("data").groupBy("stream").applyInPandas(walk, "place bigint, base bigint, rest binary, final boolean").write.parquet(f"{path}/entries")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, names = [], []
-            for name, x in zip(b["stream"], b["data"], strict=True):
-                if not some or name != last:
-                    end = decode(rest, base, final=True).rows
-                    rows, names = rows + end, names + [last] * len(end)
-                    last, rest, base, some = name, b"", 0, True
-                got = decode(rest + bytes(x), base)
-                base += len(rest) + len(x) - len(got.rest)
-                rest = got.rest
-                rows += got.rows
-                names += [name] * len(got.rows)
-            yield named(rows, names)
-        if end := decode(rest, base, final=True).rows:
-            yield named(end, [last] * len(end))
+            for name, x, rest, base, final in b.itertuples(index=False):
+                out = _table(decode(bytes(rest) + bytes(x), base, final).rows)
+                out.insert(0, "stream", name)
+                yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMA)
-    return src.mapInPandas(run, f"stream {kind}, {fields}")
+    entered = blocks.select("place", "stream", "data").join(spark.read.parquet(f"{path}/entries"), "place")
+    return entered.select("stream", "data", "rest", "base", "final").mapInPandas(run, f"stream {blocks.schema['stream'].dataType.simpleString()}, {fields}")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from sondera.operators import cluster, joins, kernels, stats
 from sondera.plans import catalog
-from sondera.sources import capture
+from sondera.sources import capture, frames
 from sondera.streaming import streams
 
 from pyspark.sql import functions as F
@@ -144,3 +144,61 @@ def test_modes_of_a_head_of_several_tiles(spark, tmp_path):
         assert spec and all("tile#" in s.split("windowspecdefinition(")[1].split("ASC")[0] for s in spec)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _hostile(rng, n):
+    """Records of all kinds, cut ones, records inside records, and bytes that look like the beginning of one."""
+    out = b""
+    for i in range(n):
+        v = rng.choice([frames.SYNC - 256, frames.PLAIN, frames.TYPED, frames.PROBE, 1, 0, 2], rng.choice([1, 5, 128, 384]))
+        whole = frames.encode_vector(i, bytes(6), i, v, node=None if i % 2 else 7)
+        out += (
+            whole,
+            frames.encode_status(3, i, 1, 1, 1, 0, 0, i, 2, 3, 4, -95 * 256, -50 * 256),
+            frames.encode_probe(i, i),
+            whole[: -rng.integers(1, 9)],
+            frames.encode_vector(i, bytes(6), i, np.frombuffer(frames.encode_vector(i, bytes(6), i, v[:20], node=7), np.int8)),
+            rng.choice([frames.SYNC, frames.PLAIN, frames.TYPED, 0, 1], rng.integers(0, 300)).astype(np.uint8).tobytes(),
+        )[rng.integers(0, 6)]
+    return out
+
+
+def test_a_stream_in_blocks_is_one_search(spark, monkeypatch):
+    """Long streams are decoded by several tasks, to the rows and offsets of one search from the beginning, wherever it enters a block."""
+    rng = np.random.default_rng(8)
+    raws = {"a": _hostile(rng, 500), "b": _hostile(rng, 60), "c": b"\xc5", None: _hostile(rng, 20)}
+    rows = []
+    for name, raw in raws.items():
+        at = 0
+        while at < len(raw):
+            n = int(rng.choice([0, 1, 7, 411, 412, 413, 900]))
+            rows.append((name, len(rows), bytearray(raw[at : at + n])))
+            at += n
+    monkeypatch.setattr(frames, "BLOCK", 700)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = frames.decode_chunks(spark.createDataFrame(rows, "stream string, i long, data binary").repartition(3), "stream", "i", "data")
+        got = d.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, raw in raws.items():
+        mine = sorted((r for r in got if r.stream == name), key=lambda r: r.offset)
+        want = frames.decode(raw, final=True).rows
+        assert [{k: r[k] for k in w} for r, w in zip(mine, want, strict=True)] == want
+    assert len({r.task for r in got if r.stream == "a"}) > 1
+
+
+def test_stops_depend_on_where_a_block_is_entered():
+    """A block of one record after another inside a longer one's bytes has several stops; each is that of its own search."""
+    inner = frames.encode_vector(1, bytes(6), 1, np.arange(100))
+    rng = np.random.default_rng(9)
+    several = 0
+    for _ in range(60):
+        raw = _hostile(rng, 8) + inner
+        if len(raw) <= frames.LONGEST:
+            continue
+        got = frames.stops(raw)
+        several += len(got) > 1
+        for at in range(frames.LONGEST):
+            assert len(raw) - len(frames.decode(raw[at:]).rest) == got[0 if len(got) == 1 else at]
+    assert several

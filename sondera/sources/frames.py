@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def _row(raw: bytes) -> dict | None:
     kind, body = raw[1], raw[2:-1]
     if kind == PLAIN:
         seq, ident, rssi, noise, channel, clock, _ = _PLAIN.unpack_from(body)
-        return {"kind": "vector", "seq": seq, "id": _id(ident), "rssi": float(rssi), "noise": float(noise), "channel": channel, "clock_us": clock, "vector": np.frombuffer(body, np.int8, offset=_PLAIN.size).tolist()}
+        return {"kind": "vector", "seq": seq, "id": _id(ident), "rssi": float(rssi), "noise": float(noise), "channel": channel, "clock_us": clock, "vector": np.frombuffer(body, np.int8, offset=_PLAIN.size)}
     if kind == PROBE:
         typ, fw, seq, clock = _PROBE.unpack_from(body)
         want = (seq + 7 * np.arange(PROBE_PAYLOAD)) & 0xFF
@@ -80,7 +81,7 @@ def _row(raw: bytes) -> dict | None:
     load = body[_TYPED.size :]
     if typ == 1 and n >= _VECTOR.size:
         seq, ident, rssi, noise, channel, dropped = _VECTOR.unpack_from(load)
-        return {"kind": "vector", "node": node, "env": env, "seq": seq, "id": _id(ident), "rssi": float(rssi), "noise": float(noise), "channel": channel, "clock_us": clock, "dropped": dropped, "vector": np.frombuffer(load, np.int8, offset=_VECTOR.size).tolist()}
+        return {"kind": "vector", "node": node, "env": env, "seq": seq, "id": _id(ident), "rssi": float(rssi), "noise": float(noise), "channel": channel, "clock_us": clock, "dropped": dropped, "vector": np.frombuffer(load, np.int8, offset=_VECTOR.size)}
     if typ == 2 and n >= _STATUS.size:
         names = ("firmware", "reset", "calibration", "crashes", "calibration_left_s", "uptime_s", "packets", "drops", "heap", "noise", "rssi")
         row = dict(zip(names, _STATUS.unpack_from(load), strict=True))
@@ -102,6 +103,15 @@ def _take(buf: bytes, at: int, final: bool = False) -> tuple[int, dict | None] |
 
 def decode(buf: bytes, base: int = 0, final: bool = False) -> Decoded:
     """All records of a buffer, and the bytes at its end that may begin another; final: none will come, so those are searched as well."""
+    got = _search(buf, base, final)
+    for r in got.rows:
+        if "vector" in r:
+            r["vector"] = r["vector"].tolist()
+    return got
+
+
+def _search(buf: bytes, base: int, final: bool = False) -> Decoded:
+    """decode() with vectors as arrays."""
     rows, at, skipped = [], 0, 0
     while True:
         nxt = buf.find(SYNC, at)
@@ -149,7 +159,7 @@ def carry(rest: bytes, size: int, head: bytes, tail: bytes, stop: list[int]) ->
     """What no record has taken at the end of a block, from what was left before it, the block's LONGEST first and last bytes and its stops."""
     buf, at = rest + head, 0
     if size <= LONGEST:  # all of it is in its head
-        return decode(buf).rest
+        return _search(buf, 0).rest
     while at < len(rest):
         nxt = buf.find(SYNC, at, len(rest))
         at = len(rest) if nxt < 0 else _take(buf, nxt)[0]
@@ -180,6 +190,23 @@ def _table(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame([[r.get(c) for c in SCHEMA.names] for r in rows], columns=SCHEMA.names, dtype=object)
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.field("element", pa.int32()))}
+
+
+def _batch(name: pa.Array, rows: list[dict]) -> pa.RecordBatch:
+    """Rows of _search() under SCHEMA behind their stream's name, an array of one."""
+    columns = [name.take(pa.array(np.zeros(len(rows), np.int32)))]
+    for f in SCHEMA:
+        values, kind = [r.get(f.name) for r in rows], _ARROW[f.dataType.simpleString()]
+        if f.name == "vector":
+            ends = np.cumsum([0, *[0 if v is None else len(v) for v in values]], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int8), *[v for v in values if v is not None]]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=kind, mask=pa.array([v is None for v in values], pa.bool_())))
+        else:
+            columns.append(pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(columns, ["stream", *SCHEMA.names])
+
+
 def _blocks(chunks: DataFrame, path: str) -> DataFrame:
     """Streams in blocks of some BLOCK bytes, written below path: (stream, place, size, head, tail, stops, data). Places are in a stream's order."""
     src = chunks.where(F.length("data") > 0).repartitionByRange("stream", "__order").sortWithinPartitions("stream", "__order").select("stream", "data")
@@ -229,16 +256,14 @@ def decode_chunks(chunks: DataFrame, stream: str, order: str, data: str) -> Data
 
     blocks.drop("data").groupBy("stream").applyInPandas(walk, "place bigint, base bigint, rest binary, final boolean").write.parquet(f"{path}/entries")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, x, rest, base, final in b.itertuples(index=False):
-                out = _table(decode(bytes(rest) + bytes(x), base, final).rows)
-                out.insert(0, "stream", name)
-                yield out
+            for i, (x, rest, base, final) in enumerate(zip(*[b.column(c).to_pylist() for c in ("data", "rest", "base", "final")], strict=True)):
+                yield _batch(b.column("stream").slice(i, 1), _search(rest + x, base, final).rows)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMA)
     entered = blocks.select("place", "stream", "data").join(spark.read.parquet(f"{path}/entries"), "place")
-    return entered.select("stream", "data", "rest", "base", "final").mapInPandas(run, f"stream {blocks.schema['stream'].dataType.simpleString()}, {fields}")
+    return entered.select("stream", "data", "rest", "base", "final").mapInArrow(run, f"stream {blocks.schema['stream'].dataType.simpleString()}, {fields}")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -72,15 +72,16 @@ def in_range(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi:
     return joined.drop("__b", "__pb", *[f"__{k}" for k in keys])
 
 
-#: Spans that lie in one row while pairs are formed.
+#: Spans of a block; so many rows at most are in memory for each span that meets it.
 SPANS_A_BLOCK = 4096
 
 
 def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: int = 1, size: int = SPANS_A_BLOCK) -> DataFrame:
-    """(a, b, overlap) of pairs of spans, a < b, that share more than `least` of the axis.
+    """(a, b, overlap) of pairs of spans, a < b, that share more than `least` of the axis. An end that is null doesn't bind.
 
-    Spans in order of the buckets in which they start are packed into blocks of about `size`, each an array in one row. Blocks meet, if their ends let
+    Spans in order of the buckets in which they start are packed into blocks of about `size`, each a row of arrays. Blocks meet, if their ends let
     them overlap, and pairs of spans are formed where two blocks lie: a span moves once for each block, not for each pair.
+    One of the two blocks comes span by span, as Spark holds all rows that it makes of one.
     """
     spark = spans.sparkSession
     path = scratch(spark, "spans")
@@ -88,17 +89,22 @@ def overlaps(spans: DataFrame, key: str, lo: str, hi: str, bucket: int, least: i
     rows = spark.read.parquet(f"{path}/rows")
     count = max(1, math.ceil(rows.count() / size))
     placed = rows.repartitionByRange(count, F.floor(F.col("lo") / bucket), "k").withColumn("i", F.spark_partition_id())
-    placed.groupBy("i").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.collect_list(F.struct("k", "lo", "hi")).alias("s")).write.parquet(f"{path}/blocks")
+    end = lambda c, of: F.when(F.count(c) == F.count(F.lit(1)), of(c))
+    packed = placed.groupBy("i").agg(end("lo", F.min).alias("first"), end("hi", F.max).alias("last"), F.collect_list(F.struct("k", "lo", "hi")).alias("s"))
+    packed.select("i", "first", "last", "s.k", "s.lo", "s.hi").write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
-    x, y = (blocks.select(F.col("i").alias(f"i{n}"), F.col("first").alias(f"first{n}"), F.col("last").alias(f"last{n}")) for n in "xy")
-    may = F.least("lastx", "lasty") - F.greatest("firstx", "firsty") > least
-    pairs = x.join(y, (F.col("ix") <= F.col("iy")) & may).select("ix", "iy")
-    for n in "xy":
-        pairs = pairs.join(blocks.select(F.col("i").alias(f"i{n}"), F.col("s").alias(f"s{n}")), f"i{n}")
-    met = pairs.repartition(min(2000, count * (count + 1) // 2), "ix", "iy").withColumn("x", F.explode("sx")).select("ix", "iy", "x", F.explode("sy").alias("y"))
-    common = F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo")
-    once = (F.col("ix") < F.col("iy")) | (F.col("x.k") < F.col("y.k"))
-    return met.where(once & (common > least)).select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), common.alias("overlap"))
+    named = lambda n, *cols: blocks.select(*[F.col(c).alias(f"{c}{n}") for c in ("i", *cols)])
+    may = F.coalesce(F.least("lastx", "lasty") - F.greatest("firstx", "firsty") > least, F.lit(True))
+    pairs = named("x", "first", "last").join(named("y", "first", "last"), (F.col("ix") <= F.col("iy")) & may).select("ix", "iy")
+    # merge joins take a row of the left side at a time; a hash join may take a block and find all the spans that meet it
+    x, y = (pairs.repartition(count, f"i{n}").hint("merge").join(named(n, "k", "lo", "hi").repartition(count, f"i{n}"), f"i{n}") for n in "xy")
+    x = x.select("ix", "iy", F.inline(F.arrays_zip("kx", "lox", "hix")))
+    x, y = (d.repartition(min(2000, count * (count + 1) // 2), "ix", "iy") for d in (x, y))
+    met = x.hint("merge").join(y, ["ix", "iy"]).select("ix", "iy", "kx", "lox", "hix", "ky", "hiy", F.posexplode("loy").alias("at", "lo"))
+    k, hi_ = F.get("ky", "at"), F.get("hiy", "at")
+    common = F.least("hix", hi_) - F.greatest("lox", "lo")
+    once = F.when(F.col("ix") < F.col("iy"), F.col("kx") != k).otherwise(F.col("kx") < k)
+    return met.where(once & (common > least)).select(F.least("kx", k).alias("a"), F.greatest("kx", k).alias("b"), common.alias("overlap"))
 
 
 def unordered_pairs(df: DataFrame, key: str, on: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:

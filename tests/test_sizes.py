@@ -1,5 +1,9 @@
 """Queries on tables that are larger, or odder, than the driver's small ones."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -61,6 +65,32 @@ def test_overlaps_in_blocks(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_overlaps_without_ends_or_keys(spark):
+    """A null end doesn't bind, a null or equal key makes no pair, as in SQL, also where blocks lie apart."""
+    spans = [(i, 100 * i, 100 * i + 150) for i in range(40)] + [(50, None, None), (51, None, None), (52, None, 900), (53, 3000, None), (None, 0, 4000), (None, None, None), (54, 0, 900), (54, 500, 3000)]
+    df = spark.createDataFrame(spans, "k bigint, lo bigint, hi bigint")
+    df.createOrReplaceTempView("spans")
+    want = spark.sql("SELECT a.k AS a, b.k AS b, least(a.hi, b.hi) - greatest(a.lo, b.lo) AS overlap FROM spans a JOIN spans b ON a.k < b.k AND least(a.hi, b.hi) - greatest(a.lo, b.lo) > 20")
+    assert rows_of(joins.overlaps(df, "k", "lo", "hi", 100, 20, size=5)) == rows_of(want)
+
+
+def test_overlaps_in_a_small_heap(tmp_path):
+    """8,386,560 pairs of one block, whose rows together don't fit the heap, in a process of its own."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from sondera.operators import joins
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spans = spark.range(4096).select("id", F.col("id").alias("lo"), (F.col("id") + 9999).alias("hi"))
+joins.overlaps(spans, "id", "lo", "hi", 100).write.format("noop").mode("overwrite").save()
+spark.stop()
+print("done")
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--driver-memory 512m --conf spark.checkpoint.dir=file://{tmp_path}/shared pyspark-shell"}
+    env = {k: v for k, v in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    run = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert run.stdout.endswith("done\n"), run.stderr[-2000:]
+
+
 def test_silhouette_of_close_and_far_vectors(spark):
     """Copies, near copies far from the origin, and several slabs and parts."""
     rng = np.random.default_rng(3)

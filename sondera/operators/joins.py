@@ -72,7 +72,7 @@ def in_range(ranges: DataFrame, points: DataFrame, keys: list[str], lo: str, hi:
     return joined.drop("__b", "__pb", *[f"__{k}" for k in keys])
 
 
-#: Spans of a block; so many rows at most are in memory for each span that meets it.
+#: Spans of a block, about; a span that meets it makes so many rows in memory at a time.
 SPANS_A_BLOCK = 4096
 
 
